@@ -74,14 +74,12 @@ def join_fares(df: DataFrame, slabs: DataFrame, distance: str = "distance_km") -
                              F.ceil(F.col("max_distance_km")) - 1)).alias("_km"),
         F.col("min_distance_km").alias("_lo"), F.col("max_distance_km").alias("_hi"),
         F.col("fare_amount").cast("double").alias("_fare"))
-    top = slabs.agg(F.max_by(F.col("fare_amount").cast("double"), "min_distance_km").alias("_top"))
+    top = slabs.agg(F.max_by(F.col("fare_amount").cast("double"), "min_distance_km"))
     d = F.col(distance)
     joined = df.withColumn("_km_of", F.floor(d)).join(
         per_km, (F.col("_km_of") == F.col("_km")) & (d >= F.col("_lo")) & (d < F.col("_hi")), "left")
-    # one row holding the top fare
-    return (joined.join(F.broadcast(top), F.lit(True), "left")
-            .withColumn("fare", F.coalesce("_fare", "_top"))
-            .drop("_km_of", "_km", "_lo", "_hi", "_fare", "_top"))
+    return (joined.withColumn("fare", F.coalesce(F.col("_fare"), top.scalar()))
+            .drop("_km_of", "_km", "_lo", "_hi", "_fare"))
 
 
 def weighted_bucket(u: Column | str, weights: list[tuple[str, float]]) -> Column:
