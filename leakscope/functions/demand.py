@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.functions.numeric import as_col
+from leakscope.functions.numeric import as_col, ladder
 
 # Hours, factor.  Hours not named have factor 1.0.
 HOUR_FACTORS = [
@@ -36,10 +38,7 @@ def lookup(key: Column | str, table: dict, default) -> Column:
 
 def hour_factor(hour: Column | str) -> Column:
     h = as_col(hour)
-    out = None
-    for (lo, hi), factor in HOUR_FACTORS:
-        out = (out or F).when(h.between(lo, hi), factor)
-    return out.otherwise(1.0)
+    return ladder([(h.between(lo, hi), factor) for (lo, hi), factor in HOUR_FACTORS], 1.0)
 
 
 def day_factor(day_of_week: Column | str) -> Column:
@@ -57,10 +56,8 @@ def expected_demand(category: Column, hour: Column, day_of_week: Column, density
 def fare_for(distance_km: Column | str) -> Column:
     """Fare of the fixed slab table; the top fare outside every slab."""
     d = as_col(distance_km)
-    out = None
-    for lo, hi, fare in FARE_SLABS:
-        out = (out or F).when((d >= lo) & (d < hi), fare)
-    return out.otherwise(MAX_FARE).cast("double")
+    return ladder([((d >= lo) & (d < hi), fare) for lo, hi, fare in FARE_SLABS], MAX_FARE
+                  ).cast("double")
 
 
 def join_fares(df: DataFrame, slabs: DataFrame, distance: str = "distance_km") -> DataFrame:
@@ -84,11 +81,9 @@ def join_fares(df: DataFrame, slabs: DataFrame, distance: str = "distance_km") -
 
 def weighted_bucket(u: Column | str, weights: list[tuple[str, float]]) -> Column:
     """First name whose running weight reaches u; the first name beyond the last."""
-    x, reach, out = as_col(u), 0.0, None
-    for name, weight in weights:
-        reach += weight
-        out = (out or F).when(x <= reach, name)
-    return out.otherwise(weights[0][0])
+    x = as_col(u)
+    reach = accumulate(weight for _, weight in weights)
+    return ladder([(x <= r, name) for r, (name, _) in zip(reach, weights)], weights[0][0])
 
 
 def payment_mode(u: Column | str) -> Column:

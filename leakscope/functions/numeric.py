@@ -14,6 +14,14 @@ def as_col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ladder(steps: list[tuple[Column, object]], otherwise) -> Column:
+    """Value of the first condition that holds."""
+    out = F.when(*steps[0])
+    for condition, value in steps[1:]:
+        out = out.when(condition, value)
+    return out.otherwise(otherwise)
+
+
 def half_up(x: Column | str, digits: int) -> Column:
     """Round with .5 going up, also for negative numbers."""
     scale = float(10 ** digits)

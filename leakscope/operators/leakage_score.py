@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.functions.numeric import from_cents, half_up, sum_cents
+from leakscope.functions.numeric import from_cents, half_up, ladder, sum_cents
 
 # Level, leakage percentage it starts above.
 RISK_BOUNDS = [("critical", 15.0), ("high", 8.0), ("medium", 3.0)]
 
 
 def risk_level(percentage: Column) -> Column:
-    out = None
-    for level, bound in RISK_BOUNDS:
-        out = (out or F).when(percentage > bound, level)
-    return out.otherwise("low")
+    return ladder([(percentage > bound, level) for level, bound in RISK_BOUNDS], "low")
 
 
 def route_leakage(events: DataFrame, date_col: str = "sim_date",

@@ -10,15 +10,18 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leakscope.functions.demand import FARE_SLABS
 from leakscope import schemas
+from leakscope.functions.demand import FARE_SLABS
+from leakscope.functions.numeric import cents
 
 SPARK = {"dow": "dayofweek({0}) - 1", "ts": "timestamp_ntz"}
 ANSI = {"dow": "dayofweek({0})", "ts": "timestamp"}
 
 STOPS_PER_ROUTE = 7
+ROUTE_NUMBER = "cast(substring(route_id, 2) as bigint)"
 
 
 def cents_text(x: str) -> str:
@@ -158,3 +161,63 @@ class TransitTables:
         return self.spark.createDataFrame(
             rows, "min_distance_km double, max_distance_km double, fare_amount int, fare_type string"
         ).withColumn("fare_amount", F.col("fare_amount").cast("decimal(10,2)"))
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        """Labelled anomalies per route and year: the stop position with the largest
+        loss, and the stretch from there to the second largest."""
+        gap = cents("expected_revenue") - cents("reported_revenue")
+        losses = (self.events.filter("is_anomalous = 1")
+                  .groupBy("route_id", "period_year", "stop_sequence")
+                  .agg(F.sum(gap).alias("gap"), F.min("sim_hour").alias("first_hour"),
+                       F.max("sim_hour").alias("last_hour")))
+        by_gap = W.partitionBy("route_id", "period_year").orderBy(F.desc("gap"), "stop_sequence")
+        ranked = (losses.withColumn("place", F.row_number().over(by_gap))
+                  .withColumn("other", F.lag("stop_sequence").over(by_gap))
+                  .filter("place <= 2"))
+        return ranked.selectExpr(
+            "concat(case place when 1 then 'A' else 'B' end, '-', route_id, '-', "
+            "cast(year(period_year) as string)) as anomaly_id",
+            f"case {ROUTE_NUMBER} % 4 when 0 then 'under_reporting' when 1 then 'ghost_trip' "
+            "when 2 then 'qr_upi_fraud' else 'fare_evasion_cluster' end as anomaly_type",
+            "route_id", "least(stop_sequence, coalesce(other, stop_sequence)) as start_stop_sequence",
+            "greatest(stop_sequence, coalesce(other, stop_sequence)) as end_stop_sequence",
+            "first_hour as time_window_start", "last_hour as time_window_end",
+            "period_year as sim_date",
+            f"{cents_text(f'0.3e0 + ({ROUTE_NUMBER} % 8)*0.05e0')} as severity",
+            "cast(gap as double)/100e0 as magnitude"
+        ).selectExpr(
+            "*", "concat(route_id, '_S', start_stop_sequence) as start_stop_id",
+            "concat(route_id, '_S', end_stop_sequence) as end_stop_id",
+            "concat(anomaly_type, ' on route ', route_id, ', stops ', start_stop_sequence, '-', "
+            "end_stop_sequence) as description")
+
+    @cached_property
+    def batches(self) -> DataFrame:
+        """Health figures of the event stream, one row per hour of the events table."""
+        return (self.table("events")
+                .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("recorded_at"))
+                .agg(F.count("*").cast("double").alias("ingestion_total"),
+                     F.count_if(F.col("event_type") != "error").cast("double")
+                     .alias("processing_total"),
+                     F.count_if(F.col("event_type") == "error").cast("double")
+                     .alias("dead_letter_total"),
+                     F.count_if(F.col("event_type") == "view").cast("double")
+                     .alias("pending_events"),
+                     (F.sum(cents("value")).cast("double") / 100.0 / F.count("*"))
+                     .alias("avg_processing_time")))
+
+    @cached_property
+    def model_registry(self) -> DataFrame:
+        """One model per route category and year, with the spread of its revenue as metric."""
+        years = (self.events.groupBy("route_id", F.year("sim_date").cast("bigint").alias("version"))
+                 .agg(F.count("*").alias("_n"),
+                      F.sum(cents("expected_revenue")).alias("_sum")))
+        per_type = (years.join(self.routes.select("route_id", "route_category"), "route_id")
+                    .groupBy(F.col("route_category").alias("model_type"), "version")
+                    .agg((F.sum("_sum").cast("double") / 100.0 / F.sum("_n")).alias("mean_revenue")))
+        return per_type.select(
+            F.concat("model_type", F.lit("_v"), F.col("version").cast("string")).alias("model_id"),
+            "model_type", "version", "mean_revenue",
+            F.concat(F.lit("models/"), "model_type").alias("model_path"),
+            (F.col("version") <= 2000).cast("int").alias("is_active"))
