@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leakscope.functions.numeric import ladder
 from leakscope.operators.features import ANOMALY_FEATURES, feature_array
 from leakscope.operators.selection import nth_largest
 from leakscope.session import scratch_path
@@ -34,31 +35,54 @@ def mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1) + EULER) - 2.0 * (n - 1) / n
 
 
+def _uniform(*parts) -> Column:
+    """Repeatable draw in [0, 1) per row."""
+    bits = F.shiftrightunsigned(F.xxhash64(*parts), 11)
+    return bits.cast("double") / float(1 << 53)
+
+
+def _candidates(rows: DataFrame, key: str, num_trees: int, share: float, seed: int) -> DataFrame:
+    """(tree, draw) pairs in which every row is a candidate of each tree with the same chance.
+
+    While a row is likely to serve a tree, it draws once per tree.  In a large
+    table it hardly ever is: then one draw per row says how many trees it
+    reaches at all (a Poisson number, which makes the trees independent), and
+    only rows that reach one are copied.
+    """
+    rate = num_trees * share
+    if rate > 1.0:
+        draws = F.transform(F.sequence(F.lit(0), F.lit(num_trees - 1)), lambda t: F.struct(
+            t.alias("tree"), _uniform(F.col(key), t, F.lit(seed)).alias("draw")))
+        return (rows.withColumn("_d", F.explode(draws)).select("*", "_d.tree", "_d.draw").drop("_d")
+                .filter(F.col("draw") < share))
+    reach, term, steps = 0.0, math.exp(-rate), []
+    u = _uniform(F.col(key), F.lit(seed))
+    for k in range(1, 16):
+        reach += term
+        steps.append((u < reach, k - 1))
+        term *= rate / k
+    hits = rows.withColumn("_hits", ladder(steps, 15)).filter("_hits > 0")
+    each = hits.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_hits"))))
+    return (each.withColumn("tree", F.pmod(F.xxhash64(F.col(key), "_j", F.lit(seed + 1)), F.lit(num_trees))
+                            .cast("int"))
+            .withColumn("draw", _uniform(F.col(key), F.col("tree"), F.lit(seed + 2)))
+            .dropDuplicates([key, "tree"]).drop("_hits", "_j"))
+
+
 def tree_samples(features: DataFrame, key: str, num_trees: int, size: int, seed: int,
                  total: int) -> DataFrame:
     """``size`` distinct rows per tree, drawn independently for every tree.
 
-    Each row draws one hash per tree and is copied only for the trees in which
-    it can be among the smallest, so the fan-out stays near num_trees * size
-    rows however large the table is.  The margin is widened until every tree
-    has enough.
+    About num_trees * size rows leave the scan, however large the table is.
+    The margin is widened until every tree has enough.
     """
-    span = float(1 << 63)
     wanted, margin = min(size, total), 10.0
     while True:
         share = min(1.0, (wanted + margin * math.sqrt(wanted)) / max(total, 1))
-        limit = int(share * span) if share < 1.0 else (1 << 63) - 1
-        draws = F.transform(
-            F.sequence(F.lit(0), F.lit(num_trees - 1)),
-            lambda t: F.struct(t.alias("tree"), F.shiftrightunsigned(
-                F.xxhash64(F.col(key), t, F.lit(seed)), 1).alias("draw")))
-        near = features.select(key, "x", F.explode(
-            F.filter(draws, lambda d: d.draw <= F.lit(limit))).alias("_d")
-        ).select("_d.tree", "_d.draw", key, "x")
         by_draw = W.partitionBy("tree").orderBy("draw", key)
-        drawn = (near.withColumn("_place", F.row_number().over(by_draw))
-                 .filter(F.col("_place") <= wanted).drop("_place", "draw"))
-        drawn = drawn.checkpoint()
+        drawn = (_candidates(features.select(key, "x"), key, num_trees, share, seed)
+                 .withColumn("_place", F.row_number().over(by_draw))
+                 .filter(F.col("_place") <= wanted).select("tree", key, "x").checkpoint())
         sizes = drawn.groupBy("tree").count().agg(F.count("*"), F.min("count")).first()
         if share == 1.0 or (sizes[0] == num_trees and sizes[1] == wanted):
             return drawn
@@ -128,15 +152,16 @@ def _score_udf(nodes: pd.DataFrame, sample_size: int):
     scale = mean_path(sample_size)
 
     @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        points = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, 1))
-        rows, total = np.arange(len(points)), np.zeros(len(points))
+    def score(*columns: pd.Series) -> pd.Series:
+        points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        width, values = points.shape[1], points.ravel()
+        first, total = np.arange(len(points)) * width, np.zeros(len(points))
         for t in range(len(path)):
             at = np.zeros(len(points), dtype=np.int64)
             for _ in range(steps):
-                goes_left = points[rows, feature[t, at]] < split[t, at]
-                at = np.where(goes_left, left[t, at], right[t, at])
-            total += path[t, at]
+                goes_left = values[first + feature[t][at]] < split[t][at]
+                at = np.where(goes_left, left[t][at], right[t][at])
+            total += path[t][at]
         return pd.Series(np.power(2.0, -(total / len(path)) / scale))
 
     return score
@@ -150,7 +175,8 @@ def score_forest(features: DataFrame, nodes: DataFrame, sample_size: int = SAMPL
     tree, whatever the size of the data.
     """
     score = _score_udf(nodes.toPandas(), sample_size)
-    return features.withColumn("forest_score", score(feature_array(names)))
+    return features.withColumn("forest_score", score(*[
+        F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]))
 
 
 def forest_threshold(features: DataFrame, nodes: DataFrame, sample_size: int = SAMPLE_SIZE,

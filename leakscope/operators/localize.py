@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leakscope.functions.numeric import cents, clamp01, from_cents, half_up
+from leakscope.functions.numeric import cents, clamp01, from_cents, half_up, ladder
 from leakscope.functions.text import window_label
 from leakscope.operators.flow import edge_flows, solve_graphs, spread
 from leakscope.operators.network import route_segments
@@ -27,12 +27,17 @@ KEYS = ["route_id", "sim_date"]
 _SUMS = ["boardings", "tickets", "expected", "reported"]
 
 
-def _window_index(hour: Column, windows: list[tuple[int, int]]) -> Column:
-    """Array of the windows an hour lies in; [-1] for none."""
-    hits = F.filter(
-        F.array(*[F.when((hour >= start) & (hour < end), F.lit(t))
-                  for t, (start, end) in enumerate(windows)]), lambda t: t.isNotNull())
-    return F.when(F.size(hits) == 0, F.array(F.lit(-1))).otherwise(hits)
+def _in_windows(hourly: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
+    """Hourly sums with the window they fall in, once per window where windows overlap;
+    -1 outside all of them."""
+    hour = F.col("sim_hour")
+    hits = [((hour >= start) & (hour < end), t) for t, (start, end) in enumerate(windows)]
+    covered = [h for start, end in windows for h in range(start, end)]
+    if len(covered) == len(set(covered)):
+        return hourly.withColumn("window_index", ladder(hits, -1))
+    found = F.array_compact(F.array(*[F.when(inside, F.lit(t)) for inside, t in hits]))
+    return hourly.withColumn("window_index", F.explode(
+        F.when(F.size(found) == 0, F.array(F.lit(-1))).otherwise(found)))
 
 
 def _window_rows(windows: list[tuple[int, int]]) -> Column:
@@ -52,10 +57,6 @@ def hourly_sums(events: DataFrame, date_col: str = "sim_date") -> DataFrame:
         F.count("*").alias("events"))
 
 
-def _in_windows(hourly: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
-    return hourly.withColumn("window_index", F.explode(_window_index(F.col("sim_hour"), windows)))
-
-
 def route_days(hourly: DataFrame) -> DataFrame:
     return hourly.select(*KEYS).distinct()
 
@@ -133,8 +134,8 @@ def network_edges(grid: DataFrame, num_windows: int, skip_empty: bool = False) -
         edge(t < num_windows - 1, first_no + at_start + 1, "carry", node, node + stops,
              F.lit(CARRY_CAPACITY), F.lit(CARRY_COST)))
     cells = grid.filter("boardings > 0") if skip_empty else grid
-    return cells.select(*KEYS, "window_index", "stop_index",
-                        F.inline(F.filter(kinds, lambda e: e.isNotNull())))
+    return (cells.select(*KEYS, "window_index", "stop_index", F.inline(kinds))
+            .filter("edge_no IS NOT NULL"))
 
 
 def discrepancy_ratio(expected: Column, reported: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,36 +11,35 @@ from pyspark.sql import types as T
 from leakscope import schemas
 
 
-def _missing(field: str) -> Column:
-    return F.when(F.col(field).isNull(), F.lit(f"Missing required field: {field}"))
-
-
-def _count_error(df: DataFrame, field: str) -> Column:
-    value = F.col(field)
-    bad = value < 0
-    if isinstance(df.schema[field].dataType, T.StringType):
-        number = value.try_cast("double")
-        bad = number.isNull() | (number < 0)
-    return F.when(value.isNotNull() & bad, F.lit(f"{field} must be a non-negative number"))
-
-
-def event_errors(df: DataFrame) -> Column:
-    """Messages in the order of the checks; an empty array for a valid event."""
+def _checks(df: DataFrame) -> list[tuple[Column, Column]]:
+    """Condition of each fault with its message, in the order they are reported."""
     mode, stamp = F.col("payment_mode"), F.col("event_timestamp")
-    checks = [_missing(f) for f in schemas.REQUIRED_EVENT_FIELDS]
-    checks += [_count_error(df, "boarding_count"), _count_error(df, "ticket_count")]
-    checks.append(F.when((mode != "") & ~mode.isin(schemas.PAYMENT_MODES),
-                         F.concat(F.lit("Invalid payment_mode: "), mode)))
+    checks = [(F.col(f).isNull(), F.lit(f"Missing required field: {f}"))
+              for f in schemas.REQUIRED_EVENT_FIELDS]
+    for field in ("boarding_count", "ticket_count"):
+        bad = F.col(field) < 0
+        if isinstance(df.schema[field].dataType, T.StringType):
+            number = F.col(field).try_cast("double")
+            bad = F.col(field).isNotNull() & (number.isNull() | (number < 0))
+        checks.append((bad, F.lit(f"{field} must be a non-negative number")))
+    checks.append(((mode != "") & ~mode.isin(schemas.PAYMENT_MODES),
+                   F.concat(F.lit("Invalid payment_mode: "), mode)))
     if isinstance(df.schema["event_timestamp"].dataType, T.StringType):
-        checks.append(F.when((stamp != "") & F.try_to_timestamp(stamp).isNull(),
-                             F.lit("Invalid event_timestamp format")))
-    return F.filter(F.array(*checks), lambda message: message.isNotNull())
+        checks.append(((stamp != "") & F.try_to_timestamp(stamp).isNull(),
+                       F.lit("Invalid event_timestamp format")))
+    return checks
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Adds errors ARRAY<STRING> and valid BOOLEAN."""
-    return (df.withColumn("errors", event_errors(df))
-            .withColumn("valid", F.size("errors") == 0))
+    """Adds errors ARRAY<STRING>, empty for a valid event, and valid BOOLEAN.
+
+    ``valid`` is built from the plain conditions, so counting and splitting
+    never build the messages.
+    """
+    checks = _checks(df)
+    messages = F.array_compact(F.array(*[F.when(fault, text) for fault, text in checks]))
+    faulty = reduce(lambda a, b: a | b, [F.coalesce(fault, F.lit(False)) for fault, _ in checks])
+    return df.withColumn("errors", messages).withColumn("valid", ~faulty)
 
 
 def accepted(validated: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM does not compile methods above 8,000 bytes of bytecode; a projection
+    # that long runs faster in pieces than as one interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

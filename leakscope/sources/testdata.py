@@ -1,12 +1,13 @@
 """Transit tables derived from a folder of TPC-H-like parquet files.
 
 Every derived column is one SQL text that Spark and an ANSI engine evaluate
-alike; only the day-of-week function and the timestamp type differ by name and
-are filled in per engine.
+alike; a few date functions and the timestamp type differ by name and are
+filled in per engine.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,21 @@ from leakscope import schemas
 from leakscope.functions.demand import FARE_SLABS
 from leakscope.functions.numeric import cents
 
-SPARK = {"dow": "dayofweek({0}) - 1", "ts": "timestamp_ntz"}
-ANSI = {"dow": "dayofweek({0})", "ts": "timestamp"}
+SPARK = {"dow": "dayofweek({0}) - 1", "month": "trunc({0}, 'MM')", "year": "trunc({0}, 'YEAR')",
+         "ts": "timestamp_ntz"}
+ANSI = {"dow": "dayofweek({0})", "month": "cast(date_trunc('month', {0}) as date)",
+        "year": "cast(date_trunc('year', {0}) as date)", "ts": "timestamp"}
+
+# Declared, so that no job has to read file footers for them.
+SOURCE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+              "props string"}
 
 STOPS_PER_ROUTE = 7
 ROUTE_NUMBER = "cast(substring(route_id, 2) as bigint)"
@@ -64,8 +78,8 @@ EVENT_COLUMNS = [
     ("anomaly_id", f"case when {ANOMALOUS} = 1 then concat('A-', {route_text('l_suppkey')}, '-', "
                    f"cast(year({SIM_DATE}) as string)) end"),
     ("line_status", "l_linestatus"),
-    ("period", "cast(date_trunc('month', l_shipdate) as date)"),
-    ("period_year", "cast(date_trunc('year', l_shipdate) as date)"),
+    ("period", f"{{month:{SIM_DATE}}}"),
+    ("period_year", f"{{year:{SIM_DATE}}}"),
 ]
 # from orders: the fifth mode is not a known one and feeds the dead letters
 PAYMENT_MODE = ("case o_orderpriority when '1-URGENT' then 'cash' when '2-HIGH' then 'upi' "
@@ -101,13 +115,8 @@ STOP_COLUMNS = [
 
 
 def render(expression: str, engine: dict[str, str]) -> str:
-    """Fill in the engine's own names."""
-    text = expression.replace("{ts}", engine["ts"])
-    while "{dow:" in text:
-        start = text.index("{dow:")
-        end = text.index("}", start)
-        text = text[:start] + engine["dow"].format(text[start + 5:end]) + text[end + 1:]
-    return text
+    """Fill in the engine's own names: {ts}, and {dow:x}, {month:x}, {year:x} for a date x."""
+    return re.sub(r"\{(\w+):?([^{}]*)\}", lambda m: engine[m[1]].format(m[2]), expression)
 
 
 class TransitTables:
@@ -118,7 +127,14 @@ class TransitTables:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
+
+    def fact(self, name: str, key: str) -> DataFrame:
+        """A large table.  A folder of many files is scanned by many tasks as it is;
+        a single small file is one task, so its rows are spread over the cores by key."""
+        df = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
     @staticmethod
     def _columns(columns) -> list[str]:
@@ -127,21 +143,24 @@ class TransitTables:
     @cached_property
     def events(self) -> DataFrame:
         """Ticketing events without the payment mode: a scan of one table."""
-        return self.table("lineitem").selectExpr(*self._columns(EVENT_COLUMNS))
+        return self.fact("lineitem", "l_orderkey").selectExpr(*self._columns(EVENT_COLUMNS))
+
+    def _with_modes(self) -> DataFrame:
+        modes = self.fact("orders", "o_orderkey").selectExpr(
+            "o_orderkey", f"{PAYMENT_MODE} as payment_mode")
+        return self.fact("lineitem", "l_orderkey").join(
+            modes, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
     @cached_property
     def events_with_mode(self) -> DataFrame:
         """Ticketing events with the payment mode, which another table holds."""
-        modes = self.table("orders").selectExpr("o_orderkey", f"{PAYMENT_MODE} as payment_mode")
-        return (self.table("lineitem")
-                .join(modes, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-                .selectExpr(*self._columns(EVENT_COLUMNS), "payment_mode"))
+        return self._with_modes().selectExpr(*self._columns(EVENT_COLUMNS), "payment_mode")
 
     @cached_property
     def raw_events(self) -> DataFrame:
         """Events as they arrive: ISO text for the timestamp."""
-        df = self.events_with_mode.withColumn(
-            "event_timestamp", F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+        columns = [(n, STAMP if n == "event_timestamp" else x) for n, x in EVENT_COLUMNS]
+        df = self._with_modes().selectExpr(*self._columns(columns), "payment_mode")
         return df.select(*[f.name for f in schemas.RAW_EVENTS.fields])
 
     @cached_property

@@ -18,7 +18,9 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         return
     load = state.get[0] if state.exists else 0
-    stops = pd.concat(batches).sort_values("stop_sequence")
+    stops = (pd.concat([b.groupby("stop_sequence", as_index=False)[["boarded", "alighted"]].sum()
+                        for b in batches])
+             .groupby("stop_sequence", as_index=False).sum())
     stops["on_board"] = load + (stops["boarded"] - stops["alighted"]).cumsum()
     state.update((int(stops["on_board"].iloc[-1]),))
     state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 6 * 3600 * 1000)
@@ -29,17 +31,13 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def onboard_stream(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Running load per trip over events that come in stop order.
 
-    Rows of one stop are merged by an event-time window before they reach the
-    state, so a batch holds at most one row per stop and minute of a trip.
-    State leaves six hours after a trip's last event.
+    State is one number per trip and leaves six hours after the trip's last
+    event.
     """
-    timed = events.withColumn("event_time", F.col("event_timestamp").cast("timestamp"))
-    per_stop = (timed.withWatermark("event_time", watermark)
-                .groupBy("trip_id", "stop_sequence", F.window("event_time", "1 minute").alias("w"))
-                .agg(F.sum("boarding_count").alias("boarded"),
-                     F.sum("alighting_count").alias("alighted")))
-    return (per_stop.select("trip_id", "stop_sequence", "boarded", "alighted",
-                            F.window_time("w").alias("event_time"))
-            .groupBy("trip_id")
+    timed = events.select(
+        "trip_id", "stop_sequence", F.col("boarding_count").alias("boarded"),
+        F.col("alighting_count").alias("alighted"),
+        F.col("event_timestamp").cast("timestamp").alias("event_time"))
+    return (timed.withWatermark("event_time", watermark).groupBy("trip_id")
             .applyInPandasWithState(_advance, OUTPUT, STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscope.sources import tables
+from leakscope.sources.testdata import SOURCE_SCHEMAS
 
 
 def rows(df, *order):
@@ -97,3 +98,10 @@ def test_sql_over_registered_tables(spark, small):
     tables.register_views({"routes": small.routes, "stops": small.stops})
     got = spark.sql("select count(*) as n from routes join stops using (route_id)").first().n
     assert got == small.stops.count()
+
+
+def test_declared_source_schemas(spark, small):
+    for name, schema in SOURCE_SCHEMAS.items():
+        found = spark.read.parquet(f"{small.dir}/{name}.parquet").schema
+        declared = small.table(name).schema
+        assert [(f.name, f.dataType) for f in found] == [(f.name, f.dataType) for f in declared], name
