@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Workers get the functions below with the task; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RESULT = ("struct<total_flow: bigint, total_cost: bigint, flow: array<bigint>, error: string>")
 
 

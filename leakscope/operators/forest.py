@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,10 @@ from pyspark.sql import functions as F
 from leakscope.functions.numeric import ladder
 from leakscope.operators.features import ANOMALY_FEATURES, feature_array
 from leakscope.operators.selection import nth_largest
-from leakscope.session import scratch_path
+from leakscope.session import materialize
+
+# Workers get the functions below with the task; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values.
 NUM_TREES = 50
@@ -80,9 +85,10 @@ def tree_samples(features: DataFrame, key: str, num_trees: int, size: int, seed:
     while True:
         share = min(1.0, (wanted + margin * math.sqrt(wanted)) / max(total, 1))
         by_draw = W.partitionBy("tree").orderBy("draw", key)
-        drawn = (_candidates(features.select(key, "x"), key, num_trees, share, seed)
-                 .withColumn("_place", F.row_number().over(by_draw))
-                 .filter(F.col("_place") <= wanted).select("tree", key, "x").checkpoint())
+        drawn = materialize(
+            _candidates(features.select(key, "x"), key, num_trees, share, seed)
+            .withColumn("_place", F.row_number().over(by_draw))
+            .filter(F.col("_place") <= wanted).select("tree", key, "x"), "samples")
         sizes = drawn.groupBy("tree").count().agg(F.count("*"), F.min("count")).first()
         if share == 1.0 or (sizes[0] == num_trees and sizes[1] == wanted):
             return drawn
@@ -182,11 +188,8 @@ def score_forest(features: DataFrame, nodes: DataFrame, sample_size: int = SAMPL
 def forest_threshold(features: DataFrame, nodes: DataFrame, sample_size: int = SAMPLE_SIZE,
                      contamination: float = CONTAMINATION) -> float:
     """Score at place floor(n * contamination) from the top of the training rows."""
-    spark = features.sparkSession
-    path = scratch_path(spark, "forest-scores")
     # Scored once; the passes below read one column.
-    score_forest(features, nodes, sample_size).select("forest_score").write.parquet(path)
-    scores = spark.read.parquet(path)
+    scores = materialize(score_forest(features, nodes, sample_size).select("forest_score"), "scores")
     found = nth_largest(scores, "forest_score", int(scores.count() * contamination))
     return found or DEFAULT_THRESHOLD
 

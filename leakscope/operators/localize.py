@@ -14,7 +14,7 @@ from leakscope.functions.numeric import cents, clamp01, from_cents, half_up, lad
 from leakscope.functions.text import window_label
 from leakscope.operators.flow import edge_flows, solve_graphs, spread
 from leakscope.operators.network import route_segments
-from leakscope.session import checkpoint_root
+from leakscope.session import materialize
 
 # Fixed values.
 HOURLY_WINDOWS = [(h, h + 1) for h in range(5, 23)]
@@ -177,13 +177,12 @@ def localize(events: DataFrame, stop_order: DataFrame, date_col: str = "sim_date
     """Ranked segments of every route and day at hand.
 
     The hourly sums feed both the graphs and the segment totals, and the solved
-    graphs give both totals and flows; each is checkpointed, so the events are
+    graphs give both totals and flows; each is written out, so the events are
     read once and no graph is solved twice.  A route whose graph fails is left
     out; ``failed_routes`` names it.
     """
-    checkpoint_root(events.sparkSession)
-    hourly = hourly_sums(events, date_col).checkpoint()
-    solved = flows(hourly, stop_order, windows, skip_empty).checkpoint()
+    hourly = materialize(hourly_sums(events, date_col), "hourly")
+    solved = materialize(flows(hourly, stop_order, windows, skip_empty), "solved")
     return localize_solved(hourly, stop_order, solved, windows)
 
 

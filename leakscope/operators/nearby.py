@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.geo import EARTH_RADIUS_KM, bearing_deviation, haversine_km
 from leakscope.functions.numeric import half_up
-from leakscope.session import checkpoint_root
+from leakscope.session import materialize
 
 # Fixed values.
 KM_WEIGHT, DEGREE_WEIGHT = 0.3, 0.01
@@ -38,13 +38,14 @@ def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
     so its score has a lower bound.  When the wanted stops all score below the
     bound they are final; the other routes go on with cells twice the size.
     """
-    checkpoint_root(starts.sparkSession)
+    starts = materialize(starts, "starts")
     most = starts.agg(F.max("wanted")).first()[0] or 0
     # Stops at one place score alike, and the lower ids win.
     at_place = W.partitionBy("stop_lat", "stop_lon").orderBy("stop_id")
-    sites = (stops.select("stop_id", "stop_lat", "stop_lon")
-             .withColumn("_same", F.row_number().over(at_place))
-             .filter(F.col("_same") <= most).drop("_same").checkpoint())
+    sites = materialize(
+        stops.select("stop_id", "stop_lat", "stop_lon")
+        .withColumn("_same", F.row_number().over(at_place))
+        .filter(F.col("_same") <= most).drop("_same"), "sites")
     pending, finished, size = starts, [], FIRST_CELL_DEG
     around = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"))
                        for y in (-1, 0, 1) for x in (-1, 0, 1)])
@@ -58,12 +59,11 @@ def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
         score = direction_score(F.col("start_lat"), F.col("start_lon"), F.col("stop_lat"),
                                 F.col("stop_lon"), F.col("bearing_deg"))
         by_score = W.partitionBy("route_id").orderBy("score", "stop_id")
-        best = (reach.join(placed, ["_y", "_x"]).withColumn("score", score)
-                .withColumn("place", F.row_number().over(by_score))
-                .filter(F.col("place") <= most)
-                .filter(F.col("place") <= F.col("wanted"))
-                .select("route_id", "stop_id", "score", "place", "wanted", "start_lat")
-                .checkpoint())
+        best = materialize(
+            reach.join(placed, ["_y", "_x"]).withColumn("score", score)
+            .withColumn("place", F.row_number().over(by_score))
+            .filter(F.col("place") <= most).filter(F.col("place") <= F.col("wanted"))
+            .select("route_id", "stop_id", "score", "place", "wanted", "start_lat"), "best")
         angle = F.radians(F.lit(min(size, 90.0)))
         outside = (KM_WEIGHT * EARTH_RADIUS_KM * 0.999
                    * F.asin(F.cos(F.radians("start_lat")) * F.sin(angle)))
@@ -74,7 +74,8 @@ def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
             settled = settled.filter((F.col("_found") == F.col("_wanted"))
                                      & (F.col("_worst") < F.col("_outside")))
         finished.append(best.join(settled.select("route_id"), "route_id", "left_semi"))
-        pending = pending.join(settled.select("route_id"), "route_id", "left_anti").checkpoint()
+        pending = materialize(pending.join(settled.select("route_id"), "route_id", "left_anti"),
+                              "pending")
         if size >= 360.0 or pending.isEmpty():
             break
         size *= 2

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leakscope.session import checkpoint_root
+from leakscope.session import materialize
 
 # monotonically_increasing_id keeps the partition number above this bit
 _ROW_BITS = 33
@@ -18,14 +18,12 @@ def ordered_index(df: DataFrame, order: list[str], name: str = "row_index") -> D
     Rows are range-partitioned and sorted inside each partition; the position
     is the number of rows in earlier partitions plus the place in the own one.
     The order must end in a unique key, so equal leading values (a hot date,
-    say) still spread over many partitions.  The sorted rows are checkpointed:
+    say) still spread over many partitions.  The placed rows are written out:
     sizes and rows then come from the same partitioning even when an executor
     is lost in between.
     """
-    checkpoint_root(df.sparkSession)
-    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("_at", F.monotonically_increasing_id())
-              .checkpoint())
+    placed = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_at", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_at", _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # one row per partition, so one task can add them up and each task can hold them

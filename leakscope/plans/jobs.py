@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leakscope.operators import (detect, features, forecast, forest, leakage_score,
                                  localize, network)
 from leakscope.plans import views
-from leakscope.session import checkpoint_root, scratch_path
+from leakscope.session import materialize
 from leakscope.sources import tables
 
 DETECT_DAYS = 7
@@ -48,17 +48,16 @@ def train(spark: SparkSession, events: DataFrame, routes: DataFrame, stops: Data
     The events are read for the split date, once for the training cells, and
     for the forest; the boosted trees only ever see the cells.
     """
-    checkpoint_root(spark)
     started = time.time()
     last = forecast.last_train_date(events)
     rows = features.engineer(features.enrich(events, routes, stops))
     train_rows = rows.filter(F.col("sim_date") <= F.lit(last))
     test_rows = rows.filter(F.col("sim_date") > F.lit(last))
-    cells = forecast.training_cells(train_rows, list(TARGETS.values())).checkpoint()
+    cells = materialize(forecast.training_cells(train_rows, list(TARGETS.values())), "cells")
     normal = train_rows.filter(F.coalesce(F.col("is_anomalous"), F.lit(0)) == 0)
 
     def fit_anomaly() -> tuple[DataFrame, float]:
-        nodes = forest.fit_forest(normal, sample_size=sample_size, seed=seed).checkpoint()
+        nodes = materialize(forest.fit_forest(normal, sample_size=sample_size, seed=seed), "forest")
         return nodes, forest.forest_threshold(normal, nodes, sample_size)
 
     boarding, revenue, (nodes, threshold) = _side_by_side(spark, [
@@ -141,9 +140,8 @@ def detect_recent(spark: SparkSession, events: DataFrame, routes: DataFrame, sto
     seen = Observation("detections")
     watched = detected.observe(seen, F.count_if("is_flagged").alias("detections"),
                                F.count("*").alias("events"))
-    path = scratch_path(spark, "detections")
-    detect.anomaly_records(watched).write.parquet(path)
-    tables.upsert_table(spark, root, "detected_anomalies", spark.read.parquet(path))
+    found = materialize(detect.anomaly_records(watched), "detections")
+    tables.upsert_table(spark, root, "detected_anomalies", found)
     return {"total_detections": seen.get["detections"], "days_processed": len(days)}
 
 
@@ -151,8 +149,8 @@ def localize_recent(spark: SparkSession, events: DataFrame, stop_order: DataFram
                     days: list, truth: DataFrame | None = None, windows=localize.HOURLY_WINDOWS,
                     k: int = 5) -> dict:
     """Ranks the segments of the given days, stores them, and checks them against labels."""
-    located = localize.localize(events.filter(F.col("sim_date").isin(days)), stop_order,
-                                windows=windows).checkpoint()
+    located = materialize(localize.localize(events.filter(F.col("sim_date").isin(days)), stop_order,
+                                            windows=windows), "located")
     stored = located.select(*[c for c in located.columns if c not in (
         "time_window_start", "time_window_end", "flow_units", "flow_cost")])
     tables.overwrite(stored, root, "flow_localization_results")
@@ -210,7 +208,7 @@ def run_pipeline(spark: SparkSession, root: str, events: DataFrame, routes: Data
 
 
 def _store_scores(spark: SparkSession, events: DataFrame, root: str) -> dict:
-    scores = leakage_score.route_leakage(events, newest=NEWEST_ROUTE_DATES).checkpoint()
+    scores = materialize(leakage_score.route_leakage(events, newest=NEWEST_ROUTE_DATES), "scores")
     tables.overwrite(scores, root, "route_leakage_scores")
     return {"route_dates": scores.count()}
 

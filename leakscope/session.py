@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  Sizes are left to the cluster's own defaults.
 SESSION_CONF = {
@@ -52,3 +52,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate result to the shared folder and reads it back.
+
+    This cuts the lineage: a lost executor re-reads files instead of redoing
+    the work, and every use sees the same rows.  Unlike an RDD checkpoint the
+    table is columnar, so later steps read only their columns and its size is
+    known when joins are planned.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

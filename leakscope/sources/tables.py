@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leakscope import schemas
 from leakscope.operators.ordered import ordered_index
-from leakscope.session import checkpoint_root
+from leakscope.session import materialize
 
 
 def table_path(root: str, name: str) -> str:
@@ -105,7 +105,7 @@ def upsert_table(spark: SparkSession, root: str, name: str, updates: DataFrame,
 
     Where the table is partitioned by date and the updates carry the date, only
     those dates are read and rewritten (a row then stays in its date).  The
-    merged rows go to the checkpoint folder first, because a plan cannot read
+    merged rows go to the scratch folder first, because a plan cannot read
     the files it replaces.
     """
     keys = schemas.PRIMARY_KEYS[name]
@@ -113,18 +113,14 @@ def upsert_table(spark: SparkSession, root: str, name: str, updates: DataFrame,
     if not exists(spark, table_path(root, name)):
         overwrite(source, root, name)
         return
-    checkpoint_root(spark)
     target = scan(spark, root, name)
     parts = schemas.PARTITIONED_BY.get(name, [])
     if parts and set(parts) <= set(updates.columns):
-        source = source.checkpoint()
+        source = materialize(source, "updates")
         # one value per calendar day
         days = [r[0] for r in source.select(parts[0]).distinct().collect()]
         target = target.filter(F.col(parts[0]).isin(days))
-    elif parts:
-        # A row without its date can be in any of them.
-        source = source.checkpoint()
-    overwrite(upsert(target, source, keys).checkpoint(), root, name)
+    overwrite(materialize(upsert(target, source, keys), "merged"), root, name)
 
 
 def update_where(df: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:

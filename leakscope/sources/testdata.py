@@ -130,11 +130,11 @@ class TransitTables:
         return self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
     def fact(self, name: str, key: str) -> DataFrame:
-        """A large table.  A folder of many files is scanned by many tasks as it is;
+        """A large table.  Enough input splits for all cores are scanned as they are;
         a single small file is one task, so its rows are spread over the cores by key."""
         df = self.table(name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
     @staticmethod
     def _columns(columns) -> list[str]:

@@ -54,7 +54,8 @@ def by_route(events: DataFrame, num_partitions: int = NUM_STREAM_PARTITIONS) ->
 
 
 def table_handler(root: str) -> Handler:
-    """Stores events; a replayed id overwrites its row."""
+    """Stores events; a replayed id overwrites its row.  Rewrites the dates a batch
+    touches, so it suits moderate rates or long intervals."""
     def store(batch: DataFrame, batch_id: int) -> None:
         typed = validation.typed_events(batch).withColumn(
             "sim_date", F.coalesce("sim_date", F.col("event_timestamp").cast("date")))
@@ -64,6 +65,27 @@ def table_handler(root: str) -> Handler:
     return store
 
 
+def landing_handler(root: str) -> Handler:
+    """Adds events to the landing area, one folder per batch; a replayed batch replaces
+    its own folder.  The cost of a batch does not grow with the table, which suits high
+    rates; ``compact`` merges the folders later."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        (validation.typed_events(batch).write.mode("overwrite")
+         .parquet(f"{root}/landing/ticketing_events/batch={batch_id}"))
+
+    return store
+
+
+def compact(spark: SparkSession, root: str, first_batch: int, last_batch: int) -> None:
+    """Merges landed batches into the table; of several rows per id the latest batch counts."""
+    schema = T.StructType([*schemas.TICKETING_EVENTS.fields, T.StructField("batch", T.LongType())])
+    landed = spark.read.schema(schema).parquet(f"{root}/landing/ticketing_events").filter(
+        F.col("batch").between(first_batch, last_batch))
+    order = F.struct("batch", "event_timestamp", "reported_revenue", "ticket_count")
+    latest = tables.latest_per_key(landed, schemas.PRIMARY_KEYS["ticketing_events"], order)
+    tables.upsert_table(spark, root, "ticketing_events", latest.drop("batch"))
+
+
 def archive_handler(root: str) -> Handler:
     """Keeps the payload of every good event as JSON text, one folder per batch."""
     def store(batch: DataFrame, batch_id: int) -> None:

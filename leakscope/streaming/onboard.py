@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# Workers get the functions below with the task; they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = "trip_id string, stop_sequence int, on_board bigint"
 STATE = "on_board bigint"
 

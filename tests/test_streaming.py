@@ -69,6 +69,21 @@ def test_ingest_equals_batch(spark, raw, tmp_path):
     assert again.totals["ingestion_total"] == 0
 
 
+def test_landing_and_compaction_equal_the_direct_upsert(spark, raw, tmp_path):
+    checked = validation.accepted(validation.validate(raw)).persist()
+    changed = checked.filter("ticket_count > 10").withColumn("reported_revenue", F.lit(1.0))
+    direct, landed = str(tmp_path / "direct"), str(tmp_path / "landed")
+    for n, batch in enumerate([checked, changed]):
+        for _ in range(2):  # the second write is a replay
+            ingest.landing_handler(landed)(batch, n)
+        typed = validation.typed_events(batch)
+        tables.upsert_table(spark, direct, "ticketing_events", typed, F.struct("event_timestamp"))
+    ingest.compact(spark, landed, 0, 1)
+    a, b = (tables.scan(spark, root, "ticketing_events") for root in (direct, landed))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() > 0
+    assert b.filter("reported_revenue = 1.0").count() == changed.select("event_id").distinct().count()
+
+
 def test_graceful_stop_finishes_what_arrived(spark, raw, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "out")
     write_in_order(raw.limit(50), source, 1)
@@ -151,4 +166,3 @@ def test_onboard_state_equals_the_window(spark, tmp_path):
 def test_stream_partition_column(spark, raw):
     numbers = {r.partition for r in ingest.by_route(raw).select("partition").distinct().collect()}
     assert numbers and all(0 <= n < 8 for n in numbers)
-    assert F is not None
