@@ -157,9 +157,10 @@ CTES: dict[str, tuple[list[str], str]] = {
         where place <= 2"""),
     "matched": (["evm", "truth"], """
         select * from (
-        select evm.*, truth.anomaly_id as found_id, anomaly_type, severity,
-               row_number() over (partition by event_id order by truth.anomaly_id) as nth
-        from evm left join truth on evm.route_id = truth.route_id and evm.period_year = truth.sim_date
+        select e.*, truth.anomaly_id as found_id, anomaly_type, severity,
+               row_number() over (partition by e.row_no order by truth.anomaly_id) as nth
+        from (select *, row_number() over () as row_no from evm) e
+        left join truth on e.route_id = truth.route_id and e.period_year = truth.sim_date
          and sim_hour between first_hour and last_hour and stop_sequence between start_seq and end_seq)
         where nth = 1"""),
     "changed": (["matched"], f"""
