@@ -14,9 +14,11 @@ from leakscope.functions import demand, geo, text
 from leakscope.functions.numeric import from_cents, half_up, sum_money
 from leakscope.operators import (detect, evaluate, features, forecast, forest, leakage_score,
                                  localize, nearby, network, ordered, scenario, selection, validation)
-from leakscope.plans import views
+from leakscope.plans import jobs, views
+from leakscope.session import materialize
 from leakscope.sources import tables
 from leakscope.sources.testdata import TransitTables
+from leakscope.streaming import ingest, scoring
 from leakscope.streaming import windows as stream_windows
 
 THREE_HOUR_WINDOWS = [(5 + 3 * k, 8 + 3 * k) for k in range(6)]
@@ -36,7 +38,9 @@ class Analytics(TransitTables):
 
     @cached_property
     def learned(self) -> DataFrame:
-        return detect.baselines(detect.baseline_events(self.events))
+        """Learned first and stored: its size is then known, so scoring can broadcast it
+        instead of shuffling the events."""
+        return materialize(detect.baselines(detect.baseline_events(self.events)), "baselines")
 
     @cached_property
     def detected(self) -> DataFrame:
@@ -56,7 +60,8 @@ class Analytics(TransitTables):
 
     @cached_property
     def hourly(self) -> DataFrame:
-        return localize.hourly_sums(self.events, "period_year")
+        """Stored, since graphs and segment totals both read it."""
+        return materialize(localize.hourly_sums(self.events, "period_year"), "hourly")
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -69,7 +74,8 @@ class Analytics(TransitTables):
 
     @cached_property
     def localized(self) -> DataFrame:
-        return localize.localize(self.events, self.stop_order, "period_year", THREE_HOUR_WINDOWS)
+        solved = materialize(localize.flows(self.hourly, self.stop_order, THREE_HOUR_WINDOWS), "solved")
+        return localize.localize_solved(self.hourly, self.stop_order, solved, THREE_HOUR_WINDOWS)
 
     @cached_property
     def splits(self) -> tuple[DataFrame, DataFrame]:
@@ -796,6 +802,22 @@ def hourly_windows(a: Analytics) -> DataFrame:
     return stream_windows.hourly_leakage(a.events)
 
 
+# ---- streams: all that is there, in micro-batches ------------------------
+
+@query
+def stream_dead_letters(a: Analytics) -> DataFrame:
+    letters = validation.dead_letters(validation.validate(a.raw_event_stream))
+    return ingest.drain(letters.drop("original_event"), "dead-letters")
+
+
+@query
+def stream_flagged_events(a: Analytics) -> DataFrame:
+    scored = scoring.score_stream(a.event_stream, a.routes, a.stops.drop("route_id", "stop_sequence"),
+                                  a.learned)
+    return ingest.drain(detect.flagged(scored).select("event_id", "anomaly_score", "discrepancy"),
+                        "flagged")
+
+
 # ---- models ---------------------------------------------------------------
 
 def _forecast(a: Analytics, target: str) -> DataFrame:
@@ -826,3 +848,14 @@ def forest_scores(a: Analytics) -> DataFrame:
     train, test = a.splits
     nodes = forest.fit_forest(train.filter("is_anomalous = 0"))
     return forest.score_forest(test, nodes).select("event_id", "is_anomalous", "forest_score")
+
+
+@query
+def training_report(a: Analytics) -> DataFrame:
+    report = jobs.train(a.spark, a.events, a.routes, a.stops.drop("route_id", "stop_sequence"))
+    quality = report["anomaly"]
+    row = (report["train_samples"], report["test_samples"], report["forecast"]["rmse"],
+           report["forecast"]["mae"], quality["precision"], quality["recall"], quality["f1"])
+    return a.spark.createDataFrame(
+        [row], "train_samples bigint, test_samples bigint, rmse double, mae double, precision double, "
+               "recall double, f1 double")

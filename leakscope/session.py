@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A side is broadcast only when its size is known to be below this.
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # The JVM does not compile methods above 8,000 bytes of bytecode; a projection

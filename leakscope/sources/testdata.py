@@ -145,11 +145,11 @@ class TransitTables:
         """Ticketing events without the payment mode: a scan of one table."""
         return self.fact("lineitem", "l_orderkey").selectExpr(*self._columns(EVENT_COLUMNS))
 
-    def _with_modes(self) -> DataFrame:
+    def _with_modes(self, lines: DataFrame | None = None) -> DataFrame:
         modes = self.fact("orders", "o_orderkey").selectExpr(
             "o_orderkey", f"{PAYMENT_MODE} as payment_mode")
-        return self.fact("lineitem", "l_orderkey").join(
-            modes, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        rows = self.fact("lineitem", "l_orderkey") if lines is None else lines
+        return rows.join(modes, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
     @cached_property
     def events_with_mode(self) -> DataFrame:
@@ -159,10 +159,27 @@ class TransitTables:
     @cached_property
     def raw_events(self) -> DataFrame:
         """Events as they arrive: ISO text for the timestamp."""
+        return self._raw(self._with_modes())
+
+    def _raw(self, lines: DataFrame) -> DataFrame:
         columns = [(n, STAMP if n == "event_timestamp" else x) for n, x in EVENT_COLUMNS]
-        df = self._with_modes().selectExpr(*self._columns(columns), "payment_mode")
+        df = lines.selectExpr(*self._columns(columns), "payment_mode")
         return df.select(*[f.name for f in schemas.RAW_EVENTS.fields])
 
+    @cached_property
+    def line_stream(self) -> DataFrame:
+        # a pattern, because a stream takes a plain path for a folder
+        return (self.spark.readStream.schema(SOURCE_SCHEMAS["lineitem"])
+                .parquet(f"{self.dir}/lineitem.parque[t]"))
+
+    @cached_property
+    def event_stream(self) -> DataFrame:
+        return self.line_stream.selectExpr(*self._columns(EVENT_COLUMNS))
+
+    @cached_property
+    def raw_event_stream(self) -> DataFrame:
+        return self._raw(self._with_modes(self.line_stream))
+
     @cached_property
     def routes(self) -> DataFrame:
         return self.table("supplier").selectExpr(*self._columns(ROUTE_COLUMNS))

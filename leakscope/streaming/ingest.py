@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from leakscope import schemas
 from leakscope.functions.text import NUM_STREAM_PARTITIONS, stream_partition
 from leakscope.operators import validation
+from leakscope.session import scratch_path
 from leakscope.sources import tables
 
 FLUSH_INTERVAL = "5 seconds"
@@ -87,14 +88,24 @@ def compact(spark: SparkSession, root: str, first_batch: int, last_batch: int) -
 
 
 def archive_handler(root: str) -> Handler:
-    """Keeps the payload of every good event as JSON text, one folder per batch."""
+    """Keeps the payload of every good event as JSON text, by batch and date."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.to_json(F.struct(*batch.columns)).alias("value"))
-         .write.mode("overwrite").text(f"{root}/raw-data/batch={batch_id}"))
+        (batch.select(F.to_json(F.struct(*batch.columns)).alias("value"), "sim_date")
+         .write.mode("overwrite").partitionBy("sim_date").text(f"{root}/raw-data/batch={batch_id}"))
 
     return store
 
 
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over everything that has arrived, into files, and reads them back."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    (stream.writeStream.format("parquet").option("path", path)
+     .option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+     .start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 class Ingest:
     """A micro-batch pipeline with any number of handlers and running figures."""
 

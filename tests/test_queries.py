@@ -12,7 +12,7 @@ import compare  # noqa: E402
 import __spark_entry__ as contract  # noqa: E402
 from conftest import SMALL  # noqa: E402
 
-SLOW = {"forecast", "forecast_revenue"}  # trained in test_jobs
+SLOW = {"forecast", "forecast_revenue", "training_report"}  # trained in test_jobs
 
 
 @pytest.fixture(scope="module")
