@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.functions.numeric import (cents, clamp01, from_cents, half_up, population_std,
-                                         ratio_or, squared_cents)
+                                         ratio_or, sum_squared_cents)
 from leakscope.functions.text import window_label
 from leakscope.operators.selection import sample_rows
 
@@ -24,7 +24,7 @@ def baselines(events: DataFrame, keys: list[str] = BASELINE_KEYS,
     sums = events.groupBy(*keys).agg(
         F.count(value).alias("_n"),
         F.sum(cents(value)).cast("decimal(38,0)").alias("_sum"),
-        F.sum(squared_cents(value)).alias("_squares"))
+        sum_squared_cents(value).alias("_squares"))
     n = F.col("_n")
     return sums.select(
         *keys,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from leakscope.session import materialize
 # Fixed values.
 KM_WEIGHT, DEGREE_WEIGHT = 0.3, 0.01
 FIRST_CELL_DEG = 0.02
+WHOLE_EARTH_DEG = 360.0
 
 
 def _cell(degrees: Column, size: float) -> Column:
@@ -27,6 +29,13 @@ def direction_score(lat0: Column, lon0: Column, lat: Column, lon: Column, bearin
                    + DEGREE_WEIGHT * bearing_deviation(lat0, lon0, lat, lon, bearing), 9)
 
 
+def _reach_deg(score: Column, lat: Column) -> Column:
+    """Cell size in degrees that leaves nothing below a score outside the nine cells."""
+    arc = score / (KM_WEIGHT * EARTH_RADIUS_KM * 0.999)
+    sine = F.sin(F.least(arc, F.lit(math.pi / 2.0))) / F.cos(F.radians(lat))
+    return F.when(sine >= 1.0, WHOLE_EARTH_DEG).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))))
+
+
 def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
     """For every route the stops after the best-scoring one, ``wanted`` - 1 of them.
 
@@ -34,11 +43,11 @@ def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
     ``stops``: stop_id, stop_lat, stop_lon; not on both sides of the 180th meridian.
 
     Grid cells replace the product of routes and stops.  A route looks at the
-    nine cells around its start; a stop outside them is at least one cell away,
-    so its score has a lower bound.  When the wanted stops all score below the
-    bound they are final; the other routes go on with cells twice the size.
+    nine cells around its start.  Once it has found enough stops, the worst of
+    them bounds its result: a stop further away than that score allows cannot
+    be part of it.  If the nine cells reach that far the result is final, else
+    the route waits for cells of the size it needs.
     """
-    starts = materialize(starts, "starts")
     most = starts.agg(F.max("wanted")).first()[0] or 0
     # Stops at one place score alike, and the lower ids win.
     at_place = W.partitionBy("stop_lat", "stop_lon").orderBy("stop_id")
@@ -46,38 +55,45 @@ def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
         stops.select("stop_id", "stop_lat", "stop_lon")
         .withColumn("_same", F.row_number().over(at_place))
         .filter(F.col("_same") <= most).drop("_same"), "sites")
-    pending, finished, size = starts, [], FIRST_CELL_DEG
     around = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx"))
                        for y in (-1, 0, 1) for x in (-1, 0, 1)])
+    lat0, lon0, lat, lon = (F.col(c) for c in ("start_lat", "start_lon", "stop_lat", "stop_lon"))
+    bound, of_route = F.col("bound"), W.partitionBy("route_id")
+    by_score = of_route.orderBy("score", "stop_id")
+    waiting = materialize(starts.withColumn("bound", F.lit(None).cast("double")), "starts")
+    finished, size = [], FIRST_CELL_DEG
     while True:
-        reach = pending.select("*", F.inline(around)).select(
-            *pending.columns,
-            (_cell(F.col("start_lat"), size) + F.col("dy")).alias("_y"),
-            (_cell(F.col("start_lon"), size) + F.col("dx")).alias("_x"))
-        placed = sites.select("*", _cell(F.col("stop_lat"), size).alias("_y"),
-                              _cell(F.col("stop_lon"), size).alias("_x"))
-        score = direction_score(F.col("start_lat"), F.col("start_lon"), F.col("stop_lat"),
-                                F.col("stop_lon"), F.col("bearing_deg"))
-        by_score = W.partitionBy("route_id").orderBy("score", "stop_id")
-        best = materialize(
-            reach.join(placed, ["_y", "_x"]).withColumn("score", score)
-            .withColumn("place", F.row_number().over(by_score))
-            .filter(F.col("place") <= most).filter(F.col("place") <= F.col("wanted"))
-            .select("route_id", "stop_id", "score", "place", "wanted", "start_lat"), "best")
-        angle = F.radians(F.lit(min(size, 90.0)))
-        outside = (KM_WEIGHT * EARTH_RADIUS_KM * 0.999
-                   * F.asin(F.cos(F.radians("start_lat")) * F.sin(angle)))
-        settled = best.groupBy("route_id").agg(
-            F.count("*").alias("_found"), F.max("score").alias("_worst"),
-            F.first("wanted").alias("_wanted"), F.first(outside).alias("_outside"))
-        if size < 360.0:
-            settled = settled.filter((F.col("_found") == F.col("_wanted"))
-                                     & (F.col("_worst") < F.col("_outside")))
-        finished.append(best.join(settled.select("route_id"), "route_id", "left_semi"))
-        pending = materialize(pending.join(settled.select("route_id"), "route_id", "left_anti"),
-                              "pending")
-        if size >= 360.0 or pending.isEmpty():
+        ready = waiting.filter(bound.isNull() | (_reach_deg(bound, lat0) <= size))
+        reach = ready.select("*", F.inline(around)).select(
+            *ready.columns, (_cell(lat0, size) + F.col("dy")).alias("_y"),
+            (_cell(lon0, size) + F.col("dx")).alias("_x"))
+        placed = sites.select("*", _cell(lat, size).alias("_y"), _cell(lon, size).alias("_x"))
+        # A difference in latitude alone is a lower bound of the distance.
+        near = bound.isNull() | (F.radians(F.abs(lat - lat0)) * (EARTH_RADIUS_KM * KM_WEIGHT * 0.999) <= bound)
+        ranked = (reach.join(placed, ["_y", "_x"]).filter(near)
+                  .withColumn("score", direction_score(lat0, lon0, lat, lon, F.col("bearing_deg")))
+                  .filter(bound.isNull() | (F.col("score") <= bound))
+                  .withColumn("place", F.row_number().over(by_score))
+                  .filter(F.col("place") <= most).filter(F.col("place") <= F.col("wanted"))
+                  .withColumn("worst", F.when(F.count("*").over(of_route) == F.col("wanted"),
+                                              F.max("score").over(of_route))))
+        final = (F.lit(True) if size >= WHOLE_EARTH_DEG else
+                 F.coalesce(_reach_deg(F.col("worst"), lat0) < size, F.lit(False)))
+        best = materialize(ranked.select("route_id", "stop_id", "score", "place", "worst",
+                                         final.alias("final")), "best")
+        finished.append(best.filter("final"))
+        if size >= WHOLE_EARTH_DEG:
+            break
+        verdict = best.filter("place = 1").select("route_id", "worst", "final")
+        waiting = materialize(
+            waiting.join(verdict, "route_id", "left").filter(~F.coalesce("final", F.lit(False)))
+            .withColumn("bound", F.least("bound", "worst")).drop("worst", "final"), "waiting")
+        left = waiting.agg(F.count("*"), F.count_if(bound.isNull()),
+                           F.min(_reach_deg(bound, lat0))).first()
+        if left[0] == 0:
             break
         size *= 2
+        while left[1] == 0 and size < min(left[2] * 1.001, WHOLE_EARTH_DEG):
+            size *= 2
     return (reduce(DataFrame.unionByName, finished).filter("place > 1")
             .select("route_id", "stop_id", "score", F.col("place").alias("rank_position")))

@@ -50,6 +50,8 @@ def train(spark: SparkSession, events: DataFrame, routes: DataFrame, stops: Data
     """
     started = time.time()
     last = forecast.last_train_date(events)
+    if last is None:
+        raise ValueError("no training data: the events cover fewer than two dates")
     rows = features.engineer(features.enrich(events, routes, stops))
     train_rows = rows.filter(F.col("sim_date") <= F.lit(last))
     test_rows = rows.filter(F.col("sim_date") > F.lit(last))
