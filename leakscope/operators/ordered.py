@@ -42,7 +42,8 @@ def index_in_groups(df: DataFrame, group: str, order: list[str], name: str = "of
     any task holding a whole group.
     """
     indexed = ordered_index(df, [group, *order], "_index")
-    starts = indexed.groupBy(group).agg(F.min("_index").alias("_first"))
+    # stored, so that its size is known and a small one is broadcast without a shuffle
+    starts = materialize(indexed.groupBy(group).agg(F.min("_index").alias("_first")), "starts")
     return (indexed.join(starts, group)
             .withColumn(name, F.col("_index") - F.col("_first"))
             .select(*df.columns, name))

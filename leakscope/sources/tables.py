@@ -101,7 +101,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def upsert_table(spark: SparkSession, root: str, name: str, updates: DataFrame,
                  order: Column | None = None) -> None:
-    """Merge rows into a stored table.
+    """Merge rows into a stored table.  ``order`` picks the last row of a key the
+    updates repeat; without it keys must be unique.
 
     Where the table is partitioned by date and the updates carry the date, only
     those dates are read and rewritten (a row then stays in its date).  The

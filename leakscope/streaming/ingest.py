@@ -147,6 +147,8 @@ class Ingest:
         self.record_metrics(batch.sparkSession)
 
     def metrics(self) -> dict[str, float]:
+        """Running figures.  A batch takes all it read, so nothing is pending between
+        batches; what waits in the source is in the query's own progress."""
         return {**self.totals, "avg_processing_time": self.avg_processing_time}
 
     def record_metrics(self, spark: SparkSession) -> None:
