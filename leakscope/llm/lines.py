@@ -109,7 +109,7 @@ def tell_codes(distance: int, shortest: int, buckets: int
                ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Packed (code, line) pairs by bucket, each once per buffer."""
 
-    def hand_over(seen: np.ndarray, lines: list[np.ndarray], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def hand_over(lines: list[np.ndarray], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not lines:
             return
         line, code = np.concatenate(lines), np.concatenate(codes)
@@ -123,7 +123,7 @@ def tell_codes(distance: int, shortest: int, buckets: int
         ends = np.append(edges[1:], len(home))
         yield pa.RecordBatch.from_arrays(
             [pa.array(home[edges].astype(np.int32)),
-             pa.array([code[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()),
+             pa.array([ta.pack_ints(code[a:b], True) for a, b in zip(edges, ends)], pa.binary()),
              pa.array([line[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary())],
             ["home", "codes", "lines"])
 
@@ -141,16 +141,16 @@ def tell_codes(distance: int, shortest: int, buckets: int
             codes.append(code)
             size += len(data)
             if size >= BUFFER:
-                yield from hand_over(known, lines, codes)
+                yield from hand_over(lines, codes)
                 lines, codes, size, known = [], [], 0, known[:0]
-        yield from hand_over(known, lines, codes)
+        yield from hand_over(lines, codes)
 
     return run
 
 
 def shared_codes(table: pa.Table) -> pa.Table:
     """(bucket, node): lines of a blob bucket that share a code with another line."""
-    code = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint32)
+    code = np.concatenate([ta.unpack_ints(c, True) for c in table.column("codes").to_pylist()])
     line = np.frombuffer(b"".join(table.column("lines").to_pylist()), np.uint64)
     home = table.column("home")[0].as_py()
     order = np.lexsort((line, code))
@@ -161,7 +161,7 @@ def shared_codes(table: pa.Table) -> pa.Table:
     edges = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     sizes = np.diff(np.append(edges, len(code)))
     several = np.repeat(sizes > 1, sizes)
-    return pa.table({"bucket": pa.array(code[several].astype(np.int64) | home << 32),
+    return pa.table({"bucket": pa.array(code[several] | home << 32),
                      "node": pa.array(ta.signed(line[several]))})
 
 

@@ -88,13 +88,11 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, data, offsets, np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
 
 
-def _codes(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of a name (by its low half) and the name inside it (its high half)."""
-    return ((names & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), names
-
-
-def _blob(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def short_names(names: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of a name (by its low half), and its high half, which tells names of a bucket
+    apart; the few that it does not are told apart by their bytes later."""
+    home = (names & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    return (home << np.uint64(32) | names >> np.uint64(32)).astype(np.int64)
 
 
 def _groups(keys: np.ndarray) -> np.ndarray:
@@ -106,6 +104,8 @@ def _groups(keys: np.ndarray) -> np.ndarray:
 
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of a sorted bucket column."""
+    if not len(buckets):
+        return
     starts = _groups(buckets)
     for a, b in zip(starts, np.append(starts[1:], len(buckets))):
         yield int(buckets[a]), slice(a, b)
@@ -121,7 +121,7 @@ def tell_names(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     def hand_over(names: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not names:
             return
-        name, doc = np.concatenate(names), np.concatenate(docs)
+        name, doc = short_names(np.concatenate(names), buckets), np.concatenate(docs)
         order = np.lexsort((doc, name))
         name, doc = name[order], doc[order]
         new = np.ones(len(name), dtype=bool)
@@ -133,16 +133,17 @@ def tell_names(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
         # one document asks for a name, the smallest; the others are answered already
         asked = np.zeros(len(name), dtype=bool)
         asked[starts] = True
+        rows = []
         for ask, chosen in ((True, asked), (False, known)):
             own, own_doc = name[chosen], doc[chosen]
-            home = _codes(own, buckets)[0] if ask else own_doc % buckets
-            order = np.argsort(home, kind="stable")
+            home = own >> 32 if ask else own_doc % buckets
+            order = np.lexsort((own, home))
             own, own_doc, home = own[order], own_doc[order], home[order]
-            rows = [(b, ask, _blob(own[s]), _blob(own_doc[s])) for b, s in _by_bucket(home)] if len(own) else []
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
-                    ["bucket", "asked", "names", "docs"])
+            rows += [(b, ask, ta.pack_ints(own[s], True), ta.pack_ints(own_doc[s])) for b, s in _by_bucket(home)]
+        for at in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows[at:at + 64]), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))],
+                ["bucket", "asked", "names", "docs"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, docs, size = [], [], 0
@@ -160,24 +161,25 @@ def tell_names(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _column(table: pa.Table, name: str, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=dtype)
+def _column(table: pa.Table, name: str, ascending: bool = False) -> np.ndarray:
+    parts = [ta.unpack_ints(p, ascending) for p in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
 
 def shared_names(table: pa.Table) -> pa.Table:
     """(doc_id, name) of the names in a bucket that several documents have."""
     asked = table.filter(table.column("asked"))
     known = table.filter(pa.compute.invert(table.column("asked")))
-    name, doc = _column(asked, "names", np.uint64), _column(asked, "docs", np.int64)
+    name, doc = _column(asked, "names", True), _column(asked, "docs")
     order = np.argsort(name, kind="stable")
     name, doc = name[order], doc[order]
-    out_name, out_doc = _column(known, "names", np.uint64), _column(known, "docs", np.int64)
+    out_name, out_doc = _column(known, "names", True), _column(known, "docs")
     if len(name):
         starts = _groups(name)
         several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
         chosen = np.repeat(several, np.diff(np.append(starts, len(name))))
         out_name, out_doc = np.concatenate([out_name, name[chosen]]), np.concatenate([out_doc, doc[chosen]])
-    return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "name": pa.array(ta.signed(out_name), pa.int64())})
+    return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "name": pa.array(out_name, pa.int64())})
 
 
 STRETCHES = "bucket int, settled boolean, docs binary, starts binary, counts binary, bytes binary"
@@ -201,8 +203,8 @@ def tell_stretches(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
                     settled.setdefault(doc % buckets, []).append((doc, start, count, b""))
         for done, rows in ((False, open_rows), (True, settled)):
             if rows:
-                columns = [(b, done, *(_blob(np.array(c, np.int64)) for c in list(zip(*r))[:3]),
-                            b"".join(x[3] for x in r)) for b, r in rows.items()]
+                columns = [(b, done, *(ta.pack_ints(np.array(c, np.int64)) for c in list(zip(*r))[:3]),
+                            ta.pack_bytes(b"".join(x[3] for x in r))) for b, r in rows.items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*columns), (
                         pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
@@ -216,12 +218,13 @@ def tell_stretches(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
             name, start, count, unit = window_names(data, offsets)
             names = batch.column("names")
             wanted = names.values.to_numpy()[names.offsets[0].as_py():names.offsets[-1].as_py()].view(np.uint64)
+            short = short_names(name, buckets).astype(np.uint64)
             lengths = np.diff(names.offsets.to_numpy())
             # names are wanted per document: tell them apart by the row
             of_row = np.repeat(np.arange(batch.num_rows), lengths).astype(np.uint64)
-            chosen = np.isin(name ^ ta.mix(rows[unit].astype(np.uint64)), wanted ^ ta.mix(of_row))
-            name, start, count, unit = name[chosen], start[chosen], count[chosen], unit[chosen]
-            home = _codes(name, buckets)[0].tolist()
+            chosen = np.isin(short ^ ta.mix(rows[unit].astype(np.uint64)), wanted ^ ta.mix(of_row))
+            start, count, unit = start[chosen], count[chosen], unit[chosen]
+            home = (short[chosen] >> np.uint64(32)).tolist()
             docs = batch.column("doc_id").to_numpy()[rows[unit]].tolist()
             in_text = (start - offsets[unit] + places[unit]).tolist()
             raw = data.tobytes()
@@ -360,12 +363,12 @@ def merge_shards(shards: list[Shard], least: list[np.ndarray]) -> list[np.ndarra
 def repeated_windows(table: pa.Table) -> pa.Table:
     """(doc_id, start, stop): runs of windows of a bucket that start in a smaller document too."""
     settled = table.filter(table.column("settled"))
-    docs, starts, counts = (_column(settled, c, np.int64) for c in ("docs", "starts", "counts"))
+    docs, starts, counts = (_column(settled, c) for c in ("docs", "starts", "counts"))
     out = [(docs, starts, starts + counts)]
     asked = table.filter(pa.compute.invert(table.column("settled")))
-    docs, starts, counts = (_column(asked, c, np.int64) for c in ("docs", "starts", "counts"))
+    docs, starts, counts = (_column(asked, c) for c in ("docs", "starts", "counts"))
     if len(docs):
-        raw = b"".join(asked.column("bytes").to_pylist())
+        raw = b"".join(map(ta.unpack_bytes, asked.column("bytes").to_pylist()))
         ends = np.cumsum(counts + LENGTH - 1).tolist()
         number: dict[bytes, int] = {}
         which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends)])
@@ -435,7 +438,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     from others; rows of one id are one document, so repeated rows leave each
     other alone.  Extra columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(ta.long_column(docs, "doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     known = rows.filter("doc_id is not null")

@@ -8,10 +8,13 @@ over words.  Everything here runs inside Spark tasks; a slice is about
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 
@@ -160,3 +163,43 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned fingerprints as Spark's long."""
     return values.view(np.int64)
+
+
+_PACKED = struct.Struct("<QqQB")
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def pack_ints(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers as compressed bytes: offsets from the smallest, or steps where they ascend,
+    in as few bytes as the largest needs, bytes of one rank together."""
+    if not len(values):
+        return b""
+    low = int(values[0] if ascending else values.min())
+    steps = (np.diff(values, prepend=values[:1]) if ascending else values - values.dtype.type(low)).astype(np.uint64)
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return _PACKED.pack(len(values), low, len(planes), width) + _ZSTD.compress(planes, asbytes=True)
+
+
+def unpack_ints(packed: bytes, ascending: bool = False) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, dtype=np.int64)
+    n, low, size, width = _PACKED.unpack_from(packed)
+    planes = np.frombuffer(_ZSTD.decompress(packed[_PACKED.size:], size), np.uint8).reshape(width, n)
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :width] = planes.T
+    steps = steps.view("<u8").ravel().astype(np.int64)
+    return (np.cumsum(steps) if ascending else steps) + low
+
+
+def pack_bytes(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + _ZSTD.compress(data, asbytes=True) if data else b""
+
+
+def unpack_bytes(packed: bytes) -> bytes:
+    return _ZSTD.decompress(packed[8:], struct.unpack_from("<Q", packed)[0], asbytes=True) if packed else b""
+
+
+def long_column(df: DataFrame, name: str) -> Column:
+    """The column as long; as it is where it already is one, so that equal scans stay equal."""
+    return F.col(name) if dict(df.dtypes)[name] == "bigint" else F.col(name).cast("long").alias(name)
