@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.session import materialize
 
+BLOCK = 256         # members of a bucket that a task compares with as many others
+PAIRS = 512         # pairs confirmed before connected ones are sorted out again
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
@@ -35,43 +40,155 @@ def components(edges: DataFrame) -> DataFrame:
                              .select("node", F.coalesce("next", "label").alias("label")), "labels")
 
 
-def settle(members: DataFrame, traits: DataFrame, allowed: Callable[[Column, Column], Column],
-           confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Callable[[Column, Column], Column],
+           allowed: Callable[[pa.Table, pa.Table], np.ndarray], confirm: Callable[[pa.Array, pa.Array], np.ndarray]
+           ) -> DataFrame:
     """(node, component) of nodes linked by some pair that shares a bucket.
 
-    ``members`` (bucket, node) lists buckets of two nodes or more, ``traits`` (node,
-    trait) has what ``allowed`` needs to rule pairs out, and ``confirm`` keeps the
-    true ones of the pairs (a, b).  First every bucket links its members to its
-    smallest one only.  A bucket whose members are then in one component is
-    settled.  In the others, members outside the bucket's largest component meet
-    all members of other components.  So no pair that could still join two
-    components is left out, and a group around one original costs a pair each.
+    ``members`` (bucket, node) lists buckets of two nodes or more; ``traits`` (node,
+    trait) has a struct that is enough to rule pairs out, and ``contents`` (node,
+    content) what decides: ``confirm`` takes the contents of many pairs.  ``near``
+    is the test of traits in SQL, ``allowed`` the same for all pairs of two tables.
+
+    First every bucket links its members to its smallest one only.  A bucket whose
+    members are then in one component is settled.  In the others all pairs of
+    different components are looked at, in blocks of bounded size inside a
+    task: traits decide which members matter at all, contents then confirm
+    pairs, skipping those that are connected by then.  So no pair
+    that could still join two components is left out, a group around one original
+    costs a pair each, and the pairs of a group are never rows.
     """
     stars = (members.join(members.groupBy("bucket").agg(F.min("node").alias("a")), "bucket")
              .filter("a <> node").select("a", F.col("node").alias("b")).distinct())
     x, y = (traits.withColumnsRenamed({"node": n, "trait": f"_{n}"}) for n in "ab")
-    near = stars.join(x, "a").join(y, "b").filter(allowed(F.col("_a"), F.col("_b"))).select("a", "b")
-    links = materialize(confirm(materialize(near, "stars")), "links")
+    close = materialize(stars.join(x, "a").join(y, "b").filter(near(F.col("_a"), F.col("_b"))).select("a", "b"), "stars")
+    left, right = (contents.withColumnsRenamed({"node": n, "content": f"_{n}"}) for n in "ab")
+    links = materialize(close.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
+                        .mapInArrow(_confirmed(confirm), "a long, b long"), "links")
     labels = components(links)
-    more = materialize(confirm(materialize(_open_pairs(members, traits, labels, allowed), "pairs")), "links")
+    open_rows = materialize(_open_members(members, labels, traits, allowed), "open")
+    keys = ["bucket", "low", "high"]
+    more = materialize(
+        open_rows.join(traits, "node").join(contents, "node")
+        .repartition(*keys).sortWithinPartitions(*keys)
+        .select(*keys, "block", "node", "label", "trait", "content")
+        .mapInArrow(_link_blocks(allowed, confirm), "a long, b long"), "links")
     return labels if more.isEmpty() else components(links.union(more))
 
 
-def _open_pairs(members: DataFrame, traits: DataFrame, labels: DataFrame,
-                allowed: Callable[[Column, Column], Column]) -> DataFrame:
+def _confirmed(confirm: Callable[[pa.Array, pa.Array], np.ndarray]
+               ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = confirm(batch.column("_a"), batch.column("_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _open_members(members: DataFrame, labels: DataFrame, traits: DataFrame,
+                  allowed: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
+    """Members of unsettled buckets, by pair of blocks, that may be linked to another component."""
     placed = materialize(
         members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
         .drop("component"), "placed")
-    main = (placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"),
-                                   F.count(F.lit(1)).alias("labels"))
-            .filter("labels > 1").drop("labels"))
-    rows = materialize(placed.join(main, "bucket").join(traits, "node"), "open")
-    few = rows.filter("label <> main").select(
-        "bucket", F.col("node").alias("a"), F.col("label").alias("_la"), F.col("trait").alias("_x"))
-    many = rows.select("bucket", F.col("node").alias("b"), F.col("label").alias("_lb"), "main",
-                       F.col("trait").alias("_y"))
-    # two members outside the main component meet once
-    once = (F.col("_la") != F.col("_lb")) & ((F.col("_lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    return (few.join(many, "bucket").filter(once & allowed(F.col("_x"), F.col("_y")))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    unsettled = (placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_l"),
+                                              F.max("label").alias("_h"))
+                 .filter("_l <> _h").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = (placed.join(unsettled, "bucket")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"),
+                    "block", "node", "label"))
+    keys = ["bucket", "low", "high"]
+    return (rows.join(traits, "node").repartition(*keys).sortWithinPartitions(*keys)
+            .select(*keys, "block", "node", "label", "trait")
+            .mapInArrow(_meeting(allowed), "bucket long, low int, high int, block int, node long, label long"))
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of equal (bucket, low, high), whole, whatever the batches' borders."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        keys = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = last is not None and tuple(k[0] for k in keys) != last
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        last = tuple(k[-1] for k in keys)
+        at = 0
+        for cut in np.flatnonzero(new):
+            held.append(table.slice(at, cut - at))
+            yield pa.concat_tables(held).combine_chunks()
+            held, at = [], cut
+        held.append(table.slice(at))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _open_pairs(table: pa.Table, allowed: Callable[[pa.Table, pa.Table], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the group's allowed pairs of different components; pairs of one block
+    are the business of the group in which the block meets itself."""
+    label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
+    if (label == label[0]).all():
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    first = np.flatnonzero(block == low)
+    second = first if low == high else np.flatnonzero(block == high)
+    traits = table.column("trait").combine_chunks()
+    here, there = (pa.Table.from_struct_array(traits.take(pa.array(at))) for at in (first, second))
+    good = (label[first][:, None] != label[second][None, :])
+    good &= allowed(here, there)
+    if low == high:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    return first[i], second[j]
+
+
+def _meeting(allowed: Callable[[pa.Table, pa.Table], np.ndarray]
+             ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            rows = np.unique(np.concatenate(_open_pairs(table, allowed)))
+            if len(rows):
+                yield from table.drop_columns(["trait"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+    return run
+
+
+def _link_blocks(allowed: Callable[[pa.Table, pa.Table], np.ndarray],
+                 confirm: Callable[[pa.Array, pa.Array], np.ndarray]
+                 ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            i, j = _open_pairs(table, allowed)
+            up = {x: x for x in table.column("label").to_pylist()}
+
+            def root(x: int) -> int:
+                while up[x] != x:
+                    up[x] = up[up[x]]
+                    x = up[x]
+                return x
+
+            label, node = table.column("label").to_pylist(), table.column("node").to_pylist()
+            content = table.column("content").combine_chunks()
+            links = []
+            for at in range(0, len(i), PAIRS):
+                pairs = [(a, b) for a, b in zip(i[at:at + PAIRS].tolist(), j[at:at + PAIRS].tolist())
+                         if root(label[a]) != root(label[b])]
+                if not pairs:
+                    continue
+                left, right = (pa.array(c) for c in zip(*pairs))
+                for (a, b), good in zip(pairs, confirm(content.take(left), content.take(right))):
+                    if good:
+                        links.append((node[a], node[b]))
+                        up[root(label[a])] = root(label[b])
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+
+    return run

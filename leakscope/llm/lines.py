@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from leakscope.llm import textarrays as ta
 from leakscope.llm.components import settle
-from leakscope.llm.neardup import differing
+from leakscope.llm.neardup import bit_rows, differing
 from leakscope.session import materialize
 
 DISTANCE = 2
@@ -217,25 +217,39 @@ def within_distance(left: list[bytes], right: list[bytes], distance: int) -> np.
     return good & (ends <= distance)
 
 
-def _verify(distance: int, most: int = 1 << 21) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs (a, b, left, right) within the distance, lines of like length together."""
+def _verify(distance: int, most: int = 1 << 21) -> Callable[[pa.Array, pa.Array], np.ndarray]:
+    """Whether each pair of lines is within the distance, lines of like length together."""
+
+    def run(left: pa.Array, right: pa.Array) -> np.ndarray:
+        left, right = left.to_pylist(), right.to_pylist()
+        sizes = [max(len(x), len(y)) for x, y in zip(left, right)]
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        good = np.zeros(len(sizes), dtype=bool)
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end - at) * sizes[order[end]] < most and (
+                    sizes[order[end]] <= 2 * sizes[order[at]] + 64):
+                end += 1
+            own = order[at:end]
+            good[own] = within_distance([left[i] for i in own], [right[i] for i in own], distance)
+            at = end
+        return good
+
+    return run
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            sizes = [max(len(x), len(y)) for x, y in zip(left, right)]
-            order = sorted(range(len(sizes)), key=sizes.__getitem__)
-            good = np.zeros(len(sizes), dtype=bool)
-            at = 0
-            while at < len(order):
-                end = at + 1
-                while end < len(order) and (end - at) * sizes[order[end]] < most and (
-                        sizes[order[end]] <= 2 * sizes[order[at]] + 64):
-                    end += 1
-                own = order[at:end]
-                good[own] = within_distance([left[i] for i in own], [right[i] for i in own], distance)
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+def _allowed(distance: int) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+    """Pairs whose lengths and parities leave the distance possible."""
+
+    def run(here: pa.Table, there: pa.Table) -> np.ndarray:
+        a, b = (t.column("size").to_numpy() for t in (here, there))
+        good = np.abs(a[:, None] - b) <= distance
+        x, y = (bit_rows(t.column("parity"), PARITY_BITS // 64) for t in (here, there))
+        bits = np.zeros(good.shape, dtype=np.int64)
+        for word in range(x.shape[1]):
+            bits += np.bitwise_count(x[:, word][:, None] ^ y[:, word])
+        return good & (bits <= 4 * distance)
 
     return run
 
@@ -285,17 +299,14 @@ def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = S
         rows.alias("r").join(asked.alias("w"), same).select("r.text", "w.wanted")
         .mapInArrow(_wanted_texts(shortest), "line long, bytes binary").dropDuplicates(["line"]), "texts")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(texts.withColumnsRenamed({"line": "a", "bytes": "left"}), "a")
-                .join(texts.withColumnsRenamed({"line": "b", "bytes": "right"}), "b")
-                .select("a", "b", "left", "right").mapInArrow(_verify(distance), "a long, b long"))
-
-    def allowed(x: Column, y: Column) -> Column:
+    def near(x: Column, y: Column) -> Column:
         return (F.abs(x["size"] - y["size"]) <= distance) & (
             differing(x["parity"], y["parity"], PARITY_BITS // 64) <= 4 * distance)
 
     traits = meeting.select(F.col("line").alias("node"), "trait")
-    labels = settle(members, traits, allowed, confirm).withColumnRenamed("node", "line")
+    contents = texts.withColumnsRenamed({"line": "node", "bytes": "content"})
+    labels = settle(members, traits, contents, near, _allowed(distance), _verify(distance)
+                    ).withColumnRenamed("node", "line")
     linked = lines.select("line", "first", "n").join(labels, "line", "left")
     chosen = linked.filter("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     # lines that occur once and are near no other have nothing to lose

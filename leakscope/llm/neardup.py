@@ -120,22 +120,42 @@ def differing(a: Column, b: Column, words: int = SKETCH_WORDS) -> Column:
     return bits
 
 
-def _confirm(percent: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs whose full sets reach the similarity; the sets are sorted and free of repetition."""
+def _similar(percent: int) -> Callable[[pa.Array, pa.Array], np.ndarray]:
+    """Whether full sets reach the similarity; the sets are sorted and free of repetition."""
+
+    def run(left: pa.Array, right: pa.Array) -> np.ndarray:
+        lv, lo = left.values.to_numpy(), left.offsets.to_numpy()
+        rv, ro = right.values.to_numpy(), right.offsets.to_numpy()
+        good = np.zeros(len(left), dtype=bool)
+        for i in range(len(left)):
+            x, y = lv[lo[i]:lo[i + 1]].view(np.uint64), rv[ro[i]:ro[i + 1]].view(np.uint64)
+            if not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            good[i] = both * 100 >= percent * (len(x) + len(y) - both)
+        return good
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            lv, lo = left.values.to_numpy(), left.offsets.to_numpy()
-            rv, ro = right.values.to_numpy(), right.offsets.to_numpy()
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = lv[lo[i]:lo[i + 1]].view(np.uint64), rv[ro[i]:ro[i + 1]].view(np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum()) if len(y) else 0
-                good[i] = both * 100 >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(
-                pa.array(good))
+    return run
+
+
+def bit_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.values.to_numpy()[flat.offsets[0].as_py():flat.offsets[-1].as_py()].view(np.uint64).reshape(-1, width)
+
+
+def _allowed(percent: int) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+    """Pairs whose set sizes and sketches leave the similarity possible."""
+    most = farthest(percent)
+
+    def run(here: pa.Table, there: pa.Table) -> np.ndarray:
+        a, b = (t.column("size").to_numpy() for t in (here, there))
+        good = 100 * np.minimum(a[:, None], b) >= percent * np.maximum(a[:, None], b)
+        x, y = (bit_rows(t.column("sketch"), SKETCH_WORDS) for t in (here, there))
+        bits = np.zeros(good.shape, dtype=np.int64)
+        for word in range(SKETCH_WORDS):
+            bits += np.bitwise_count(x[:, word][:, None] ^ y[:, word])
+        return good & (bits <= most)
 
     return run
 
@@ -172,13 +192,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         .dropDuplicates(["_class"]).select("_class", "text")
         .mapInArrow(describe(width, False), "_class long, shingles array<long>"), "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(sets.withColumnsRenamed({"_class": "a", "shingles": "left"}), "a")
-                .join(sets.withColumnsRenamed({"_class": "b", "shingles": "right"}), "b")
-                .select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long"))
+    traits = classes.select(F.col("_class").alias("node"), F.struct(
+        F.col("n_shingles").alias("size"), F.col("_one._sketch").alias("sketch")).alias("trait"))
+    contents = sets.withColumnsRenamed({"_class": "node", "shingles": "content"})
+
+    def near(x: Column, y: Column) -> Column:
+        return differing(x["sketch"], y["sketch"]) <= farthest(percent)
 
-    sketches = classes.select(F.col("_class").alias("node"), F.col("_one._sketch").alias("trait"))
-    labels = settle(members, sketches, lambda x, y: differing(x, y) <= farthest(percent), confirm)
+    labels = settle(members, traits, contents, near, _allowed(percent), _similar(percent))
     joined = classes.join(labels, F.col("_class") == F.col("node"), "left").withColumn(
         "_group", F.coalesce("component", "_class"))
     smallest = joined.groupBy("_group").agg(F.min("_first").alias("component_id"))
