@@ -113,12 +113,12 @@ def tell_codes(distance: int, shortest: int, buckets: int
         if not lines:
             return
         line, code = np.concatenate(lines), np.concatenate(codes)
-        home = (code >> np.uint64(32)) % np.uint64(buckets)
+        home, code = (code & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), code >> np.uint64(32)
         order = np.lexsort((line, code, home))
         line, code, home = line[order], code[order], home[order]
         new = np.ones(len(line), dtype=bool)
         new[1:] = (line[1:] != line[:-1]) | (code[1:] != code[:-1])
-        line, code, home = line[new], code[new].astype(np.uint32), home[new].astype(np.int64)
+        line, code, home = line[new], code[new], home[new].astype(np.int64)
         edges = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
         ends = np.append(edges[1:], len(home))
         yield pa.RecordBatch.from_arrays(
