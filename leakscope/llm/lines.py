@@ -110,7 +110,7 @@ def tell_codes(distance: int, shortest: int, buckets: int
     """Packed (code, line) pairs by bucket, each once per buffer."""
 
     def hand_over(lines: list[np.ndarray], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not lines:
+        if not sum(map(len, lines)):
             return
         line, code = np.concatenate(lines), np.concatenate(codes)
         home, code = (code & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), code >> np.uint64(32)
