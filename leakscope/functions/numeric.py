@@ -70,8 +70,10 @@ def sum_squared_cents(x: Column | str) -> Column:
     """Exact total of squared cents as DECIMAL(38,0).
 
     A square is cut into three 21-bit parts that are summed as long integers,
-    so rows never touch decimals.  Amounts reach 30 million, groups 4e12 rows;
-    beyond that the sum raises an error instead of wrapping.
+    so rows never touch decimals.  Amounts reach 30 million.  The spread multiplies
+    the rows of a group with this total, and that product must stay below 1e38: 1e11 rows
+    of 10,000 or 1e9 rows of a million each.  Beyond that it raises an error
+    instead of wrapping.
     """
     c = cents(x)
     square, mask = c * c, (1 << 21) - 1

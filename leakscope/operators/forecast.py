@@ -48,7 +48,9 @@ def training_cells(features: DataFrame, targets: list[str],
 
     A split is chosen by the squared error it removes, and merging rows that no
     split can part changes that error by a constant.  Weighted by their count,
-    the cells therefore give the same trees as the rows.  There are as many
+    the cells judge a split as the rows do; the candidate splits themselves are
+    quantiles of the cells, so trees come close to those of the rows without
+    always being equal.  There are as many
     cells as stops times hours times weekdays, so one pass over the events
     replaces a pass per tree level.
     """

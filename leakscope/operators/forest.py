@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leakscope.functions.numeric import ladder
 from leakscope.operators.features import ANOMALY_FEATURES, feature_array
 from leakscope.operators.selection import nth_largest
 from leakscope.session import materialize
@@ -49,29 +48,12 @@ def _uniform(*parts) -> Column:
 def _candidates(rows: DataFrame, key: str, num_trees: int, share: float, seed: int) -> DataFrame:
     """(tree, draw) pairs in which every row is a candidate of each tree with the same chance.
 
-    While a row is likely to serve a tree, it draws once per tree.  In a large
-    table it hardly ever is: then one draw per row says how many trees it
-    reaches at all (a Poisson number, which makes the trees independent), and
-    only rows that reach one are copied.
+    A row draws once per tree, inside one expression, and is copied only for the
+    trees it reaches; that is the rule for tables of any size.
     """
-    rate = num_trees * share
-    if rate > 1.0:
-        draws = F.transform(F.sequence(F.lit(0), F.lit(num_trees - 1)), lambda t: F.struct(
-            t.alias("tree"), _uniform(F.col(key), t, F.lit(seed)).alias("draw")))
-        return (rows.withColumn("_d", F.explode(draws)).select("*", "_d.tree", "_d.draw").drop("_d")
-                .filter(F.col("draw") < share))
-    reach, term, steps = 0.0, math.exp(-rate), []
-    u = _uniform(F.col(key), F.lit(seed))
-    for k in range(1, 16):
-        reach += term
-        steps.append((u < reach, k - 1))
-        term *= rate / k
-    hits = rows.withColumn("_hits", ladder(steps, 15)).filter("_hits > 0")
-    each = hits.withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_hits"))))
-    return (each.withColumn("tree", F.pmod(F.xxhash64(F.col(key), "_j", F.lit(seed + 1)), F.lit(num_trees))
-                            .cast("int"))
-            .withColumn("draw", _uniform(F.col(key), F.col("tree"), F.lit(seed + 2)))
-            .dropDuplicates([key, "tree"]).drop("_hits", "_j"))
+    reached = F.filter(F.transform(F.sequence(F.lit(0), F.lit(num_trees - 1)), lambda t: F.struct(
+        t.alias("tree"), _uniform(F.col(key), t, F.lit(seed)).alias("draw"))), lambda d: d["draw"] < share)
+    return rows.withColumn("_d", F.explode(reached)).select("*", "_d.tree", "_d.draw").drop("_d")
 
 
 def tree_samples(features: DataFrame, key: str, num_trees: int, size: int, seed: int,

@@ -230,9 +230,10 @@ def localization_hits(localized: DataFrame, truth: DataFrame, k: int = 5,
                     F.coalesce("_hit", F.lit(False)).alias("hit")))
 
 
-def localization_accuracy(hits: DataFrame, k: int = 5) -> DataFrame:
+def localization_accuracy(hits: DataFrame, k: int = 5, by: str | None = None) -> DataFrame:
+    """Share of the labelled anomalies that were hit, of all of them or per ``by``."""
     total = F.count("*")
     found = F.count_if("hit")
-    return hits.agg(found.alias("hits"), total.alias("total"),
+    return hits.groupBy(*([by] if by else [])).agg(found.alias("hits"), total.alias("total"),
                     F.coalesce(F.try_divide(found.cast("double"), total), F.lit(0.0)).alias("accuracy"),
                     F.lit(k).alias("top_k"))

@@ -15,7 +15,7 @@ from leakscope.session import materialize
 
 # Fixed values.
 KM_WEIGHT, DEGREE_WEIGHT = 0.3, 0.01
-FIRST_CELL_DEG = 0.02
+SMALLEST_CELL_DEG = 0.0001
 WHOLE_EARTH_DEG = 360.0
 
 
@@ -36,6 +36,18 @@ def _reach_deg(score: Column, lat: Column) -> Column:
     return F.when(sine >= 1.0, WHOLE_EARTH_DEG).otherwise(F.degrees(F.asin(F.least(sine, F.lit(1.0)))))
 
 
+def first_cell(sites: DataFrame, wanted: int) -> float:
+    """Cell size at which nine cells hold about four times the wanted stops, from the
+    number of stops and the area they cover; so a start meets as many stops in a
+    large network as in a small one."""
+    n, south, north, west, east = sites.agg(
+        F.count("*"), F.min("stop_lat"), F.max("stop_lat"), F.min("stop_lon"), F.max("stop_lon")).first()
+    if not n:
+        return WHOLE_EARTH_DEG
+    area = max(north - south, SMALLEST_CELL_DEG) * max(east - west, SMALLEST_CELL_DEG)
+    return min(WHOLE_EARTH_DEG, max(SMALLEST_CELL_DEG, math.sqrt(4.0 * max(1, wanted) * area / (9.0 * n))))
+
+
 def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
     """For every route the stops after the best-scoring one, ``wanted`` - 1 of them.
 
@@ -61,7 +73,7 @@ def nearest_along_bearing(starts: DataFrame, stops: DataFrame) -> DataFrame:
     bound, of_route = F.col("bound"), W.partitionBy("route_id")
     by_score = of_route.orderBy("score", "stop_id")
     waiting = materialize(starts.withColumn("bound", F.lit(None).cast("double")), "starts")
-    finished, size = [], FIRST_CELL_DEG
+    finished, size = [], first_cell(sites, most)
     while True:
         ready = waiting.filter(bound.isNull() | (_reach_deg(bound, lat0) <= size))
         reach = ready.select("*", F.inline(around)).select(

@@ -11,8 +11,9 @@ _LEVELS = 4
 
 
 def row_hash(key: str, seed: int) -> Column:
-    """Repeatable non-negative pseudo-random number of a row."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 1)
+    """Repeatable pseudo-random number of a row: 60 bits of a digest any engine can take."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -22,7 +23,7 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     final top-n sees little more than n rows.
     """
     hashed = df.withColumn("_hash", row_hash(key, seed))
-    bucket = F.shiftright("_hash", 47)
+    bucket = F.shiftright("_hash", 44)
     sizes = hashed.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     # at most 65,536 buckets
     reach = sizes.select("_bucket", F.sum("_n").over(W.orderBy("_bucket")).alias("_reach"))

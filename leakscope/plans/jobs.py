@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 from leakscope.operators import (detect, features, forecast, forest, leakage_score,
                                  localize, network)
 from leakscope.plans import views
-from leakscope.session import materialize
+from leakscope.session import job_scratch, materialize
 from leakscope.sources import tables
 
-DETECT_DAYS = 7
-LOCALIZE_DAYS = 3
-NEWEST_ROUTE_DATES = 5000
 TARGETS = {"forecast": "boarding_count", "revenue": "expected_revenue"}
 
 
@@ -45,15 +42,24 @@ def train(spark: SparkSession, events: DataFrame, routes: DataFrame, stops: Data
           root: str | None = None, seed: int = 42, sample_size: int = forest.SAMPLE_SIZE) -> dict:
     """Fits and evaluates all models; stores them when given a root.
 
-    The events are read for the split date, once for the training cells, and
-    for the forest; the boosted trees only ever see the cells.
+    The events are read for the split date, once for the features of the training
+    rows, which are written out, and once for the evaluation.  The boosted trees
+    only ever see cells made from the features, the forest its samples.
     """
     started = time.time()
+    with job_scratch(spark, "train"):
+        return _train(spark, events, routes, stops, root, seed, sample_size, started)
+
+
+def _train(spark: SparkSession, events: DataFrame, routes: DataFrame, stops: DataFrame, root: str | None,
+           seed: int, sample_size: int, started: float) -> dict:
     last = forecast.last_train_date(events)
     if last is None:
         raise ValueError("no training data: the events cover fewer than two dates")
     rows = features.engineer(features.enrich(events, routes, stops))
-    train_rows = rows.filter(F.col("sim_date") <= F.lit(last))
+    used = {"event_id", "is_anomalous", *TARGETS.values(), *features.FORECAST_FEATURES, *features.ANOMALY_FEATURES}
+    train_rows = materialize(rows.filter(F.col("sim_date") <= F.lit(last)).select(
+        *[c for c in rows.columns if c in used]), "features")
     test_rows = rows.filter(F.col("sim_date") > F.lit(last))
     cells = materialize(forecast.training_cells(train_rows, list(TARGETS.values())), "cells")
     normal = train_rows.filter(F.coalesce(F.col("is_anomalous"), F.lit(0)) == 0)
@@ -70,7 +76,8 @@ def train(spark: SparkSession, events: DataFrame, routes: DataFrame, stops: Data
     # Both models are judged in one pass over the test rows.
     scored = forest.label_outliers(
         forest.score_forest(forecast.predict(boarding, test_rows), nodes, sample_size), threshold)
-    label, flag = F.col("is_anomalous") == 1, F.col("is_outlier") == 1
+    # an event without a label counts as normal, as it does in training
+    label, flag = F.coalesce("is_anomalous", F.lit(0)) == 1, F.col("is_outlier") == 1
     error = F.col("boarding_count") - F.col("predicted")
     sums = scored.agg(
         F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"), F.count("*").alias("n"),
@@ -137,20 +144,32 @@ def load_models(spark: SparkSession, root: str) -> dict:
 def detect_recent(spark: SparkSession, events: DataFrame, routes: DataFrame, stops: DataFrame,
                   learned: DataFrame, root: str, days: list) -> dict:
     """Flags the events of the given days and upserts them into the review queue."""
-    recent = events.filter(F.col("sim_date").isin(days))
+    with job_scratch(spark, "detect"):
+        return _detect(spark, events.filter(F.col("sim_date").isin(days)), routes, stops, learned, root, len(days))
+
+
+def _detect(spark: SparkSession, recent: DataFrame, routes: DataFrame, stops: DataFrame, learned: DataFrame,
+            root: str, days: int) -> dict:
     detected = detect.detections(features.enrich(recent, routes, stops), learned)
     seen = Observation("detections")
     watched = detected.observe(seen, F.count_if("is_flagged").alias("detections"),
                                F.count("*").alias("events"))
     found = materialize(detect.anomaly_records(watched), "detections")
     tables.upsert_table(spark, root, "detected_anomalies", found)
-    return {"total_detections": seen.get["detections"], "days_processed": len(days)}
+    return {"total_detections": seen.get["detections"], "days_processed": days}
 
 
 def localize_recent(spark: SparkSession, events: DataFrame, stop_order: DataFrame, root: str,
                     days: list, truth: DataFrame | None = None, windows=localize.HOURLY_WINDOWS,
                     k: int = 5) -> dict:
-    """Ranks the segments of the given days, stores them, and checks them against labels."""
+    """Ranks the segments of the given days, stores them, and checks them against labels,
+    day by day and in all."""
+    with job_scratch(spark, "localize"):
+        return _localize(spark, events, stop_order, root, days, truth, windows, k)
+
+
+def _localize(spark: SparkSession, events: DataFrame, stop_order: DataFrame, root: str, days: list,
+              truth: DataFrame | None, windows, k: int) -> dict:
     located = materialize(localize.localize(events.filter(F.col("sim_date").isin(days)), stop_order,
                                             windows=windows), "located")
     stored = located.select(*[c for c in located.columns if c not in (
@@ -159,35 +178,42 @@ def localize_recent(spark: SparkSession, events: DataFrame, stop_order: DataFram
     stats = {"total_localizations": located.count()}
     if truth is not None:
         hits = localize.localization_hits(located, truth.filter(F.col("sim_date").isin(days)), k)
-        stats["validation"] = localize.localization_accuracy(hits, k).first().asDict()
+        # one row per calendar day
+        per_day = localize.localization_accuracy(hits, k, by="sim_date").orderBy("sim_date").collect()
+        found, total = (sum(r[c] for r in per_day) for c in ("hits", "total"))
+        stats["validation"] = {"hits": found, "total": total, "accuracy": found / total if total else 0.0, "top_k": k}
+        stats["validation_by_date"] = {str(r["sim_date"]): r["accuracy"] for r in per_day}
     return stats
 
 
 def run_pipeline(spark: SparkSession, root: str, events: DataFrame, routes: DataFrame,
                  stops: DataFrame, stop_sequences: DataFrame, truth: DataFrame | None = None,
-                 windows=localize.HOURLY_WINDOWS) -> dict:
+                 windows=localize.HOURLY_WINDOWS, detect_days: int | None = None,
+                 localize_days: int | None = None, newest: int | None = None) -> dict:
     """All phases over the given tables; results below ``root``.
 
-    A phase that fails ends the run, which is logged as failed with the error.
+    All days are detected and localized and all route-dates scored; ``detect_days``
+    and ``localize_days`` keep to so many newest days, ``newest`` to so many
+    newest route-dates.  A phase that fails ends the run, which is logged as failed with the error.
     """
     run = f"run-{int(time.time() * 1000)}"
     results: dict = {"run_id": run, "phases": {}, "success": True}
     log, state = [], {}
 
-    def days(n: int) -> list:
-        if "days" not in state:
-            state["days"] = [r[0] for r in views.recent_dates(events, DETECT_DAYS).collect()]
+    def days(n: int | None) -> list:
+        if "days" not in state:       # one value per calendar day
+            state["days"] = [r[0] for r in views.recent_dates(events, None).collect()]
         return state["days"][:n]
 
     phases = {
         "training": lambda: train(spark, events, routes, stops, root),
         "detection": lambda: detect_recent(spark, events, routes, stops,
                                            load_models(spark, root)["baselines"], root,
-                                           days(DETECT_DAYS)),
+                                           days(detect_days)),
         "localization": lambda: localize_recent(
-            spark, events, network.route_stop_order(stop_sequences), root, days(LOCALIZE_DAYS),
+            spark, events, network.route_stop_order(stop_sequences), root, days(localize_days),
             truth, windows),
-        "scoring": lambda: _store_scores(spark, events, root),
+        "scoring": lambda: _store_scores(spark, events, root, newest),
     }
     begun = time.time()
     for name, phase in phases.items():
@@ -209,10 +235,11 @@ def run_pipeline(spark: SparkSession, root: str, events: DataFrame, routes: Data
     return results
 
 
-def _store_scores(spark: SparkSession, events: DataFrame, root: str) -> dict:
-    scores = materialize(leakage_score.route_leakage(events, newest=NEWEST_ROUTE_DATES), "scores")
-    tables.overwrite(scores, root, "route_leakage_scores")
-    return {"route_dates": scores.count()}
+def _store_scores(spark: SparkSession, events: DataFrame, root: str, newest: int | None) -> dict:
+    with job_scratch(spark, "scores"):
+        scores = materialize(leakage_score.route_leakage(events, newest=newest), "scores")
+        tables.overwrite(scores, root, "route_leakage_scores")
+        return {"route_dates": scores.count()}
 
 
 def monitoring(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -174,8 +174,8 @@ CTES: dict[str, tuple[list[str], str]] = {
                         when anomaly_type = 'ghost_trip' then 0.05e0
                         when anomaly_type = 'qr_upi_fraud' and payment_mode in ('upi','card')
                         then 1e0-severity else 1e0 end as kr from matched)"""),
-    "win": ([], "select cast(t as int) as window_index, cast(5+3*t as int) as ws, "
-                "cast(8+3*t as int) as we from range(0, 6) w(t)"),
+    "win": ([], "select cast(t as int) as window_index, cast(5+t as int) as ws, "
+                "cast(6+t as int) as we from range(0, 18) w(t)"),
     "seg": (["stops"], """
         select a.route_id, a.stop_sequence - 1 as segment_index, a.stop_id as segment_start_stop,
                b.stop_id as segment_end_stop, a.stop_sequence as segment_start_seq,
@@ -190,6 +190,14 @@ CTES: dict[str, tuple[list[str], str]] = {
         join seg on ev.route_id = seg.route_id
          and stop_sequence between segment_start_seq and segment_end_seq
         group by all"""),
+    "segdays": (["ev", "seg", "win"], f"""
+        select seg.route_id, sim_date, window_index, segment_index,
+               cast(sum(boarding_count) as bigint) as boardings, cast(sum(ticket_count) as bigint) as tickets,
+               sum({_cents('expected_revenue')}) as e, sum({_cents('reported_revenue')}) as r
+        from ev join win on sim_hour >= ws and sim_hour < we
+        join seg on ev.route_id = seg.route_id
+         and stop_sequence between segment_start_seq and segment_end_seq
+        group by all"""),
     "seggrid": (["ry", "seg", "win", "segstats"], """
         select ry.route_id, ry.sim_date, win.window_index, ws, we, seg.segment_index, segment_start_stop,
                segment_end_stop, segment_start_seq, segment_end_seq, coalesce(boardings, 0) as boardings,
@@ -216,7 +224,7 @@ CTES: dict[str, tuple[list[str], str]] = {
                distance_from_start_km
         from trip join stops on trip.route_id = stops.route_id"""),
     "series": (["ev"], f"""
-        select route_id, period_year as sim_date, sim_hour, {_money('expected_revenue')} as expected_revenue,
+        select route_id, sim_date, sim_hour, {_money('expected_revenue')} as expected_revenue,
                {_money('reported_revenue')} as reported_revenue, sum(boarding_count) as total_boardings,
                sum(ticket_count) as total_tickets, sum(is_anomalous) as anomaly_events
         from ev group by all"""),
@@ -255,8 +263,18 @@ CTES: dict[str, tuple[list[str], str]] = {
                concat('score ', cast(cast(floor(anomaly_score*100) as bigint) as varchar)) as new_notes
         from rec"""),
     "valid": (["evm"], """
-        select event_id, case when payment_mode in ('cash','upi','card','pass') then ''
-               else concat('Invalid payment_mode: ', payment_mode) end as errors from evm"""),
+        select event_id, concat_ws('; ',
+               case when fault = 0 then 'Missing required field: route_id' end,
+               case when fault = 7 then 'Missing required field: boarding_count' end,
+               case when fault = 2 then 'Missing required field: ticket_count' end,
+               case when fault = 6 then 'Missing required field: expected_revenue' end,
+               case when fault = 1 then 'boarding_count must be a non-negative number' end,
+               case when fault = 7 then 'ticket_count must be a non-negative number' end,
+               case when payment_mode not in ('cash','upi','card','pass')
+                    then concat('Invalid payment_mode: ', payment_mode) end,
+               case when fault in (3, 4, 5) then 'Invalid event_timestamp format' end) as errors
+        from (select *, (cast(split_part(event_id, '-', 1) as bigint) * 7
+                         + cast(split_part(event_id, '-', 2) as bigint) * 3) % 211 as fault from evm)"""),
 }
 
 
@@ -285,8 +303,6 @@ ORACLES: dict[str, str] = {
     "route_leakage": f"select * replace (cast(sim_date as varchar) as sim_date) from sc",
     "route_leakage_daily": "select * replace (cast(sim_date as varchar) as sim_date) from "
                            f"({_scores('sim_date')}) , (select 1 from ev limit 1)",
-    "route_leakage_newest": "select * replace (cast(sim_date as varchar) as sim_date) from (select * from "
-                            f"({_scores('sim_date')}) order by sim_date desc, route_id limit 5000)",
     "risk_levels": f"select cast(year(sim_date) as int) as year, risk_level, count(*) as route_months, "
                    f"{_money('leakage_amount')} as leakage from sc group by 1, 2",
     "scan_events": "select event_id, trip_id, route_id, stop_id, stop_sequence, "
@@ -332,7 +348,7 @@ ORACLES: dict[str, str] = {
                        "severity as matched_severity from matched where found_id is not null",
     "segment_stats": "select route_id, cast(sim_date as varchar) as sim_date, window_index, segment_index, "
                      "boardings, tickets, cast(e as double)/100e0 as expected_revenue, "
-                     "cast(r as double)/100e0 as reported_revenue from segstats",
+                     "cast(r as double)/100e0 as reported_revenue from segdays",
     "segment_grid": "select route_id, cast(sim_date as varchar) as sim_date, window_index, segment_index, "
                     "segment_start_stop, segment_end_stop, boardings, tickets, "
                     "cast(e as double)/100e0 as expected_revenue, "
@@ -470,6 +486,16 @@ ORACLES: dict[str, str] = {
                else 'pass' end as payment_mode, {_bucket(demand.ROUTE_CATEGORY_WEIGHTS)} as route_category,
                {_bucket(demand.ANOMALY_TYPE_WEIGHTS)} as anomaly_type
         from (select event_id, ((boarding_count*37 + sim_hour*11 + stop_sequence*5) % 100)/100e0 as u from ev)""",
+    "upsert_stored": """
+        select event_id, case when moves then case when ticket_count % 3 > 0 then cast(y + 1 as varchar) else 'none' end
+                              else cast(y as varchar) end as sim_date,
+               cast(ticket_count + cast(moves as int) as int) as ticket_count, reported_revenue
+        from (select *, cast(date_trunc('year', sim_date) as date) as y, (ticket_count + 1) % 2 = 0 as moves from (
+              select event_id, sim_date, ticket_count, reported_revenue, row_number() over (
+                     partition by event_id order by reported_revenue desc, ticket_count desc) as nth from ev)
+              where nth = 1)""",
+    "baseline_sample": "select event_id, expected_revenue from ev where is_anomalous = 0 "
+                       "order by substr(md5(concat('42|', event_id)), 1, 15), event_id limit 50000",
     "leakage_trend": f"select cast(sim_date as varchar) as sim_date, {_money('expected_revenue')} as expected, "
                      f"{_money('reported_revenue')} as reported, {_money('leakage_amount')} as leakage from sc "
                      "where sim_date in (select distinct sim_date from sc order by 1 desc limit 30) group by 1",
@@ -538,9 +564,8 @@ ORACLES: dict[str, str] = {
     "flagged_events": "select event_id, anomaly_score, discrepancy from det where is_flagged",
     "detected_anomalies": "select * replace (cast(sim_date as varchar) as sim_date, "
                           "coalesce(matched_ground_truth_id, '') as matched_ground_truth_id) from rec",
-    "detect_route": "select event_id, route_id, cast(period as varchar) as period, anomaly_score, total from (select *, "
-                    "count(*) over (partition by route_id, period) as total from (select *, "
-                    "cast(date_trunc('month', sim_date) as date) as period from det)) where is_flagged",
+    "detect_route": f"select event_id, route_id, {DATE}, anomaly_score, total from (select *, "
+                    "count(*) over (partition by route_id, sim_date) as total from det) where is_flagged",
     "severity_bands": "select detection_id, anomaly_score, case when anomaly_score > 0.7 then 'high' "
                       "when anomaly_score > 0.4 then 'medium' else 'low' end as band from rec",
     "segment_bands": f"select route_id, cast(sim_date as varchar) as sim_date, {_label('ws', 'we')} as time_window, "
@@ -573,7 +598,7 @@ ORACLES: dict[str, str] = {
              lateral (select 0 as o, 'source' as kind, 0 as src, node as dst, load as cap, 0 as cost where stop_index = 0
               union all select 1, 'sink', node, 1, load, 0 where stop_index = 6
               union all select 2, 'segment', node, node + 1, load, price where stop_index < 6
-              union all select 3, 'carry', node, node + 7, 5, 1 where window_index < 5) edges""",
+              union all select 3, 'carry', node, node + 7, 5, 1 where window_index < 17) edges""",
     "segment_hits": """
         select anomaly_id, route_id, cast(sim_date as varchar) as sim_date, exists (select 1 from segscore s
                where s.route_id = truth.route_id and s.sim_date = truth.sim_date and rank_position <= 5
@@ -591,8 +616,7 @@ ORACLES: dict[str, str] = {
         select detection_id, d.route_id, cast(d.year as varchar) as sim_date, anomaly_score,
                {_label('ws', 'we')} as segment_window, s.segment_start_stop as located_start,
                s.segment_end_stop as located_end, localization_score, cast(rank_position as int) as rank_position
-        from (select *, cast(date_trunc('year', sim_date) as date) as year from rec
-              order by anomaly_score desc, detection_id limit 10) d
+        from (select *, cast(date_trunc('year', sim_date) as date) as year from rec) d
         left join segscore s on s.route_id = d.route_id and s.sim_date = d.year and rank_position <= 20""",
     "route_detail_stops": "select route_id, stop_id, stop_sequence, distance_from_start_km, "
                           "stop_sequence - 1 as stop_index, stop_name, stop_lat, stop_lon, boarding_density from stops",

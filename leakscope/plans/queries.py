@@ -15,13 +15,12 @@ from leakscope.functions.numeric import from_cents, half_up, sum_money
 from leakscope.operators import (detect, evaluate, features, forecast, forest, leakage_score,
                                  localize, nearby, network, ordered, scenario, selection, validation)
 from leakscope.plans import jobs, views
-from leakscope.session import materialize
+from leakscope.session import materialize, scratch_path
 from leakscope.sources import tables
 from leakscope.sources.testdata import TransitTables
 from leakscope.streaming import ingest, scoring
 from leakscope.streaming import windows as stream_windows
 
-THREE_HOUR_WINDOWS = [(5 + 3 * k, 8 + 3 * k) for k in range(6)]
 STANDARD_KEYS = ["route_id", "sim_hour"]
 
 
@@ -65,7 +64,7 @@ class Analytics(TransitTables):
 
     @cached_property
     def segments(self) -> DataFrame:
-        return localize.segment_grid(self.hourly, self.stop_order, THREE_HOUR_WINDOWS)
+        return localize.segment_grid(self.hourly, self.stop_order)
 
     @cached_property
     def segment_scores(self) -> DataFrame:
@@ -74,8 +73,8 @@ class Analytics(TransitTables):
 
     @cached_property
     def localized(self) -> DataFrame:
-        solved = materialize(localize.flows(self.hourly, self.stop_order, THREE_HOUR_WINDOWS), "solved")
-        return localize.localize_solved(self.hourly, self.stop_order, solved, THREE_HOUR_WINDOWS)
+        solved = materialize(localize.flows(self.hourly, self.stop_order), "solved")
+        return localize.localize_solved(self.hourly, self.stop_order, solved, localize.HOURLY_WINDOWS)
 
     @cached_property
     def splits(self) -> tuple[DataFrame, DataFrame]:
@@ -119,11 +118,6 @@ def route_leakage_daily(a: Analytics) -> DataFrame:
     return leakage_score.route_leakage(a.events)
 
 
-@query
-def route_leakage_newest(a: Analytics) -> DataFrame:
-    return leakage_score.route_leakage(a.events, newest=5000)
-
-
 @query
 def risk_levels(a: Analytics) -> DataFrame:
     return (a.scores.groupBy(F.year("sim_date").alias("year"), "risk_level")
@@ -155,6 +149,24 @@ def upsert_events(a: Analytics) -> DataFrame:
                                "expected_revenue": F.coalesce("expected_revenue", F.lit(-1.0))})
 
 
+@query
+def upsert_stored(a: Analytics) -> DataFrame:
+    """A stored table after upserts that move rows to other dates and to none."""
+    root = scratch_path(a.spark, "stored")
+    columns = ["event_id", "sim_date", "ticket_count", "reported_revenue"]
+    rows = a.events.select(*columns)
+    first = tables.latest_per_key(rows, ["event_id"], F.struct("reported_revenue", "ticket_count"))
+    year = F.trunc("sim_date", "year")
+    moved = first.select("event_id", F.when(F.col("ticket_count") % 3 > 0, F.date_add(year, 1)).alias("sim_date"),
+                         (F.col("ticket_count") + 1).alias("ticket_count"), "reported_revenue").filter("ticket_count % 2 = 0")
+    by_year = first.withColumn("sim_date", year)
+    tables.upsert_table(a.spark, root, "ticketing_events", by_year)
+    tables.upsert_table(a.spark, root, "ticketing_events", materialize(moved, "moved"))
+    return tables.scan(a.spark, root, "ticketing_events").select(
+        "event_id", F.coalesce(F.col("sim_date").cast("string"), F.lit("none")).alias("sim_date"), "ticket_count",
+        "reported_revenue")
+
+
 @query
 def delete_where(a: Analytics) -> DataFrame:
     kept = tables.delete_where(a.events, (F.col("ticket_count") == 0) | (F.col("sim_hour") >= 23))
@@ -167,11 +179,6 @@ def assign_ids(a: Analytics) -> DataFrame:
                              ["sim_date", "event_id"], start_after=1000)
 
 
-@query
-def object_listing(a: Analytics) -> DataFrame:
-    return tables.list_objects(a.spark, a.dir)
-
-
 @query
 def latest_models(a: Analytics) -> DataFrame:
     return views.latest_models(a.model_registry).withColumn(
@@ -253,7 +260,8 @@ def match_anomalies(a: Analytics) -> DataFrame:
 
 @query
 def segment_stats(a: Analytics) -> DataFrame:
-    stats = localize.segment_stats(a.hourly, a.stop_order, THREE_HOUR_WINDOWS)
+    """Per day, as the engine localizes by default."""
+    stats = localize.segment_stats(localize.hourly_sums(a.events), a.stop_order)
     return stats.select("route_id", "sim_date", "window_index", "segment_index", "boardings", "tickets",
                         from_cents("expected").alias("expected_revenue"),
                         from_cents("reported").alias("reported_revenue"))
@@ -362,7 +370,7 @@ def route_timeseries(a: Analytics) -> DataFrame:
 
 @query
 def timeseries_rollup(a: Analytics) -> DataFrame:
-    rolled = views.timeseries_rollup(views.route_timeseries(a.events, date_col="period_year"))
+    rolled = views.timeseries_rollup(views.route_timeseries(a.events))
     return rolled.withColumns({
         "sim_date": F.coalesce(F.col("sim_date").cast("string"), F.lit("all")),
         "sim_hour": F.coalesce("sim_hour", F.lit(-1))})
@@ -658,9 +666,7 @@ def detected_anomalies(a: Analytics) -> DataFrame:
 
 @query
 def detect_route(a: Analytics) -> DataFrame:
-    by_month = a.detected.withColumn("period", F.trunc("sim_date", "month"))
-    return views.detect_route(by_month, "period").select(
-        "event_id", "route_id", "period", "anomaly_score", "total")
+    return views.detect_route(a.detected).select("event_id", "route_id", "sim_date", "anomaly_score", "total")
 
 
 @query
@@ -720,13 +726,13 @@ def review_rejected(a: Analytics) -> DataFrame:
 
 @query
 def network_edges(a: Analytics) -> DataFrame:
-    grid = localize.stop_grid(a.hourly, a.stop_order, THREE_HOUR_WINDOWS)
-    return localize.network_edges(grid, len(THREE_HOUR_WINDOWS))
+    grid = localize.stop_grid(a.hourly, a.stop_order)
+    return localize.network_edges(grid, len(localize.HOURLY_WINDOWS))
 
 
 @query
 def flow_totals(a: Analytics) -> DataFrame:
-    solved = localize.flows(a.hourly, a.stop_order, THREE_HOUR_WINDOWS)
+    solved = localize.flows(a.hourly, a.stop_order)
     return solved.select("route_id", "sim_date", "total_flow", "total_cost")
 
 
@@ -767,8 +773,7 @@ def localization_view(a: Analytics) -> DataFrame:
 
 @query
 def anomaly_detail(a: Analytics) -> DataFrame:
-    worst = a.records.orderBy(F.desc("anomaly_score"), "detection_id").limit(views.TOP_ANOMALIES)
-    of_year = worst.withColumn("sim_date", F.trunc("sim_date", "year"))
+    of_year = a.records.withColumn("sim_date", F.trunc("sim_date", "year"))
     return views.anomaly_detail(of_year, a.segment_scores).select(
         "detection_id", "route_id", "sim_date", "anomaly_score", "segment_window", "located_start",
         "located_end", "localization_score", F.col("rank_position"))

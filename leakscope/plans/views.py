@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leakscope import schemas
 from leakscope.functions.numeric import cents, from_cents, half_up, sum_money
+from leakscope.operators.ordered import index_in_groups
 
 # Fixed values.
 PAGE_SIZE = 50
@@ -124,9 +125,12 @@ def _queued(records, status, route_id, min_score) -> DataFrame:
         None if min_score is None else F.col("anomaly_score") >= min_score]))
 
 
-def anomaly_detail(records: DataFrame, localized: DataFrame) -> DataFrame:
-    """Given detections with the best segments of their route and day."""
-    top = localized.filter(F.col("rank_position") <= SEGMENTS_PER_DETAIL).select(
+def anomaly_detail(records: DataFrame, localized: DataFrame, detection_id: str | None = None,
+                   segments: int | None = SEGMENTS_PER_DETAIL) -> DataFrame:
+    """Detections, or one of them, with the best segments of their route and day."""
+    records = records.filter(all_of([_equals("detection_id", detection_id)]))
+    within = None if segments is None else F.col("rank_position") <= segments
+    top = localized.filter(all_of([within])).select(
         "route_id", "sim_date", F.col("time_window").alias("segment_window"),
         F.col("segment_start_stop").alias("located_start"),
         F.col("segment_end_stop").alias("located_end"), "localization_score", "rank_position")
@@ -149,13 +153,13 @@ def review_update(records: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def localization_view(localized: DataFrame, stops: DataFrame, route_id: str | None = None,
-                      sim_date=None) -> DataFrame:
+                      sim_date=None, segments: int | None = SEGMENTS_PER_ROUTE) -> DataFrame:
     """Best segments with names and places: of the given date, else each route's newest."""
     chosen = localized.filter(all_of([_equals("route_id", route_id), _equals("sim_date", sim_date)]))
     if sim_date is None:
         newest = chosen.groupBy("route_id").agg(F.max("sim_date").alias("sim_date"))
         chosen = chosen.join(newest, ["route_id", "sim_date"], "left_semi")
-    chosen = chosen.filter(F.col("rank_position") <= SEGMENTS_PER_ROUTE)
+    chosen = chosen.filter(all_of([None if segments is None else F.col("rank_position") <= segments]))
 
     def end(prefix: str) -> DataFrame:
         return stops.select(
@@ -236,11 +240,14 @@ def recent_metrics(metrics: DataFrame, n: int = RECENT_METRICS) -> DataFrame:
 def ewma(series: DataFrame, key: str, order: str, value: str, decay: float = 0.9) -> DataFrame:
     """Running mean m <- decay*m + (1-decay)*x from 0, at its last value per key.
 
-    Unrolled, the k-th newest value has weight (1-decay)*decay^k.
+    Unrolled, the k-th newest value has weight (1-decay)*decay^k.  Rows are numbered
+    over range partitions, so a key with most of the rows is many tasks' work, and
+    the weighted values add up in partial sums.  (key, order) must be unique.
     """
-    age = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order))) - 1
-    weighted = series.withColumn("_w", F.pow(F.lit(decay), age) * (1.0 - decay) * F.col(value))
-    return weighted.groupBy(key).agg(F.sum("_w").alias("ewma"))
+    numbered = index_in_groups(series.select(key, order, value), key, [order], "_at")
+    last = numbered.groupBy(key).agg(F.max("_at").alias("_last"))
+    weight = F.pow(F.lit(decay), F.col("_last") - F.col("_at")) * (1.0 - decay)
+    return numbered.join(last, key).groupBy(key).agg(F.sum(weight * F.col(value)).alias("ewma"))
 
 
 def active_models(registry: DataFrame) -> DataFrame:
@@ -271,6 +278,7 @@ def segment_band(score: Column) -> Column:
     return F.when(score > 0.5, "high").when(score > 0.25, "medium").otherwise("low")
 
 
-def recent_dates(events: DataFrame, n: int = 7, date_col: str = "sim_date") -> DataFrame:
-    return (events.select(F.col(date_col).alias("sim_date")).distinct()
-            .orderBy(F.desc("sim_date")).limit(n))
+def recent_dates(events: DataFrame, n: int | None = 7, date_col: str = "sim_date") -> DataFrame:
+    """The newest dates first; all of them without ``n``."""
+    dates = events.select(F.col(date_col).alias("sim_date")).distinct().orderBy(F.desc("sim_date"))
+    return dates if n is None else dates.limit(n)

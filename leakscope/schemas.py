@@ -38,7 +38,10 @@ TICKETING_EVENTS = _schema(
     ("boarding_count", I), ("alighting_count", I), ("ticket_count", I), ("payment_mode", S),
     ("expected_revenue", D), ("reported_revenue", D), ("is_anomalous", I), ("anomaly_id", S))
 
-# Events as they arrive: the timestamp is still text.
+# Events as they are sent: JSON whose values may be of any type, read as text.
+SENT_EVENTS = T.StructType([T.StructField(f.name, S) for f in TICKETING_EVENTS.fields])
+
+# Events with parsed numbers; the timestamp is still text.
 RAW_EVENTS = T.StructType(
     [T.StructField(f.name, S if f.name == "event_timestamp" else f.dataType)
      for f in TICKETING_EVENTS.fields])

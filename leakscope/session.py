@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,24 +37,72 @@ def build_session(app: str = "leakscope", master: str | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``.  Only a
-    local master, where driver and executors are one process, may fall back to
-    a folder of this machine.
+    A cluster names its shared folder in ``spark.checkpoint.dir``.  Where nothing
+    is set, the warehouse takes them, which driver and executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="leakscope-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system a path belongs to, and the path as it knows it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path.  A file system that cannot tell raises."""
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a path; none where there is nothing."""
+    files, where = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+# Folders of the jobs that are running, innermost last, by application.
+_scopes: dict[str, list[str]] = {}
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/leakscope-{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def job_scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Intermediate tables written inside belong to one job and go when it ends."""
+    folder = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    open_scopes = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    open_scopes.append(folder)
+    try:
+        yield
+    finally:
+        open_scopes.remove(folder)
+        delete_path(spark, folder)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder: the running job's, or else the
+    application's, which the file system deletes when the application ends."""
+    open_scopes = _scopes.get(spark.sparkContext.applicationId)
+    if open_scopes:
+        return f"{open_scopes[-1]}/{name}-{uuid.uuid4().hex}"
+    files, where = _file_system(spark, _application_folder(spark))
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -6,13 +6,12 @@ partitioned by date so that a date filter reads only its own folders.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope import schemas
 from leakscope.operators.ordered import ordered_index
-from leakscope.session import materialize
+from leakscope.session import delete_path, job_scratch, materialize, path_exists
 
 
 def table_path(root: str, name: str) -> str:
@@ -91,37 +90,43 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str],
     return joined.select(*[merged(c).alias(c) for c in target.columns])
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        return True
-    except AnalysisException:
-        return False
-
-
 def upsert_table(spark: SparkSession, root: str, name: str, updates: DataFrame,
                  order: Column | None = None) -> None:
     """Merge rows into a stored table.  ``order`` picks the last row of a key the
     updates repeat; without it keys must be unique.
 
-    Where the table is partitioned by date and the updates carry the date, only
-    those dates are read and rewritten (a row then stays in its date).  The
-    merged rows go to the scratch folder first, because a plan cannot read
-    the files it replaces.
+    Where the table is partitioned by date and the updates carry the date, a key
+    is looked up in the whole table, but only the dates the updates name and
+    the dates their keys are stored under are rewritten; a row whose date
+    changes moves.  A missing date is a date of its own.  The merged rows go to
+    the scratch folder first, because a plan cannot read the files it replaces.
     """
-    keys = schemas.PRIMARY_KEYS[name]
+    path, keys = table_path(root, name), schemas.PRIMARY_KEYS[name]
     source = updates if order is None else latest_per_key(updates, keys, order)
-    if not exists(spark, table_path(root, name)):
+    if not path_exists(spark, path):
         overwrite(source, root, name)
         return
-    target = scan(spark, root, name)
-    parts = schemas.PARTITIONED_BY.get(name, [])
-    if parts and set(parts) <= set(updates.columns):
+    with job_scratch(spark, "upsert"):
         source = materialize(source, "updates")
+        target = scan(spark, root, name)
+        parts = schemas.PARTITIONED_BY.get(name, [])
+        if not parts or not set(parts) <= set(updates.columns):
+            overwrite(materialize(upsert(target, source, keys), "merged"), root, name)
+            return
+        part = parts[0]
+        stored = target.select(*keys, part).join(source.select(*keys), keys, "left_semi")
         # one value per calendar day
-        days = [r[0] for r in source.select(parts[0]).distinct().collect()]
-        target = target.filter(F.col(parts[0]).isin(days))
-    overwrite(materialize(upsert(target, source, keys), "merged"), root, name)
+        days = [r[0] for r in source.select(part).union(stored.select(part)).distinct().collect()]
+        touched = F.col(part).isin([d for d in days if d is not None])
+        if None in days:
+            touched = touched | F.col(part).isNull()
+        merged = materialize(upsert(target.filter(touched), source, keys), "merged")
+        overwrite(merged, root, name)
+        # the overwrite leaves a date alone that all rows have moved away from
+        filled = {r[0] for r in merged.select(part).distinct().collect()}
+        for day in set(days) - filled:
+            folder = "__HIVE_DEFAULT_PARTITION__" if day is None else day
+            delete_path(spark, f"{path}/{part}={folder}")
 
 
 def update_where(df: DataFrame, where: Column, changes: dict[str, Column]) -> DataFrame:
@@ -150,7 +155,7 @@ def get_object(spark: SparkSession, root: str, bucket: str, key: str, fmt: str =
                ) -> DataFrame | None:
     """The stored object, or None where there is none."""
     path = f"{root}/{bucket}/{key}"
-    return spark.read.format(fmt).load(path) if exists(spark, path) else None
+    return spark.read.format(fmt).load(path) if path_exists(spark, path) else None
 
 
 def list_objects(spark: SparkSession, path: str) -> DataFrame:

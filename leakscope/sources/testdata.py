@@ -81,6 +81,11 @@ EVENT_COLUMNS = [
     ("period", f"{{month:{SIM_DATE}}}"),
     ("period_year", f"{{year:{SIM_DATE}}}"),
 ]
+# Faults of events as they arrive, by the last digits of a number: field, number, text.
+FAULT = "(l_orderkey * 7 + l_linenumber * 3) % 211"
+FAULTS = [("route_id", 0, "null"), ("boarding_count", 1, "-1"), ("ticket_count", 2, "null"),
+          ("event_timestamp", 3, "'not a date'"), ("event_timestamp", 4, "''"), ("event_timestamp", 5, "'10:00'"),
+          ("expected_revenue", 6, "null"), ("ticket_count", 7, "-2"), ("boarding_count", 7, "null")]
 # from orders: the fifth mode is not a known one and feeds the dead letters
 PAYMENT_MODE = ("case o_orderpriority when '1-URGENT' then 'cash' when '2-HIGH' then 'upi' "
                 "when '3-MEDIUM' then 'card' when '5-LOW' then 'pass' else 'voucher' end")
@@ -129,13 +134,6 @@ class TransitTables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
-    def fact(self, name: str, key: str) -> DataFrame:
-        """A large table.  Enough input splits for all cores are scanned as they are;
-        a single small file is one task, so its rows are spread over the cores by key."""
-        df = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
     @staticmethod
     def _columns(columns) -> list[str]:
         return [f"{render(text, SPARK)} as {name}" for name, text in columns]
@@ -143,12 +141,12 @@ class TransitTables:
     @cached_property
     def events(self) -> DataFrame:
         """Ticketing events without the payment mode: a scan of one table."""
-        return self.fact("lineitem", "l_orderkey").selectExpr(*self._columns(EVENT_COLUMNS))
+        return self.table("lineitem").selectExpr(*self._columns(EVENT_COLUMNS))
 
     def _with_modes(self, lines: DataFrame | None = None) -> DataFrame:
-        modes = self.fact("orders", "o_orderkey").selectExpr(
+        modes = self.table("orders").selectExpr(
             "o_orderkey", f"{PAYMENT_MODE} as payment_mode")
-        rows = self.fact("lineitem", "l_orderkey") if lines is None else lines
+        rows = self.table("lineitem") if lines is None else lines
         return rows.join(modes, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
     @cached_property
@@ -158,11 +156,16 @@ class TransitTables:
 
     @cached_property
     def raw_events(self) -> DataFrame:
-        """Events as they arrive: ISO text for the timestamp."""
+        """Events as they arrive: ISO text for the timestamp, some fields missing or wrong."""
         return self._raw(self._with_modes())
 
     def _raw(self, lines: DataFrame) -> DataFrame:
-        columns = [(n, STAMP if n == "event_timestamp" else x) for n, x in EVENT_COLUMNS]
+        def sent(name: str, text: str) -> str:
+            text = STAMP if name == "event_timestamp" else text
+            cases = " ".join(f"when {number} then {value}" for field, number, value in FAULTS if field == name)
+            return f"case {FAULT} {cases} else {text} end" if cases else text
+
+        columns = [(n, sent(n, x)) for n, x in EVENT_COLUMNS]
         df = lines.selectExpr(*self._columns(columns), "payment_mode")
         return df.select(*[f.name for f in schemas.RAW_EVENTS.fields])
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,30 +20,40 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from leakscope import schemas
 from leakscope.functions.text import NUM_STREAM_PARTITIONS, stream_partition
 from leakscope.operators import validation
-from leakscope.session import scratch_path
+from leakscope.session import delete_path, folder_names, scratch_path
 from leakscope.sources import tables
 
 FLUSH_INTERVAL = "5 seconds"
 EWMA_DECAY = 0.9
+KEPT_ERRORS = 100
 
 Handler = Callable[[DataFrame, int], None]
 
 
+def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Events as sent: the text of every field next to the whole line, so that a letter can
+    quote it and a value of the wrong type is seen as what it is."""
+    parsed = lines.select(F.col(value).cast("string").alias("original_event")).withColumn(
+        "_e", F.from_json("original_event", schemas.SENT_EVENTS))
+    return parsed.select("_e.*", "original_event")
+
+
 def read_events(spark: SparkSession, path: str, fmt: str = "json",
                 files_per_batch: int | None = None) -> DataFrame:
-    """Raw events from a folder of files."""
-    reader = spark.readStream.schema(schemas.RAW_EVENTS).format(fmt)
+    """Raw events from a folder of files: lines of JSON, or a format with types."""
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    if fmt == "json":
+        return parse_events(reader.text(path))
+    return reader.schema(schemas.RAW_EVENTS).format(fmt).load(path)
 
 
 def read_broker(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """Raw events from a message broker keyed by route; needs the Kafka package on the class path."""
     lines = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
              .option("subscribe", topic).load())
-    return lines.select(F.from_json(F.col("value").cast("string"), schemas.RAW_EVENTS).alias("e")
-                        ).select("e.*")
+    return parse_events(lines)
 
 
 def by_route(events: DataFrame, num_partitions: int = NUM_STREAM_PARTITIONS) -> DataFrame:
@@ -58,8 +69,7 @@ def table_handler(root: str) -> Handler:
     """Stores events; a replayed id overwrites its row.  Rewrites the dates a batch
     touches, so it suits moderate rates or long intervals."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        typed = validation.typed_events(batch).withColumn(
-            "sim_date", F.coalesce("sim_date", F.col("event_timestamp").cast("date")))
+        typed = validation.typed_events(batch)
         tables.upsert_table(batch.sparkSession, root, "ticketing_events", typed,
                             F.struct("event_timestamp", "reported_revenue", "ticket_count"))
 
@@ -90,7 +100,9 @@ def compact(spark: SparkSession, root: str, first_batch: int, last_batch: int) -
 def archive_handler(root: str) -> Handler:
     """Keeps the payload of every good event as JSON text, by batch and date."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.to_json(F.struct(*batch.columns)).alias("value"), "sim_date")
+        sent = F.col("original_event") if "original_event" in batch.columns else F.to_json(F.struct(*batch.columns))
+        (batch.select(sent.alias("value"), F.coalesce(
+            F.col("sim_date").try_cast("date"), validation.event_time(F.col("event_timestamp")).cast("date")).alias("sim_date"))
          .write.mode("overwrite").partitionBy("sim_date").text(f"{root}/raw-data/batch={batch_id}"))
 
     return store
@@ -115,14 +127,15 @@ class Ingest:
         self.totals = {"ingestion_total": 0, "processing_total": 0, "dead_letter_total": 0,
                        "failed_total": 0, "pending_events": 0}
         self.avg_processing_time = 0.0
-        self.errors: list[str] = []
+        self.errors: deque[str] = deque(maxlen=KEPT_ERRORS)
 
     def subscribe(self, handler: Handler) -> None:
         self.handlers.append(handler)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch: every handler sees every good event.  A handler that
-        fails is noted and does not keep the others from running."""
+        fails does not keep the others from running; what it missed is stored and
+        given to it again, in order, before the next batch."""
         started = time.time()
         checked = validation.validate(batch).persist()
         try:
@@ -131,11 +144,10 @@ class Ingest:
             (tables.conform(validation.dead_letters(checked).drop("event_id"), "dead_letter_events")
              .write.mode("overwrite")
              .parquet(f"{tables.table_path(self.root, 'dead_letter_events')}/batch={batch_id}"))
-            for handler in self.handlers:
-                try:
-                    handler(good, batch_id)
-                except Exception as failure:
-                    self.errors.append(f"batch {batch_id}: {failure}")
+            for number, handler in enumerate(self.handlers):
+                if not (self._replay(batch.sparkSession, number, handler)
+                        and self._deliver(handler, good, batch_id)):
+                    good.write.mode("overwrite").parquet(f"{self._missed(number)}/batch={batch_id}")
                     self.totals["failed_total"] += counts["succeeded"]
             self.totals["ingestion_total"] += counts["succeeded"]
             self.totals["processing_total"] += counts["succeeded"]
@@ -146,6 +158,28 @@ class Ingest:
         self.avg_processing_time = EWMA_DECAY * self.avg_processing_time + (1 - EWMA_DECAY) * took
         self.record_metrics(batch.sparkSession)
 
+    def _missed(self, number: int) -> str:
+        """Folder of the batches that a handler, by its place, has yet to take."""
+        return f"{self.root}/retry/handler={number}"
+
+    def _deliver(self, handler: Handler, batch: DataFrame, batch_id: int) -> bool:
+        try:
+            handler(batch, batch_id)
+            return True
+        except Exception as failure:
+            self.errors.append(f"batch {batch_id}: {failure}")
+            return False
+
+    def _replay(self, spark: SparkSession, number: int, handler: Handler) -> bool:
+        """Gives a handler what it missed, oldest first; stops where it fails again."""
+        missed = sorted(int(name.split("=")[1]) for name in folder_names(spark, self._missed(number)))
+        for batch_id in missed:
+            path = f"{self._missed(number)}/batch={batch_id}"
+            if not self._deliver(handler, spark.read.parquet(path), batch_id):
+                return False
+            delete_path(spark, path)
+        return True
+
     def metrics(self) -> dict[str, float]:
         """Running figures.  A batch takes all it read, so nothing is pending between
         batches; what waits in the source is in the query's own progress."""

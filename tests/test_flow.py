@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from leakscope.operators import flow, localize, network
 
 GRAPHS = {
-    "chain": ([(0, 1, 10, 1), (1, 2, 10, 1)], 0, 2, 10, 20),
-    "diamond": ([(0, 1, 5, 3), (0, 2, 5, 1), (1, 3, 5, 0), (2, 3, 5, 0)], 0, 3, 10, 20),
-    "bottleneck": ([(0, 1, 10, 0), (0, 2, 10, 0), (1, 3, 3, 0), (2, 3, 3, 0)], 0, 3, 6, 0),
-    "no path": ([(0, 1, 5, 1)], 0, 2, 0, 0),
-    "shortest path": ([(0, 1, 1, 2), (0, 2, 1, 4), (1, 3, 1, 1), (2, 3, 1, 1)], 0, 3, 2, 8)}
+    "one arc": ([(0, 1, 7, 3)], 0, 1, 7, 21),
+    "three in a row": ([(0, 2, 9, 2), (2, 3, 4, 1), (3, 1, 6, 5)], 0, 1, 4, 32),
+    "cheap way first, dear way last": ([(0, 2, 3, 1), (2, 1, 3, 1), (0, 1, 2, 9)], 0, 1, 5, 24),
+    "the sink is cut off": ([(0, 2, 4, 1), (3, 1, 4, 1)], 0, 1, 0, 0),
+    "flow must be led back": ([(0, 2, 1, 1), (0, 3, 1, 4), (2, 3, 1, 1), (2, 1, 1, 6), (3, 1, 1, 1)], 0, 1, 2, 12)}
 
 
 @pytest.mark.parametrize("name", GRAPHS)

@@ -119,8 +119,8 @@ def test_weighted_bucket(spark):
 
 
 EVENT = dict(
-    event_id="test-1", trip_id="T1", route_id="R1", stop_id="S1", event_timestamp="2024-01-01T10:00:00",
-    boarding_count=5, ticket_count=5, expected_revenue=100.0, reported_revenue=95.0, payment_mode="cash")
+    event_id="ev-0417", trip_id="night-3", route_id="N12", stop_id="quay", event_timestamp="2031-08-19T22:41:00",
+    boarding_count=17, ticket_count=14, expected_revenue=212.5, reported_revenue=175.0, payment_mode="upi")
 RAW = ("event_id string, trip_id string, route_id string, stop_id string, event_timestamp string, "
        "boarding_count int, ticket_count int, expected_revenue double, reported_revenue double, "
        "payment_mode string")
@@ -134,13 +134,23 @@ RAW = ("event_id string, trip_id string, route_id string, stop_id string, event_
     ({"payment_mode": ""}, []),
     ({"boarding_count": -1}, ["boarding_count must be a non-negative number"]),
     ({"ticket_count": -1, "event_timestamp": "not a date"},
-     ["ticket_count must be a non-negative number", "Invalid event_timestamp format"])])
+     ["ticket_count must be a non-negative number", "Invalid event_timestamp format"]),
+    ({"event_timestamp": ""}, ["Invalid event_timestamp format"]),
+    ({"event_timestamp": "10:00"}, ["Invalid event_timestamp format"]),
+    ({"event_timestamp": "2031-08-19T22:41:00+05:30"}, [])])
 def test_event_validation(spark, change, errors):
     row = spark.createDataFrame([Row(**{**EVENT, **change})], RAW)
     got = validation.validate(row).first()
     assert got.errors == errors and got.valid == (not errors)
 
 
+def test_zone_offsets_count(spark):
+    df = spark.createDataFrame([("2031-08-19T22:41:00+05:30",), ("2031-08-19T22:41:00Z",), ("2031-08-19",), ("",), ("10:00",)],
+                               "t string")
+    got = [str(r.t) for r in df.select(validation.event_time(F.col("t")).alias("t")).collect()]
+    assert got == ["2031-08-19 17:11:00", "2031-08-19 22:41:00", "2031-08-19 00:00:00", "None", "None"]
+
+
 def test_counts_given_as_text(spark):
     df = spark.createDataFrame([Row(**{**EVENT, "boarding_count": "many"})],
                                RAW.replace("boarding_count int", "boarding_count string"))
@@ -149,9 +159,9 @@ def test_counts_given_as_text(spark):
 
 def test_features(spark):
     event = spark.createDataFrame([Row(
-        event_id="e", sim_hour=9, day_of_week=2, route_category="city-core", stop_sequence=5,
-        boarding_density=2.0, boarding_count=10, expected_revenue=100.0, reported_revenue=80.0,
-        ticket_count=8, route_id="R1", trip_id="T1", stop_id="S1", sim_date=dt.date(2024, 1, 1),
+        event_id="ev-9", sim_hour=8, day_of_week=3, route_category="city-core", stop_sequence=11,
+        boarding_density=3.5, boarding_count=40, expected_revenue=640.0, reported_revenue=560.0,
+        ticket_count=30, route_id="N12", trip_id="night-3", stop_id="quay", sim_date=dt.date(2031, 8, 20),
         is_anomalous=0, anomaly_id=None)],
         "event_id string, sim_hour int, day_of_week int, route_category string, stop_sequence int, "
         "boarding_density double, boarding_count int, expected_revenue double, reported_revenue double, "
@@ -159,7 +169,7 @@ def test_features(spark):
         "is_anomalous int, anomaly_id string")
     f = features.engineer(event).first()
     assert (f.is_peak_morning, f.is_weekend, f.route_category_num) == (1, 0, 0)
-    assert (f.revenue_ratio, f.ticket_ratio, f.revenue_gap) == (0.8, 0.8, 20.0)
+    assert (f.revenue_ratio, f.ticket_ratio, f.revenue_gap) == (0.875, 0.75, 80.0)
     assert -1 <= f.hour_sin <= 1
     changed = event.withColumns({"route_category": F.lit("tram"), "expected_revenue": F.lit(0.0),
                                  "boarding_count": F.lit(0), "boarding_density": F.lit(None).cast("double")})

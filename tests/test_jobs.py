@@ -32,8 +32,9 @@ def test_outputs(run, spark, small):
     root, results = run
     found = tables.scan(spark, root, "detected_anomalies")
     assert found.count() == results["phases"]["detection"]["stats"]["total_detections"] > 0
-    assert found.select("sim_date").distinct().count() <= 7
-    assert tables.scan(spark, root, "route_leakage_scores").count() == 5000 or small.scores.count() < 5000
+    assert found.select("sim_date").distinct().count() > 7          # all days, not the newest few
+    assert tables.scan(spark, root, "route_leakage_scores").count() == \
+        small.events.select("route_id", "sim_date").distinct().count()
     assert tables.scan(spark, root, "flow_localization_results").count() == \
         results["phases"]["localization"]["stats"]["total_localizations"]
     logged = tables.scan(spark, root, "pipeline_runs")
@@ -59,6 +60,7 @@ def test_a_rerun_replaces_its_rows(run, spark, small):
     before = tables.scan(spark, root, "detected_anomalies").count()
     events = small.events.drop("line_status", "period", "period_year")
     days = [r[0] for r in views.recent_dates(events).collect()]
+    assert len(days) == 7
     jobs.detect_recent(spark, events, small.routes, small.stops.drop("route_id", "stop_sequence"),
                        jobs.load_models(spark, root)["baselines"], root, days)
     assert tables.scan(spark, root, "detected_anomalies").count() == before

@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import compare  # noqa: E402
 import __spark_entry__ as contract  # noqa: E402
+from leakscope.plans import queries as plans  # noqa: E402
 from conftest import SMALL  # noqa: E402
 
 SLOW = {"forecast", "forecast_revenue", "training_report"}  # trained in test_jobs
@@ -23,7 +24,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(plans.registered()) - SLOW))
 def test_query(spark, con, name):
     verdict, note = compare.compare(spark, con, SMALL, name)
     assert verdict in ("ok", "rows-only"), note

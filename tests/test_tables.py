@@ -68,6 +68,50 @@ def test_upsert_table_rewrites_only_its_dates(spark, tmp_path):
     assert untouched == sorted(p.name for p in (tmp_path / "ticketing_events" / "sim_date=2024-01-02").iterdir())
 
 
+def stored(spark, root):
+    return rows(tables.scan(spark, root, "ticketing_events").select("event_id", "sim_date", "reported_revenue"), "event_id", "sim_date")
+
+
+def test_upsert_table_moves_a_row_whose_date_changes(spark, tmp_path):
+    root = str(tmp_path)
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    tables.upsert_table(spark, root, "ticketing_events", spark.createDataFrame(
+        [_event("a", d1, 1.0), _event("b", d2, 2.0)], EVENT_COLS))
+    tables.upsert_table(spark, root, "ticketing_events", spark.createDataFrame([_event("a", d2, 5.0)], EVENT_COLS))
+    assert stored(spark, root) == [("a", d2, 5.0), ("b", d2, 2.0)]
+    assert not (tmp_path / "ticketing_events" / "sim_date=2024-01-01").exists()
+
+
+def test_upsert_table_keeps_rows_without_a_date(spark, tmp_path):
+    root, d1 = str(tmp_path), dt.date(2024, 1, 1)
+    for row in (_event("a", None, 1.0), _event("b", None, 2.0), _event("c", d1, 3.0)):
+        tables.upsert_table(spark, root, "ticketing_events", spark.createDataFrame([row], EVENT_COLS))
+    assert stored(spark, root) == [("a", None, 1.0), ("b", None, 2.0), ("c", d1, 3.0)]
+    tables.upsert_table(spark, root, "ticketing_events", spark.createDataFrame([_event("a", d1, 4.0)], EVENT_COLS))
+    assert stored(spark, root) == [("a", d1, 4.0), ("b", None, 2.0), ("c", d1, 3.0)]
+
+
+def test_an_unreadable_table_is_not_overwritten(spark, tmp_path):
+    (tmp_path / "ticketing_events").mkdir()
+    (tmp_path / "ticketing_events" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        tables.upsert_table(spark, str(tmp_path), "ticketing_events", spark.createDataFrame(
+            [_event("a", dt.date(2024, 1, 1), 1.0)], EVENT_COLS))
+    assert (tmp_path / "ticketing_events" / "part-0.parquet").read_text() == "not parquet"
+
+
+def test_jobs_leave_no_scratch_behind(spark, tmp_path):
+    from leakscope import session
+    def left():
+        return set(session.folder_names(spark, session._application_folder(spark)))
+    session.scratch_path(spark, "x")
+    before = left()
+    for day in (1, 2):
+        tables.upsert_table(spark, str(tmp_path), "ticketing_events", spark.createDataFrame(
+            [_event("a", dt.date(2024, 1, day), 1.0)], EVENT_COLS))
+    assert left() == before
+
+
 def test_scan_prunes_dates_and_columns(spark, tmp_path):
     root = str(tmp_path)
     first = spark.createDataFrame([_event("a", dt.date(2024, 1, d), 1.0) for d in (1, 2, 3)], EVENT_COLS)
