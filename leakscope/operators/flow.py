@@ -104,6 +104,42 @@ def solve_graphs(edges: DataFrame, keys: list[str], source: int = 0, sink: int =
     return solved.select(*keys, "edges", "_r.total_flow", "_r.total_cost", "_r.flow", "_r.error")
 
 
+def _faults(source: int, sink: int):
+    @F.pandas_udf("struct<over_capacity: bigint, unbalanced: bigint, total_gap: bigint, path_left: boolean>")
+    def check(src: pd.Series, dst: pd.Series, cap: pd.Series, flow: pd.Series, total: pd.Series) -> pd.DataFrame:
+        rows = []
+        for u, v, c, f, t in zip(src, dst, cap, flow, total):
+            net: dict[int, int] = {}
+            onward: dict[int, list[int]] = {}
+            for a, b, room, used in zip(u.tolist(), v.tolist(), c.tolist(), f.tolist()):
+                net[a], net[b] = net.get(a, 0) - used, net.get(b, 0) + used
+                if used < room:
+                    onward.setdefault(a, []).append(b)
+                if used > 0:
+                    onward.setdefault(b, []).append(a)
+            seen, open_nodes = {source}, [source]
+            while open_nodes:
+                for b in onward.get(open_nodes.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        open_nodes.append(b)
+            rows.append((int(((f < 0) | (f > c)).sum()), sum(n != 0 for k, n in net.items() if k not in (source, sink)),
+                         int(t + net.get(source, 0)), sink in seen))
+        return pd.DataFrame(rows, columns=["over_capacity", "unbalanced", "total_gap", "path_left"])
+
+    return check
+
+
+def flow_checks(solved: DataFrame, keys: list[str], source: int = 0, sink: int = 1) -> DataFrame:
+    """What a maximum flow must not have, per graph: edges beyond their capacity, inner
+    nodes that gain or lose flow, a total other than what leaves the source, and a
+    way left from source to sink.  A graph without a solution is left out."""
+    good = solved.filter(F.col("error").isNull())
+    found = good.withColumn("_c", _faults(source, sink)(
+        *[F.col(f"edges.{c}") for c in ("src", "dst", "capacity")], "flow", "total_flow"))
+    return found.select(*keys, "_c.*")
+
+
 def edge_flows(solved: DataFrame, keys: list[str]) -> DataFrame:
     """Edges that carry flow."""
     paired = F.arrays_zip(F.col("edges"), F.col("flow"))

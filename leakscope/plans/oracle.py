@@ -599,6 +599,8 @@ ORACLES: dict[str, str] = {
               union all select 1, 'sink', node, 1, load, 0 where stop_index = 6
               union all select 2, 'segment', node, node + 1, load, price where stop_index < 6
               union all select 3, 'carry', node, node + 7, 5, 1 where window_index < 17) edges""",
+    "flow_checks": "select route_id, cast(sim_date as varchar) as sim_date, cast(0 as bigint) as over_capacity, "
+                   "cast(0 as bigint) as unbalanced, cast(0 as bigint) as total_gap, false as path_left from ry",
     "segment_hits": """
         select anomaly_id, route_id, cast(sim_date as varchar) as sim_date, exists (select 1 from segscore s
                where s.route_id = truth.route_id and s.sim_date = truth.sim_date and rank_position <= 5

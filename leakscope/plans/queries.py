@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from leakscope.functions import demand, geo, text
 from leakscope.functions.numeric import from_cents, half_up, sum_money
-from leakscope.operators import (detect, evaluate, features, forecast, forest, leakage_score,
+from leakscope.operators import (detect, evaluate, features, flow, forecast, forest, leakage_score,
                                  localize, nearby, network, ordered, scenario, selection, validation)
 from leakscope.plans import jobs, views
 from leakscope.session import materialize, scratch_path
@@ -736,6 +736,12 @@ def flow_totals(a: Analytics) -> DataFrame:
     return solved.select("route_id", "sim_date", "total_flow", "total_cost")
 
 
+@query
+def flow_checks(a: Analytics) -> DataFrame:
+    solved = localize.flows(a.hourly, a.stop_order)
+    return flow.flow_checks(solved, localize.KEYS, localize.SOURCE, localize.SINK)
+
+
 @query
 def localization(a: Analytics) -> DataFrame:
     return a.localized

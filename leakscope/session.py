@@ -116,4 +116,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Deletes materialised tables that no plan will read again."""
+    for df in stored:
+        delete_path(df.sparkSession, df._scratch)
