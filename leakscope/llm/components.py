@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.session import materialize
+from leakscope.session import materialize, release
 
-BLOCK = 256         # members of a bucket that a task compares with as many others
+BLOCK = 1024        # members of a bucket that a task compares with as many others
 PAIRS = 512         # pairs confirmed before connected ones are sorted out again
 
 
@@ -33,11 +33,14 @@ def components(edges: DataFrame) -> DataFrame:
         heard = (labels.join(told, F.col("node") == F.col("a"), "left")
                  .select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
         heard = materialize(heard, "labels")
+        release(labels)
         if heard.filter("label <> old").isEmpty():
+            release(both)
             return heard.select("node", F.col("label").alias("component"))
         jump = heard.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = materialize(heard.join(jump, "label", "left")
                              .select("node", F.coalesce("next", "label").alias("label")), "labels")
+        release(heard)
 
 
 def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Callable[[Column, Column], Column],
@@ -65,15 +68,20 @@ def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Cal
     left, right = (contents.withColumnsRenamed({"node": n, "content": f"_{n}"}) for n in "ab")
     links = materialize(close.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
                         .mapInArrow(_confirmed(confirm), "a long, b long"), "links")
+    release(close)
     labels = components(links)
-    open_rows = materialize(_open_members(members, labels, traits, allowed), "open")
+    open_rows = _open_members(members, labels, traits, allowed)
     keys = ["bucket", "low", "high"]
     more = materialize(
         open_rows.join(traits, "node").join(contents, "node")
         .repartition(*keys).sortWithinPartitions(*keys)
         .select(*keys, "block", "node", "label", "trait", "content")
         .mapInArrow(_link_blocks(allowed, confirm), "a long, b long"), "links")
-    return labels if more.isEmpty() else components(links.union(more))
+    release(open_rows)
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    release(links, more)
+    return labels
 
 
 def _confirmed(confirm: Callable[[pa.Array, pa.Array], np.ndarray]
@@ -101,9 +109,12 @@ def _open_members(members: DataFrame, labels: DataFrame, traits: DataFrame,
             .select("bucket", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"),
                     "block", "node", "label"))
     keys = ["bucket", "low", "high"]
-    return (rows.join(traits, "node").repartition(*keys).sortWithinPartitions(*keys)
-            .select(*keys, "block", "node", "label", "trait")
-            .mapInArrow(_meeting(allowed), "bucket long, low int, high int, block int, node long, label long"))
+    out = materialize(
+        rows.join(traits, "node").repartition(*keys).sortWithinPartitions(*keys)
+        .select(*keys, "block", "node", "label", "trait")
+        .mapInArrow(_meeting(allowed), "bucket long, low int, high int, block int, node long, label long"), "open")
+    release(placed)
+    return out
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from leakscope.llm import textarrays as ta
 from leakscope.llm.components import settle
 from leakscope.llm.neardup import bit_rows, differing
-from leakscope.session import materialize
+from leakscope.session import materialize, release
 
 DISTANCE = 2
 SHORTEST = 30              # bytes; shorter lines repeat legitimately and all stay
@@ -307,6 +307,7 @@ def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = S
     contents = texts.withColumnsRenamed({"line": "node", "bytes": "content"})
     labels = settle(members, traits, contents, near, _allowed(distance), _verify(distance)
                     ).withColumnRenamed("node", "line")
+    release(members, texts)
     linked = lines.select("line", "first", "n").join(labels, "line", "left")
     chosen = linked.filter("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
     # lines that occur once and are near no other have nothing to lose

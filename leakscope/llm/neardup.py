@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leakscope.llm import textarrays as ta
 from leakscope.llm.components import settle
-from leakscope.session import materialize
+from leakscope.session import materialize, release
 
 BANDS, ROWS = 24, 6
 SKETCH_WORDS = 8          # of 64 bits
@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
         return differing(x["sketch"], y["sketch"]) <= farthest(percent)
 
     labels = settle(members, traits, contents, near, _allowed(percent), _similar(percent))
+    release(members, sets)
     joined = classes.join(labels, F.col("_class") == F.col("node"), "left").withColumn(
         "_group", F.coalesce("component", "_class"))
     smallest = joined.groupBy("_group").agg(F.min("_first").alias("component_id"))
