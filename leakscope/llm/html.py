@@ -46,6 +46,8 @@ BOILERPLATE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar "
                   "toolbar".split())
 
+LEAST_LINK_SHARE = 0.1
+
 _ATTRIBUTES = r"""((?:[\s/]+(?:[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?)?)*+)[^>]*+"""
 TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"(?:>|\Z)", re.S)
@@ -185,17 +187,20 @@ class Page:
 
 
 def _leave_out(page: Page) -> None:
-    """Names are believed unless the element holds the article: an article or main
-    element, or a first heading and more than half of the page's text."""
+    """Names are believed unless the element holds the article: the page's first article or
+    main element, or a first heading and more than half of the page's text."""
     sizes, holds, heads = {}, set(), set()
+    for tag in ("article", "main"):
+        first = next((e for e in page.elements if e.tag == tag and not e.named and not e.left_out), None)
+        while first is not None:
+            holds.add(first)
+            first = first.parent
     for element in reversed(page.elements):
         sizes[element] = sizes.get(element, 0) + (0 if element.left_out else element.chars)
         parent = element.parent
         if parent is None:
             continue
         sizes[parent] = sizes.get(parent, 0) + sizes[element]
-        if element in holds or element.tag in ("article", "main") and not element.named:
-            holds.add(parent)
         if element in heads or element.tag == "h1":
             heads.add(parent)
     total = sizes[page.root]
@@ -221,7 +226,8 @@ def _measure(page: Page) -> Element:
             parent.tags += element.tags + 1
             parent.links += element.links
     body = next((e for e in own if e.tag == "body"), page.root)
-    body_share = body.link_chars / max(1, body.chars)
+    # menus are gone by now, so a page's share of links says little; without any it is undefined
+    body_share = max(LEAST_LINK_SHARE, body.link_chars / max(1, body.chars))
     for e in own:
         if e.left_out or not e.chars:
             continue
@@ -282,6 +288,10 @@ def main_text(source: str | None) -> str:
             if id(element) in ancestors and element is not best:
                 chosen.extend(c for c in element.children if id(c) not in ancestors and not c.left_out
                               and c.tag not in INLINE and c.density >= threshold > 0)
+        # the page's only first heading, where it stands in front of the text, is the title
+        titles = [e for e in _within(body) if e.tag == "h1" and e.chars]
+        if len(titles) == 1 and titles[0].blocks[1] <= best.blocks[0]:
+            chosen.append(titles[0])
     taken = [False] * len(page.blocks)
     for element in chosen:
         for i in range(*element.blocks):

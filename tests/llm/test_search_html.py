@@ -90,3 +90,16 @@ def test_awkward_pages(spark):
         type(got[0])(page_id=1, url="u", text="", n_chars=0), type(got[0])(page_id=None, url=None, text="x", n_chars=1),
         type(got[0])(page_id=1, url="u", text="", n_chars=0)]))
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_without_links_or_article_element():
+    one, two = " ".join(LONG.split()), " ".join(LONG.replace("sentence", "paragraph").split())
+    for body in (f"<div>We use cookies on this site.</div><div><p>{one}</p><p>Short.</p><p>{two}</p></div>",
+                 f"<table><tr><td><a href=1>menu</a><br><a href=2>more</a></td><td><p>{one}</p><p>Short.</p><p>{two}</p></td></tr></table>",
+                 f"<div class=wrap><div class=side><ul><li><a href=1>a long link to another page</a><li><a href=2>and one more of "
+                 f"them</a></ul></div><div><p>{one}</p><p>Short.</p><div><p>{two}</p></div></div></div>"):
+        assert html.main_text(f"<html><body>{body}</body></html>") == f"{one} Short. {two}"
+    page = f"<h1>Title</h1><div class=share>Share this</div><div><p>{one}</p><p>{two}</p></div>"
+    assert html.main_text(page) == f"Title {one} {two}"
+    comments = f"<section id=comments><article><p>{one}</p><p>{two}</p><p>{one}</p></article></section>"
+    assert html.main_text(f"<main><article><p>{one}</p></article>{comments}</main>") == one
