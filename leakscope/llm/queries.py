@@ -69,6 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_mixing, op2_line_dedup, op3_minhash_neardup, op4_byte_bpe, op5_quality_rules, op6_suffix_dedup,
     op7_sharding, op8_pii, op9_topk_search, op10_html_extraction)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
 ORACLE = {
     "op1_mixing": r"""
 WITH d AS (
@@ -99,6 +102,55 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN budget // source_size * size
          + least(size, greatest(0, budget % source_size - start)) ELSE 0 END)::BIGINT AS taken
 FROM p""",
+    "op3_minhash_neardup": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+g AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+b AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY ALL),
+l AS (
+  SELECT b.a, b.b FROM b JOIN n x ON x.r = b.a JOIN n y ON y.r = b.b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b),
+m AS (SELECT t.a AS r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.b GROUP BY t.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
+    "op5_quality_rules": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+f AS (
+  SELECT r, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols FROM d),
+x AS (SELECT r, source, text AS whole, unnest(string_split(text, chr(10))) AS text FROM d),
+y AS (
+  SELECT r, source, whole, text AS line, len(v)::BIGINT AS words, array_to_string(v, ' ') AS norm
+  FROM (SELECT *, regexp_extract_all({_LOWER}, {_WORD}) AS v FROM x) WHERE len(v) > 0),
+u AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM y GROUP BY r),
+q AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n
+  FROM (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS k
+        FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))),
+p AS (
+  SELECT r, count(DISTINCT i + o)::BIGINT AS n_repeat_words
+  FROM (SELECT r, i, unnest(range(0, 8)) AS o FROM q WHERE n > 1) GROUP BY r),
+h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+o AS (
+  SELECT y.source, norm FROM y GROUP BY y.source, norm
+  HAVING count(DISTINCT whole) > 20
+     AND count(DISTINCT whole) > 0.2::DOUBLE * (SELECT docs FROM h WHERE h.source IS NOT DISTINCT FROM y.source)),
+z AS (
+  SELECT r, count(DISTINCT y.norm)::INTEGER AS n_lines, sum(words)::BIGINT AS n_gone
+  FROM y JOIN o ON o.norm = y.norm AND o.source IS NOT DISTINCT FROM y.source GROUP BY r),
+j AS (
+  SELECT d.r, d.doc_id, f.n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_removed_lines,
+         coalesce(n_gone, 0) AS n_removed_words
+  FROM d JOIN f USING (r) LEFT JOIN u USING (r) LEFT JOIN p USING (r) LEFT JOIN z USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+       NOT failed AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept, n_removed_lines, n_removed_words
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM j)""",
     "op9_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
