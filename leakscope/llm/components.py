@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from leakscope.session import materialize, release
 
 BLOCK = 1024        # members of a bucket that a task compares with as many others
-PAIRS = 512         # pairs confirmed before connected ones are sorted out again
+PAIRS = 2048        # pairs confirmed at once, after which connected ones are sorted out again
+PAIR_BYTES = 16 << 20
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Cal
     keys = ["bucket", "low", "high"]
     more = materialize(
         open_rows.join(traits, "node").join(contents, "node")
-        .repartition(*keys).sortWithinPartitions(*keys)
+        .repartition(_tasks(open_rows), *keys).sortWithinPartitions(*keys)
         .select(*keys, "block", "node", "label", "trait", "content")
         .mapInArrow(_link_blocks(allowed, confirm), "a long, b long"), "links")
     release(open_rows)
@@ -84,6 +85,11 @@ def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Cal
     return labels
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for rows that are small but costly, which must not be packed together for their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _confirmed(confirm: Callable[[pa.Array, pa.Array], np.ndarray]
                ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +116,7 @@ def _open_members(members: DataFrame, labels: DataFrame, traits: DataFrame,
                     "block", "node", "label"))
     keys = ["bucket", "low", "high"]
     out = materialize(
-        rows.join(traits, "node").repartition(*keys).sortWithinPartitions(*keys)
+        rows.join(traits, "node").repartition(_tasks(rows), *keys).sortWithinPartitions(*keys)
         .select(*keys, "block", "node", "label", "trait")
         .mapInArrow(_meeting(allowed), "bucket long, low int, high int, block int, node long, label long"), "open")
     release(placed)
@@ -172,34 +178,63 @@ def _meeting(allowed: Callable[[pa.Table, pa.Table], np.ndarray]
     return run
 
 
+class _Links:
+    """Pairs of many groups, confirmed together; pairs connected meanwhile are left out."""
+
+    def __init__(self, confirm: Callable[[pa.Array, pa.Array], np.ndarray]) -> None:
+        self.confirm = confirm
+        self.up: dict[int, int] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.pairs: list[tuple[int, int, int, int]] = []
+        self.left: list[pa.Array] = []
+        self.right: list[pa.Array] = []
+        self.bytes = 0
+
+    def _root(self, x: int) -> int:
+        up = self.up
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def add(self, table: pa.Table, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
+        content = table.column("content").combine_chunks()
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at:at + PAIRS], j[at:at + PAIRS]
+            apart = np.array([self._root(x) != self._root(y) for x, y in zip(label[a].tolist(), label[b].tolist())])
+            a, b = a[apart], b[apart]
+            if not len(a):
+                continue
+            self.pairs.extend(zip(node[a].tolist(), node[b].tolist(), label[a].tolist(), label[b].tolist()))
+            self.left.append(content.take(pa.array(a)))
+            self.right.append(content.take(pa.array(b)))
+            self.bytes += self.left[-1].nbytes + self.right[-1].nbytes
+            if len(self.pairs) >= PAIRS or self.bytes >= PAIR_BYTES:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.pairs:
+            return
+        good = self.confirm(pa.concat_arrays(self.left), pa.concat_arrays(self.right))
+        links = [p for p, hit in zip(self.pairs, good) if hit]
+        for _, _, x, y in links:
+            self.up[self._root(x)] = self._root(y)
+        self._clear()
+        if links:
+            a, b, _, _ = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _link_blocks(allowed: Callable[[pa.Table, pa.Table], np.ndarray],
                  confirm: Callable[[pa.Array, pa.Array], np.ndarray]
                  ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Links(confirm)
         for table in _groups(batches):
-            i, j = _open_pairs(table, allowed)
-            up = {x: x for x in table.column("label").to_pylist()}
-
-            def root(x: int) -> int:
-                while up[x] != x:
-                    up[x] = up[up[x]]
-                    x = up[x]
-                return x
-
-            label, node = table.column("label").to_pylist(), table.column("node").to_pylist()
-            content = table.column("content").combine_chunks()
-            links = []
-            for at in range(0, len(i), PAIRS):
-                pairs = [(a, b) for a, b in zip(i[at:at + PAIRS].tolist(), j[at:at + PAIRS].tolist())
-                         if root(label[a]) != root(label[b])]
-                if not pairs:
-                    continue
-                left, right = (pa.array(c) for c in zip(*pairs))
-                for (a, b), good in zip(pairs, confirm(content.take(left), content.take(right))):
-                    if good:
-                        links.append((node[a], node[b]))
-                        up[root(label[a])] = root(label[b])
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+            yield from links.add(table, *_open_pairs(table, allowed))
+        yield from links.flush()
 
     return run
