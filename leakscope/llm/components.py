@@ -15,6 +15,11 @@ BLOCK = 1024        # members of a bucket that a task compares with as many othe
 PAIRS = 2048        # pairs confirmed at once, after which connected ones are sorted out again
 PAIR_BYTES = 16 << 20
 
+# Traits of many nodes as arrays, the pairs two sets of traits allow, the pairs contents confirm.
+Unpack = Callable[[pa.StructArray], list[np.ndarray]]
+Allowed = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
+Confirm = Callable[[pa.Array, pa.Array], np.ndarray]
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
@@ -45,14 +50,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Callable[[Column, Column], Column],
-           allowed: Callable[[pa.Table, pa.Table], np.ndarray], confirm: Callable[[pa.Array, pa.Array], np.ndarray]
-           ) -> DataFrame:
+           unpack: Unpack, allowed: Allowed, confirm: Confirm) -> DataFrame:
     """(node, component) of nodes linked by some pair that shares a bucket.
 
     ``members`` (bucket, node) lists buckets of two nodes or more; ``traits`` (node,
     trait) has a struct that is enough to rule pairs out, and ``contents`` (node,
     content) what decides: ``confirm`` takes the contents of many pairs.  ``near``
-    is the test of traits in SQL, ``allowed`` the same for all pairs of two tables.
+    is the test of traits in SQL; ``unpack`` gives traits as arrays and ``allowed``
+    is the same test for all pairs of two sets of them.
 
     First every bucket links its members to its smallest one only.  A bucket whose
     members are then in one component is settled.  In the others all pairs of
@@ -71,13 +76,13 @@ def settle(members: DataFrame, traits: DataFrame, contents: DataFrame, near: Cal
                         .mapInArrow(_confirmed(confirm), "a long, b long"), "links")
     release(close)
     labels = components(links)
-    open_rows = _open_members(members, labels, traits, allowed)
+    open_rows = _open_members(members, labels, traits, unpack, allowed)
     keys = ["bucket", "low", "high"]
     more = materialize(
         open_rows.join(traits, "node").join(contents, "node")
         .repartition(_tasks(open_rows), *keys).sortWithinPartitions(*keys)
         .select(*keys, "block", "node", "label", "trait", "content")
-        .mapInArrow(_link_blocks(allowed, confirm), "a long, b long"), "links")
+        .mapInArrow(_link_blocks(unpack, allowed, confirm), "a long, b long"), "links")
     release(open_rows)
     if not more.isEmpty():
         labels = components(links.union(more))
@@ -90,8 +95,7 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _confirmed(confirm: Callable[[pa.Array, pa.Array], np.ndarray]
-               ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _confirmed(confirm: Confirm) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = confirm(batch.column("_a"), batch.column("_b"))
@@ -101,7 +105,7 @@ def _confirmed(confirm: Callable[[pa.Array, pa.Array], np.ndarray]
 
 
 def _open_members(members: DataFrame, labels: DataFrame, traits: DataFrame,
-                  allowed: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
+                  unpack: Unpack, allowed: Allowed) -> DataFrame:
     """Members of unsettled buckets, by pair of blocks, that may be linked to another component."""
     placed = materialize(
         members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
@@ -118,62 +122,70 @@ def _open_members(members: DataFrame, labels: DataFrame, traits: DataFrame,
     out = materialize(
         rows.join(traits, "node").repartition(_tasks(rows), *keys).sortWithinPartitions(*keys)
         .select(*keys, "block", "node", "label", "trait")
-        .mapInArrow(_meeting(allowed), "bucket long, low int, high int, block int, node long, label long"), "open")
+        .mapInArrow(_meeting(unpack, allowed), "bucket long, low int, high int, block int, node long, label long"), "open")
     release(placed)
     return out
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal (bucket, low, high), whole, whatever the batches' borders."""
-    held: list[pa.Table] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
+class _Groups:
+    """Whole runs of equal (bucket, low, high) in sorted rows, with their columns as arrays."""
+
+    def __init__(self, table: pa.Table, unpack: Unpack) -> None:
+        self.table = table
         keys = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
-        new = np.zeros(table.num_rows, dtype=bool)
-        new[0] = last is not None and tuple(k[0] for k in keys) != last
+        new = np.ones(table.num_rows, dtype=bool)
+        new[1:] = False
         for k in keys:
             new[1:] |= k[1:] != k[:-1]
-        last = tuple(k[-1] for k in keys)
-        at = 0
-        for cut in np.flatnonzero(new):
-            held.append(table.slice(at, cut - at))
-            yield pa.concat_tables(held).combine_chunks()
-            held, at = [], cut
-        held.append(table.slice(at))
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
-def _open_pairs(table: pa.Table, allowed: Callable[[pa.Table, pa.Table], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the group's allowed pairs of different components; pairs of one block
-    are the business of the group in which the block meets itself."""
-    label, block = table.column("label").to_numpy(), table.column("block").to_numpy()
-    if (label == label[0]).all():
-        none = np.zeros(0, dtype=np.int64)
-        return none, none
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    first = np.flatnonzero(block == low)
-    second = first if low == high else np.flatnonzero(block == high)
-    traits = table.column("trait").combine_chunks()
-    here, there = (pa.Table.from_struct_array(traits.take(pa.array(at))) for at in (first, second))
-    good = (label[first][:, None] != label[second][None, :])
-    good &= allowed(here, there)
-    if low == high:
-        good = np.triu(good, 1)
-    i, j = np.nonzero(good)
-    return first[i], second[j]
-
-
-def _meeting(allowed: Callable[[pa.Table, pa.Table], np.ndarray]
-             ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        self.starts = np.flatnonzero(new)
+        self.low, self.high = keys[1:]
+        self.block, self.label = (table.column(c).to_numpy() for c in ("block", "label"))
+        self.unpack = unpack
+
+    def open_pairs(self, allowed: Allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of each group's allowed pairs of different components; pairs of one block
+        are the business of the group in which the block meets itself."""
+        traits = self.unpack(self.table.column("trait").combine_chunks())
+        label, block = self.label, self.block
+        for a, b in zip(self.starts.tolist(), [*self.starts[1:].tolist(), len(label)]):
+            if b - a < 2 or (label[a:b] == label[a]).all():
+                continue
+            low, high = self.low[a], self.high[a]
+            first = second = np.arange(a, b)
+            if low != high:
+                first, second = a + np.flatnonzero(block[a:b] == low), a + np.flatnonzero(block[a:b] == high)
+            good = label[first][:, None] != label[second][None, :]
+            good &= allowed([t[first] for t in traits], [t[second] for t in traits])
+            if low == high:
+                good = np.triu(good, 1)
+            i, j = np.nonzero(good)
+            if len(i):
+                yield first[i], second[j]
+
+
+def _runs(batches: Iterable[pa.RecordBatch], unpack: Unpack) -> Iterator[_Groups]:
+    """All groups, whatever the batches' borders: the last one waits for what follows."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        last = int(_Groups(table, unpack).starts[-1])
+        if last:
+            yield _Groups(table.slice(0, last).combine_chunks(), unpack)
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield _Groups(held.combine_chunks(), unpack)
+
+
+def _meeting(unpack: Unpack, allowed: Allowed) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            rows = np.unique(np.concatenate(_open_pairs(table, allowed)))
-            if len(rows):
-                yield from table.drop_columns(["trait"]).take(pa.array(rows)).combine_chunks().to_batches()
+        for groups in _runs(batches, unpack):
+            rows = [np.unique(np.concatenate(pairs)) for pairs in groups.open_pairs(allowed)]
+            if rows:
+                yield from groups.table.drop_columns(["trait"]).take(
+                    pa.array(np.concatenate(rows))).combine_chunks().to_batches()
 
     return run
 
@@ -181,7 +193,7 @@ def _meeting(allowed: Callable[[pa.Table, pa.Table], np.ndarray]
 class _Links:
     """Pairs of many groups, confirmed together; pairs connected meanwhile are left out."""
 
-    def __init__(self, confirm: Callable[[pa.Array, pa.Array], np.ndarray]) -> None:
+    def __init__(self, confirm: Confirm) -> None:
         self.confirm = confirm
         self.up: dict[int, int] = {}
         self._clear()
@@ -199,9 +211,8 @@ class _Links:
             x = up[x]
         return x
 
-    def add(self, table: pa.Table, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        label, node = table.column("label").to_numpy(), table.column("node").to_numpy()
-        content = table.column("content").combine_chunks()
+    def add(self, label: np.ndarray, node: np.ndarray, content: pa.Array, i: np.ndarray, j: np.ndarray
+            ) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(i), PAIRS):
             a, b = i[at:at + PAIRS], j[at:at + PAIRS]
             apart = np.array([self._root(x) != self._root(y) for x, y in zip(label[a].tolist(), label[b].tolist())])
@@ -228,13 +239,14 @@ class _Links:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _link_blocks(allowed: Callable[[pa.Table, pa.Table], np.ndarray],
-                 confirm: Callable[[pa.Array, pa.Array], np.ndarray]
+def _link_blocks(unpack: Unpack, allowed: Allowed, confirm: Confirm
                  ) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Links(confirm)
-        for table in _groups(batches):
-            yield from links.add(table, *_open_pairs(table, allowed))
+        for groups in _runs(batches, unpack):
+            columns = groups.label, groups.table.column("node").to_numpy(), groups.table.column("content").combine_chunks()
+            for i, j in groups.open_pairs(allowed):
+                yield from links.add(*columns, i, j)
         yield from links.flush()
 
     return run

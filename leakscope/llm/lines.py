@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.llm import textarrays as ta
-from leakscope.llm.components import settle
-from leakscope.llm.neardup import bit_rows, differing
+from leakscope.llm.components import Allowed, settle
+from leakscope.llm.neardup import all_differing, differing, sizes_and_bits
 from leakscope.session import materialize, release
 
 DISTANCE = 2
@@ -239,17 +239,12 @@ def _verify(distance: int, most: int = 1 << 21) -> Callable[[pa.Array, pa.Array]
     return run
 
 
-def _allowed(distance: int) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+def _allowed(distance: int) -> Allowed:
     """Pairs whose lengths and parities leave the distance possible."""
 
-    def run(here: pa.Table, there: pa.Table) -> np.ndarray:
-        a, b = (t.column("size").to_numpy() for t in (here, there))
-        good = np.abs(a[:, None] - b) <= distance
-        x, y = (bit_rows(t.column("parity"), PARITY_BITS // 64) for t in (here, there))
-        bits = np.zeros(good.shape, dtype=np.int64)
-        for word in range(x.shape[1]):
-            bits += np.bitwise_count(x[:, word][:, None] ^ y[:, word])
-        return good & (bits <= 4 * distance)
+    def run(here: list[np.ndarray], there: list[np.ndarray]) -> np.ndarray:
+        (a, x), (b, y) = here, there
+        return (np.abs(a[:, None] - b) <= distance) & (all_differing(x, y) <= 4 * distance)
 
     return run
 
@@ -305,7 +300,8 @@ def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = S
 
     traits = meeting.select(F.col("line").alias("node"), "trait")
     contents = texts.withColumnsRenamed({"line": "node", "bytes": "content"})
-    labels = settle(members, traits, contents, near, _allowed(distance), _verify(distance)
+    labels = settle(members, traits, contents, near, lambda t: sizes_and_bits(t, "parity", PARITY_BITS // 64),
+                    _allowed(distance), _verify(distance)
                     ).withColumnRenamed("node", "line")
     release(members, texts)
     linked = lines.select("line", "first", "n").join(labels, "line", "left")

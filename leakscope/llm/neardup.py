@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.llm import textarrays as ta
-from leakscope.llm.components import settle
+from leakscope.llm.components import Allowed, settle
 from leakscope.session import materialize, release
 
 BANDS, ROWS = 24, 6
@@ -139,23 +139,31 @@ def _similar(percent: int) -> Callable[[pa.Array, pa.Array], np.ndarray]:
     return run
 
 
-def bit_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.values.to_numpy()[flat.offsets[0].as_py():flat.offsets[-1].as_py()].view(np.uint64).reshape(-1, width)
+def bit_rows(column: pa.ListArray, width: int) -> np.ndarray:
+    """Rows x words of a column of equally long lists."""
+    return column.values.to_numpy()[column.offsets[0].as_py():column.offsets[-1].as_py()].view(np.uint64).reshape(-1, width)
 
 
-def _allowed(percent: int) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+def sizes_and_bits(traits: pa.StructArray, bits: str, width: int) -> list[np.ndarray]:
+    return [traits.field("size").to_numpy(), bit_rows(traits.field(bits), width)]
+
+
+def all_differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which every row of x differs from every row of y."""
+    bits = np.zeros((len(x), len(y)), dtype=np.int64)
+    for word in range(x.shape[1]):
+        bits += np.bitwise_count(x[:, word][:, None] ^ y[:, word])
+    return bits
+
+
+def _allowed(percent: int) -> Allowed:
     """Pairs whose set sizes and sketches leave the similarity possible."""
     most = farthest(percent)
 
-    def run(here: pa.Table, there: pa.Table) -> np.ndarray:
-        a, b = (t.column("size").to_numpy() for t in (here, there))
-        good = 100 * np.minimum(a[:, None], b) >= percent * np.maximum(a[:, None], b)
-        x, y = (bit_rows(t.column("sketch"), SKETCH_WORDS) for t in (here, there))
-        bits = np.zeros(good.shape, dtype=np.int64)
-        for word in range(SKETCH_WORDS):
-            bits += np.bitwise_count(x[:, word][:, None] ^ y[:, word])
-        return good & (bits <= most)
+    def run(here: list[np.ndarray], there: list[np.ndarray]) -> np.ndarray:
+        (a, x), (b, y) = here, there
+        a = a[:, None]
+        return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (all_differing(x, y) <= most)
 
     return run
 
@@ -199,7 +207,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     def near(x: Column, y: Column) -> Column:
         return differing(x["sketch"], y["sketch"]) <= farthest(percent)
 
-    labels = settle(members, traits, contents, near, _allowed(percent), _similar(percent))
+    labels = settle(members, traits, contents, near, lambda t: sizes_and_bits(t, "sketch", SKETCH_WORDS),
+                    _allowed(percent), _similar(percent))
     release(members, sets)
     joined = classes.join(labels, F.col("_class") == F.col("node"), "left").withColumn(
         "_group", F.coalesce("component", "_class"))
