@@ -32,6 +32,8 @@ SHORTEST = 30              # bytes; shorter lines repeat legitimately and all st
 PARITY_BITS = 128
 BUFFER = 32 << 20
 BUCKET_BYTES = 8 << 20
+# The parity bit of every pair of bytes.
+_BIGRAM_BITS = (ta.mix(np.arange(1, 65537, dtype=np.uint64)) % np.uint64(PARITY_BITS)).astype(np.int64)
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray, shortest: int) -> tuple[np.ndarray, ...]:
@@ -53,8 +55,7 @@ def parities(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndar
     sizes = stops - starts - 1
     line = np.repeat(np.arange(len(starts)), sizes)
     at = np.arange(len(line)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    pairs = data[at].astype(np.uint64) << np.uint64(8) | data[at + 1]
-    bits = (ta.mix(pairs + np.uint64(1)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    bits = _BIGRAM_BITS[data[at].astype(np.uint16) << np.uint16(8) | data[at + 1]]
     odd = np.bincount(line * PARITY_BITS + bits, minlength=len(starts) * PARITY_BITS) & 1
     return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(">u8").astype(np.uint64)
 
@@ -64,6 +65,7 @@ def segment_codes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, dist
     """(line, code) of all segments of every line, and of all substrings that may equal a
     segment of a line up to ``distance`` bytes shorter."""
     count = distance + 1
+    sums = ta.running_sums(codes)
     lines, found = [], []
     length = stops - starts
     for shorter in range(distance + 1):
@@ -79,7 +81,7 @@ def segment_codes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, dist
                 at = begin + shift
                 fits = np.flatnonzero((at >= 0) & (at + span <= length) & (span > 0))
                 a = starts[fits] + at[fits]
-                code = ta.sequence_hashes(codes, a, a + span[fits])
+                code = ta.range_hashes(sums, a, a + span[fits])
                 lines.append(fits)
                 found.append(ta.mix(code ^ ta.mix((whole[fits] * 64 + i + 1).astype(np.uint64))))
     return np.concatenate(lines), np.concatenate(found)
@@ -317,23 +319,23 @@ def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = S
         F.struct("number", "near", "keep_doc", "keep_number"))).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, distance: int, shortest: int) -> DataFrame:
-    gone = duplicate_lines(docs, distance, shortest).withColumnsRenamed(
-        {"doc_id": "_doc", "text_hash": "_hash", "removed": "_removed"})
+def _with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows with the hash of their text as ``_text``, and the lines they lose as ``_removed``."""
+    gone = gone.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash", "removed": "_removed"})
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-                     & (F.xxhash64("text") == F.col("_hash")), "left")
+                     & (F.col("_text") == F.col("_hash")), "left")
 
 
 def report(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, n_near (removed lines whose
     kept line is not equal), removed (line numbers) and kept_in (document:line of the
     line that stays for each of them).  A null text has no lines."""
-    slim = docs.select("doc_id", "text")
-    out = _with_removed(slim, distance, shortest)
-    removed = F.coalesce("_removed", F.array().cast("array<struct<number:int,near:boolean,keep_doc:bigint,keep_number:int>>"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
+    slim = docs.select("doc_id", F.xxhash64("text").alias("_text"), lines.cast("long").alias("n_lines"))
+    out = _with_removed(slim, duplicate_lines(docs, distance, shortest))
+    removed = F.coalesce("_removed", F.array().cast("array<struct<number:int,near:boolean,keep_doc:bigint,keep_number:int>>"))
     return out.select(
-        F.col("doc_id").cast("long"), lines.cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"),
+        F.col("doc_id").cast("long"), "n_lines", F.size(removed).cast("long").alias("n_removed"),
         F.size(F.filter(removed, lambda x: x["near"])).cast("long").alias("n_near"),
         F.array_join(F.transform(removed, lambda x: x["number"].cast("string")), ",").alias("removed"),
         F.array_join(F.transform(removed, lambda x: F.concat_ws(
@@ -343,7 +345,7 @@ def report(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST)
 def dedup_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
     """The documents in the columns they came in, without their removed lines.  A document
     that loses all lines stays, with an empty text."""
-    out = _with_removed(docs, distance, shortest)
+    out = _with_removed(docs.withColumn("_text", F.xxhash64("text")), duplicate_lines(docs, distance, shortest))
     numbers = F.transform("_removed", lambda x: x["number"])
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)

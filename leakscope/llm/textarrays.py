@@ -68,13 +68,21 @@ class _PowerCache:
 _CACHE = _PowerCache()
 
 
-def sequence_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit fingerprint of codes[start:stop] for many ranges in one pass over the codes."""
+def running_sums(codes: np.ndarray) -> np.ndarray:
+    """What ``range_hashes`` needs of the codes; made once for any number of ranges."""
     n = len(codes)
-    up, down = _CACHE.get(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes * up[:n], out=sums[1:])
-    found = (sums[stops] - sums[starts]) * down[starts]
+    np.cumsum(codes * _CACHE.get(n + 1)[0][:n], out=sums[1:])
+    return sums
+
+
+def sequence_hashes(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit fingerprint of codes[start:stop] for many ranges in one pass over the codes."""
+    return range_hashes(running_sums(codes), starts, stops)
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    found = (sums[stops] - sums[starts]) * _CACHE.get(len(sums))[1][starts]
     return mix(found + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
