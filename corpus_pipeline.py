@@ -17,8 +17,9 @@ from leakscope.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the rejected documents, and without lines too many documents of a host share."""
-    return quality.clean(docs)
+    """Without the rejected documents, and without lines that more than 20 distinct texts of
+    a source share.  A source has any number of texts, so no share of them is asked for."""
+    return quality.clean(docs, fraction=0.0, at_least=20)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

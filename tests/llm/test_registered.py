@@ -81,3 +81,16 @@ def test_stages_on_awkward_documents(spark, awkward, nothing):
             assert out.columns == docs.columns, name
             docs = spark.createDataFrame(out.collect(), docs.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def test_boilerplate_of_a_large_source_goes(spark):
+    """A line in a tenth of a source's texts, and one in fewer than the limit."""
+    def own(i):
+        return " ".join(f"w{i}x{k}" for k in range(30))
+
+    common, rare = "subscribe to our weekly letter for more stories", "a line that only a few texts have"
+    rows = [(i, own(i) + ("\n" + common if i < 40 else "") + ("\n" + rare if 40 <= i < 60 else ""), "web") for i in range(400)]
+    rows += [(1000 + i, f"{common}\none two three {i}\n" + "\n".join([common.upper()] * 2), "web") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, SMALL).collect()}
+    assert got == {i: own(i) + ("\n" + rare if 40 <= i < 60 else "") for i in range(400)}
