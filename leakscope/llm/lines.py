@@ -28,7 +28,7 @@ from leakscope.llm.neardup import all_differing, differing, sizes_and_bits
 from leakscope.session import materialize, release
 
 DISTANCE = 2
-SHORTEST = 30              # bytes; shorter lines repeat legitimately and all stay
+SHORTEST = 30              # bytes; shorter lines take no part in the search for near ones
 PARITY_BITS = 128
 BUFFER = 32 << 20
 BUCKET_BYTES = 8 << 20
@@ -268,19 +268,22 @@ def _wanted_texts(shortest: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
     return run
 
 
-def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
+def duplicate_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST,
+                    exact: int | None = None) -> DataFrame:
     """doc_id, text_hash, removed: array of (number, near, keep_doc, keep_number) of the lines
     to remove, for every different (doc_id, text) that loses some.
 
     Numbers count from 0.  ``near`` says that the kept line is not equal.  Rows
     without an id come last, so they lose to any other; rows equal in id and text
-    are one document and keep the same lines.
+    are one document and keep the same lines.  Lines shorter than ``shortest``
+    bytes have no near ones, but from ``exact`` bytes (unset: ``shortest``) on equal
+    ones are one class.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    told = materialize(rows.mapInArrow(tell_lines(shortest), OCCURRENCES), "lines")
+    told = materialize(rows.mapInArrow(tell_lines(shortest if exact is None else min(exact, shortest)), OCCURRENCES), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "number")
     lines = materialize(told.groupBy("line").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
@@ -326,13 +329,14 @@ def _with_removed(docs: DataFrame, gone: DataFrame) -> DataFrame:
                      & (F.col("_text") == F.col("_hash")), "left")
 
 
-def report(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
+def report(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST,
+           exact: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, n_near (removed lines whose
     kept line is not equal), removed (line numbers) and kept_in (document:line of the
     line that stays for each of them).  A null text has no lines."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     slim = docs.select("doc_id", F.xxhash64("text").alias("_text"), lines.cast("long").alias("n_lines"))
-    out = _with_removed(slim, duplicate_lines(docs, distance, shortest))
+    out = _with_removed(slim, duplicate_lines(docs, distance, shortest, exact))
     removed = F.coalesce("_removed", F.array().cast("array<struct<number:int,near:boolean,keep_doc:bigint,keep_number:int>>"))
     return out.select(
         F.col("doc_id").cast("long"), "n_lines", F.size(removed).cast("long").alias("n_removed"),
@@ -342,10 +346,11 @@ def report(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST)
             ":", F.coalesce(x["keep_doc"].cast("string"), F.lit("")), x["keep_number"].cast("string"))), ",").alias("kept_in"))
 
 
-def dedup_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, distance: int = DISTANCE, shortest: int = SHORTEST,
+                exact: int | None = None) -> DataFrame:
     """The documents in the columns they came in, without their removed lines.  A document
     that loses all lines stays, with an empty text."""
-    out = _with_removed(docs.withColumn("_text", F.xxhash64("text")), duplicate_lines(docs, distance, shortest))
+    out = _with_removed(docs.withColumn("_text", F.xxhash64("text")), duplicate_lines(docs, distance, shortest, exact))
     numbers = F.transform("_removed", lambda x: x["number"])
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)

@@ -8,6 +8,7 @@ from conftest import SMALL
 from llm_cases import LOWER, PROSE, awkward, nothing, words  # noqa: F401
 
 from leakscope.llm import lines, neardup
+from leakscope.llm.queries import QUERIES
 
 
 class Groups:
@@ -221,3 +222,12 @@ def test_keep_one(awkward, nothing):
     assert kept[1] == 1 and 2 not in kept and {3, 4, 5, 7, 9, 10} <= set(kept)
     assert 8 not in kept          # document 1 twice over: the same shingles but for a few
     assert neardup.keep_one(nothing).count() == 0
+
+
+def test_registered_line_dedup_finds_equal_short_lines(spark, tmp_path):
+    long = "a line that is long enough to take part in the comparison"
+    rows = [(1, f"all rights reserved.\n{long}\nx\n\nab"), (2, f"  ALL rights reserved.\n{long}!\ny\n\nac"), (3, "x\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_near"], r["removed"], r["kept_in"])
+           for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 0, 0, "", ""), 2: (5, 2, 1, "0,1", "1:0,1:1"), 3: (2, 2, 0, "0,1", "1:2,1:2")}
