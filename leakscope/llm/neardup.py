@@ -168,15 +168,9 @@ def _allowed(percent: int) -> Allowed:
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept, for every row.
-
-    Rows are linked where 100 x intersection >= percent x union of their shingle
-    sets; component_id is the smallest id a row reaches, itself included.  Null,
-    empty and blank texts have no shingles and link to nothing.  Repeated rows
-    are each other's copies; an id that is null counts for nobody, and where no
-    id is reached component_id is null and the row is kept.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int, key: str = "doc_id") -> DataFrame:
+    """doc_id, text_hash, n_shingles, _group and component_id of every row; the last two are
+    null without shingles, component_id also where a group has no id."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     measured = materialize(
         rows.mapInArrow(describe(width, True), "doc_id long, text_hash long, n_shingles long, _total long, "
@@ -213,18 +207,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     joined = classes.join(labels, F.col("_class") == F.col("node"), "left").withColumn(
         "_group", F.coalesce("component", "_class"))
     smallest = joined.groupBy("_group").agg(F.min("_first").alias("component_id"))
-    found = joined.join(smallest, "_group").select(*signature, "component_id")
-    out = measured.join(found, signature, "left")
+    found = joined.join(smallest, "_group").select(*signature, "_group", "component_id")
+    return measured.join(found, signature, "left").select(
+        "doc_id", "text_hash", "n_shingles", "_group", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept, for every row.
+
+    Rows are linked where 100 x intersection >= percent x union of their shingle
+    sets; component_id is the smallest id a row reaches, itself included.  Null,
+    empty and blank texts have no shingles and link to nothing.  Repeated rows
+    are each other's copies; an id that is null counts for nobody, and where no
+    id is reached component_id is null and the row is kept.
+    """
+    out = _grouped(docs, width, percent, key)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of every group, in the columns they came in; documents without a
-    shingle stay.  Of rows that repeat the kept one, one stays."""
-    kept = (near_duplicates(docs, width, percent).filter("kept")
-            .select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct())
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
-    return rows.join(kept, same, "left_semi").select(*docs.columns)
+    """One row of every group, in the columns they came in; rows without a shingle stay.
+
+    The smallest id of a group stays, or any of its rows where none has an id; of
+    rows that repeat it in id and text, one.
+    """
+    rows = _grouped(docs, width, percent)
+    alike = (rows.filter("n_shingles > 0").groupBy("_group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n"))
+                                    .alias("one")).select("one.doc_id", "one.text_hash", "one.n"))
+    blank = rows.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n")).distinct()
+    kept = materialize(alike.union(blank).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"}), "kept")
+    told = docs.withColumn("_text", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
+    # only rows that repeat are shuffled with their texts, to take one of them
+    single = told.join(kept.filter("n = 1"), same, "left_semi")
+    several = told.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["_id", "_text"])
+    return single.union(several).select(*docs.columns)

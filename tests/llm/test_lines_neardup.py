@@ -224,6 +224,18 @@ def test_keep_one(awkward, nothing):
     assert neardup.keep_one(nothing).count() == 0
 
 
+def test_one_row_of_every_group_stays(spark):
+    """Repeats of the kept row, and copies and near copies that have no id."""
+    other = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, PROSE), (1, PROSE), (1, PROSE), (2, PROSE), (None, PROSE), (None, other), (None, other),
+            (None, other + " more"), (None, "alone here"), (3, " "), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, neardup.keep_one(docs).collect()))
+    without = [t for (d, t), n in got.items() for _ in range(n) if d is None]
+    assert got[1, PROSE] == 1 and got[3, " "] == 1 and sum(got.values()) == 5
+    assert len(without) == 3 and {"alone here", ""} < set(without) and without.count(other) + without.count(other + " more") == 1
+
+
 def test_registered_line_dedup_finds_equal_short_lines(spark, tmp_path):
     long = "a line that is long enough to take part in the comparison"
     rows = [(1, f"all rights reserved.\n{long}\nx\n\nab"), (2, f"  ALL rights reserved.\n{long}!\ny\n\nac"), (3, "x\nx")]
