@@ -51,6 +51,7 @@ LEAST_LINK_SHARE = 0.1
 _ATTRIBUTES = r"""((?:[\s/]+(?:[^\s/>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?)?)*+)[^>]*+"""
 TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + _ATTRIBUTES + r"(?:>|\Z)", re.S)
+RAW_END = {tag: re.compile("</" + re.escape(tag), re.I | re.A) for tag in RAW}
 NAMING = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -147,7 +148,7 @@ class Page:
             self._stack.append(element)
 
     def _read(self, source: str) -> None:
-        at, lower = 0, None
+        at = 0
         while True:
             match = TOKEN.search(source, at)
             if match is None:
@@ -174,11 +175,10 @@ class Page:
             if tag in RAW:
                 if tag in INLINE or match[3].rstrip().endswith("/") and tag in ("svg", "math"):
                     continue
-                lower = source.lower() if lower is None else lower
-                at = lower.find("</" + tag, at)
-                if at < 0:
+                found = RAW_END[tag].search(source, at)
+                if found is None:
                     return
-                end = source.find(">", at)
+                end = source.find(">", found.end())
                 at = len(source) if end < 0 else end + 1
                 continue
             self._start(tag, match[3] or "")

@@ -103,3 +103,10 @@ def test_pages_without_links_or_article_element():
     assert html.main_text(page) == f"Title {one} {two}"
     comments = f"<section id=comments><article><p>{one}</p><p>{two}</p><p>{one}</p></article></section>"
     assert html.main_text(f"<main><article><p>{one}</p></article>{comments}</main>") == one
+
+
+def test_letters_that_grow_in_lower_case_do_not_shift_raw_elements():
+    for tag in ("script", "style", "iframe", "svg"):
+        page = f"<p>{'\u0130' * 30}</p><{tag}>x</{tag.upper()} ><p>{LONG}</p><p>second {LONG}</p>"
+        one = " ".join(LONG.split())
+        assert html.main_text(page) == f"{'\u0130' * 30} {one} second {one}"
