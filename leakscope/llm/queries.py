@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscope.llm import bpe, html, lines, mixing, neardup, pii, quality, search, sharding, suffixes
+from leakscope.llm import (bpe, html, licenses, lines, mixing, neardup, pii, quality, repair, search, sharding, suffixes,
+                           trie)
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -65,13 +66,42 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mixing, op2_line_dedup, op3_minhash_neardup, op4_byte_bpe, op5_quality_rules, op6_suffix_dedup,
-    op7_sharding, op8_pii, op9_topk_search, op10_html_extraction)}
+    op7_sharding, op8_pii, op9_topk_search, op10_html_extraction, op11_prefix_trie, op12_license_scan,
+    op13_structure_repair)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+# DuckDB has no crc32: the table of its 256 steps (s), and the sum over a decimal number's digits.
+_CRC_STEPS = """
+SELECT list(v ORDER BY i) AS s FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) AS b(i))"""
+
+
+def _crc32(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), "
+            "lambda c, b: xor(c >> 8, s[1 + (xor(c, b) & 255)])), 4294967295)")
+
+
+def _listed(templates: tuple[licenses.Template, ...]) -> str:
+    return ", ".join(f"({n}, '{t.label}', {str(t.exact).lower()}, '{t.text}')" for n, t in enumerate(templates))
+
+
 ORACLE = {
     "op1_mixing": r"""
 WITH d AS (
@@ -162,4 +192,61 @@ s AS (
 r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_prefix_trie": f"""
+WITH RECURSIVE crc AS ({_CRC_STEPS}),
+o AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS root, {_crc32("conv_id::VARCHAR")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM o), crc),
+t AS (
+  SELECT c.conv_id, 0 AS own, o.pos, r, x FROM c JOIN o ON o.conv_id = c.root AND o.pos < c.h
+  UNION ALL SELECT conv_id, 1, pos, r, x FROM c JOIN o USING (conv_id) WHERE pos >= h),
+u AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(x)::BIGINT AS chars,
+         string_agg(md5(length(r) || ':' || r || ':' || x), '') OVER w AS path
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)),
+p AS (
+  SELECT conv_id, depth, chars, path, left(path, 32 * (depth - 1)::INTEGER) AS up,
+         depth = max(depth) OVER (PARTITION BY conv_id) AS ended FROM u
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM u) FROM c),
+n AS (
+  SELECT path, depth, up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM p GROUP BY path, depth, up),
+k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+a AS (SELECT path, path AS top FROM n UNION ALL SELECT a.path, n.up FROM a JOIN n ON n.path = a.top WHERE n.up IS NOT NULL),
+s AS (
+  SELECT a.top AS path, count(*) FILTER (k.path IS NULL) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM a JOIN n USING (path) LEFT JOIN k USING (path) GROUP BY a.top)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN k USING (path) LEFT JOIN n m ON m.path = n.up""",
+    "op12_license_scan": rf"""
+WITH t AS (
+  SELECT t, label, exact, string_split(text, ' ') AS w FROM (VALUES {_listed(licenses.BASE + licenses.NOTICES)}) AS v(t, label, exact, text)),
+tg AS (
+  SELECT t, label, exact, len(w) - 2 AS grams, p - 1 AS p, array_to_string(w[p:p + 2], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM t)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (
+  SELECT r, i - 1 AS i, array_to_string(w[i:i + 2], ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+v AS (SELECT r, t, label, exact, grams, i - p AS start, list(DISTINCT p) AS found FROM g JOIN tg USING (gram) GROUP BY ALL),
+m AS (
+  SELECT r, label, exact, start, (CASE WHEN exact THEN len(found) ELSE len(list_distinct(flatten(list(found) OVER (
+           PARTITION BY r, t ORDER BY start RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING)))) END)::DOUBLE / grams AS coverage FROM v),
+f AS (
+  SELECT r, count(*) FILTER (exact AND coverage = 1) AS n_base, min(start) FILTER (exact AND coverage = 1) AS first_word,
+         max(start) FILTER (exact AND coverage = 1) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND coverage = 1) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN coverage = 1 ELSE coverage >= 0.8::DOUBLE END) AS labels,
+         max(coverage) AS score
+  FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN f USING (r)""",
 }

@@ -20,7 +20,7 @@ from test_quality_bpe import brute_verdicts, digest
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     want = con.sql(ORACLE[name])
     got = QUERIES[name](spark, SMALL)
