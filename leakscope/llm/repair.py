@@ -352,7 +352,8 @@ def repair(conversations: DataFrame, conv: str = "conv_id") -> tuple[DataFrame,
     fate = F.col("_fate")
     body = F.when(fate == "k", F.concat_ws(":", "role", "text")).when(fate == "u", F.concat(F.lit("user:"), "text")).when(
         fate == "a", F.concat(F.lit("assistant:"), "text"))
-    turns = placed.join(fates, ["_c", "_pos"]).select("_c", "_pos", _lines(F.col("_front"), body, F.col("_back")).alias("lines"))
+    # merged, as the size of edits not yet written out is not known
+    turns = placed.join(fates.hint("merge"), ["_c", "_pos"]).select("_c", "_pos", _lines(F.col("_front"), body, F.col("_back")).alias("lines"))
     return figures, turns
 
 
