@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from leakscope.functions.numeric import cents, clamp01, from_cents, half_up, ladder
 from leakscope.functions.text import window_label
-from leakscope.operators.flow import edge_flows, solve_graphs, spread
+from leakscope.operators.flow import solve_graphs, spread
+from leakscope.operators.grid_flow import solve_grids
 from leakscope.operators.network import route_segments
 from leakscope.session import materialize
 
@@ -34,7 +35,7 @@ def _in_windows(hourly: DataFrame, windows: list[tuple[int, int]]) -> DataFrame:
     hits = [((hour >= start) & (hour < end), t) for t, (start, end) in enumerate(windows)]
     covered = [h for start, end in windows for h in range(start, end)]
     if len(covered) == len(set(covered)):
-        return hourly.withColumn("window_index", ladder(hits, -1))
+        return hourly.withColumn("window_index", ladder(hits, -1).cast("int"))
     found = F.array_compact(F.array(*[F.when(inside, F.lit(t)) for inside, t in hits]))
     return hourly.withColumn("window_index", F.explode(
         F.when(F.size(found) == 0, F.array(F.lit(-1))).otherwise(found)))
@@ -167,14 +168,31 @@ def score_segments(segments: DataFrame, flow_share: Column | None = None) -> Dat
 
 def flows(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS,
           skip_empty: bool = False) -> DataFrame:
-    """Solved graph of every route and day."""
+    """Solved graph of every route and day, from its listed edges."""
     grid = spread(stop_grid(hourly, stop_order, windows), KEYS)
     return solve_graphs(network_edges(grid, len(windows), skip_empty), KEYS, SOURCE, SINK)
 
 
+def grid_flows(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS,
+               skip_empty: bool = False, proof: bool = False) -> DataFrame:
+    """The same graphs, solved many at a time from the cells where something happened.
+
+    Only those travel, packed once per route and day; the grids exist inside the tasks.
+    """
+    counted = stop_order.select("route_id", "stop_id", "stop_index", F.count("*").over(
+        W.partitionBy("route_id")).alias("num_stops")).filter("num_stops >= 2")
+    sizes = counted.select("route_id", "num_stops").distinct()
+    cell = F.when((F.col("window_index") >= 0) & F.col("stop_index").isNotNull(), F.struct(
+        "window_index", "stop_index", "boardings", "tickets"))
+    graphs = (spread(_in_windows(hourly, windows), KEYS)
+              .join(sizes, "route_id").join(counted.drop("num_stops"), ["route_id", "stop_id"], "left")
+              .groupBy(*KEYS, "num_stops").agg(F.collect_list(cell).alias("cells")))
+    return solve_grids(graphs, KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST, proof)
+
+
 def localize(events: DataFrame, stop_order: DataFrame, date_col: str = "sim_date",
              windows=HOURLY_WINDOWS, skip_empty: bool = False) -> DataFrame:
-    """Ranked segments of every route and day at hand.
+    """Ranked segments of every route and day at hand; one route's day is a filter on ``events``.
 
     The hourly sums feed both the graphs and the segment totals, and the solved
     graphs give both totals and flows; each is written out, so the events are
@@ -182,24 +200,47 @@ def localize(events: DataFrame, stop_order: DataFrame, date_col: str = "sim_date
     out; ``failed_routes`` names it.
     """
     hourly = materialize(hourly_sums(events, date_col), "hourly")
-    solved = materialize(flows(hourly, stop_order, windows, skip_empty), "solved")
+    solved = materialize(grid_flows(hourly, stop_order, windows, skip_empty).select(
+        *KEYS, "total_cost", "used", "error"), "solved")
     return localize_solved(hourly, stop_order, solved, windows)
 
 
+def active_segments(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS) -> DataFrame:
+    """``segment_grid`` without the cells where nothing happened."""
+    return _named(segment_stats(hourly, stop_order, windows), stop_order, windows)
+
+
+def _named(stats: DataFrame, stop_order: DataFrame, windows) -> DataFrame:
+    """Segments with their stops and hours.  Every route lists its segments, so both sides
+    of the join are spread by route and segment."""
+    bounds = F.get(_window_rows(windows), F.col("window_index"))
+    return (stats.join(route_segments(stop_order), ["route_id", "segment_index"])
+            .withColumns({"window_start": bounds["window_start"], "window_end": bounds["window_end"]}))
+
+
 def localize_solved(hourly: DataFrame, stop_order: DataFrame, solved: DataFrame, windows) -> DataFrame:
-    sizes = stop_order.groupBy("route_id").agg(F.count("*").cast("int").alias("_stops"))
-    used = edge_flows(solved, KEYS).filter("src >= 2 AND dst = src + 1").join(sizes, "route_id")
-    place = F.col("src") - FIRST_NODE
-    used = used.select(
-        *KEYS, F.floor(place / F.col("_stops")).cast("int").alias("window_index"),
-        (place % F.col("_stops")).alias("segment_index"),
-        F.col("flow").alias("flow_units"), (F.col("cost") * F.col("flow")).alias("flow_cost"))
-    totals = solved.filter(F.col("error").isNull()).select(*KEYS, "total_cost")
-    segments = (segment_grid(hourly, stop_order, windows).join(totals, KEYS)
-                .join(used, [*KEYS, "window_index", "segment_index"], "left")
-                .withColumns({c: F.coalesce(c, F.lit(0).cast("bigint"))
-                              for c in ("flow_units", "flow_cost")}))
-    return score_segments(segments, F.col("flow_cost") / (F.col("total_cost") + 1))
+    """Scores from segment totals and solved graphs.
+
+    Cells without events are only ranked for their share of the flow's cost, which
+    takes more than ``MIN_SCORE``; the others would be dropped again, so they never arise.
+    """
+    good = solved.filter(F.col("error").isNull())
+    used = (good.select(*KEYS, F.col("total_cost").alias("_total"), F.inline("used")))
+    share = F.col("flow_cost") / (F.col("_total") + 1)
+    none = {c: F.lit(0).cast("bigint") for c in _SUMS}
+    stats = segment_stats(hourly, stop_order, windows)
+    cells = [*KEYS, "window_index", "segment_index"]
+    # one grouping in place of an outer join: the flow and the totals of a cell
+    both = (stats.select(*cells, *_SUMS, F.lit(None).cast("bigint").alias("flow_units"), F.lit(None).cast("bigint").alias("flow_cost"),
+                         F.lit(None).cast("bigint").alias("_total"))
+            .unionByName(used.select(*cells, *[v.alias(c) for c, v in none.items()], "flow_units", "flow_cost", "_total"))
+            .groupBy(*cells).agg(*[F.sum(c).alias(c) for c in _SUMS],
+                                 *[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("flow_units", "flow_cost")],
+                                 F.max("_total").alias("_total")))
+    totals = good.select(*KEYS, F.col("total_cost").alias("_cost"))
+    ranked = (both.filter((F.col("boardings") + F.col("expected") + F.col("reported") > 0) | (share * FLOW_WEIGHT > MIN_SCORE))
+              .join(totals, KEYS).withColumn("_total", F.col("_cost")))
+    return score_segments(_named(ranked, stop_order, windows), share)
 
 
 def failed_routes(solved: DataFrame) -> DataFrame:

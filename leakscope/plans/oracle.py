@@ -155,6 +155,22 @@ CTES: dict[str, tuple[list[str], str]] = {
                 from ev where is_anomalous = 1 group by all)
               window w as (partition by route_id, period_year order by gap desc, stop_sequence))
         where place <= 2"""),
+    "truthdays": (["ev"], f"""
+        select concat(case place when 1 then 'A' else 'B' end, '-', route_id, '-',
+                      cast(sim_date as varchar)) as anomaly_id,
+               case {ROUTE_NUMBER} % 4 when 0 then 'under_reporting' when 1 then 'ghost_trip'
+                    when 2 then 'qr_upi_fraud' else 'fare_evasion_cluster' end as anomaly_type,
+               route_id, least(stop_sequence, coalesce(other, stop_sequence)) as start_seq,
+               greatest(stop_sequence, coalesce(other, stop_sequence)) as end_seq,
+               first_hour, last_hour, sim_date,
+               {_round(f'0.3e0 + ({ROUTE_NUMBER} % 8)*0.05e0', 2)} as severity
+        from (select *, row_number() over w as place, lag(stop_sequence) over w as other from (
+                select route_id, sim_date, stop_sequence, min(sim_hour) as first_hour,
+                       max(sim_hour) as last_hour,
+                       sum({_cents('expected_revenue')} - {_cents('reported_revenue')}) as gap
+                from ev where is_anomalous = 1 group by all)
+              window w as (partition by route_id, sim_date order by gap desc, stop_sequence))
+        where place <= 2"""),
     "matched": (["evm", "truth"], """
         select * from (
         select e.*, truth.anomaly_id as found_id, anomaly_type, severity,
@@ -182,6 +198,7 @@ CTES: dict[str, tuple[list[str], str]] = {
                b.stop_sequence as segment_end_seq
         from stops a join stops b on a.route_id = b.route_id and b.stop_sequence = a.stop_sequence + 1"""),
     "ry": (["ev"], "select distinct route_id, period_year as sim_date from ev"),
+    "rd": (["ev"], "select distinct route_id, sim_date from ev"),
     "segstats": (["ev", "seg", "win"], f"""
         select seg.route_id, period_year as sim_date, window_index, segment_index,
                cast(sum(boarding_count) as bigint) as boardings, cast(sum(ticket_count) as bigint) as tickets,
@@ -205,13 +222,14 @@ CTES: dict[str, tuple[list[str], str]] = {
         from ry join seg on ry.route_id = seg.route_id cross join win
         left join segstats s on s.route_id = ry.route_id and s.sim_date = ry.sim_date
          and s.window_index = win.window_index and s.segment_index = seg.segment_index"""),
-    "segscore": (["seggrid"], f"""
+    "segscore": (["segdays", "seg", "win"], f"""
         select *, row_number() over (partition by route_id, sim_date
                order by localization_score desc, window_index, segment_index) as rank_position
         from (select *, {_round('raw', 4)} as localization_score, cast(e-r as double)/100e0 as flow_discrepancy
               from (select *, least(1e0, greatest(0e0, (case when e > 0 then
                            cast(e-r as double)/cast(e as double) else 0e0 end)*0.6e0
-                           + 0e0*0.4e0)) as raw from seggrid)
+                           + 0e0*0.4e0)) as raw
+                    from segdays join seg using (route_id, segment_index) join win using (window_index))
               where raw > 0.05e0 or cast(e-r as double)/100e0 > 10e0)"""),
     "trip": (["routes"], f"""
         select *, concat(route_id, '_T', lpad(cast(i+1 as varchar), 3, '0')) as trip_id,
@@ -600,11 +618,12 @@ ORACLES: dict[str, str] = {
               union all select 2, 'segment', node, node + 1, load, price where stop_index < 6
               union all select 3, 'carry', node, node + 7, 5, 1 where window_index < 17) edges""",
     "flow_checks": "select route_id, cast(sim_date as varchar) as sim_date, cast(0 as bigint) as over_capacity, "
-                   "cast(0 as bigint) as unbalanced, cast(0 as bigint) as total_gap, false as path_left from ry",
+                   "cast(0 as bigint) as unbalanced, cast(0 as bigint) as total_gap, cast(0 as bigint) as cost_gap, "
+                   "cast(0 as bigint) as cut_gap, cast(0 as bigint) as cheaper_ways from rd",
     "segment_hits": """
         select anomaly_id, route_id, cast(sim_date as varchar) as sim_date, exists (select 1 from segscore s
-               where s.route_id = truth.route_id and s.sim_date = truth.sim_date and rank_position <= 5
-                 and segment_start_seq >= start_seq - 1 and segment_end_seq <= end_seq + 1) as hit from truth""",
+               where s.route_id = t.route_id and s.sim_date = t.sim_date and rank_position <= 5
+                 and segment_start_seq >= start_seq - 1 and segment_end_seq <= end_seq + 1) as hit from truthdays t""",
     "localization_view": f"""
         select s.route_id, cast(s.sim_date as varchar) as sim_date, {_label('ws', 'we')} as time_window,
                segment_start_stop, segment_end_stop, segment_start_seq, segment_end_seq, flow_discrepancy,
@@ -612,14 +631,12 @@ ORACLES: dict[str, str] = {
                a.stop_lat as start_lat, a.stop_lon as start_lon, b.stop_name as end_stop_name,
                b.stop_lat as end_lat, b.stop_lon as end_lon
         from segscore s left join stops a on segment_start_stop = a.stop_id left join stops b on segment_end_stop = b.stop_id
-        where rank_position <= 50
-          and s.sim_date = (select max(sim_date) from segscore m where m.route_id = s.route_id)""",
+        where s.sim_date = (select max(sim_date) from segscore m where m.route_id = s.route_id)""",
     "anomaly_detail": f"""
-        select detection_id, d.route_id, cast(d.year as varchar) as sim_date, anomaly_score,
-               {_label('ws', 'we')} as segment_window, s.segment_start_stop as located_start,
+        select detection_id, d.route_id, cast(d.sim_date as varchar) as sim_date, anomaly_score,
+               case when ws is not null then {_label('ws', 'we')} end as segment_window, s.segment_start_stop as located_start,
                s.segment_end_stop as located_end, localization_score, cast(rank_position as int) as rank_position
-        from (select *, cast(date_trunc('year', sim_date) as date) as year from rec) d
-        left join segscore s on s.route_id = d.route_id and s.sim_date = d.year and rank_position <= 20""",
+        from rec d left join segscore s on s.route_id = d.route_id and s.sim_date = d.sim_date""",
     "route_detail_stops": "select route_id, stop_id, stop_sequence, distance_from_start_km, "
                           "stop_sequence - 1 as stop_index, stop_name, stop_lat, stop_lon, boarding_density from stops",
     "route_detail_scores": "select * replace (cast(sim_date as varchar) as sim_date) from sc qualify row_number() "

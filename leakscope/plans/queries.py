@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from leakscope.functions import demand, geo, text
 from leakscope.functions.numeric import from_cents, half_up, sum_money
-from leakscope.operators import (detect, evaluate, features, flow, forecast, forest, leakage_score,
+from leakscope.operators import (detect, evaluate, features, forecast, forest, grid_flow, leakage_score,
                                  localize, nearby, network, ordered, scenario, selection, validation)
 from leakscope.plans import jobs, views
 from leakscope.session import materialize, scratch_path
@@ -59,22 +59,26 @@ class Analytics(TransitTables):
 
     @cached_property
     def hourly(self) -> DataFrame:
-        """Stored, since graphs and segment totals both read it."""
-        return materialize(localize.hourly_sums(self.events, "period_year"), "hourly")
+        """Per day, stored, since graphs and segment totals both read it."""
+        return materialize(localize.hourly_sums(self.events), "hourly")
+
+    @cached_property
+    def yearly(self) -> DataFrame:
+        """The same per year, for the queries that list every cell of a grid."""
+        return localize.hourly_sums(self.events, "period_year")
 
     @cached_property
     def segments(self) -> DataFrame:
-        return localize.segment_grid(self.hourly, self.stop_order)
+        return localize.segment_grid(materialize(self.yearly, "yearly"), self.stop_order)
 
     @cached_property
     def segment_scores(self) -> DataFrame:
         """Segments scored on the discrepancy alone."""
-        return localize.score_segments(self.segments)
+        return localize.score_segments(localize.active_segments(self.hourly, self.stop_order))
 
     @cached_property
     def localized(self) -> DataFrame:
-        solved = materialize(localize.flows(self.hourly, self.stop_order), "solved")
-        return localize.localize_solved(self.hourly, self.stop_order, solved, localize.HOURLY_WINDOWS)
+        return localize.localize(self.events, self.stop_order)
 
     @cached_property
     def splits(self) -> tuple[DataFrame, DataFrame]:
@@ -726,20 +730,22 @@ def review_rejected(a: Analytics) -> DataFrame:
 
 @query
 def network_edges(a: Analytics) -> DataFrame:
-    grid = localize.stop_grid(a.hourly, a.stop_order)
+    grid = localize.stop_grid(materialize(a.yearly, "yearly"), a.stop_order)
     return localize.network_edges(grid, len(localize.HOURLY_WINDOWS))
 
 
 @query
 def flow_totals(a: Analytics) -> DataFrame:
-    solved = localize.flows(a.hourly, a.stop_order)
+    solved = localize.grid_flows(a.hourly, a.stop_order)
     return solved.select("route_id", "sim_date", "total_flow", "total_cost")
 
 
 @query
 def flow_checks(a: Analytics) -> DataFrame:
-    solved = localize.flows(a.hourly, a.stop_order)
-    return flow.flow_checks(solved, localize.KEYS, localize.SOURCE, localize.SINK)
+    """Every graph's certificate of being a cheapest maximum flow."""
+    solved = localize.grid_flows(a.hourly, a.stop_order, proof=True)
+    return grid_flow.certificate(solved, localize.KEYS, len(localize.HOURLY_WINDOWS), localize.CARRY_CAPACITY,
+                                 localize.CARRY_COST)
 
 
 @query
@@ -756,31 +762,32 @@ def localization_rank(a: Analytics) -> DataFrame:
 
 @query
 def localization_hits(a: Analytics) -> DataFrame:
-    return localize.localization_hits(a.localized, a.truth)
+    return localize.localization_hits(a.localized, a.truth_days)
 
 
 @query
 def localization_accuracy(a: Analytics) -> DataFrame:
-    return localize.localization_accuracy(localize.localization_hits(a.localized, a.truth))
+    """Share of the labelled anomalies found, day by day, in place and time."""
+    hits = localize.localization_hits(a.localized, a.truth_days, match_time=True)
+    return localize.localization_accuracy(hits, by="sim_date")
 
 
 @query
 def segment_hits(a: Analytics) -> DataFrame:
     """Hit test on the discrepancy score."""
-    return localize.localization_hits(a.segment_scores, a.truth)
+    return localize.localization_hits(a.segment_scores, a.truth_days)
 
 
 @query
 def localization_view(a: Analytics) -> DataFrame:
     located = a.segment_scores.drop("expected_flow", "reported_flow", "time_window_start",
                                     "time_window_end")
-    return views.localization_view(located, a.stops)
+    return views.localization_view(located, a.stops, segments=None)
 
 
 @query
 def anomaly_detail(a: Analytics) -> DataFrame:
-    of_year = a.records.withColumn("sim_date", F.trunc("sim_date", "year"))
-    return views.anomaly_detail(of_year, a.segment_scores).select(
+    return views.anomaly_detail(a.records, a.segment_scores, segments=None).select(
         "detection_id", "route_id", "sim_date", "anomaly_score", "segment_window", "located_start",
         "located_end", "localization_score", F.col("rank_position"))
 

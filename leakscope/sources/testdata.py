@@ -203,26 +203,35 @@ class TransitTables:
 
     @cached_property
     def truth(self) -> DataFrame:
-        """Labelled anomalies per route and year: the stop position with the largest
-        loss, and the stretch from there to the second largest."""
+        """Labelled anomalies per route and year."""
+        return self._labelled("period_year", "cast(year(period_year) as string)")
+
+    @cached_property
+    def truth_days(self) -> DataFrame:
+        """Labelled anomalies per route and day."""
+        return self._labelled("sim_date", "cast(sim_date as string)")
+
+    def _labelled(self, period: str, name: str) -> DataFrame:
+        """The stop position with the largest loss in a period, and the stretch from
+        there to the second largest."""
         gap = cents("expected_revenue") - cents("reported_revenue")
         losses = (self.events.filter("is_anomalous = 1")
-                  .groupBy("route_id", "period_year", "stop_sequence")
+                  .groupBy("route_id", period, "stop_sequence")
                   .agg(F.sum(gap).alias("gap"), F.min("sim_hour").alias("first_hour"),
                        F.max("sim_hour").alias("last_hour")))
-        by_gap = W.partitionBy("route_id", "period_year").orderBy(F.desc("gap"), "stop_sequence")
+        by_gap = W.partitionBy("route_id", period).orderBy(F.desc("gap"), "stop_sequence")
         ranked = (losses.withColumn("place", F.row_number().over(by_gap))
                   .withColumn("other", F.lag("stop_sequence").over(by_gap))
                   .filter("place <= 2"))
         return ranked.selectExpr(
             "concat(case place when 1 then 'A' else 'B' end, '-', route_id, '-', "
-            "cast(year(period_year) as string)) as anomaly_id",
+            f"{name}) as anomaly_id",
             f"case {ROUTE_NUMBER} % 4 when 0 then 'under_reporting' when 1 then 'ghost_trip' "
             "when 2 then 'qr_upi_fraud' else 'fare_evasion_cluster' end as anomaly_type",
             "route_id", "least(stop_sequence, coalesce(other, stop_sequence)) as start_stop_sequence",
             "greatest(stop_sequence, coalesce(other, stop_sequence)) as end_stop_sequence",
             "first_hour as time_window_start", "last_hour as time_window_end",
-            "period_year as sim_date",
+            f"{period} as sim_date",
             f"{cents_text(f'0.3e0 + ({ROUTE_NUMBER} % 8)*0.05e0')} as severity",
             "cast(gap as double)/100e0 as magnitude"
         ).selectExpr(

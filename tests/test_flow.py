@@ -58,7 +58,7 @@ def test_one_bad_graph_does_not_stop_the_others(spark):
 @pytest.fixture(scope="module")
 def solved(small):
     windows = [(5 + 3 * k, 8 + 3 * k) for k in range(6)]
-    return localize.flows(small.hourly, small.stop_order, windows).collect()
+    return localize.flows(small.yearly, small.stop_order, windows).collect()
 
 
 def test_flows_are_feasible_and_optimal(solved):
@@ -156,7 +156,7 @@ def test_failed_routes_are_named(spark):
 
 
 def test_segments_count_both_ends(small):
-    stats = localize.segment_stats(small.hourly, small.stop_order, [(0, 24)])
+    stats = localize.segment_stats(small.yearly, small.stop_order, [(0, 24)])
     total = stats.agg(F.sum("boardings")).first()[0]
     by_place = {r.stop_sequence: r.b for r in small.events.groupBy("stop_sequence").agg(
         F.sum("boarding_count").alias("b")).collect()}
