@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 
+# The length of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:" + "|".join(
+        rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{length - 4}}}"
+        for length, countries in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 
@@ -33,12 +42,12 @@ NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-
 # span needs to be reported.  The base kinds are always reported.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "address", "host", "server"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
-    "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social", "security"),
+    "email": ("mail", "email", "e-mail", "contact", "write", "kontakt", "courriel", "correo"),
+    "ip": ("ip", "address", "host", "server", "adresse", "serveur", "servidor"),
+    "card": ("card", "visa", "credit", "payment", "karte", "kreditkarte", "carte", "tarjeta"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "fax", "telefon", "anruf", "téléphone", "teléfono", "móvil"),
+    "iban": ("iban", "bank", "account", "konto", "compte", "banque", "cuenta", "banco"),
+    "ssn": ("ssn", "social", "security", "sozialversicherung", "sécurité", "seguridad"),
 }
 CONTEXT_BONUS = 0.4
 ACCEPT = 0.5
@@ -104,7 +113,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _score(kind: str, near: Column) -> Column:
-    word = r"\b(?:" + "|".join(CONTEXT[kind]) + ")"
+    word = r"(?U)\b(?:" + "|".join(CONTEXT[kind]) + r")s?\b"
     return F.round(F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(
         F.regexp_like(near, F.lit(word)), F.lit(CONTEXT_BONUS)).otherwise(0.0)), 2)
 
@@ -134,10 +143,11 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PAT
     return out.drop("_text", *[f"_{c}_{k}" for c in "mg" for k in kinds])
 
 
-def joined(kinds: tuple[str, ...]) -> Column:
-    """kind:start:end of all spans, by kind in the order given, then by start."""
+def joined(kinds: tuple[str, ...], scored: bool = False) -> Column:
+    """kind:start:end, and the score if asked for, of all spans, by kind in the order given, then by start."""
     def named(kind: str) -> Column:
         return F.transform(F.col(kind), lambda x: F.concat_ws(
-            ":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
+            ":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string"),
+            *([x["score"].cast("string")] if scored else [])))
 
     return F.array_join(F.concat(*[named(k) for k in kinds]), ",")

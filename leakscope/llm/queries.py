@@ -13,6 +13,9 @@ from leakscope.llm import (bpe, html, licenses, lines, mixing, neardup, pii, qua
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
+# op5: a line goes that more distinct texts of a source have, and a document of which less is left.
+SHARED_TEXTS, LEAST_LEFT = 20, 0.7
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -37,7 +40,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    judged = quality.judge(_table(spark, sf_dir, "documents"), fraction=0.0, at_least=SHARED_TEXTS, least_left=LEAST_LEFT)
     return judged.select("doc_id", *quality.FIGURES, "base_failed", "kept", "n_removed_lines", "n_removed_words")
 
 
@@ -55,7 +58,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS],
-        F.sha2(pii.joined(pii.BASE_KINDS), 256).alias("base_sha256"), pii.joined(tuple(pii.PATTERNS)).alias("spans"))
+        F.sha2(pii.joined(pii.BASE_KINDS), 256).alias("base_sha256"), pii.joined(tuple(pii.PATTERNS)).alias("spans"),
+        pii.joined(tuple(pii.PATTERNS), scored=True).alias("scores"))
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +169,7 @@ q AS (
 p AS (
   SELECT r, count(DISTINCT i + o)::BIGINT AS n_repeat_words
   FROM (SELECT r, i, unnest(range(0, 8)) AS o FROM q WHERE n > 1) GROUP BY r),
-h AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-o AS (
-  SELECT y.source, norm FROM y GROUP BY y.source, norm
-  HAVING count(DISTINCT whole) > 20
-     AND count(DISTINCT whole) > 0.2::DOUBLE * (SELECT docs FROM h WHERE h.source IS NOT DISTINCT FROM y.source)),
+o AS (SELECT source, norm FROM y GROUP BY source, norm HAVING count(DISTINCT whole) > {SHARED_TEXTS}),
 z AS (
   SELECT r, count(DISTINCT y.norm)::INTEGER AS n_lines, sum(words)::BIGINT AS n_gone
   FROM y JOIN o ON o.norm = y.norm AND o.source IS NOT DISTINCT FROM y.source GROUP BY r),
@@ -179,13 +179,13 @@ j AS (
          coalesce(n_gone, 0) AS n_removed_words
   FROM d JOIN f USING (r) LEFT JOIN u USING (r) LEFT JOIN p USING (r) LEFT JOIN z USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
-       NOT failed AND n_words - n_removed_words >= 0.3::DOUBLE * n_words AS kept, n_removed_lines, n_removed_words
+       NOT failed AND n_words - n_removed_words >= {LEAST_LEFT}::DOUBLE * n_words AS kept, n_removed_lines, n_removed_words
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed FROM j)""",
     "op9_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs(x::DOUBLE) > 1.7976931348623157e308 / 64)) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),

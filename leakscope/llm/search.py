@@ -6,7 +6,9 @@ inner product, so it is a lower bound of the distance -2 q.x.  The bound with on
 segment is a product of two short vectors; more segments make it tighter.
 A query first scores what the coarsest bound puts on top, which gives it a
 k-th best score, and then only refines rows whose bound reaches that score, from
-coarse to fine, before exact integer scores decide.
+coarse to fine; every level scores its best rows to raise the k-th best score.
+Exact integer scores decide.  Levels that discard next to nothing from the first
+queries of a cell are left out for its other queries.
 
 Queries and rows meet in cells of one query group and one row group, both of
 bounded size: rows are copied once per query group, never to one task.
@@ -14,7 +16,7 @@ bounded size: rows are copied once per query group, never to one task.
 
 from __future__ import annotations
 
-import math
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -22,8 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINEST = 16     # segments of the last bound
 SCALE = 64.0
+LARGEST = sys.float_info.max / SCALE
+
+# Queries of a cell that try every level, and the share of rows a level must discard to stay.
+TRIED, WORTH = 16, 0.05
 
 
 def integers(vectors: np.ndarray) -> np.ndarray:
@@ -41,12 +46,12 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def resolutions(dimension: int) -> list[int]:
-    """1, 4, 16 segments, as far as there are dimensions for them."""
+    """1, 4, 16 segments, then twice as many up to one for each dimension."""
     out, segments = [], 1
-    while segments <= min(FINEST, dimension):
+    while segments < dimension:
         out.append(segments)
-        segments *= 4
-    return out
+        segments *= 4 if segments < 16 else 2
+    return [*out, dimension]
 
 
 def exact_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -58,27 +63,38 @@ def exact_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([int(sum(v * int(q) for v, q in zip(row, query))) for row in whole], dtype=object)
 
 
-def search_cell(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int
-                ) -> tuple[list[int], list[int], list[int]]:
-    """Each query's k best rows of the cell, ties to the smaller id, never the query's own."""
+def search_cell(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int,
+                survivors: dict[int, list[float]] | None = None) -> tuple[list[int], list[int], list[int]]:
+    """Each query's k best rows of the cell, ties to the smaller id, never the query's own.
+
+    ``survivors`` collects, per level, the share of a query's rows that are left after it.
+    """
     (query_ids, q), (ids, x) = queries, rows
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     levels = resolutions(x.shape[1]) if x.shape[1] else []
-    row_stats = [statistics(x, s) for s in levels]
-    query_stats = [statistics(q, s) for s in levels]
+    row_stats = {s: statistics(x, s) for s in levels}
+    query_stats = {s: statistics(q, s) for s in levels}
+    dropped = dict.fromkeys(levels, 0.0)
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
     for i, own in enumerate(query_ids):
-        alive = np.flatnonzero(ids != own)
-        least = None
-        for level, stats in enumerate(row_stats):
-            bounds = stats[alive] @ query_stats[level][i]
+        alive = everyone = np.flatnonzero(ids != own)
+        least = -np.inf
+        for level in levels:
+            if len(alive) <= k:
+                break
+            bounds = row_stats[level][alive] @ query_stats[level][i]
             slack = 1e-9 * np.abs(bounds).max(initial=0) + 1e-6     # rounding of the bound itself
-            if least is None and len(alive) > k:
-                top = alive[np.argpartition(-bounds, min(4 * k, len(alive)) - 1)[:4 * k]]
-                least = np.sort(exact_scores(x[top], q[i]))[::-1][k - 1]
-            if least is not None:
-                alive = alive[bounds + slack >= float(least)]
+            some = min(2 * k, len(alive))
+            top = alive[np.argpartition(-bounds, some - 1)[:some]]
+            least = max(least, float(np.sort(exact_scores(x[top], q[i]))[::-1][k - 1]))
+            before = len(alive)
+            alive = alive[bounds + slack >= least]
+            dropped[level] += (before - len(alive)) / before
+            if survivors is not None:
+                survivors.setdefault(level, []).append(len(alive) / max(1, len(everyone)))
+        if i + 1 == TRIED:
+            levels = [s for s in levels if dropped[s] >= WORTH * TRIED]
         scores = exact_scores(x[alive], q[i])
         best = np.argsort(-scores, kind="stable")[:k]               # alive is in order of id
         out[0].extend([int(own)] * len(best))
@@ -96,10 +112,9 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vector: Column) -> Column:
-    """No component is null, infinite or not a number."""
-    big = F.lit(math.inf)
+    """No component is null, not a number, or infinite when it is scaled."""
     return vector.isNotNull() & F.forall(
-        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big))
+        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST))
 
 
 def top_k(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20,
@@ -108,6 +123,7 @@ def top_k(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
     Rows without an id or with an unusable vector take no part; a row repeated
     with its id is searched once as a query and counts every time as a candidate.
+    Queries of one id but different vectors share one list, the best scores of any of them.
     Only vectors of the query's own length compare with it.  Scores must fit 64 bits.
     """
     valid = rows.select(F.col(key).cast("long").alias("_id"), F.col(vector).cast("array<double>").alias("_vector"),

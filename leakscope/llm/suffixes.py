@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscope.llm import textarrays as ta
+from leakscope.session import materialize
 
 LENGTH = 50
 GRAM = 24
@@ -182,7 +183,7 @@ def shared_names(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "name": pa.array(out_name, pa.int64())})
 
 
-STRETCHES = "bucket int, settled boolean, docs binary, starts binary, counts binary, bytes binary"
+STRETCHES = "bucket int, settled boolean, docs binary, variants binary, starts binary, counts binary, bytes binary"
 
 
 def tell_stretches(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -190,28 +191,28 @@ def tell_stretches(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
     are sent for their smallest document; in the others all of it goes, as
     ``settled`` rows say."""
 
-    def hand_over(found: dict[bytes, list[tuple[int, int]]], homes: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    def hand_over(found: dict[bytes, list[tuple[int, int, int]]], homes: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         open_rows: dict[int, list] = {}
         settled: dict[int, list] = {}
         for piece, places in found.items():
-            least = min(doc for doc, _ in places)
+            least = min(doc for doc, _, _ in places)
             count = len(piece) - LENGTH + 1
-            for doc, start in places:
+            for doc, variant, start in places:
                 if doc == least:
-                    open_rows.setdefault(homes[piece], []).append((doc, start, count, piece))
+                    open_rows.setdefault(homes[piece], []).append((doc, variant, start, count, piece))
                 else:
-                    settled.setdefault(doc % buckets, []).append((doc, start, count, b""))
+                    settled.setdefault(doc % buckets, []).append((doc, variant, start, count, b""))
         for done, rows in ((False, open_rows), (True, settled)):
             if rows:
-                columns = [(b, done, *(ta.pack_ints(np.array(c, np.int64)) for c in list(zip(*r))[:3]),
-                            ta.pack_bytes(b"".join(x[3] for x in r))) for b, r in rows.items()]
+                columns = [(b, done, *(ta.pack_ints(np.array(c, np.int64)) for c in list(zip(*r))[:4]),
+                            ta.pack_bytes(b"".join(x[4] for x in r))) for b, r in rows.items()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*columns), (
-                        pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))],
-                    ["bucket", "settled", "docs", "starts", "counts", "bytes"])
+                        pa.int32(), pa.bool_(), *[pa.binary()] * 5))],
+                    ["bucket", "settled", "docs", "variants", "starts", "counts", "bytes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, list[tuple[int, int]]] = {}
+        found: dict[bytes, list[tuple[int, int, int]]] = {}
         homes: dict[bytes, int] = {}
         size = 0
         for batch, data, offsets, rows, places in _units(batches):
@@ -226,14 +227,15 @@ def tell_stretches(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
             start, count, unit = start[chosen], count[chosen], unit[chosen]
             home = (short[chosen] >> np.uint64(32)).tolist()
             docs = batch.column("doc_id").to_numpy()[rows[unit]].tolist()
+            variants = batch.column("variant").to_numpy()[rows[unit]].tolist()
             in_text = (start - offsets[unit] + places[unit]).tolist()
             raw = data.tobytes()
-            for h, d, p, s, c in zip(home, docs, in_text, start.tolist(), count.tolist()):
+            for h, d, v, p, s, c in zip(home, docs, variants, in_text, start.tolist(), count.tolist()):
                 piece = raw[s:s + c + LENGTH - 1]
                 if piece in found:
-                    found[piece].append((d, p))
+                    found[piece].append((d, v, p))
                 else:
-                    found[piece] = [(d, p)]
+                    found[piece] = [(d, v, p)]
                     homes[piece] = h
                     size += len(piece)
             size += len(docs)
@@ -245,19 +247,28 @@ def tell_stretches(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
     return run
 
 
-def suffix_order(data: np.ndarray, stretch: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """All suffixes in order; each ends with its stretch, ``limits`` bytes on.
+def suffix_order(data: np.ndarray, stretch: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``LENGTH`` bytes or more, the windows, in the order of their bytes,
+    and whether each ties with the one before it.
 
-    Larsson-Sadakane: ranks of the first 7 bytes (and the end, if it comes sooner)
-    become ranks of 14, 28, 56 bytes by pairing a suffix's rank with that of the
-    suffix so many bytes on.  A suffix alone with its rank is in its place and
-    is not sorted again.  Suffixes equal up to their ends stay in the order of
-    their stretches.
+    Each suffix ends with its stretch, ``limits`` bytes on.  Larsson-Sadakane: ranks
+    of the first 7 bytes (and the end, if it comes sooner) become ranks of 14, 28,
+    56 bytes by pairing a suffix's rank with that of the suffix so many bytes on.
+    A suffix alone with its rank is in its place and is not sorted again, and neither
+    is one that no window is read on to: a window needs the one 28 bytes on, and
+    those two need what is 14 bytes on.  Windows equal in what is compared stay in the
+    order of their stretches.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     keys = np.ndarray((n,), dtype=">u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
-    known = 7
+    known, reach = 7, [7]
+    while reach[-1] < LENGTH:
+        reach.append(2 * reach[-1])
+    # bytes that a suffix must have left for its rank to be asked for, once ranks cover so many bytes
+    least = {reach[-1]: LENGTH}
+    for longer, shorter in zip(reach[::-1], reach[-2::-1]):
+        least[shorter] = max(1, least[longer] - shorter)
     short = np.minimum(limits, known).astype(np.uint64)
     cut = np.uint64(64) - short * np.uint64(8)
     keys = (keys >> cut) << cut | short
@@ -272,44 +283,53 @@ def suffix_order(data: np.ndarray, stretch: np.ndarray, limits: np.ndarray) -> n
         olds = _groups(rank[at])
         base = np.repeat(olds, np.diff(np.append(olds, len(at))))
         rank[at] = rank[at] + np.repeat(starts, sizes) - base
+        if known >= LENGTH:
+            break
         at = at[np.repeat(sizes > 1, sizes)]
-        at = at[limits[at] >= known]
+        at = at[limits[at] >= max(known, least[2 * known])]
         on = np.minimum(at + known, n - 1)
         further = np.where(limits[at] > known, rank[on] + 1, 0)
         keys = (rank[at].astype(np.uint64) << np.uint64(32)) | further.astype(np.uint64)
         known *= 2
-    return np.argsort(rank << 32 | stretch, kind="stable")
+    windows = np.flatnonzero(limits >= LENGTH)
+    windows = windows[np.argsort(rank[windows] << 32 | stretch[windows], kind="stable")]
+    tied = np.zeros(len(windows), dtype=bool)
+    tied[1:] = rank[windows[1:]] == rank[windows[:-1]]
+    return windows, tied
 
 
-def common_prefixes(data: np.ndarray, suffixes: np.ndarray, limits: np.ndarray, place: np.ndarray,
+def common_prefixes(data: np.ndarray, windows: np.ndarray, tied: np.ndarray, limits: np.ndarray, place: np.ndarray,
                     stretch: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix, in order, with the one before it.
-
-    Kasai's rule, for all stretches side by side: the suffix one byte on shares at
-    least one byte less with its predecessor, so a prefix is read on, not anew.
-    ``limits``, ``place`` and ``stretch`` are by byte: bytes left in the stretch,
-    number in it, and which it is."""
-    n = len(suffixes)
-    before = np.full(n, -1, dtype=np.int64)
-    before[suffixes[1:]] = suffixes[:-1]
+    """Common prefix of each window, in order, with the one before it, up to ``LENGTH``.
+
+    Kasai's rule, for all stretches side by side: the window one byte on shares at
+    least one byte less with its predecessor, so a prefix is read on, not anew.  That
+    holds where the two windows differ in what was sorted by and the predecessor has
+    a window one byte on as well; elsewhere reading starts again.  ``limits``,
+    ``place`` and ``stretch`` are by byte: bytes left in the stretch, number in it,
+    and which it is."""
+    n = len(data)
+    before, same_rank = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=bool)
+    before[windows[1:]] = windows[:-1]
+    same_rank[windows] = tied
     shared = np.zeros(n, dtype=np.int64)
     carried = np.zeros(int(stretch.max(initial=0)) + 1, dtype=np.int64)
-    by_place = np.argsort(place, kind="stable")
-    bounds = np.append(_groups(place[by_place]), n)
+    by_place = windows[np.argsort(place[windows], kind="stable")]
+    bounds = np.append(_groups(place[by_place]), len(by_place)) if len(by_place) else []
     for a, b in zip(bounds, bounds[1:]):
         now = by_place[a:b]
         prior = before[now]
-        most = np.where(prior < 0, 0, np.minimum(limits[now], limits[prior]))
-        have = np.minimum(np.maximum(carried[stretch[now]] - 1, 0), most)
-        live = np.flatnonzero(have < most)
+        have = np.where(same_rank[now], LENGTH, np.maximum(carried[stretch[now]] - 1, 0))
+        have[prior < 0] = 0
+        live = np.flatnonzero((have < LENGTH) & (prior >= 0))
         while len(live):
             same = data[now[live] + have[live]] == data[prior[live] + have[live]]
             live = live[same]
             have[live] += 1
-            live = live[have[live] < most[live]]
+            live = live[have[live] < LENGTH]
         shared[now] = have
-        carried[stretch[now]] = have
-    return shared[suffixes]
+        carried[stretch[now]] = np.where(~same_rank[now] & (limits[prior] > LENGTH), have, 0)
+    return shared[windows]
 
 
 class Shard:
@@ -323,12 +343,8 @@ class Shard:
         stretch = np.repeat(np.arange(len(pieces)), lengths)
         place = np.arange(len(data)) - (ends - lengths)[stretch]
         limits = ends[stretch] - np.arange(len(data))
-        suffixes = suffix_order(data, stretch, limits)
-        shared = common_prefixes(data, suffixes, limits, place, stretch)
-        # windows only: shorter suffixes sort in front of the windows they begin
-        full = limits[suffixes] >= LENGTH
-        suffixes, shared = suffixes[full], shared[full]
-        first = shared < LENGTH
+        suffixes, tied = suffix_order(data, stretch, limits)
+        first = common_prefixes(data, suffixes, tied, limits, place, stretch) < LENGTH
         self.stretch = stretch[suffixes]
         self.number = (np.cumsum(counts) - counts)[self.stretch] + place[suffixes]   # in stretch order
         self.group = np.cumsum(first) - 1
@@ -361,12 +377,12 @@ def merge_shards(shards: list[Shard], least: list[np.ndarray]) -> list[np.ndarra
 
 
 def repeated_windows(table: pa.Table) -> pa.Table:
-    """(doc_id, start, stop): runs of windows of a bucket that start in a smaller document too."""
+    """(doc_id, variant, start, stop): runs of windows of a bucket that start in a smaller document too."""
     settled = table.filter(table.column("settled"))
-    docs, starts, counts = (_column(settled, c) for c in ("docs", "starts", "counts"))
-    out = [(docs, starts, starts + counts)]
+    docs, variants, starts, counts = (_column(settled, c) for c in ("docs", "variants", "starts", "counts"))
+    out = [(docs, variants, starts, starts + counts)]
     asked = table.filter(pa.compute.invert(table.column("settled")))
-    docs, starts, counts = (_column(asked, c) for c in ("docs", "starts", "counts"))
+    docs, variants, starts, counts = (_column(asked, c) for c in ("docs", "variants", "starts", "counts"))
     if len(docs):
         raw = b"".join(map(ta.unpack_bytes, asked.column("bytes").to_pylist()))
         ends = np.cumsum(counts + LENGTH - 1).tolist()
@@ -398,16 +414,19 @@ def repeated_windows(table: pa.Table) -> pa.Table:
         begin = np.flatnonzero(edge)
         size = np.diff(np.append(begin, len(gone)))
         begin, size = begin[gone[begin]], size[gone[begin]]
-        out.append((docs[owner[begin]], starts[owner[begin]] + inside[begin], starts[owner[begin]] + inside[begin] + size))
+        found = owner[begin]
+        out.append((docs[found], variants[found], starts[found] + inside[begin], starts[found] + inside[begin] + size))
     columns = [np.concatenate(c) for c in zip(*out)]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "start", "stop"), columns)})
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "variant", "start", "stop"), columns)})
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in ta.slices(batches):
         data, offsets = ta.text_bytes(batch.column("text"))
         removed, spans, kept = [], [], []
-        runs = batch.column("runs").to_pylist()
+        variants = batch.column("variant").to_pylist()
+        # an id's runs, of which a row takes those of its own text
+        runs = [[r for r in own or () if r["variant"] == v] for own, v in zip(batch.column("runs").to_pylist(), variants)]
         for i in range(batch.num_rows):
             own = data[offsets[i]:offsets[i + 1]]
             if not runs[i]:
@@ -418,9 +437,8 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = np.zeros(len(own) + 1, dtype=np.int64)
             begin = np.array([r["start"] for r in runs[i]])
             end = np.array([r["stop"] for r in runs[i]]) + LENGTH - 1
-            inside = end <= len(own)            # rows that share an id but not the text
-            np.add.at(edges, begin[inside], 1)
-            np.add.at(edges, end[inside], -1)
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, end, -1)
             gone = np.cumsum(edges[:-1]) > 0
             removed.append(int(gone.sum()))
             spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
@@ -431,28 +449,39 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _variants(rows: DataFrame) -> DataFrame:
+    """Numbers the different texts of ids that have several, from 0 on: (doc_id, text hash, variant)."""
+    texts = rows.groupBy("doc_id", F.xxhash64("text").alias("_hash")).agg(F.lit(1).alias("_one"))
+    several = texts.groupBy("doc_id").agg(F.collect_list("_hash").alias("_hashes")).filter(F.size("_hashes") > 1)
+    return several.select(F.col("doc_id").alias("_id"), F.posexplode(F.array_sort("_hashes")).alias("_variant", "_hash"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A null text is empty.  Rows without an id neither lose bytes nor take them
-    from others; rows of one id are one document, so repeated rows leave each
-    other alone.  Extra columns are not read.
+    from others; rows of one id are one document, so they leave each other alone,
+    whether their texts are equal or not.  Extra columns are not read.
     """
     rows = docs.select(ta.long_column(docs, "doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    known = rows.filter("doc_id is not null")
-    names = (known.mapInArrow(tell_names(buckets), NAMES).groupBy("bucket")
+    # stored, so that its size, mostly nothing, is known when the texts meet it
+    variants = materialize(_variants(rows.filter("doc_id is not null")), "variants")
+    known = (rows.filter("doc_id is not null").join(
+        variants, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+        .select("doc_id", "text", F.coalesce("_variant", F.lit(0)).cast("long").alias("variant")))
+    names = (known.select("doc_id", "text").mapInArrow(tell_names(buckets), NAMES).groupBy("bucket")
              .applyInArrow(shared_names, "doc_id long, name long"))
     names = names.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     # both joins ask for the texts by id; Spark shuffles them once
     dealt = known.repartition("doc_id")
-    runs = (dealt.join(names, "doc_id").select("doc_id", "text", "names")
+    runs = (dealt.join(names, "doc_id").select("doc_id", "variant", "text", "names")
             .mapInArrow(tell_stretches(buckets), STRETCHES).groupBy("bucket")
-            .applyInArrow(repeated_windows, "doc_id long, start long, stop long"))
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    none = F.lit(None).cast("array<struct<start:long,stop:long>>")
-    whole = (dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
-             .unionByName(rows.filter("doc_id is null").withColumn("runs", none)))
+            .applyInArrow(repeated_windows, "doc_id long, variant long, start long, stop long"))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("variant", "start", "stop")).alias("runs"))
+    none = F.lit(None).cast("array<struct<variant:long,start:long,stop:long>>")
+    whole = (dealt.join(runs, "doc_id", "left").select("doc_id", "variant", "text", "runs")
+             .unionByName(rows.filter("doc_id is null").withColumns({"variant": F.lit(0).cast("long"), "runs": none})))
     return whole.mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -42,6 +42,16 @@ def test_repeats(spark, awkward, nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
 
 
+def test_different_texts_of_one_id(spark):
+    """Each row of an id loses what a smaller document has, at its own places only."""
+    other = "".join(random.Random(9).choice("qwrtz pl") for _ in range(185))
+    rows = [(1, PROSE), (2, PROSE + " and then a tail"), (2, other), (2, other), (3, other[:90] + PROSE[:60]), (3, "x" + PROSE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.remove_repeats(docs).collect())
+    n = len(PROSE)
+    assert got == [(1, n, 0), (2, 185, 0), (2, 185, 0), (2, n + 16, n), (3, 150, 150), (3, n + 1, n)]
+
+
 def test_overlapping_passages(spark):
     rng = random.Random(2)
     pool = ["".join(rng.choice("ab c") for _ in range(rng.randint(30, 160))) for _ in range(12)]
@@ -80,12 +90,13 @@ def test_suffix_order_and_common_prefixes():
             stretch = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(data)) - (ends - sizes)[stretch]
             limits = ends[stretch] - np.arange(len(data))
-            order = suffixes.suffix_order(data, stretch, limits)
-            found = [data[i:i + limits[i]].tobytes() for i in order]
-            assert found == sorted(found)
-            shared = suffixes.common_prefixes(data, order, limits, place, stretch)
+            order, tied = suffixes.suffix_order(data, stretch, limits)
+            assert sorted(order.tolist()) == np.flatnonzero(limits >= 50).tolist()
+            found = [data[i:i + min(limits[i], 56)].tobytes() for i in order]
+            assert found == sorted(found) and tied.tolist() == [False] + [a == b for a, b in zip(found, found[1:])]
+            shared = suffixes.common_prefixes(data, order, tied, limits, place, stretch)
             for a, b, n in zip(found, found[1:], shared[1:]):
-                assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+                assert a[:n] == b[:n] and (n == 50 or a[n] != b[n])
 
 
 def test_shards_merge_to_the_same(monkeypatch):
@@ -164,3 +175,14 @@ def test_query_digest(spark, nothing):
         assert [row[f"n_{k}"] for k in BASE] == [len(base[k]) for k in BASE]
         assert set(filter(None, text.split(","))) <= set(row["spans"].split(","))
     assert pii.find(nothing).count() == 0
+
+
+def test_account_numbers_and_context_words(spark):
+    """An account number ends at its country's length; context words are whole words, in four languages."""
+    texts = ["pay to BE68 5390 0754 7034 NOW", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00 and more", "BE68 5390 0754 7035 NOW",
+             "his social number is 123-45-6789", "the socialite 123-45-6789", "número de seguridad 123-45-6789"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(pii.find(docs).collect(), key=lambda r: r["doc_id"])
+    assert [[v["value"] for v in r["iban"]] for r in rows[:4]] == [
+        ["BE68 5390 0754 7034"], ["DE89370400440532013000"], ["DE89 3704 0044 0532 0130 00"], []]
+    assert [len(r["ssn"]) for r in rows[4:]] == [1, 0, 1] and rows[4]["ssn"][0]["score"] == 0.7
