@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 SCALE = 64.0
 LARGEST = sys.float_info.max / SCALE
 
-# Queries of a cell that try every level, and the share of rows a level must discard to stay.
-TRIED, WORTH = 16, 0.05
+# Queries that are bounded together; the first of a cell try every level, and a level
+# stays for the others if it discards this share of the rows it is given.
+BLOCK, WORTH = 64, 0.05
 
 
 def integers(vectors: np.ndarray) -> np.ndarray:
@@ -74,32 +75,37 @@ def search_cell(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray,
     ids, x = ids[order], x[order]
     levels = resolutions(x.shape[1]) if x.shape[1] else []
     row_stats = {s: statistics(x, s) for s in levels}
-    query_stats = {s: statistics(q, s) for s in levels}
-    dropped = dict.fromkeys(levels, 0.0)
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
-    for i, own in enumerate(query_ids):
-        alive = everyone = np.flatnonzero(ids != own)
-        least = -np.inf
+    for at in range(0, len(query_ids), BLOCK):
+        block, own = q[at:at + BLOCK], query_ids[at:at + BLOCK]
+        alive = own[:, None] != ids[None, :]
+        most = np.maximum(1, alive.sum(axis=1))
+        left, useful = int(alive.sum()), []
         for level in levels:
-            if len(alive) <= k:
-                break
-            bounds = row_stats[level][alive] @ query_stats[level][i]
+            # a product of two small matrices for all queries of the block
+            bounds = statistics(block, level) @ row_stats[level].T
             slack = 1e-9 * np.abs(bounds).max(initial=0) + 1e-6     # rounding of the bound itself
-            some = min(2 * k, len(alive))
-            top = alive[np.argpartition(-bounds, some - 1)[:some]]
-            least = max(least, float(np.sort(exact_scores(x[top], q[i]))[::-1][k - 1]))
-            before = len(alive)
-            alive = alive[bounds + slack >= least]
-            dropped[level] += (before - len(alive)) / before
+            for i, mine in enumerate(alive):
+                if mine.sum() > k:
+                    open_rows = np.flatnonzero(mine)
+                    some = min(2 * k, len(open_rows))
+                    top = open_rows[np.argpartition(-bounds[i, open_rows], some - 1)[:some]]
+                    least = float(np.sort(exact_scores(x[top], block[i]))[::-1][k - 1])
+                    mine &= bounds[i] + slack >= least
+            before, left = left, int(alive.sum())
+            if before and before - left >= WORTH * before:
+                useful.append(level)
             if survivors is not None:
-                survivors.setdefault(level, []).append(len(alive) / max(1, len(everyone)))
-        if i + 1 == TRIED:
-            levels = [s for s in levels if dropped[s] >= WORTH * TRIED]
-        scores = exact_scores(x[alive], q[i])
-        best = np.argsort(-scores, kind="stable")[:k]               # alive is in order of id
-        out[0].extend([int(own)] * len(best))
-        out[1].extend(ids[alive[best]].tolist())
-        out[2].extend(int(s) for s in scores[best])
+                survivors.setdefault(level, []).extend((alive.sum(axis=1) / most).tolist())
+        if at == 0:
+            levels = useful
+        for i, mine in enumerate(alive):
+            open_rows = np.flatnonzero(mine)                        # in order of id
+            scores = exact_scores(x[open_rows], block[i])
+            best = np.argsort(-scores, kind="stable")[:k]
+            out[0].extend([int(own[i])] * len(best))
+            out[1].extend(ids[open_rows[best]].tolist())
+            out[2].extend(int(s) for s in scores[best])
     return out
 
 
