@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BINS = 4096.0
-_LEVELS = 4
+# Items of a quantile sketch, the quantiles read off it, a share of rows well above its
+# error, and values that may be listed.
+SKETCH, MARKS, WIDTH, EXACT = 4096, 1000, 0.002, 200_000
 
 
 def row_hash(key: str, seed: int) -> Column:
@@ -51,31 +54,40 @@ def threshold_of_rounded(df: DataFrame, score: str, fraction: float, default: fl
 
 
 def nth_largest(df: DataFrame, score: str, place: int) -> float | None:
-    """Exact score at a zero-based place in descending order, for scores in [0, 1].
+    """Exact score at a zero-based place in descending order; nulls and NaN have no place.
 
-    Each pass counts 4,096 bins and narrows down to one of them.  Scaling by a
-    power of two is exact in binary, so no value changes its bin to rounding.
-    After four passes only a handful of distinct values is left.
+    A quantile sketch brackets the place and one more pass counts the values inside
+    the bracket: two jobs for up to ``EXACT / (2 x WIDTH)`` rows.  Beyond, where a
+    bracket would still hold too many values to list, it is sketched again.  The
+    counts show whether the place is in the bracket; if not, a wider one is tried.
     """
-    remainder, rest = F.col(score), df
-    for _ in range(_LEVELS):
-        scaled = remainder * _BINS
-        bin_ = F.least(F.floor(scaled), F.lit(int(_BINS) - 1))
-        counts = sorted(((r[0], r[1]) for r in rest.groupBy(bin_.alias("_bin")).count().collect()),
-                        reverse=True)
-        chosen = None
-        for number, size in counts:
-            if place < size:
-                chosen = number
-                break
-            place -= size
-        if chosen is None:
+    value, width = F.col(score).cast("double"), WIDTH
+    rows = df.filter(value.isNotNull() & ~F.isnan(value)).select(value.alias("_v"))
+    low, high, above = float("-inf"), float("inf"), 0
+    while True:
+        inside = rows.filter(F.col("_v").between(low, high))
+        n, marks = inside.agg(F.count("*").alias("n"), F.kll_sketch_agg_double("_v", SKETCH).alias("s")).select(
+            "n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", F.array(*[
+                F.lit(i / MARKS) for i in range(MARKS + 1)])))).first()
+        if place - above >= n:
             return None
-        rest = rest.filter(bin_ == chosen)
-        remainder = scaled - float(chosen)
-    for value, size in sorted(((r[0], r[1]) for r in rest.groupBy(score).count().collect()),
-                              reverse=True):
-        if place < size:
-            return value
-        place -= size
-    return None
+        middle = 1 - (place - above + 0.5) / n
+        least = marks[max(0, math.floor((middle - width) * MARKS))]
+        most = marks[min(MARKS, math.ceil((middle + width) * MARKS))]
+        side = F.when(F.col("_v") > most, 1).when(F.col("_v") < least, -1).otherwise(0)
+        if n * 2 * width > EXACT and (least, most) != (low, high):
+            sizes = dict(map(tuple, inside.groupBy(side.alias("_side")).count().collect()))
+            if sizes.get(1, 0) <= place - above < sizes.get(1, 0) + sizes.get(0, 0):
+                low, high, above = least, most, above + sizes.get(1, 0)
+            else:
+                width = min(1.0, 4 * width)
+            continue
+        groups = inside.groupBy(side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_v")).count().collect()
+        at = place - above
+        for where, found_value, size in sorted(groups, key=lambda r: (-r[0], -r[1] if r[0] == 0 else 0)):
+            if at < size:
+                if where == 0:
+                    return found_value
+                break
+            at -= size
+        width = min(1.0, 4 * width)

@@ -24,10 +24,10 @@ def _checks(df: DataFrame) -> list[tuple[Column, Column]]:
     checks = [(F.col(f).isNull(), F.lit(f"Missing required field: {f}"))
               for f in schemas.REQUIRED_EVENT_FIELDS]
     for field in ("boarding_count", "ticket_count"):
-        bad = F.col(field) < 0
-        if isinstance(df.schema[field].dataType, T.StringType):
-            number = F.col(field).try_cast("double")
-            bad = F.col(field).isNotNull() & (number.isNull() | (number < 0))
+        # a count is what the stored column can hold: whole, in range, and a number at all
+        number = F.col(field).try_cast("double")
+        stored = number.try_cast("int")
+        bad = F.col(field).isNotNull() & (stored.isNull() | (stored.cast("double") != number) | (stored < 0))
         checks.append((bad, F.lit(f"{field} must be a non-negative number")))
     checks.append(((mode != "") & ~mode.isin(schemas.PAYMENT_MODES),
                    F.concat(F.lit("Invalid payment_mode: "), mode)))

@@ -286,8 +286,8 @@ CTES: dict[str, tuple[list[str], str]] = {
                case when fault = 7 then 'Missing required field: boarding_count' end,
                case when fault = 2 then 'Missing required field: ticket_count' end,
                case when fault = 6 then 'Missing required field: expected_revenue' end,
-               case when fault = 1 then 'boarding_count must be a non-negative number' end,
-               case when fault = 7 then 'ticket_count must be a non-negative number' end,
+               case when fault in (1, 8, 9) then 'boarding_count must be a non-negative number' end,
+               case when fault in (7, 10) then 'ticket_count must be a non-negative number' end,
                case when payment_mode not in ('cash','upi','card','pass')
                     then concat('Invalid payment_mode: ', payment_mode) end,
                case when fault in (3, 4, 5) then 'Invalid event_timestamp format' end) as errors

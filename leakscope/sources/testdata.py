@@ -83,9 +83,10 @@ EVENT_COLUMNS = [
 ]
 # Faults of events as they arrive, by the last digits of a number: field, number, text.
 FAULT = "(l_orderkey * 7 + l_linenumber * 3) % 211"
-FAULTS = [("route_id", 0, "null"), ("boarding_count", 1, "-1"), ("ticket_count", 2, "null"),
+FAULTS = [("route_id", 0, "null"), ("boarding_count", 1, "'-1'"), ("ticket_count", 2, "null"),
           ("event_timestamp", 3, "'not a date'"), ("event_timestamp", 4, "''"), ("event_timestamp", 5, "'10:00'"),
-          ("expected_revenue", 6, "null"), ("ticket_count", 7, "-2"), ("boarding_count", 7, "null")]
+          ("expected_revenue", 6, "null"), ("ticket_count", 7, "'-2'"), ("boarding_count", 7, "null"),
+          ("boarding_count", 8, "'1000000000000'"), ("boarding_count", 9, "'NaN'"), ("ticket_count", 10, "'2.7'")]
 # from orders: the fifth mode is not a known one and feeds the dead letters
 PAYMENT_MODE = ("case o_orderpriority when '1-URGENT' then 'cash' when '2-HIGH' then 'upi' "
                 "when '3-MEDIUM' then 'card' when '5-LOW' then 'pass' else 'voucher' end")
@@ -156,12 +157,14 @@ class TransitTables:
 
     @cached_property
     def raw_events(self) -> DataFrame:
-        """Events as they arrive: ISO text for the timestamp, some fields missing or wrong."""
+        """Events as they arrive: text for the timestamp and the counts, some fields missing or wrong."""
         return self._raw(self._with_modes())
 
     def _raw(self, lines: DataFrame) -> DataFrame:
         def sent(name: str, text: str) -> str:
             text = STAMP if name == "event_timestamp" else text
+            if name in ("boarding_count", "ticket_count"):
+                text = f"cast({text} as string)"
             cases = " ".join(f"when {number} then {value}" for field, number, value in FAULTS if field == name)
             return f"case {FAULT} {cases} else {text} end" if cases else text
 

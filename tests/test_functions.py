@@ -151,10 +151,20 @@ def test_zone_offsets_count(spark):
     assert got == ["2031-08-19 17:11:00", "2031-08-19 22:41:00", "2031-08-19 00:00:00", "None", "None"]
 
 
-def test_counts_given_as_text(spark):
-    df = spark.createDataFrame([Row(**{**EVENT, "boarding_count": "many"})],
+@pytest.mark.parametrize("count, good", [
+    ("many", False), ("1000000000000", False), ("NaN", False), ("2.7", False), ("-1", False), ("Infinity", False), ("", False),
+    ("12", True), ("3.0", True), ("0", True), ("2147483647", True), ("2147483648", False)])
+def test_counts_given_as_text(spark, count, good):
+    """Only what a whole-number column can hold is let through."""
+    df = spark.createDataFrame([Row(**{**EVENT, "boarding_count": count})],
                                RAW.replace("boarding_count int", "boarding_count string"))
-    assert validation.validate(df).first().errors == ["boarding_count must be a non-negative number"]
+    assert validation.validate(df).first().errors == ([] if good else ["boarding_count must be a non-negative number"])
+
+
+@pytest.mark.parametrize("count, good", [(2.0, True), (2.7, False), (1e12, False), (float("nan"), False)])
+def test_counts_given_as_doubles(spark, count, good):
+    df = spark.createDataFrame([Row(**{**EVENT, "ticket_count": count})], RAW.replace("ticket_count int", "ticket_count double"))
+    assert validation.validate(df).first().valid == good
 
 
 def test_features(spark):

@@ -61,3 +61,21 @@ def test_baselines_match_numpy_on_large_sums(spark):
     b = detect.baselines(df, ["route_id"]).first()
     assert math.isclose(b["mean"], x.mean(), rel_tol=1e-12)
     assert math.isclose(b["stddev"], x.std(), rel_tol=1e-12)
+
+
+def test_place_among_many_is_bracketed(spark, monkeypatch):
+    """Ties across the bracket, values beyond [0, 1], and brackets too full to list."""
+    rows = spark.range(60000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7.5D WHEN id % 1000 = 1 THEN NULL ELSE cast((id * 7919) % 60000 AS double) - 30000 END AS s")
+    ranked = sorted((r.s for r in rows.filter("s IS NOT NULL").collect()), reverse=True)
+    for place in (0, 17, 29999, 30000, 45000, len(ranked) - 1):
+        assert selection.nth_largest(rows, "s", place) == ranked[place]
+    assert selection.nth_largest(rows, "s", len(ranked)) is None
+    monkeypatch.setattr(selection, "EXACT", 5)
+    assert selection.nth_largest(rows, "s", 12345) == ranked[12345]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("places", "places")
+    monkeypatch.setattr(selection, "EXACT", 200_000)
+    selection.nth_largest(rows, "s", 500)
+    assert len(jobs.getJobIdsForGroup("places")) <= 4   # two queries; AQE runs each shuffle as a job of its own
+    spark.sparkContext._jsc.sc().clearJobGroup()
