@@ -635,7 +635,7 @@ ORACLES: dict[str, str] = {
     "anomaly_detail": f"""
         select detection_id, d.route_id, cast(d.sim_date as varchar) as sim_date, anomaly_score,
                case when ws is not null then {_label('ws', 'we')} end as segment_window, s.segment_start_stop as located_start,
-               s.segment_end_stop as located_end, localization_score, cast(rank_position as int) as rank_position
+               s.segment_end_stop as located_end, localization_score, coalesce(cast(rank_position as int), 0) as rank_position
         from rec d left join segscore s on s.route_id = d.route_id and s.sim_date = d.sim_date""",
     "route_detail_stops": "select route_id, stop_id, stop_sequence, distance_from_start_km, "
                           "stop_sequence - 1 as stop_index, stop_name, stop_lat, stop_lon, boarding_density from stops",

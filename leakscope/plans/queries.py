@@ -787,9 +787,10 @@ def localization_view(a: Analytics) -> DataFrame:
 
 @query
 def anomaly_detail(a: Analytics) -> DataFrame:
+    """Detections with the segments of their own day; rank 0 where the day has none."""
     return views.anomaly_detail(a.records, a.segment_scores, segments=None).select(
         "detection_id", "route_id", "sim_date", "anomaly_score", "segment_window", "located_start",
-        "located_end", "localization_score", F.col("rank_position"))
+        "located_end", "localization_score", F.coalesce("rank_position", F.lit(0)).alias("rank_position"))
 
 
 # ---- reports --------------------------------------------------------------
