@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of every group, in the columns they came in; rows without a shingle stay.
+    """One row of every group, in the columns they came in, whatever their names; rows
+    without a shingle (null, empty and blank texts) stay, an empty table gives an empty one.
 
     The smallest id of a group stays, or any of its rows where none has an id; of
     rows that repeat it in id and text, one.
@@ -239,9 +240,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                                     .alias("one")).select("one.doc_id", "one.text_hash", "one.n"))
     blank = rows.filter("n_shingles = 0").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n")).distinct()
     kept = materialize(alike.union(blank).withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"}), "kept")
-    told = docs.withColumn("_text", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
+    told = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash"))
     # only rows that repeat are shuffled with their texts, to take one of them
     single = told.join(kept.filter("n = 1"), same, "left_semi")
     several = told.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["_id", "_text"])
-    return single.union(several).select(*docs.columns)
+    return single.union(several).select("document.*")

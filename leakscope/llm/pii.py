@@ -133,8 +133,11 @@ def _spans(kind: str) -> Column:
 def find(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """Adds one column per kind: array of (start, end, value, score), in order.
 
-    A null text is empty and has empty arrays.  Extra columns stay as they are.
+    A null text is empty and has empty arrays.  Extra columns stay as they are; one that
+    has a kind's name comes out as ``given_<name>``.
     """
+    own = {"_text", *kinds, *[f"_{c}_{k}" for c in "mg" for k in kinds]}
+    docs = docs.withColumnsRenamed({c: f"given_{c}" for c in docs.columns if c.lower() in own and c != text})
     out = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumns({f"_m_{k}": _matches(F.col("_text"), k) for k in kinds})
     out = out.withColumns({f"_g_{k}": F.when(F.size(f"_m_{k}") > 0, F.split("_text", PATTERNS[k], -1))

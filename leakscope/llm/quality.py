@@ -148,9 +148,9 @@ def judge(docs: DataFrame, host: str = "source", fraction: float = 0.2, at_least
 
 
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines whose hashes are in ``_removed``."""
+    """Texts without the lines whose hashes are in the last column."""
     for batch in ta.slices(batches):
-        gone = batch.column("_removed").to_pylist()
+        gone = batch.column(batch.num_columns - 1).to_pylist()
         texts = batch.column("text").to_pylist()
         data, offsets = ta.text_bytes(batch.column("text"))
         codes, first, last, starts, stops, line_text = line_codes(data, offsets)
@@ -163,18 +163,22 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts[i] = b"\n".join(bytes(data[a:b]) for a, b in zip(
                     starts[own][stay], stops[own][stay])).decode()
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field("text"), pa.array(texts, pa.string())).drop_columns(["_removed"])
+        yield batch.set_column(at, batch.schema.field("text"), pa.array(texts, pa.string())).select(
+            list(range(batch.num_columns - 1)))
 
 
 def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The kept documents in the columns they came in, without their frequent lines."""
+    """The kept documents in the columns they came in, whatever their names, without their
+    frequent lines.  Null and blank texts fail the base rule and go; repeated rows share
+    one verdict; an empty table gives an empty one."""
     verdicts = judge(docs, host, **limits)
     wanted = (verdicts.filter("kept").groupBy("doc_id", "host", "text_hash")
               .agg(F.first("removed").alias("removed")))
+    removed = "removed_" + "_".join(docs.columns)
     same = (F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col(f"d.{host}").eqNullSafe(F.col("w.host"))
             & (F.xxhash64("d.text") == F.col("w.text_hash")))
     rows = (docs.alias("d").join(wanted.alias("w"), same)
-            .select(*[F.col(f"d.{c}") for c in docs.columns], F.col("w.removed").alias("_removed")))
+            .select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("w.removed").alias(removed)))
     out = rows.mapInArrow(_without, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -6,7 +6,9 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = ("size long, shard int, slot long, host string, lines string, kept boolean, removed string, names string, "
-         "runs string, label long, _row long, taken long, text_hash long")
+         "runs string, label long, _row long, taken long, text_hash long, _removed string, _taken string, _text string, "
+         "_id string, _doc string, _hash string, _document string, document string, email string, ip string, _m_ip string, "
+         "removed_text string, component long, hash string, id string, left string")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 PROSE = ("the harbour lights went out one by one while the last ferry of the evening turned slowly towards the open "
