@@ -2,7 +2,8 @@
 
 Every stage takes what its predecessor kept, written as Parquet, and all but the last
 return the columns of documents.  Rows without an id are documents like any other;
-repeated rows are one document to the dedup stages.
+repeated rows are one document to the dedup stages.  Empty tables give empty ones, and extra
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that equal or nearly equal an earlier one."""
-    return lines.dedup_lines(docs)
+    """Without lines that equal or nearly equal an earlier one, and without documents that
+    lose more than nine tenths of their words so: copies of earlier ones, not remnants to keep."""
+    return lines.dedup_lines(docs, least_left=0.1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +38,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source at its target: documents repeat as often as they are taken."""
     rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_document"))
     mixed = mixing.mix(rows, mixing.word_count(F.col("text")), keep=("_document",))
-    taken = mixed.select("_document.*", F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    out = mixing.repeat_documents(taken, F.col("_taken"), F.col("_size"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    taken = mixed.select("_document", F.col("_document.text").alias("text"), "taken", "size")
+    out = mixing.repeat_documents(taken, F.col("taken"), F.col("size"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[changed.get(c, F.col("_document")[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
