@@ -47,9 +47,13 @@ def check_stages(spark, docs):
     assert Counter(r[0] for r in rows_of(kept)) == Counter(r[0] for r, v in zip(before, verdicts) if v[3])
     before = rows_of(kept)
     lines = step("line_dedup", kept)
-    gone = brute_lines([(d, t) for d, _, t in before], 2, 30)
-    want = Counter((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in {g[0] for g in gone.get((d, t), ())}))
-                   for d, _, t in before)
+    gone = brute_lines([(d, t) for d, _, t in before], 2, 10)
+    want = Counter()
+    for d, _, t in before:
+        lost = {g[0] for g in gone.get((d, t), ())}
+        left = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
+        if not lost or words(left) and len(words(left)) >= 0.1 * len(words(t)):
+            want[d, left] += 1
     assert Counter((d, t) for d, _, t in rows_of(lines)) == want
     near = step("near_dedup", lines)
     components = brute_components([(d, t) for d, _, t in rows_of(lines)], 5, 80)
