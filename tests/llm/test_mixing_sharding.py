@@ -107,3 +107,49 @@ def test_registered_results(spark):
     out = QUERIES["op7_sharding"](spark, SMALL)
     assert [c for c, _ in out.dtypes] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert dict(out.dtypes)["slot"] == "bigint" and dict(out.dtypes)["shard"] == "int"
+
+
+def ring_row_by_row(rows, shards, virtual_nodes=64):
+    """(id, crc, size, shard, slot): home first, then each row that found no room walks on clockwise."""
+    points = sharding.ring_points(shards, virtual_nodes)
+    room, filled, out, homeless = sharding.capacities(len(rows), shards, 0.0), [0] * shards, Counter(), []
+
+    def take(row, shard):
+        out[(*row[1:], shard, filled[shard])] += 1
+        filled[shard] += 1
+
+    def home(at):
+        return next((i for i, (p, _) in enumerate(points) if p >= at), 0)
+
+    nulls_first = [(home(r[0]), r[0], *[x for v in r[1:] for x in (v is not None, v or 0)], r) for r in rows]
+    for node, *_, row in sorted(nulls_first):
+        shard = points[node][1]
+        if filled[shard] < room[shard]:
+            take(row, shard)
+        else:
+            homeless.append((node, row))
+    for node, row in homeless:
+        while filled[points[node][1]] >= room[points[node][1]]:
+            node = (node + 1) % len(points)
+        take(row, points[node][1])
+    return out
+
+
+@pytest.mark.parametrize("shards", [3, 40])
+def test_ring_against_rows_placed_one_by_one(spark, awkward, shards):
+    for docs in (awkward, spark.read.parquet(f"{SMALL}/documents.parquet")):
+        text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+        rows = docs.select("doc_id", F.crc32(text).alias("crc"), (F.length(text) + 16).cast("long").alias("size"))
+        at = F.shiftrightunsigned(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("crc"))), 32)
+        want = ring_row_by_row([tuple(r) for r in rows.select(at, "doc_id", "crc", "size").collect()], shards)
+        got = sharding.shard_documents(docs, shards).select("doc_id", "text_crc32", "size", "shard", "slot").collect()
+        assert Counter(map(tuple, got)) == want
+
+
+def test_one_more_shard_without_slack_moves_few(spark):
+    rows = spark.range(20000).withColumnRenamed("id", "doc_id")
+    placed = [dict(map(tuple, sharding.bounded_ring(rows, [F.col("doc_id")], [F.col("doc_id")], n).select("doc_id", "shard").collect()))
+              for n in (40, 41)]
+    moved = sum(placed[0][i] != placed[1][i] for i in placed[0])
+    print("moved", moved)
+    assert moved < 0.1 * 20000

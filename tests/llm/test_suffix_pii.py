@@ -186,3 +186,9 @@ def test_account_numbers_and_context_words(spark):
     assert [[v["value"] for v in r["iban"]] for r in rows[:4]] == [
         ["BE68 5390 0754 7034"], ["DE89370400440532013000"], ["DE89 3704 0044 0532 0130 00"], []]
     assert [len(r["ssn"]) for r in rows[4:]] == [1, 0, 1] and rows[4]["ssn"][0]["score"] == 0.7
+
+
+def test_columns_with_the_name_of_a_kind_stay(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.org", "mine", "own")], "doc_id long, text string, email string, _text string")
+    row = pii.find(docs).collect()[0]
+    assert (row["given_email"], row["given__text"]) == ("mine", "own") and [x["value"] for x in row["email"]] == ["a@b.org"]
