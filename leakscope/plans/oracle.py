@@ -659,7 +659,7 @@ ORACLES: dict[str, str] = {
 }
 
 # Streams over the whole table give what the batch gives.
-STREAMED = ["dead_letters", "flagged_events"]
+STREAMED = ["dead_letters", "flagged_events", "hourly_windows"]
 
 # Helper columns an oracle computes on the way.
 _EXTRA = {"detection_quality": "p, r", "route_leakage_daily": '"1"', "baselines": "x"}

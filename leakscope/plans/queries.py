@@ -837,6 +837,11 @@ def stream_flagged_events(a: Analytics) -> DataFrame:
                         "flagged")
 
 
+@query
+def stream_hourly_windows(a: Analytics) -> DataFrame:
+    return ingest.drain_latest(stream_windows.hourly_leakage(a.event_stream), ["route_id", "window_start"], "hourly")
+
+
 # ---- models ---------------------------------------------------------------
 
 def _forecast(a: Analytics, target: str) -> DataFrame:

@@ -118,6 +118,25 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Runs an aggregating stream over everything that has arrived, and returns the last state
+    of every key.  Each micro-batch stores the keys it changed in a folder of its own, which a
+    batch that is run again replaces."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
+
+    def keep(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    (stream.writeStream.outputMode("update").foreachBatch(keep)
+     .option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+     .start().awaitTermination())
+    schema = T.StructType([*stream.schema, T.StructField("batch", T.LongType())])
+    states = spark.read.schema(schema).parquet(path)
+    return tables.latest_per_key(states, keys, F.col("batch")).drop("batch").select(*stream.columns)
+
+
 class Ingest:
     """A micro-batch pipeline with any number of handlers and running figures."""
 

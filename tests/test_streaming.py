@@ -211,3 +211,17 @@ def test_onboard_state_equals_the_window(spark, tmp_path):
 def test_stream_partition_column(spark, raw):
     numbers = {r.partition for r in ingest.by_route(raw).select("partition").distinct().collect()}
     assert numbers and all(0 <= n < 8 for n in numbers)
+
+
+def test_last_state_of_every_key_over_several_batches(spark, tmp_path):
+    """A key that several micro-batches change, in any order of arrival, and a table without rows."""
+    source = f"{tmp_path}/arrivals"
+    for part in ("1, 10", "2, 5), (1, 7", "1, 1"):
+        spark.sql(f"select * from values ({part}) as v(k, x)").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("k int, x int").option("maxFilesPerTrigger", 1).parquet(source)
+    sums = stream.groupBy("k").agg(F.sum("x").alias("total"), F.count("*").alias("n"))
+    assert {tuple(r) for r in ingest.drain_latest(sums, ["k"], "sums").collect()} == {(1, 18, 3), (2, 5, 1)}
+    none = f"{tmp_path}/none"
+    spark.sql("select 1 as k, 2 as x where false").write.parquet(none)
+    empty = spark.readStream.schema("k int, x int").parquet(none).groupBy("k").agg(F.count("*").alias("n"))
+    assert ingest.drain_latest(empty, ["k"], "none").count() == 0
