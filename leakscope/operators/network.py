@@ -105,14 +105,19 @@ def trip_days(trip_table: DataFrame, days: DataFrame) -> DataFrame:
         F.count("*").alias("trips")).withColumn("trip_days", F.col("trips") * days.scalar())
 
 
+def stop_sums(events: DataFrame) -> DataFrame:
+    """Boardings and alightings per trip and stop, of a table or a stream."""
+    return events.groupBy("trip_id", "stop_sequence").agg(
+        F.sum("boarding_count").alias("boarded"), F.sum("alighting_count").alias("alighted"))
+
+
 def onboard_load(events: DataFrame) -> DataFrame:
-    """Passengers on board after each stop of a trip.
+    """Passengers on board after each stop of a trip."""
+    return load_along(stop_sums(events))
 
-    Boardings are summed per stop first, so the running total orders at most
-    one row per stop of the trip.
-    """
-    per_stop = events.groupBy("trip_id", "stop_sequence").agg(
-        F.sum("boarding_count").alias("boarded"), F.sum("alighting_count").alias("alighted"))
+
+def load_along(per_stop: DataFrame) -> DataFrame:
+    """Running load from the sums per stop; it orders at most one row per stop of a trip."""
     along = (W.partitionBy("trip_id").orderBy("stop_sequence")
              .rowsBetween(W.unboundedPreceding, W.currentRow))
     return per_stop.withColumn("on_board", F.sum(F.col("boarded") - F.col("alighted")).over(along))

@@ -659,7 +659,7 @@ ORACLES: dict[str, str] = {
 }
 
 # Streams over the whole table give what the batch gives.
-STREAMED = ["dead_letters", "flagged_events", "hourly_windows"]
+STREAMED = ["dead_letters", "flagged_events", "hourly_windows", "onboard_load"]
 
 # Helper columns an oracle computes on the way.
 _EXTRA = {"detection_quality": "p, r", "route_leakage_daily": '"1"', "baselines": "x"}
@@ -667,7 +667,8 @@ _EXTRA = {"detection_quality": "p, r", "route_leakage_daily": '"1"', "baselines"
 
 def registered() -> dict[str, str]:
     out = {}
-    for name, body in [*ORACLES.items(), *[(f"stream_{n}", ORACLES[n]) for n in STREAMED]]:
+    for name, body in [*ORACLES.items(), *[(f"stream_{n}", ORACLES[n]) for n in STREAMED],
+                       ("stream_late_windows", ORACLES["hourly_windows"])]:
         if name in _EXTRA:
             body = f"select * exclude ({_EXTRA[name]}) from ({body})"
         out[name] = _with(body)

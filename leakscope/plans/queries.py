@@ -842,6 +842,23 @@ def stream_hourly_windows(a: Analytics) -> DataFrame:
     return ingest.drain_latest(stream_windows.hourly_leakage(a.event_stream), ["route_id", "window_start"], "hourly")
 
 
+@query
+def stream_onboard_load(a: Analytics) -> DataFrame:
+    """Stops of a trip arrive in any order, over several micro-batches; the state is a pair of sums per stop."""
+    arriving = ingest.shuffled_arrivals(a.events, "event_id")
+    return network.load_along(ingest.drain_latest(
+        network.stop_sums(arriving), ["trip_id", "stop_sequence"], "onboard"))
+
+
+@query
+def stream_late_windows(a: Analytics) -> DataFrame:
+    """Hours of a stream out of order, corrected by the rows that came after their hour had closed."""
+    hours = stream_windows.ClosingHours(scratch_path(a.spark, "closing"))
+    arriving = ingest.shuffled_arrivals(a.events, "event_id")
+    hours.start(arriving, f"{hours.root}-progress", once=True).awaitTermination()
+    return hours.reconciled(a.spark, a.events.schema)
+
+
 # ---- models ---------------------------------------------------------------
 
 def _forecast(a: Analytics, target: str) -> DataFrame:

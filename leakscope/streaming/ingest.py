@@ -118,6 +118,15 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def shuffled_arrivals(events: DataFrame, key: str, batches: int = 4) -> DataFrame:
+    """The same events as a stream that brings them in an order of its own, by the hash of a
+    key, one file a micro-batch."""
+    spark = events.sparkSession
+    path = scratch_path(spark, "arrivals")
+    events.repartition(batches, F.xxhash64(key, F.lit("arrival"))).write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Runs an aggregating stream over everything that has arrived, and returns the last state
     of every key.  Each micro-batch stores the keys it changed in a folder of its own, which a

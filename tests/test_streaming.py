@@ -208,6 +208,48 @@ def test_onboard_state_equals_the_window(spark, tmp_path):
     assert got == want
 
 
+def test_onboard_corrects_stops_that_come_late(spark, tmp_path):
+    """Stops against their order, one stop twice, missing counts, and a trip's rows in one batch each."""
+    plan = [(3, 2, 3), (1, 5, 0), (4, 0, None), (2, 4, 1), (1, 2, 0), (None, 9, 9)]
+    rows = [event(n, at(8, n), stop_sequence=s, boarding_count=b, alighting_count=a) for n, (s, b, a) in enumerate(plan)]
+    other = [event(50, at(9), trip_id=None, stop_sequence=2), event(51, at(9), trip_id="U", stop_sequence=7)]
+    source = write_batches(spark, tmp_path / "in", [rows[:1], [rows[1], *other], rows[2:4], rows[4:]])
+    given = run(onboard.onboard_stream(stream_of(spark, source, EVENTS), None), tmp_path)
+    trip = [(r.stop_sequence, r.on_board, r.corrected) for r in given if r.trip_id == "T"]
+    assert sorted(trip[:1]) == [(3, -1, False)]
+    assert sorted(trip[1:3]) == [(1, 5, False), (3, 4, True)]
+    assert sorted(trip[3:6]) == [(2, 8, False), (3, 7, True), (4, 7, False)]
+    assert sorted(trip[6:]) == [(1, 7, True), (2, 10, True), (3, 9, True), (4, 9, True)]
+    assert {(r.trip_id, r.stop_sequence, r.on_board) for r in given if r.trip_id != "T"} == {(None, 2, 2), ("U", 7, 2)}
+
+
+def test_rows_of_closed_hours_are_set_aside(spark, tmp_path):
+    batches = [[event(1, at(8)), event(2, at(8, 30))], [event(3, at(12))],
+               [event(4, at(8, 45)), event(5, at(12, 5)), event(6, at(11, 59))],
+               [event(7, at(10, 59), route_id="Q"), event(8, at(11)), event(9, at(13))]]
+    source = write_batches(spark, tmp_path / "in", batches)
+    hours = windows.ClosingHours(str(tmp_path / "out"))
+    assert hours.hours(spark).count() == hours.late(spark, EVENTS).count() == 0
+    stream = stream_of(spark, source, EVENTS)
+    hours.start(stream, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert sorted(r.event_id for r in hours.late(spark, EVENTS).collect()) == ["e4", "e7"]
+    counted = {(r.route_id, r.window_start.hour): r.events for r in hours.hours(spark).collect()}
+    assert counted == {("R", 8): 2, ("R", 11): 2, ("R", 12): 2, ("R", 13): 1}
+    everything = spark.createDataFrame([e for b in batches for e in b], EVENTS)
+
+    def same():
+        return rows_of(hours.reconciled(spark, EVENTS)) == rows_of(windows.hourly_leakage(everything))
+
+    assert same()
+    # a batch that is run again, after a failure, replaces what it wrote
+    hours.process(spark.createDataFrame(batches[2], EVENTS), 2)
+    assert same() and hours.late(spark, EVENTS).count() == 2
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def test_stream_partition_column(spark, raw):
     numbers = {r.partition for r in ingest.by_route(raw).select("partition").distinct().collect()}
     assert numbers and all(0 <= n < 8 for n in numbers)
