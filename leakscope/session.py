@@ -67,6 +67,13 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
 
 
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder; on file systems with atomic renames nobody sees it half done."""
+    files, where = _file_system(spark, path)
+    if not files.rename(where, _file_system(spark, to)[1]):
+        raise OSError(f"{path} was not renamed to {to}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     files, where = _file_system(spark, path)
     files.delete(where, True)

@@ -91,6 +91,57 @@ def test_upsert_table_keeps_rows_without_a_date(spark, tmp_path):
     assert stored(spark, root) == [("a", d1, 4.0), ("b", None, 2.0), ("c", d1, 3.0)]
 
 
+@pytest.mark.parametrize("dies_in", ["_declare", "rename_path", "apply_change", "_write_dates", "delete_path"])
+def test_an_upsert_that_dies_changes_all_or_nothing(spark, tmp_path, monkeypatch, dies_in):
+    """Rows move to another date, a date gets its first row, one loses its last; the job dies on the way."""
+    root = str(tmp_path)
+    d1, d2, d3 = (dt.date(2024, 1, d) for d in (1, 2, 3))
+    tables.upsert_table(spark, root, "ticketing_events", spark.createDataFrame(
+        [_event("a", d1, 1.0), _event("b", d2, 2.0), _event("n", None, 3.0)], EVENT_COLS))
+    old = stored(spark, root)
+    moves = spark.createDataFrame([_event("a", d2, 5.0), _event("n", d3, 6.0)], EVENT_COLS)
+    new = [("a", d2, 5.0), ("b", d2, 2.0), ("n", d3, 6.0)]
+    real = getattr(tables, dies_in)
+
+    def dies(first, *rest):
+        # what a job does before it declares its change is not the point where it dies
+        if dies_in in ("apply_change", "delete_path") and not (tmp_path / "_changes/ticketing_events/declared").exists():
+            return real(first, *rest)
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, dies_in, dies)
+        with pytest.raises(RuntimeError):
+            tables.upsert_table(spark, root, "ticketing_events", moves)
+        declared = dies_in not in ("_declare", "rename_path")
+        assert stored(spark, root) == (new if declared else old)
+        assert tables.scan(spark, root, "ticketing_events").filter(F.col("sim_date") == d2).count() == (2 if declared else 1)
+    assert stored(spark, root) == (new if declared else old)
+    more = spark.createDataFrame([_event("c", d1, 7.0)], EVENT_COLS)
+    tables.upsert_table(spark, root, "ticketing_events", more)
+    assert stored(spark, root) == sorted([*(new if declared else old), ("c", d1, 7.0)])
+    tables.upsert_table(spark, root, "ticketing_events", moves)
+    assert stored(spark, root) == [*new[:2], ("c", d1, 7.0), new[2]]
+    assert not (tmp_path / "_changes/ticketing_events/declared").exists()
+
+
+@pytest.mark.parametrize("dies_in", ["rename_path", "_write_dates"])
+def test_a_table_without_dates_survives_its_overwrite(spark, tmp_path, monkeypatch, dies_in):
+    root, cols = str(tmp_path), "route_id string, num_stops int"
+    tables.upsert_table(spark, root, "routes", spark.createDataFrame([("r1", 5), ("r2", 6)], cols))
+    with monkeypatch.context() as broken:
+        broken.setattr(tables, dies_in, lambda *_: (_ for _ in ()).throw(RuntimeError("executor lost")))
+        with pytest.raises(RuntimeError):
+            tables.upsert_table(spark, root, "routes", spark.createDataFrame([("r2", 7), ("r3", 8)], cols))
+    found = rows(tables.scan(spark, root, "routes").select("route_id", "num_stops"), "route_id")
+    assert found == ([("r1", 5), ("r2", 6)] if dies_in == "rename_path" else [("r1", 5), ("r2", 7), ("r3", 8)])
+    # updates made from the table itself, whose rows the pending change still holds
+    again = tables.scan(spark, root, "routes").select("route_id", (F.col("num_stops") + 1).alias("num_stops"))
+    tables.upsert_table(spark, root, "routes", again)
+    assert rows(tables.scan(spark, root, "routes").select("route_id", "num_stops"), "route_id") == [
+        (r, n + 1) for r, n in found]
+
+
 def test_an_unreadable_table_is_not_overwritten(spark, tmp_path):
     (tmp_path / "ticketing_events").mkdir()
     (tmp_path / "ticketing_events" / "part-0.parquet").write_text("not parquet")
