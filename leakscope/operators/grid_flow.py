@@ -1,7 +1,7 @@
 """Minimum-cost maximum flow on stop-by-window grids, many graphs of a shape at once.
 
 Graphs of routes with equally many stops differ only in capacities and costs, so a
-batch of them is a set of arrays (graph, window, stop), and a step of the algorithm is
+batch of them is a set of arrays (window, stop, graph), and a step of the algorithm is
 a step on all of them.  Successive cheapest paths: distances are corrected in sweeps
 along the windows and the stops and back, then every graph is augmented along its own
 path; graphs that are done leave the batch.  Node potentials and the source's side of
@@ -24,231 +24,313 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cells (graphs x windows x stops) that are solved together: arrays that stay in a core's cache.
-CELLS = 1 << 16
-
-# above any distance; twice of it still fits 32 bits
-_FAR = np.int32(1 << 28)
-_REACHED = _FAR >> 1
+CELLS = 1 << 18
 
 LARGE_SHARE = 20
 
+# Arcs by the way they enter a node: from the source, the stop before and behind, the window before and behind.
 _SOURCE, _RIGHT, _LEFT, _DOWN, _UP = range(5)
+_BACK = np.array([_SOURCE, _LEFT, _RIGHT, _UP, _DOWN])
+
+
+class _Relaxing:
+    """Shortens distances along one kind of arc after the other, in arrays it keeps."""
+
+    def __init__(self, dist: np.ndarray, cost: np.ndarray, cause: np.ndarray | None = None) -> None:
+        windows, stops, n = dist.shape
+        size = max(windows, stops) * n
+        way, shorter = np.empty(size, dist.dtype), np.empty(size, bool)
+
+        def step(at, before, code: int):
+            goal = dist[at]
+            parts = (arr[:goal.size].reshape(goal.shape) for arr in (way, shorter))
+            return goal, dist[before], cost[code][at], None if cause is None else cause[at], code, *parts
 
+        row, column = (lambda t: np.s_[t]), (lambda i: np.s_[:, i])
+        self.steps = {
+            _DOWN: [step(row(t + 1), row(t), _DOWN) for t in range(windows - 1)],
+            _RIGHT: [step(column(i + 1), column(i), _RIGHT) for i in range(stops - 1)],
+            _LEFT: [step(column(i), column(i + 1), _LEFT) for i in range(stops - 2, -1, -1)],
+            _UP: [step(row(t), row(t + 1), _UP) for t in range(windows - 2, -1, -1)]}
 
-def _relaxed(dist: np.ndarray, cause: np.ndarray, at, before, cost: np.ndarray, code: int) -> bool:
-    """Shortens ``dist[at]`` by way of ``before``; whether anything changed."""
-    way = dist[before] + cost
-    goal = dist[at]
-    shorter = way < goal
-    if not shorter.any():
-        return False
-    np.minimum(goal, way, out=goal)
-    np.copyto(cause[at], code, where=shorter)
-    return True
-
-
-def _distances(start: np.ndarray, costs: dict[int, np.ndarray], many: tuple[int, int, int]):
-    """Distance of every node from the source, and the arc it was reached by."""
-    _, windows, stops = many
-    dist, cause = np.full(many, _FAR, np.int32), np.zeros(many, np.int8)
-    dist[:, :, 0] = start
-    changed = True
-    while changed:
+    def __call__(self, code: int) -> bool:
+        """All arcs of a kind in the order they follow each other; whether anything changed."""
         changed = False
-        for t in range(windows - 1):
-            changed |= _relaxed(dist, cause, np.s_[:, t + 1], np.s_[:, t], costs[_DOWN][:, t], _DOWN)
-        for i in range(stops - 1):
-            changed |= _relaxed(dist, cause, np.s_[:, :, i + 1], np.s_[:, :, i], costs[_RIGHT][:, :, i], _RIGHT)
-        for i in range(stops - 2, -1, -1):
-            changed |= _relaxed(dist, cause, np.s_[:, :, i], np.s_[:, :, i + 1], costs[_LEFT][:, :, i], _LEFT)
-        for t in range(windows - 2, -1, -1):
-            changed |= _relaxed(dist, cause, np.s_[:, t], np.s_[:, t + 1], costs[_UP][:, t], _UP)
-    return dist, cause
+        for goal, before, cost, cause, code, way, shorter in self.steps[code]:
+            np.add(before, cost, out=way)
+            np.less(way, goal, out=shorter)
+            if shorter.any():
+                changed = True
+                np.minimum(goal, way, out=goal)
+                if cause is not None:
+                    np.copyto(cause, code, where=shorter)
+        return changed
 
 
 class Grids:
-    """Capacities, costs and flows of a batch; arcs leave the cell they are stored at."""
+    """A batch of residual graphs: room and cost of the arcs that enter a node, by kind.
+
+    ``load`` and ``price`` are arrays (window, stop, graph).  An arc without room costs
+    infinity, so it never shortens a way, and nodes out of reach stay there.
+    """
 
     def __init__(self, load: np.ndarray, price: np.ndarray, open_cells: np.ndarray, carry: int, carry_cost: int) -> None:
-        room = load * open_cells
-        self.carry_cost = np.int32(carry_cost)
-        self.price = price[:, :, :-1].astype(np.int32)
-        self.caps = {"source": room[:, :, 0], "sink": room[:, :, -1], "segment": room[:, :, :-1],
-                     "carry": carry * open_cells[:, :-1]}
-        self.flow = {kind: np.zeros_like(c) for kind, c in self.caps.items()}
-
-    def take(self, rows: np.ndarray) -> Grids:
-        part = object.__new__(Grids)
-        part.carry_cost, part.price = self.carry_cost, self.price[rows]
-        part.caps = {k: v[rows] for k, v in self.caps.items()}
-        part.flow = {k: v[rows] for k, v in self.flow.items()}
+        windows, stops, n = load.shape
+        self.shape, self.graphs = load.shape, np.arange(n)
+        self.caps = load * open_cells
+        # whole numbers below this are exact in 32 bits
+        dear = max(100, abs(carry_cost)) * 2 * windows * stops
+        self.base = np.zeros((5, windows, stops, n), np.float32 if dear < 1 << 24 else np.float64)
+        self.base[_RIGHT, :, 1:] = price[:, :-1]
+        self.base[_LEFT, :, :-1] = -price[:, :-1]
+        self.base[_DOWN], self.base[_UP] = carry_cost, -carry_cost
+        # no flow and no room exceeds a capacity
+        self.room = np.zeros((5, windows, stops, n), np.int32 if max(carry, self.caps.max(initial=0)) < 1 << 31 else np.int64)
+        self.room[_SOURCE, :, 0] = self.caps[:, 0]
+        self.room[_RIGHT, :, 1:] = self.caps[:, :-1]
+        self.room[_DOWN, 1:] = carry * open_cells[:-1]
+        self.sink_room = self.caps[:, -1].astype(self.room.dtype)
+        self.cost = np.where(self.room > 0, self.base, self.base.dtype.type(np.inf))
+
+    def take(self, kept: np.ndarray) -> Grids:
+        """Some graphs of the batch; they look up capacities and costs where they come from."""
+        part, n = object.__new__(Grids), len(kept)
+        part.caps, part.base, part.graphs = self.caps, self.base, self.graphs[kept]
+        part.shape = (*self.shape[:2], np.count_nonzero(kept))
+        places = np.flatnonzero(kept)
+        for name in ("room", "sink_room", "cost"):
+            old = getattr(self, name)
+            setattr(part, name, np.take(old.reshape(-1, n), places, axis=1).reshape(*old.shape[:-1], -1))
         return part
 
-    def room(self, kind: str) -> np.ndarray:
-        return self.flow[kind] < self.caps[kind]
-
-    def arc_costs(self) -> dict[int, np.ndarray]:
-        used = {k: v > 0 for k, v in self.flow.items()}
-        return {_RIGHT: np.where(self.room("segment"), self.price, _FAR), _LEFT: np.where(used["segment"], -self.price, _FAR),
-                _DOWN: np.where(self.room("carry"), self.carry_cost, _FAR), _UP: np.where(used["carry"], -self.carry_cost, _FAR)}
-
-    def shape(self) -> tuple[int, int, int]:
-        n, windows, segments = self.caps["segment"].shape
-        return n, windows, segments + 1
+    def flows(self) -> dict[str, np.ndarray]:
+        """Flows by kind of arc, at the cell the arc leaves from (the cell it enters, from the source)."""
+        found = {"source": self.caps[:, 0] - self.room[_SOURCE, :, 0], "sink": self.caps[:, -1] - self.sink_room,
+                 "segment": self.room[_LEFT, :, :-1], "carry": self.room[_UP, :-1]}
+        return {kind: flow.astype(np.int64) for kind, flow in found.items()}
+
+    def distances(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of every node from the source, and the arc it was reached by."""
+        dist = np.full(self.shape, np.inf, self.base.dtype)
+        dist[:, 0] = self.cost[_SOURCE, :, 0]
+        cause = np.zeros(dist.shape, np.int8)
+        relax = _Relaxing(dist, self.cost, cause)
+        # a kind leaves nothing to itself; after three others without a change nothing is left
+        quiet, code = -1, 0
+        order = (_DOWN, _RIGHT, _LEFT, _UP)
+        while quiet < 3:
+            quiet = 0 if relax(order[code]) else quiet + 1
+            code = (code + 1) % 4
+        return dist, cause
 
     def augment(self) -> tuple[np.ndarray, np.ndarray]:
-        """One cheapest path in every graph that has one: which have, and which nodes the source reaches."""
-        n, windows, stops = self.shape()
-        dist, cause = _distances(np.where(self.room("source"), np.int32(0), _FAR), self.arc_costs(), (n, windows, stops))
-        ends = np.where(self.room("sink"), dist[:, :, -1], _FAR)
-        t = ends.argmin(axis=1)
-        every = np.arange(n)
-        found = ends[every, t] < _REACHED
-        g, t = every[found], t[found]
-        i = np.full(len(g), stops - 1)
-        push = (self.caps["sink"] - self.flow["sink"])[g, t]
-        self_rows, rows, steps = g, np.arange(len(g)), [("sink", g, t, i, np.arange(len(g)), 1)]
-        while len(rows):
-            code = cause[self_rows, t, i]
-            # arc kind, its cell, and the direction it is used in, by the code it was reached with
-            at_t, at_i = t - (code == _DOWN), i - (code == _RIGHT)
-            for value, kind, sign in ((_SOURCE, "source", 1), (_RIGHT, "segment", 1), (_LEFT, "segment", -1),
-                                      (_DOWN, "carry", 1), (_UP, "carry", -1)):
-                here = code == value
-                if not here.any():
-                    continue
-                place = self_rows[here], at_t[here], at_i[here]
-                where = place[:2] if kind == "source" else place
-                free = (self.caps[kind] - self.flow[kind])[where] if sign > 0 else self.flow[kind][where]
-                push[rows[here]] = np.minimum(push[rows[here]], free)
-                steps.append((kind, *place, rows[here], sign))
-            t = at_t + (code == _UP)
-            i = at_i + (code == _LEFT)
-            going = code != _SOURCE
-            self_rows, rows, t, i = self_rows[going], rows[going], t[going], i[going]
-        for kind, graph, at_t, at_i, row, sign in steps:
-            where = (graph, at_t) if kind in ("source", "sink") else (graph, at_t, at_i)
-            self.flow[kind][where] += sign * push[row]
-        return found, dist < _REACHED
+        """Cheapest paths in every graph that has one: which have, and which nodes the source reaches.
+
+        One path after the other would be the cheapest one, to the earliest window of several,
+        with new distances for each.  Distances never shrink, and along nodes that no path of this
+        round has touched neither they nor the arcs they came by change.  So the next end in that
+        order is taken from the same distances as long as its path is apart from those before, and
+        these have filled the ends they went to.
+        """
+        windows, stops, n = self.shape
+        dist, cause = self.distances()
+        ends = np.where(self.sink_room > 0, dist[:, -1], np.inf)
+        order = ends.argsort(axis=0, kind="stable")
+        found = ends[order[0], np.arange(n)] < np.inf
+        graphs, touched = np.flatnonzero(found), np.zeros(windows * stops * n, bool)
+        for place in range(windows):
+            t = order[place, graphs]
+            there = ends[t, graphs] < np.inf
+            graphs = self._along(cause, touched, t[there], graphs[there])
+            if not len(graphs):
+                break
+        return found, dist < np.inf
+
+    def _along(self, cause: np.ndarray, touched: np.ndarray, t: np.ndarray, graphs: np.ndarray) -> np.ndarray:
+        """Sends what fits along the paths to windows ``t``, if they are apart from touched nodes;
+        returns the graphs where this was so and the end is full."""
+        windows, stops, n = self.shape
+        nodes, back_to = windows * stops, np.array([0, -1, 1, -stops, stops])
+        room, cost, cause = self.room.reshape(-1), self.cost.reshape(-1), cause.reshape(-1)
+        base = self.base.reshape(5 * nodes, -1)
+        push, apart, steps = np.zeros(n, room.dtype), np.zeros(n, bool), []
+        push[graphs], apart[graphs] = self.sink_room[t, graphs], True
+        node, g = t * stops + stops - 1, graphs
+        while len(g):
+            at = node * n + g
+            clear = ~touched[at]
+            if not clear.all():
+                apart[g[~clear]] = False
+                node, g, at = node[clear], g[clear], at[clear]
+            code = cause[at].astype(np.intp)
+            arc = code * (nodes * n) + at
+            push[g] = np.minimum(push[g], room[arc])
+            node = node + back_to[code]
+            steps.append((at, arc, _BACK[code] * (nodes * n) + node * n + g, g, code))
+            if not code.all():
+                going = code != _SOURCE
+                node, g = node[going], g[going]
+        if not steps or not apart.any():
+            return graphs[:0]
+        at, arc, back, g, code = (np.concatenate(p) for p in zip(*steps))
+        taken = apart[graphs]
+        if not taken.all():
+            kept = apart[g]
+            at, arc, back, g, code = at[kept], arc[kept], back[kept], g[kept], code[kept]
+            t, graphs = t[taken], graphs[taken]
+        touched[at] = True
+        self.sink_room[t, graphs] -= push[graphs]
+        room[arc] -= push[g]
+        cost[arc[room[arc] == 0]] = np.inf
+        inner = code != _SOURCE
+        back, g = back[inner], g[inner]
+        room[back] += push[g]
+        cost[back] = base[back // n, self.graphs[g]]
+        return graphs[self.sink_room[t, graphs] == 0]
 
     def potentials(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the nodes, the source and the sink: no arc with room leads to a node whose
         potential is above that of its start and the arc's cost."""
-        n, windows, stops = self.shape()
-        costs, none = self.arc_costs(), np.zeros((n, windows, stops), np.int8)
-        pi, source, sink = np.zeros((n, windows, stops), np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        kind, n = self.base.dtype, self.shape[-1]
+        pi, source, sink = np.zeros(self.shape, kind), np.zeros(n, kind), np.zeros(n, kind)
+        flow, none = self.flows(), kind.type(np.inf)
+        out_of_source, into_sink = self.room[_SOURCE, :, 0] > 0, self.sink_room > 0
+        relax = _Relaxing(pi, self.cost)
         changed = True
         while changed:
             before = pi.copy(), source.copy(), sink.copy()
-            np.minimum(pi[:, :, 0], np.where(self.room("source"), source[:, None], _FAR), out=pi[:, :, 0])
-            for t in range(windows - 1):
-                _relaxed(pi, none, np.s_[:, t + 1], np.s_[:, t], costs[_DOWN][:, t], 0)
-            for i in range(stops - 1):
-                _relaxed(pi, none, np.s_[:, :, i + 1], np.s_[:, :, i], costs[_RIGHT][:, :, i], 0)
-            sink = np.minimum(sink, np.where(self.room("sink"), pi[:, :, -1], _FAR).min(axis=1))
-            np.minimum(pi[:, :, -1], np.where(self.flow["sink"] > 0, sink[:, None], _FAR), out=pi[:, :, -1])
-            for i in range(stops - 2, -1, -1):
-                _relaxed(pi, none, np.s_[:, :, i], np.s_[:, :, i + 1], costs[_LEFT][:, :, i], 0)
-            for t in range(windows - 2, -1, -1):
-                _relaxed(pi, none, np.s_[:, t], np.s_[:, t + 1], costs[_UP][:, t], 0)
-            source = np.minimum(source, np.where(self.flow["source"] > 0, pi[:, :, 0], _FAR).min(axis=1))
+            np.minimum(pi[:, 0], np.where(out_of_source, source, none), out=pi[:, 0])
+            relax(_DOWN)
+            relax(_RIGHT)
+            sink = np.minimum(sink, np.where(into_sink, pi[:, -1], none).min(axis=0))
+            np.minimum(pi[:, -1], np.where(flow["sink"] > 0, sink, none), out=pi[:, -1])
+            relax(_LEFT)
+            relax(_UP)
+            source = np.minimum(source, np.where(flow["source"] > 0, pi[:, 0], none).min(axis=0))
             changed = any((a != b).any() for a, b in zip(before, (pi, source, sink)))
-        return pi, source, sink
+        return tuple(p.astype(np.int64) for p in (pi, source, sink))
 
 
 def solve(grids: Grids) -> np.ndarray:
     """Fills in the flows; returns the nodes the source still reaches, per graph."""
-    n, windows, stops = grids.shape()
-    reached = np.zeros((n, windows, stops), bool)
-    rows, work = np.arange(n), grids
-    while len(rows):
+    reached = np.zeros(grids.shape, bool)
+    work = grids
+    while True:
         found, seen = work.augment()
-        if not found.all():
-            done = rows[~found]
-            reached[done] = seen[~found]
-            if work is not grids:
-                for kind, flow in work.flow.items():
-                    grids.flow[kind][done] = flow[~found]
-            rows, work = rows[found], work.take(found)
+        going = np.count_nonzero(found)
+        # a graph that is done is left alone by further steps; leaving the batch copies the others
+        if going > 0.7 * len(found):
+            continue
+        done = work.graphs[~found]
+        reached[:, :, done] = seen[:, :, ~found]
+        if work is not grids:
+            for name in ("room", "sink_room"):
+                getattr(grids, name)[..., done] = getattr(work, name)[..., ~found]
+        if not going:
+            break
+        work = work.take(found)
+    # what the last steps changed, where it is read again
+    grids.cost = np.where(grids.room > 0, grids.base, grids.base.dtype.type(np.inf))
     return reached
 
 
+CELL = pa.struct([("window_index", pa.int32()), ("stop_index", pa.int32()), ("boardings", pa.int64()), ("tickets", pa.int64())])
+USED = pa.struct([("window_index", pa.int32()), ("segment_index", pa.int32()), ("flow_units", pa.int64()), ("flow_cost", pa.int64())])
 RESULT = ("total_flow bigint, total_cost bigint, used array<struct<window_index:int,segment_index:int,flow_units:bigint,"
           "flow_cost:bigint>>, loads array<bigint>, prices array<bigint>, source_flow array<bigint>, sink_flow array<bigint>, "
           "segment_flow array<bigint>, carry_flow array<bigint>, potentials array<bigint>, source_potential bigint, "
           "sink_potential bigint, reached array<boolean>, error string")
+RESULT_TYPES = [pa.int64(), pa.int64(), pa.list_(USED), *[pa.list_(pa.int64())] * 7, pa.int64(), pa.int64(),
+                pa.list_(pa.bool_()), pa.string()]
 
 
-def _rows(cells: list[list[dict]], windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int,
-          proof: bool = True) -> list[tuple]:
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """The arrays of a batch (window, stop, graph) or (window, graph) as one list per graph."""
+    per_graph = np.ascontiguousarray(values.reshape(-1, values.shape[-1]).T)
+    n, size = per_graph.shape
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, pa.array(per_graph.reshape(-1)))
+
+
+def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int,
+             proof: bool = True) -> list[pa.Array]:
     """Results of graphs with equally many stops, from the cells where something happened."""
-    n = len(cells)
-    sums = np.zeros((2, n, windows, stops), np.int64)
-    at = np.array([(g, c["window_index"], c["stop_index"], c["boardings"] or 0, c["tickets"] or 0)
-                   for g, row in enumerate(cells) for c in row], np.int64).reshape(-1, 5)
-    np.add.at(sums, (0, *at[:, :3].T), at[:, 3])
-    np.add.at(sums, (1, *at[:, :3].T), at[:, 4])
+    n, places = len(cells), cells.flatten()
+    fields = dict(zip((f.name for f in places.type), places.flatten()))
+    at_t, at_i = fields["window_index"], fields["stop_index"]
+    if cells.null_count or places.null_count or at_t.null_count or at_i.null_count:
+        raise TypeError("a graph without cells, or a cell without its place")
+    at_g = np.repeat(np.arange(n), cells.value_lengths().to_numpy())
+    place = at_t.to_numpy(), at_i.to_numpy(), at_g
+    sums = np.zeros((2, windows, stops, n), np.int64)
+    for total, name in zip(sums, ("boardings", "tickets")):
+        np.add.at(total, place, fields[name].cast(pa.int64()).fill_null(0).to_numpy())
     boardings, tickets = sums
     load = np.maximum(1, boardings)
     missing = np.maximum(0, load - np.maximum(0, tickets))
-    price = np.floor(missing / load * 100.0 + 0.5).astype(np.int32)
+    price = np.floor(missing / load * 100.0 + 0.5).astype(np.int64)
     grids = Grids(load, price, boardings > 0 if skip_empty else np.ones_like(load, dtype=bool), carry, carry_cost)
     reached = solve(grids)
-    flow = grids.flow
-    cost = grids.price * flow["segment"]
-    totals = flow["source"].sum(axis=1), cost.sum(axis=(1, 2)) + carry_cost * flow["carry"].sum(axis=(1, 2))
+    flow = grids.flows()
+    cost = price[:, :-1] * flow["segment"]
+    total_flow = flow["source"].sum(axis=0)
+    total_cost = cost.sum(axis=(0, 1)) + carry_cost * flow["carry"].sum(axis=(0, 1))
     # a segment counts both of its ends
-    listed = np.zeros((n, windows, stops), bool)
-    listed[tuple(at[:, :3].T)] = True
-    told = (flow["segment"] > 0) & (listed[:, :, 1:] | listed[:, :, :-1] | (cost * LARGE_SHARE > totals[1][:, None, None]))
-    used: list[list[dict]] = [[] for _ in range(n)]
-    at_g, at_t, at_i = np.nonzero(told)
-    for g, *values in zip(*(a.tolist() for a in (at_g, at_t, at_i, flow["segment"][told], cost[told]))):
-        used[g].append(dict(zip(("window_index", "segment_index", "flow_units", "flow_cost"), values)))
-    short = [*(t.tolist() for t in totals), used]
+    listed = np.zeros((windows, stops, n), bool)
+    listed[place] = True
+    told = (flow["segment"] > 0) & (listed[:, 1:] | listed[:, :-1] | (cost * LARGE_SHARE > total_cost))
+    of_g, of_t, of_i = np.nonzero(np.ascontiguousarray(told.transpose(2, 0, 1)))
+    parts = of_t.astype(np.int32), of_i.astype(np.int32), flow["segment"][of_t, of_i, of_g], cost[of_t, of_i, of_g]
+    ends = np.concatenate([[0], np.bincount(of_g, minlength=n).cumsum()]).astype(np.int32)
+    used = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(p) for p in parts], fields=[*USED]))
+    short = [pa.array(total_flow), pa.array(total_cost), used]
     if not proof:
-        return [(*row, *[None] * 11) for row in zip(*short)]
+        return [*short, *[pa.nulls(n, kind) for kind in RESULT_TYPES[3:]]]
     pi, source, sink = grids.potentials()
-    flat = [a.reshape(n, -1).tolist() for a in (load, price, flow["source"], flow["sink"], flow["segment"], flow["carry"], pi)]
-    return list(zip(*short, *flat, source.tolist(), sink.tolist(), reached.reshape(n, -1).tolist(), [None] * n))
+    return [*short, *map(_lists, (load, price, flow["source"], flow["sink"], flow["segment"], flow["carry"], pi)),
+            pa.array(source), pa.array(sink), _lists(reached), pa.nulls(n, pa.string())]
+
+
+def _rows(cells: list[list[dict]], *how) -> list[tuple]:
+    """The same from and to Python values."""
+    return list(zip(*(c.to_pylist() for c in _columns(pa.array(cells, pa.list_(CELL)), *how))))
+
 
+def _solver(windows: int, skip_empty: bool, carry: int, carry_cost: int, proof: bool):
+    how = windows, skip_empty, carry, carry_cost, proof
 
-def _solver(n_keys: int, windows: int, skip_empty: bool, carry: int, carry_cost: int, proof: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields, (*keys, stops, cells) = batch.schema, (c.to_pylist() for c in batch.columns)
-            shapes: dict[int, list[int]] = {}
-            for row, s in enumerate(stops):
-                shapes.setdefault(s, []).append(row)
-            for s, rows in shapes.items():
-                size = max(1, CELLS // (windows * s))
-                for first in range(0, len(rows), size):
-                    yield answer(rows[first:first + size], keys, s, cells, fields)
-
-    def answer(rows: list[int], keys: list[list], stops: int, cells: list, fields: pa.Schema) -> pa.RecordBatch:
-        def found(some: list[int]) -> list[tuple]:
-            return _rows([cells[r] for r in some], windows, stops, skip_empty, carry, carry_cost, proof)
+            for stops, rows in _by_shape(batch.column(batch.num_columns - 2), windows):
+                yield answer(batch.take(pa.array(rows)), stops)
 
+    def answer(batch: pa.RecordBatch, stops: int) -> pa.RecordBatch:
+        *keys, _, cells = batch.columns
         try:
-            results = found(rows)
+            results = _columns(cells, windows, stops, *how[1:])
         except Exception:  # one bad graph must not fail the others
-            results = []
-            for r in rows:
-                try:
-                    results += found([r])
-                except Exception as failure:
-                    results.append((*[None] * 13, f"{type(failure).__name__}: {failure}"))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([
-            ("window_index", pa.int32()), ("segment_index", pa.int32()), ("flow_units", pa.int64()),
-            ("flow_cost", pa.int64())])), *[pa.list_(pa.int64())] * 7, pa.int64(), pa.int64(), pa.list_(pa.bool_()), pa.string()]
-        columns = [pa.array([k[r] for r in rows], fields.field(n).type) for n, k in enumerate(keys)]
-        columns.append(pa.array([stops] * len(rows), pa.int32()))
-        columns += [pa.array(c, kind) for c, kind in zip(zip(*results), kinds)]
+            results = [pa.concat_arrays(parts) for parts in zip(*(alone(cells.slice(r, 1), stops) for r in range(len(cells))))]
+        columns = [*keys, pa.array([stops] * len(cells), pa.int32()), *results]
         return pa.RecordBatch.from_arrays(columns, names=[str(n) for n in range(len(columns))])
 
+    def alone(cells: pa.ListArray, stops: int) -> list[pa.Array]:
+        try:
+            return _columns(cells, windows, stops, *how[1:])
+        except Exception as failure:
+            return [*[pa.nulls(1, kind) for kind in RESULT_TYPES[:-1]], pa.array([f"{type(failure).__name__}: {failure}"])]
+
     return run
 
 
+def _by_shape(stops: pa.Array, windows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of stops, and rows that have them, as many as are handled together."""
+    counts = stops.to_numpy(zero_copy_only=False)
+    for s in np.unique(counts).tolist():
+        rows = np.flatnonzero(counts == s)
+        size = max(1, CELLS // (windows * s))
+        for first in range(0, len(rows), size):
+            yield s, rows[first:first + size]
+
+
 def solve_grids(graphs: DataFrame, keys: list[str], windows: int, skip_empty: bool = False, carry: int = 5,
                 carry_cost: int = 1, proof: bool = True) -> DataFrame:
     """One row per graph (keys, num_stops, cells): totals, used segments, and with ``proof`` what a certificate needs.
@@ -261,7 +343,7 @@ def solve_grids(graphs: DataFrame, keys: list[str], windows: int, skip_empty: bo
     """
     rows = graphs.select(*keys, F.col("num_stops").cast("int").alias("num_stops"), "cells")
     names = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(_solver(len(keys), windows, skip_empty, carry, carry_cost, proof), f"{names}, num_stops int, {RESULT}")
+    return rows.mapInArrow(_solver(windows, skip_empty, carry, carry_cost, proof), f"{names}, num_stops int, {RESULT}")
 
 
 def certificate(solved: DataFrame, keys: list[str], windows: int, carry: int = 5, carry_cost: int = 1) -> DataFrame:

@@ -103,3 +103,23 @@ def test_localize_finds_the_same_totals(small):
     all_of_them = {tuple(r) for r in localize.grid_flows(hourly, small.stop_order).select(
         *localize.KEYS, "total_flow", "total_cost").collect()}
     assert one and one <= all_of_them
+
+
+def rounds(monkeypatch, cells, windows, stops):
+    calls, distances = [], grid_flow.Grids.distances
+    with monkeypatch.context() as patch:
+        patch.setattr(grid_flow.Grids, "distances", lambda grids: calls.append(1) or distances(grids))
+        return grid_flow._rows(cells, windows, stops, False, 5, 1), len(calls)
+
+
+def test_paths_apart_from_each_other_share_their_distances(monkeypatch):
+    assert rounds(monkeypatch, [[]] * 3, 18, 7)[1] <= 2
+
+
+def test_sharing_distances_changes_no_flow(monkeypatch):
+    rng, along = random.Random(9), grid_flow.Grids._along
+    cells = [random_cells(rng, 9, 5)[:rng.choice((1, 3, 90))] for _ in range(80)]
+    together, few = rounds(monkeypatch, cells, 9, 5)
+    monkeypatch.setattr(grid_flow.Grids, "_along", lambda *args: along(*args)[:0])
+    one_by_one, many = rounds(monkeypatch, cells, 9, 5)
+    assert together == one_by_one and few <= many
