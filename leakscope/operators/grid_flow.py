@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Workers get the functions below with the task; they need no copy of this package.
@@ -346,6 +346,50 @@ def solve_grids(graphs: DataFrame, keys: list[str], windows: int, skip_empty: bo
     return rows.mapInArrow(_solver(windows, skip_empty, carry, carry_cost, proof), f"{names}, num_stops int, {RESULT}")
 
 
+PROOF = ["total_flow", "total_cost", "loads", "prices", "source_flow", "sink_flow", "segment_flow", "carry_flow",
+         "potentials", "source_potential", "sink_potential", "reached"]
+CHECKS = ["over_capacity", "unbalanced", "total_gap", "cost_gap", "cut_gap", "cheaper_ways"]
+
+
+def _faults(proof: dict[str, pa.Array], windows: int, stops: int, carry: int, carry_cost: int) -> list[np.ndarray]:
+    """The checks of graphs with equally many stops."""
+    n = len(proof["total_flow"])
+
+    def grid(name: str, *shape: int) -> np.ndarray:
+        values = proof[name].flatten().to_numpy(zero_copy_only=False)
+        return values.reshape(n, *shape) if shape else values
+
+    load, price, pi, reached = (grid(k, windows, stops) for k in ("loads", "prices", "potentials", "reached"))
+    source_flow, sink_flow = grid("source_flow", windows), grid("sink_flow", windows)
+    segment, carried = grid("segment_flow", windows, stops - 1), grid("carry_flow", windows - 1, stops)
+    total_flow, total_cost, source_pi, sink_pi = (
+        proof[k].to_numpy() for k in ("total_flow", "total_cost", "source_potential", "sink_potential"))
+    yes, no = np.True_, np.False_
+    # flow, capacity, cost, potentials and sides of the cut of both ends
+    arcs = [(source_flow, load[:, :, 0], 0, source_pi[:, None], pi[:, :, 0], yes, reached[:, :, 0]),
+            (sink_flow, load[:, :, -1], 0, pi[:, :, -1], sink_pi[:, None], reached[:, :, -1], no),
+            (segment, load[:, :, :-1], price[:, :, :-1], pi[:, :, :-1], pi[:, :, 1:], reached[:, :, :-1], reached[:, :, 1:]),
+            (carried, carry, carry_cost, pi[:, :-1], pi[:, 1:], reached[:, :-1], reached[:, 1:])]
+    over, cheaper, cut, cost = (np.zeros(n, np.int64) for _ in range(4))
+    for flow, cap, price_of, start, end, inside, beyond in arcs:
+        def total(values: np.ndarray) -> np.ndarray:
+            return values.reshape(n, -1).sum(axis=1)
+
+        gain = price_of + start - end
+        over += total((flow < 0) | (flow > cap))
+        cheaper += total((flow < cap) & (gain < 0)) + total((flow > 0) & (gain > 0))
+        cut += total(np.where(inside & ~beyond, cap, 0))
+        cost += total(flow * price_of)
+    net = np.zeros((n, windows, stops), np.int64)
+    net[:, :, 0] += source_flow
+    net[:, :, -1] -= sink_flow
+    net[:, :, 1:] += segment
+    net[:, :, :-1] -= segment
+    net[:, 1:] += carried
+    net[:, :-1] -= carried
+    return [over, np.count_nonzero(net, axis=(1, 2)), total_flow - source_flow.sum(axis=1), total_cost - cost, cut - total_flow, cheaper]
+
+
 def certificate(solved: DataFrame, keys: list[str], windows: int, carry: int = 5, carry_cost: int = 1) -> DataFrame:
     """What a cheapest maximum flow must not have, counted per graph from flows and potentials.
 
@@ -354,57 +398,14 @@ def certificate(solved: DataFrame, keys: list[str], windows: int, carry: int = 5
     sizes mean that both are best), and arcs with room along which the potentials say
     that flow could be led more cheaply.  For graphs where every cell has its arcs.
     """
-    stops = F.col("num_stops")
-
-    def cells(last_window: int, last_stop: Column, value) -> Column:
-        """An array over all windows and stops below the given ends."""
-        return F.transform(F.sequence(F.lit(0), F.lit(last_window) * last_stop - 1), lambda n: value(
-            F.floor(n / last_stop).cast("int"), (n % last_stop).cast("int")))
-
-    def at(name: str, n: Column) -> Column:
-        return F.get(F.col(name), n)
-
-    def node(name: str, t: Column, i: Column) -> Column:
-        return at(name, t * stops + i)
-
-    def arc(flow: Column, cap: Column, cost: Column, start: Column, end: Column, inside: Column, beyond: Column) -> Column:
-        """Over capacity, cheaper ways left, and what the arc adds to the cut."""
-        cheaper = F.when((flow < cap) & (cost + start - end < 0), 1).otherwise(0) + F.when(
-            (flow > 0) & (end - start - cost < 0), 1).otherwise(0)
-        return F.struct(F.when((flow < 0) | (flow > cap), 1).otherwise(0).alias("over"), cheaper.alias("cheaper"),
-                        F.when(inside & ~beyond, cap).otherwise(0).alias("cut"), (flow * cost).alias("cost"))
-
-    none, yes, no = F.lit(0).cast("long"), F.lit(True), F.lit(False)
-    last = stops - 1
-    segment_no = lambda t, i: t * last + i
-    source = cells(windows, F.lit(1), lambda t, _: arc(
-        at("source_flow", t), node("loads", t, F.lit(0)), none, F.col("source_potential"), node("potentials", t, F.lit(0)),
-        yes, node("reached", t, F.lit(0))))
-    sink = cells(windows, F.lit(1), lambda t, _: arc(
-        at("sink_flow", t), node("loads", t, last), none, node("potentials", t, last), F.col("sink_potential"),
-        node("reached", t, last), no))
-    segment = cells(windows, last, lambda t, i: arc(
-        at("segment_flow", segment_no(t, i)), node("loads", t, i), node("prices", t, i), node("potentials", t, i),
-        node("potentials", t, i + 1), node("reached", t, i), node("reached", t, i + 1)))
-    carried = cells(windows - 1, stops, lambda t, i: arc(
-        node("carry_flow", t, i), F.lit(carry).cast("long"), F.lit(carry_cost).cast("long"), node("potentials", t, i),
-        node("potentials", t + 1, i), node("reached", t, i), node("reached", t + 1, i)))
-    zero = F.lit(0).cast("long")
-    kept = cells(windows, stops, lambda t, i: F.coalesce(
-        F.when(i == 0, at("source_flow", t)).otherwise(at("segment_flow", segment_no(t, i - 1))), zero)
-        + F.when(t > 0, node("carry_flow", t - 1, i)).otherwise(zero)
-        - F.when(i == last, at("sink_flow", t)).otherwise(at("segment_flow", segment_no(t, i)))
-        - F.when(t < windows - 1, node("carry_flow", t, i)).otherwise(zero))
-
-    def total(array: Column, part=lambda x: x) -> Column:
-        return F.aggregate(array, zero, lambda acc, x: acc + part(x))
-
-    good = solved.filter(F.col("error").isNull()).withColumns({
-        "_arcs": F.concat(source, sink, segment, carried) if windows > 1 else F.concat(source, sink, segment), "_kept": kept})
-    return good.select(
-        *keys, total(F.col("_arcs"), lambda x: x["over"]).alias("over_capacity"),
-        total(F.col("_kept"), lambda x: F.when(x != 0, 1).otherwise(0)).alias("unbalanced"),
-        (F.col("total_flow") - total(F.col("source_flow"))).alias("total_gap"),
-        (F.col("total_cost") - total(F.col("_arcs"), lambda x: x["cost"])).alias("cost_gap"),
-        (total(F.col("_arcs"), lambda x: x["cut"]) - F.col("total_flow")).alias("cut_gap"),
-        total(F.col("_arcs"), lambda x: x["cheaper"]).alias("cheaper_ways"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stops, rows in _by_shape(batch.column(len(keys)), windows):
+                part = batch.take(pa.array(rows))
+                found = _faults(dict(zip(PROOF, part.columns[len(keys) + 1:])), windows, stops, carry, carry_cost)
+                columns = [*part.columns[:len(keys)], *(pa.array(c, pa.int64()) for c in found)]
+                yield pa.RecordBatch.from_arrays(columns, names=[str(c) for c in range(len(columns))])
+
+    good = solved.filter(F.col("error").isNull()).select(*keys, "num_stops", *PROOF)
+    names = ", ".join(f"`{k}` {good.schema[k].dataType.simpleString()}" for k in keys)
+    return good.mapInArrow(run, ", ".join([names, *(f"{c} bigint" for c in CHECKS)]))

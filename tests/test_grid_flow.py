@@ -123,3 +123,10 @@ def test_sharing_distances_changes_no_flow(monkeypatch):
     monkeypatch.setattr(grid_flow.Grids, "_along", lambda *args: along(*args)[:0])
     one_by_one, many = rounds(monkeypatch, cells, 9, 5)
     assert together == one_by_one and few <= many
+
+
+def test_certificates_are_counted_many_graphs_at_a_time(spark, solved):
+    checked = grid_flow.certificate(solved.withColumn("carry_flow", F.array_repeat(F.lit(6).cast("long"), 4 * F.col("num_stops"))), KEYS, 5)
+    assert "lambda" not in checked._jdf.queryExecution().toString()
+    stops = {r["g"]: r["num_stops"] for r in solved.collect()}
+    assert {r["g"]: r["over_capacity"] for r in checked.collect()} == {g: 4 * s for g, s in stops.items() if g != 101}
