@@ -6,7 +6,7 @@ cents, so a total never depends on the order in which partitions arrive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -66,8 +66,8 @@ def population_std(n: Column, total: Column, total_of_squares: Column) -> Column
     return F.sqrt(spread.cast("double")) / n.cast("double")
 
 
-def sum_squared_cents(x: Column | str) -> Column:
-    """Exact total of squared cents as DECIMAL(38,0).
+def sum_squared_cents(x: Column | str, over: WindowSpec | None = None) -> Column:
+    """Exact total of squared cents as DECIMAL(38,0), of a group or a window.
 
     A square is cut into three 21-bit parts that are summed as long integers,
     so rows never touch decimals.  Amounts reach 30 million.  The spread multiplies
@@ -79,5 +79,6 @@ def sum_squared_cents(x: Column | str) -> Column:
     square, mask = c * c, (1 << 21) - 1
     parts = [F.shiftright(square, 42), F.shiftright(square, 21).bitwiseAND(mask),
              square.bitwiseAND(mask)]
-    high, middle, low = (F.sum(p).cast("decimal(38,0)") for p in parts)
+    sums = [F.sum(p) if over is None else F.sum(p).over(over) for p in parts]
+    high, middle, low = (s.cast("decimal(38,0)") for s in sums)
     return high * F.lit(1 << 42) + middle * F.lit(1 << 21) + low

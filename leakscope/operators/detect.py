@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leakscope.functions.numeric import (cents, clamp01, from_cents, half_up, population_std,
@@ -39,6 +42,20 @@ def baseline_events(events: DataFrame, sample: int | None = None, seed: int = 42
     return normal if sample is None else sample_rows(normal, "event_id", sample, seed)
 
 
+def with_deviation(events: DataFrame, keys: list[str] = BASELINE_KEYS, value: str = "expected_revenue") -> DataFrame:
+    """Events with the deviation that ``baselines`` has for their key, learned from the normal ones among them.
+
+    One shuffle of the events serves learning and scoring.  Without a key there is no baseline.
+    """
+    of_key = W.partitionBy(*keys)
+    normal = F.when(F.col("is_anomalous") == 0, F.col(value))
+    spread = population_std(F.count(normal).over(of_key), F.sum(cents(normal)).over(of_key).cast("decimal(38,0)"),
+                            sum_squared_cents(normal, of_key)) / 100.0
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    # spread as they are; what the window derives from them need not travel
+    return events.repartition(*keys).withColumn("stddev", F.when(known, spread))
+
+
 def z_score() -> Column:
     """(expected - reported) / deviation; 0 without a usable baseline."""
     usable = F.col("stddev").isNotNull() & (F.col("stddev") != 0)
@@ -49,8 +66,11 @@ def z_score() -> Column:
 def score_against(events: DataFrame, learned: DataFrame, keys: list[str] = BASELINE_KEYS
                   ) -> DataFrame:
     """Events with z_score, baseline_score and is_anomaly."""
-    joined = events.join(learned.select(*keys, "stddev"), keys, "left")
-    return (joined.withColumn("z_score", z_score())
+    return _scored(events.join(learned.select(*keys, "stddev"), keys, "left"))
+
+
+def _scored(with_stddev: DataFrame) -> DataFrame:
+    return (with_stddev.withColumn("z_score", z_score())
             .withColumn("baseline_score",
                         F.least(F.lit(1.0), F.abs("z_score") / (Z_LIMIT * 2.0)))
             .withColumn("is_anomaly", F.abs("z_score") > Z_LIMIT)
@@ -67,10 +87,12 @@ def ensemble_score() -> Column:
                    + F.abs(ticket_gap) * WEIGHTS["tickets"])
 
 
-def detections(enriched: DataFrame, learned: DataFrame, keys: list[str] = BASELINE_KEYS
+def detections(enriched: DataFrame, learned: DataFrame | None = None, keys: list[str] = BASELINE_KEYS
                ) -> DataFrame:
-    """One scored row per event.  The flag looks at the unrounded score."""
-    scored = score_against(enriched, learned, keys).withColumn("_score", ensemble_score())
+    """One scored row per event.  The flag looks at the unrounded score.  Events that bring
+    the deviation of their key along (``with_deviation``) need no baselines."""
+    scored = (_scored(enriched) if learned is None else score_against(enriched, learned, keys)
+              ).withColumn("_score", ensemble_score())
     gap = F.col("expected_revenue") - F.col("reported_revenue")
     return scored.select(
         "event_id", "route_id", "trip_id", "stop_id", "stop_sequence", "sim_date",

@@ -43,7 +43,9 @@ class Analytics(TransitTables):
 
     @cached_property
     def detected(self) -> DataFrame:
-        return detect.detections(self.enriched, self.learned)
+        """Scored before the dimensions are joined, so that a filter on the score comes before these joins."""
+        return detect.detections(features.enrich(
+            detect.with_deviation(self.events), self.routes, self.stops.drop("route_id", "stop_sequence")))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -670,7 +672,7 @@ def detected_anomalies(a: Analytics) -> DataFrame:
 
 @query
 def detect_route(a: Analytics) -> DataFrame:
-    return views.detect_route(a.detected).select("event_id", "route_id", "sim_date", "anomaly_score", "total")
+    return views.detect_route(a.detected, looked_at=a.enriched).select("event_id", "route_id", "sim_date", "anomaly_score", "total")
 
 
 @query
@@ -704,10 +706,10 @@ def anomaly_queue_total(a: Analytics) -> DataFrame:
     return views.anomaly_queue_total(a.records, status="new", min_score=0.5)
 
 
-def _reviews(a: Analytics) -> DataFrame:
+def _reviews(records: DataFrame) -> DataFrame:
     s = F.col("anomaly_score")
     status = (F.when(s >= 0.8, "confirmed").when(s >= 0.6, "reviewed").when(s < 0.32, "escalated"))
-    return a.records.select(
+    return records.select(
         "detection_id", status.alias("status"), F.lit("auditor").alias("reviewed_by"),
         F.concat(F.lit("score "), F.floor(s * 100).cast("string")).alias("notes")
     ).filter(F.col("status").isNotNull())
@@ -715,7 +717,9 @@ def _reviews(a: Analytics) -> DataFrame:
 
 @query
 def review_update(a: Analytics) -> DataFrame:
-    updated = views.review_update(a.records, _reviews(a))
+    # both sides of the join are these rows, so they are stored once
+    records = materialize(a.records.select("detection_id", "anomaly_score", "status"), "records")
+    updated = views.review_update(records, _reviews(records))
     return updated.select("detection_id", "anomaly_score", "status",
                           F.coalesce("reviewed_by", F.lit("")).alias("reviewed_by"),
                           F.coalesce("notes", F.lit("")).alias("notes"))
@@ -723,7 +727,7 @@ def review_update(a: Analytics) -> DataFrame:
 
 @query
 def review_rejected(a: Analytics) -> DataFrame:
-    return views.review_decisions(_reviews(a))[1].select("detection_id", "status", "error")
+    return views.review_decisions(_reviews(a.records))[1].select("detection_id", "status", "error")
 
 
 # ---- localization ---------------------------------------------------------

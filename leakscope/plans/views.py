@@ -263,10 +263,12 @@ def latest_models(registry: DataFrame) -> DataFrame:
 
 
 def detect_route(detected: DataFrame, date_col: str = "sim_date", route_id: str | None = None,
-                 sim_date=None) -> DataFrame:
-    """Flagged rows with the number of events looked at on their route and day."""
-    chosen = detected.filter(all_of([_equals("route_id", route_id), _equals(date_col, sim_date)]))
-    totals = chosen.groupBy("route_id", date_col).agg(F.count("*").alias("total"))
+                 sim_date=None, looked_at: DataFrame | None = None) -> DataFrame:
+    """Flagged rows with the number of events looked at on their route and day.  ``looked_at`` has
+    the events that were scored, if counting them is to be spared their scores."""
+    wanted = all_of([_equals("route_id", route_id), _equals(date_col, sim_date)])
+    chosen = detected.filter(wanted)
+    totals = (chosen if looked_at is None else looked_at.filter(wanted)).groupBy("route_id", date_col).agg(F.count("*").alias("total"))
     return chosen.filter("is_flagged").join(totals, ["route_id", date_col])
 
 

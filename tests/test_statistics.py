@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.operators import detect, ordered, selection
+from leakscope.operators import detect, features, ordered, selection
 
 
 def test_nth_largest_is_exact(spark):
@@ -79,3 +79,26 @@ def test_place_among_many_is_bracketed(spark, monkeypatch):
     selection.nth_largest(rows, "s", 500)
     assert len(jobs.getJobIdsForGroup("places")) <= 4   # two queries; AQE runs each shuffle as a job of its own
     spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_deviation_of_own_key_as_from_stored_baselines(spark):
+    """Keys that are missing or only have anomalous events or no values, and one event twice."""
+    rows = [("a", 8, 1, 0, 10.0, 4.0), ("a", 8, 1, 0, 13.5, 13.5), ("a", 8, 1, 1, 99.0, 1.0), ("a", 8, 1, 1, 99.0, 1.0),
+            ("b", 8, 1, 1, 5.0, 1.0), ("c", 8, 1, 0, None, 1.0), ("d", None, 1, 0, 7.0, 1.0), ("d", None, 1, 0, 9.0, 1.0),
+            (None, 8, 1, 0, 7.0, 2.0), (None, 8, 1, 0, 8.0, 2.0), ("e", 8, 1, None, 8.0, 2.0), ("e", 8, 1, 0, 8.0, 2.0)]
+    events = spark.createDataFrame(rows, "route_id string, sim_hour int, day_of_week int, is_anomalous int, "
+                                         "expected_revenue double, reported_revenue double")
+    learned = detect.baselines(detect.baseline_events(events))
+    want = events.join(learned.select(*detect.BASELINE_KEYS, "stddev"), detect.BASELINE_KEYS, "left")
+    found = detect.with_deviation(events)
+    names = events.columns
+    z = detect.z_score().alias("z")
+    assert sorted(map(repr, found.select(*names, z).collect())) == sorted(map(repr, want.select(*names, z).collect()))
+
+
+def test_detections_move_each_event_once(spark, small):
+    """One exchange of the events for learning and scoring, and no stored baselines."""
+    bare = [detect.detections(features.enrich(detect.with_deviation(small.events), small.routes, small.stops.drop(
+        "route_id", "stop_sequence"))), small.detected]
+    for plan in (df._jdf.queryExecution().executedPlan().toString() for df in bare):
+        assert plan.count("Exchange hashpartitioning") == 1 and "baselines" not in plan
