@@ -79,11 +79,14 @@ def stop_grid(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS)
 
 
 def segment_stats(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS) -> DataFrame:
-    """Sums per segment and window.  A segment counts both of its ends."""
+    """Sums per segment and window.  A segment counts both of its ends.
+
+    Spread once by route and day, which all groupings below and the ranks of a day keep.
+    """
     places = route_segments(stop_order).select(
         "route_id", "segment_index",
         F.explode(F.sequence("segment_start_seq", "segment_end_seq")).alias("stop_sequence"))
-    per_place = (_in_windows(hourly, windows).filter("window_index >= 0")
+    per_place = (_in_windows(hourly, windows).filter("window_index >= 0").repartition(*KEYS)
                  .groupBy(*KEYS, "window_index", "stop_sequence")
                  .agg(*[F.sum(c).alias(c) for c in _SUMS]))
     return (per_place.join(places, ["route_id", "stop_sequence"])
