@@ -26,6 +26,7 @@ from leakscope.sources import tables
 FLUSH_INTERVAL = "5 seconds"
 EWMA_DECAY = 0.9
 KEPT_ERRORS = 100
+ARRIVAL_ROWS = 1 << 20
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -118,13 +119,15 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def shuffled_arrivals(events: DataFrame, key: str, batches: int = 4) -> DataFrame:
+def shuffled_arrivals(events: DataFrame, key: str, batches: int = 4, file_rows: int = ARRIVAL_ROWS) -> DataFrame:
     """The same events as a stream that brings them in an order of its own, by the hash of a
-    key, one file a micro-batch."""
+    key.  A micro-batch is as many files of about ``file_rows`` events as make that many batches,
+    so more events mean more files, not larger tasks."""
     spark = events.sparkSession
     path = scratch_path(spark, "arrivals")
-    events.repartition(batches, F.xxhash64(key, F.lit("arrival"))).write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(1, -(-events.count() // (batches * file_rows)))
+    events.repartition(batches * files, F.xxhash64(key, F.lit("arrival"))).write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain_latest(stream: DataFrame, keys: list[str], name: str) -> DataFrame:

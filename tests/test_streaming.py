@@ -267,3 +267,14 @@ def test_last_state_of_every_key_over_several_batches(spark, tmp_path):
     spark.sql("select 1 as k, 2 as x where false").write.parquet(none)
     empty = spark.readStream.schema("k int, x int").parquet(none).groupBy("k").agg(F.count("*").alias("n"))
     assert ingest.drain_latest(empty, ["k"], "none").count() == 0
+
+
+def test_arrivals_bring_more_files_not_larger_ones(spark):
+    events = spark.range(1000).withColumnRenamed("id", "event_id")
+    stream = ingest.shuffled_arrivals(events, "event_id", 4, file_rows=50)
+    sizes = []
+    stream.writeStream.foreachBatch(lambda batch, _: sizes.append(sorted(
+        r["n"] for r in batch.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()))).trigger(
+        availableNow=True).start().awaitTermination()
+    assert len(sizes) == 4 and sum(map(sum, sizes)) == 1000
+    assert all(len(files) == 5 and max(files) < 100 for files in sizes)
