@@ -27,6 +27,24 @@ def test_nearby_stops_against_all_pairs(spark):
     assert got == want
 
 
+def test_no_stop_scores_below_its_cell(spark):
+    rng = random.Random(5)
+    rows = [(rng.uniform(-80, 80), rng.uniform(-170, 170), float(rng.randrange(-90, 400)), rng.randint(-6, 6), rng.randint(-6, 6),
+             rng.random(), rng.random()) for _ in range(3000)]
+    rows += [(12.9, 77.5, b, y, x, 0.5, 0.5) for b in (0.0, 90.0, 300.0) for y in range(-4, 5) for x in range(-4, 5)]
+    size = 0.01
+    y, x = F.floor(F.col("lat") / size) + F.col("dy"), F.floor(F.col("lon") / size) + F.col("dx")
+    start = [F.col("lat"), F.col("lon")]
+    df = spark.createDataFrame(rows, "lat double, lon double, bearing double, dy int, dx int, u double, v double").select(
+        "*", nearby.least_score(*start, F.col("bearing"), y, x, size).alias("least"),
+        nearby.direction_score(*start, (y + F.col("u")) * size, (x + F.col("v")) * size, F.col("bearing")).alias("score"))
+    got = df.collect()
+    assert all(r.least <= r.score for r in got)
+    # the cells that may hold a stop within a score are few, not a square around the start
+    near = [r for r in got[3000:] if r.bearing == 90.0]
+    assert 0 < sum(r.least <= 0.5 for r in near) <= len(near) / 4
+
+
 def test_first_anomaly_by_id_wins(spark):
     events = spark.createDataFrame([("R", "d", 8, 3), ("R", "d", 8, 5), ("R", "d", 11, 3), ("Q", "d", 8, 3)],
                                    "route_id string, sim_date string, sim_hour int, stop_sequence int")
