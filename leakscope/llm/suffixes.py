@@ -8,7 +8,9 @@ a smaller id.  The work is narrowed exactly before suffixes are sorted:
    about one name per 14 bytes, and equal windows have equal names.
 2. Names are compared across documents; names of one document are done with.
 3. Stretches of windows with a shared name travel, with their bytes, to the
-   bucket of the name.  Buckets are cut into shards.  A shard sorts its suffixes
+   bucket of the name.  Equal ones are one there, and one that is then alone with
+   its name has no equal windows in others.  Those with a name in common are cut
+   into shards.  A shard sorts its suffixes
    by Larsson-Sadakane refinement, finds common prefixes by Kasai's
    rule, and merges with the other shards of its bucket by binary search.
 4. Every group of equal windows has a smallest document; it keeps them.
@@ -37,6 +39,7 @@ SLICE = 1 << 18            # bytes worked on at once
 BUFFER = 32 << 20          # bytes of text between two hand-overs of a mapper
 BUCKET_BYTES = 8 << 20     # bytes of text per bucket
 SHARD_BYTES = 1 << 20      # bytes of stretches per suffix array
+NAMED_AT_ONCE = 1 << 12    # stretches of a bucket whose names are worked out together
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -257,7 +260,7 @@ def suffix_order(data: np.ndarray, stretch: np.ndarray, limits: np.ndarray) -> t
     A suffix alone with its rank is in its place and is not sorted again, and neither
     is one that no window is read on to: a window needs the one 28 bytes on, and
     those two need what is 14 bytes on.  Windows equal in what is compared stay in the
-    order of their stretches.
+    order of their stretches, which is that of their places in ``data``.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -275,7 +278,7 @@ def suffix_order(data: np.ndarray, stretch: np.ndarray, limits: np.ndarray) -> t
     at = np.arange(n)
     rank = np.zeros(n, dtype=np.int64)
     while len(at):
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         at, keys = at[order], keys[order]
         starts = _groups(keys)
         sizes = np.diff(np.append(starts, len(keys)))
@@ -292,7 +295,7 @@ def suffix_order(data: np.ndarray, stretch: np.ndarray, limits: np.ndarray) -> t
         keys = (rank[at].astype(np.uint64) << np.uint64(32)) | further.astype(np.uint64)
         known *= 2
     windows = np.flatnonzero(limits >= LENGTH)
-    windows = windows[np.argsort(rank[windows] << 32 | stretch[windows], kind="stable")]
+    windows = np.sort(rank[windows] << 32 | windows) & 0xFFFFFFFF
     tied = np.zeros(len(windows), dtype=bool)
     tied[1:] = rank[windows[1:]] == rank[windows[:-1]]
     return windows, tied
@@ -376,6 +379,16 @@ def merge_shards(shards: list[Shard], least: list[np.ndarray]) -> list[np.ndarra
     return out
 
 
+def with_namesakes(pieces: list[bytes]) -> np.ndarray:
+    """Which of some different stretches have their name in common with another one."""
+    names = []
+    for at in range(0, len(pieces), NAMED_AT_ONCE):
+        heads = b"".join([p[:LENGTH] for p in pieces[at:at + NAMED_AT_ONCE]])
+        names.append(window_names(np.frombuffer(heads, np.uint8), np.arange(0, len(heads) + 1, LENGTH))[0])
+    _, which, sizes = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    return sizes[which] > 1
+
+
 def repeated_windows(table: pa.Table) -> pa.Table:
     """(doc_id, variant, start, stop): runs of windows of a bucket that start in a smaller document too."""
     settled = table.filter(table.column("settled"))
@@ -391,20 +404,25 @@ def repeated_windows(table: pa.Table) -> pa.Table:
         pieces = list(number)
         smallest = np.full(len(pieces), np.iinfo(np.int64).max)
         np.minimum.at(smallest, which, docs)
-        shards, firsts, least = [], [], []
+        widths = np.array([len(p) for p in pieces]) - LENGTH + 1
+        first = np.concatenate([[0], np.cumsum(widths)])
+        # equal windows have equal names, so a stretch without namesakes is the only one with its windows
+        windows = np.repeat(smallest, widths)
+        alike = with_namesakes(pieces)
+        compared = np.flatnonzero(alike).tolist()
+        shards, least = [], []
         at = 0
-        while at < len(pieces):
+        while at < len(compared):
             end, size = at, 0
-            while end < len(pieces) and size < SHARD_BYTES:
-                size += len(pieces[end])
+            while end < len(compared) and size < SHARD_BYTES:
+                size += len(pieces[compared[end]])
                 end += 1
-            shards.append(Shard(pieces[at:end]))
-            least.append(shards[-1].least(smallest[at:end]))
-            firsts.append(at)
+            shards.append(Shard([pieces[i] for i in compared[at:end]]))
+            least.append(shards[-1].least(smallest[compared[at:end]]))
             at = end
-        merged = merge_shards(shards, least)
-        windows = np.concatenate([s.per_window(m) for s, m in zip(shards, merged)])
-        first = np.concatenate([[0], np.cumsum([len(p) - LENGTH + 1 for p in pieces])])
+        if shards:
+            merged = merge_shards(shards, least)
+            windows[np.repeat(alike, widths)] = np.concatenate([s.per_window(m) for s, m in zip(shards, merged)])
         # every place of a stretch against the smallest document of each of its windows
         owner = np.repeat(np.arange(len(docs)), counts)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -423,29 +441,27 @@ def repeated_windows(table: pa.Table) -> pa.Table:
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in ta.slices(batches):
         data, offsets = ta.text_bytes(batch.column("text"))
-        removed, spans, kept = [], [], []
-        variants = batch.column("variant").to_pylist()
+        runs = batch.column("runs")
+        row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(runs).fill_null(0).to_numpy())
+        variant, start, stop = (runs.flatten().field(c).to_numpy() for c in ("variant", "start", "stop"))
         # an id's runs, of which a row takes those of its own text
-        runs = [[r for r in own or () if r["variant"] == v] for own, v in zip(batch.column("runs").to_pylist(), variants)]
-        for i in range(batch.num_rows):
-            own = data[offsets[i]:offsets[i + 1]]
-            if not runs[i]:
-                removed.append(0)
-                spans.append(0)
-                kept.append(hashlib.sha256(own).hexdigest())
-                continue
-            edges = np.zeros(len(own) + 1, dtype=np.int64)
-            begin = np.array([r["start"] for r in runs[i]])
-            end = np.array([r["stop"] for r in runs[i]]) + LENGTH - 1
-            np.add.at(edges, begin, 1)
-            np.add.at(edges, end, -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            removed.append(int(gone.sum()))
-            spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-            kept.append(hashlib.sha256(own[~gone]).hexdigest())
+        own = variant == batch.column("variant").to_numpy()[row]
+        at = offsets[row[own]]
+        edges = np.zeros(len(data) + 1, dtype=np.int64)
+        np.add.at(edges, at + start[own], 1)
+        np.add.at(edges, at + stop[own] + LENGTH - 1, -1)
+        gone = np.cumsum(edges[:-1]) > 0
+        # a span begins where the byte before stays, or belongs to another text
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[heads] = gone[heads]
+        before = np.concatenate([[0], np.cumsum(gone)])[offsets]
+        spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])
+        left, ends = memoryview(data[~gone]), (offsets - before).tolist()
+        kept = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
-             pa.array(spans, pa.int64()), pa.array(kept, pa.string())],
+            [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(before)), pa.array(spans), pa.array(kept, pa.string())],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 

@@ -114,6 +114,31 @@ def test_shards_merge_to_the_same(monkeypatch):
         assert shard.per_window(least).tolist() == own.tolist()
 
 
+def test_stretches_alone_with_their_name_are_not_sorted(monkeypatch):
+    """Equal stretches settle by their smallest document; only namesakes go to suffix arrays."""
+    import pyarrow as pa
+    sorted_pieces = []
+    whole = suffixes.Shard
+    monkeypatch.setattr(suffixes, "Shard", lambda pieces: sorted_pieces.extend(pieces) or whole(pieces))
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
+    names, starts, counts, _ = suffixes.window_names(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    rows = [(doc, s, c, text[s:s + c + 49]) for s, c in zip(starts.tolist(), counts.tolist()) for doc in (3, 5, 8)]
+    rows.append((2, 0, 1, rows[0][3][:50]))   # the first window of the first stretch, whose namesake it is
+
+    def stretches(rows):
+        docs, places, widths, pieces = zip(*rows)
+        packed = [suffixes.ta.pack_ints(np.array(c, np.int64)) for c in (docs, [0] * len(docs), places, widths)]
+        return pa.table({"bucket": pa.array([0], pa.int32()), "settled": [False], **{
+            n: pa.array([p], pa.binary()) for n, p in zip(("docs", "variants", "starts", "counts"), packed)},
+            "bytes": pa.array([suffixes.ta.pack_bytes(b"".join(pieces))], pa.binary())})
+
+    found = suffixes.repeated_windows(stretches(rows)).to_pylist()
+    gone = {(r["doc_id"], w) for r in found for w in range(r["start"], r["stop"])}
+    assert gone == {(doc, w) for doc in (5, 8) for w in range(351)} | {(3, 0)}
+    assert sorted(sorted_pieces) == sorted({rows[0][3], rows[-1][3]})
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
