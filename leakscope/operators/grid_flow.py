@@ -7,27 +7,44 @@ along the windows and the stops and back, then every graph is augmented along it
 path; graphs that are done leave the batch.  Node potentials and the source's side of
 a minimum cut come with the flow, so anyone can check that no flow is larger and none
 of its size is cheaper.
+
+A stop whose cells all take one unit is a cut of one unit per window, which every
+maximum flow fills.  As flow moves to later windows only, all of it then stays in its
+window between two such stops.  What is left to solve are the stops before the first and
+behind the last of them (``_parts``); where most cells are empty, that is little.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakscope.operators.flow import spread
+
 # Workers get the functions below with the task; they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cells (graphs x windows x stops) that are solved together: arrays that stay in a core's cache.
 CELLS = 1 << 18
 
+# The same where only cells that are not empty take memory, and bytes of input that are put together.
+SPARSE_CELLS, BATCH_BYTES = 1 << 23, 8 << 20
+
 LARGE_SHARE = 20
 
+# A cell where nothing happened takes one unit for this.
+EMPTY_PRICE = 100
+
+KINDS = ("segment", "carry", "source", "sink")
+
 # Arcs by the way they enter a node: from the source, the stop before and behind, the window before and behind.
 _SOURCE, _RIGHT, _LEFT, _DOWN, _UP = range(5)
 _BACK = np.array([_SOURCE, _LEFT, _RIGHT, _UP, _DOWN])
@@ -188,6 +205,15 @@ class Grids:
         cost[back] = base[back // n, self.graphs[g]]
         return graphs[self.sink_room[t, graphs] == 0]
 
+    def put(self, flow: dict[str, np.ndarray]) -> None:
+        """Flows by kind of arc, as ``flows`` gives them, in a grid that has none yet."""
+        self.room[_SOURCE, :, 0] -= flow["source"].astype(self.room.dtype)
+        self.sink_room -= flow["sink"].astype(self.room.dtype)
+        for there, back, kind, at in ((_RIGHT, _LEFT, "segment", np.s_[:, 1:]), (_DOWN, _UP, "carry", np.s_[1:])):
+            self.room[there][at] -= flow[kind].astype(self.room.dtype)
+            self.room[back][np.s_[:, :-1] if kind == "segment" else np.s_[:-1]] = flow[kind]
+        self.cost = np.where(self.room > 0, self.base, self.base.dtype.type(np.inf))
+
     def potentials(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the nodes, the source and the sink: no arc with room leads to a node whose
         potential is above that of its start and the arc's cost."""
@@ -229,8 +255,6 @@ def solve(grids: Grids) -> np.ndarray:
         if not going:
             break
         work = work.take(found)
-    # what the last steps changed, where it is read again
-    grids.cost = np.where(grids.room > 0, grids.base, grids.base.dtype.type(np.inf))
     return reached
 
 
@@ -251,6 +275,140 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, pa.array(per_graph.reshape(-1)))
 
 
+def _first_stop(load: np.ndarray, price: np.ndarray, carry: int, carry_cost: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cheapest flows of grids (window, graph) where all behind the first stop takes one unit per window.
+
+    Units that leave the first stop in a window before their own wait behind it, ``carry``
+    at most; waiting at the stop itself would save nothing.  So a window's state is the
+    number that wait, and the best way to every state follows from the window before.
+    Returns the units out of the first stop and those that wait after each window.
+    """
+    windows, n = load.shape
+    most = max(0, min(carry, windows - 1))
+    dear = 2 * windows * (most + 1) * max(100, carry_cost)
+    kind = np.float32 if dear < 1 << 24 else np.float64
+    waits = (np.arange(most + 1, dtype=kind) * carry_cost)[:, None]
+    best = np.full((most + 1, n), np.inf, kind)
+    best[0] = 0
+    taken = np.empty((windows, most + 1, n), np.min_scalar_type(most + 1))
+    way, better = np.empty_like(best), np.empty(best.shape, bool)
+    for t in range(windows):
+        before, best = best, np.full_like(best, np.inf)
+        # one unit first, so that equally cheap flows stay in their window
+        for units in (1, 0, *range(2, most + 2)):
+            room = load[t] >= units
+            if units > 1 and not room.any():
+                break
+            # the units of a window less the one that is due wait on
+            to, since = (np.s_[units - 1:], np.s_[:most + 2 - units]) if units else (np.s_[:most], np.s_[1:])
+            paid = price[t] * kind(units)
+            if units > 1:
+                paid = np.where(room, paid, kind(np.inf))
+            some, less = way[to], better[to]
+            np.add(before[since], paid, out=some)
+            np.less(some, best[to], out=less)
+            np.copyto(best[to], some, where=less)
+            np.copyto(taken[t, to], units, where=less)
+        best += waits
+    out, waiting = np.empty((windows, n), np.int64), np.zeros((windows, n), np.int64)
+    state, graphs = np.zeros(n, np.int64), np.arange(n)
+    for t in range(windows - 1, -1, -1):
+        waiting[t] = state
+        out[t] = taken[t, state, graphs]
+        state = state + 1 - out[t]
+    return out, waiting
+
+
+class _Cells(NamedTuple):
+    """The cells of a batch of grids that are not empty: graph, window, stop, capacity, price, and whether boarded.
+
+    An empty cell takes one unit for ``EMPTY_PRICE``."""
+
+    at_g: np.ndarray
+    at_t: np.ndarray
+    at_i: np.ndarray
+    load: np.ndarray
+    price: np.ndarray
+    boarded: np.ndarray
+
+    def of(self, graphs: np.ndarray) -> _Cells:
+        """The cells of some graphs, which are numbered anew.  Cells are in the order of their graphs."""
+        first, behind = np.searchsorted(self.at_g, graphs), np.searchsorted(self.at_g, graphs, "right")
+        sizes = behind - first
+        at = np.repeat(behind - sizes.cumsum(), sizes) + np.arange(sizes.sum())
+        return _Cells(np.repeat(np.arange(len(graphs)), sizes), *(values[at] for values in self[1:]))
+
+    def grids(self, windows: int, low: int, high: int, n: int, opened: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Capacity, price and whether a cell is open, as arrays (window, stop, graph) of the stops from ``low`` to before ``high``."""
+        inside = (self.at_i >= low) & (self.at_i < high)
+        at, shape = (self.at_t[inside], self.at_i[inside] - low, self.at_g[inside]), (windows, high - low, n)
+        load, price, is_open = np.ones(shape, np.int64), np.full(shape, EMPTY_PRICE, np.int64), np.full(shape, opened)
+        load[at], price[at] = self.load[inside], self.price[inside]
+        is_open[at] |= self.boarded[inside]
+        return load, price, is_open
+
+
+def _parts(cells: _Cells, n: int, windows: int, stops: int, skip_empty: bool, carry: int,
+           carry_cost: int) -> Iterator[tuple[np.ndarray, int, dict[str, np.ndarray], np.ndarray | None]]:
+    """Flows of ``n`` grids where they may be other than one unit along every window: graphs, their first
+    stop, flows by kind of arc, and the nodes the source still reaches if the part is the whole grid.
+
+    With ``first`` and ``last``, the first and last stop where all cells take one unit, the maximum
+    flow is one unit per window, and up to any window as much leaves ``first`` as enters ``last``:
+    nothing waits in between.  Up to ``first`` and from ``last`` on the grid is a smaller one, whose
+    sink or source takes one unit per window.  Behind ``last`` waiting pays only where a stop
+    other than the last one has a cell with more room.
+    """
+    first, last = _single_stops(cells, n, stops)
+    whole = first == stops
+    if skip_empty or carry_cost <= 0:
+        whole[:] = True
+
+    def cut(chosen: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
+        graphs = np.flatnonzero(chosen)
+        spans = low[graphs] * (stops + 1) + high[graphs]
+        for span in np.unique(spans).tolist():
+            some, (start, end) = graphs[spans == span], divmod(span, stops + 1)
+            size = max(1, CELLS // (windows * (end - start)))
+            for part in (some[begin:begin + size] for begin in range(0, len(some), size)):
+                yield part, start, cells.of(part).grids(windows, start, end, len(part), not skip_empty)
+
+    zero, all_stops = np.zeros(n, np.int64), np.full(n, stops)
+    for graphs, start, (load, price, _) in cut(~whole & (first == 1), zero, first + 1):
+        out, waiting = _first_stop(load[:, 0], price[:, 0], carry, carry_cost)
+        waits = np.zeros((windows - 1, 2, len(graphs)), np.int64)
+        waits[:, 1] = waiting[:-1]
+        yield graphs, start, {"source": out, "segment": out[:, None], "carry": waits}, None
+    for chosen, low, high in ((~whole & (first > 1), zero, first + 1), (~whole & (last < stops - 2), last, all_stops), (whole, zero, all_stops)):
+        for graphs, start, described in cut(chosen, low, high):
+            grids = Grids(*described, carry, carry_cost)
+            reached, flow = solve(grids), grids.flows()
+            if not whole[graphs[0]]:
+                # the end that the rest of the grid goes on from
+                flow.pop("sink" if low is zero else "source")
+            yield graphs, start, flow, reached if whole[graphs[0]] else None
+
+
+def _single_stops(cells: _Cells, n: int, stops: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last stop of each graph where all cells take one unit; ``stops`` and -1 where there is none."""
+    wide = np.zeros((n, stops), bool)
+    more = cells.load > 1
+    wide[cells.at_g[more], cells.at_i[more]] = True
+    none = wide.all(axis=1)
+    return np.where(none, stops, wide.argmin(axis=1)), np.where(none, -1, stops - 1 - wide[:, ::-1].argmin(axis=1))
+
+
+def _changes(flow: dict[str, np.ndarray], graphs: np.ndarray, start: int, windows: int, stops: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arcs with another flow than one unit along every window, numbered by graph, kind and cell, and their flows."""
+    nodes, keys, units = windows * stops, [], []
+    for kind, values in flow.items():
+        t, *i, g = np.nonzero(values != (kind != "carry"))
+        units.append(values[t, *i, g])
+        stop = i[0] + start if i else 0 if kind == "source" else stops - 1
+        keys.append((graphs[g] * len(KINDS) + KINDS.index(kind)) * nodes + t * stops + stop)
+    return np.concatenate(keys), np.concatenate(units)
+
+
 def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int,
              proof: bool = True) -> list[pa.Array]:
     """Results of graphs with equally many stops, from the cells where something happened."""
@@ -259,35 +417,92 @@ def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, ca
     at_t, at_i = fields["window_index"], fields["stop_index"]
     if cells.null_count or places.null_count or at_t.null_count or at_i.null_count:
         raise TypeError("a graph without cells, or a cell without its place")
+    grid, nodes = np.arange(windows * stops).reshape(windows, stops), windows * stops
     at_g = np.repeat(np.arange(n), cells.value_lengths().to_numpy())
-    place = at_t.to_numpy(), at_i.to_numpy(), at_g
-    sums = np.zeros((2, windows, stops, n), np.int64)
+    listed, pieces = np.unique(at_g * nodes + grid[at_t.to_numpy(), at_i.to_numpy()], return_inverse=True)
+    boardings, tickets = sums = np.zeros((2, len(listed)), np.int64)
     for total, name in zip(sums, ("boardings", "tickets")):
-        np.add.at(total, place, fields[name].cast(pa.int64()).fill_null(0).to_numpy())
-    boardings, tickets = sums
+        np.add.at(total, pieces, fields[name].cast(pa.int64()).fill_null(0).to_numpy())
     load = np.maximum(1, boardings)
     missing = np.maximum(0, load - np.maximum(0, tickets))
     price = np.floor(missing / load * 100.0 + 0.5).astype(np.int64)
-    grids = Grids(load, price, boardings > 0 if skip_empty else np.ones_like(load, dtype=bool), carry, carry_cost)
-    reached = solve(grids)
-    flow = grids.flows()
-    cost = price[:, :-1] * flow["segment"]
-    total_flow = flow["source"].sum(axis=0)
-    total_cost = cost.sum(axis=(0, 1)) + carry_cost * flow["carry"].sum(axis=(0, 1))
-    # a segment counts both of its ends
-    listed = np.zeros((windows, stops, n), bool)
-    listed[place] = True
-    told = (flow["segment"] > 0) & (listed[:, 1:] | listed[:, :-1] | (cost * LARGE_SHARE > total_cost))
-    of_g, of_t, of_i = np.nonzero(np.ascontiguousarray(told.transpose(2, 0, 1)))
-    parts = of_t.astype(np.int32), of_i.astype(np.int32), flow["segment"][of_t, of_i, of_g], cost[of_t, of_i, of_g]
-    ends = np.concatenate([[0], np.bincount(of_g, minlength=n).cumsum()]).astype(np.int32)
-    used = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(p) for p in parts], fields=[*USED]))
+    known = _Cells(listed // nodes, listed % nodes // stops, listed % stops, load, price, boardings > 0)
+    # what one unit along every window costs; then what other flows cost beyond that
+    inner = known.at_i < stops - 1
+    total_flow, total_cost = np.full(n, windows), np.full(n, EMPTY_PRICE * windows * (stops - 1))
+    np.add.at(total_cost, known.at_g[inner], price[inner] - EMPTY_PRICE)
+    arcs, units, reached = [], [], []
+    for graphs, start, flow, seen in _parts(known, n, windows, stops, skip_empty, carry, carry_cost):
+        if seen is not None:
+            total_flow[graphs] = flow["source"].sum(axis=0)
+            reached.append((graphs, seen))
+        total_cost[graphs] += carry_cost * flow["carry"].sum(axis=(0, 1))
+        changed = _changes(flow if proof else {"segment": flow["segment"]}, graphs, start, windows, stops)
+        arcs.append(changed[0])
+        units.append(changed[1])
+    arcs, units = (np.concatenate([np.zeros(0, np.int64), *found]) for found in (arcs, units))
+    order = arcs.argsort()
+    arcs, units = arcs[order], units[order]
+    # segments come first among the kinds
+    of_segment = arcs // nodes % len(KINDS) == 0
+    keys, flows = arcs[of_segment] // (nodes * len(KINDS)) * nodes + arcs[of_segment] % nodes, units[of_segment]
+    np.add.at(total_cost, keys // nodes, _found(keys, listed, price, EMPTY_PRICE) * (flows - 1))
+    used = _used(listed, keys, flows, price, total_cost, windows, stops)
     short = [pa.array(total_flow), pa.array(total_cost), used]
     if not proof:
         return [*short, *[pa.nulls(n, kind) for kind in RESULT_TYPES[3:]]]
-    pi, source, sink = grids.potentials()
-    return [*short, *map(_lists, (load, price, flow["source"], flow["sink"], flow["segment"], flow["carry"], pi)),
-            pa.array(source), pa.array(sink), _lists(reached), pa.nulls(n, pa.string())]
+    described = known.grids(windows, 0, stops, n, not skip_empty)
+    flow = _dense(arcs, units, n, windows, stops)
+    solved = Grids(*described, carry, carry_cost)
+    solved.put(flow)
+    pi, source, sink = solved.potentials()
+    side = np.broadcast_to(np.arange(stops)[:, None] <= _single_stops(known, n, stops)[0], (windows, stops, n)).copy()
+    for graphs, seen in reached:
+        side[:, :, graphs] = seen
+    return [*short, *map(_lists, (*described[:2], *(flow[k] for k in ("source", "sink", "segment", "carry")), pi)),
+            pa.array(source), pa.array(sink), _lists(side), pa.nulls(n, pa.string())]
+
+
+def _found(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise: int) -> np.ndarray:
+    """Values at some of the sorted keys ``known``, or else the usual one."""
+    if not len(known):
+        return np.full(len(keys), otherwise)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], otherwise)
+
+
+def _used(listed: np.ndarray, keys: np.ndarray, flows: np.ndarray, price: np.ndarray, total_cost: np.ndarray, windows: int,
+          stops: int) -> pa.ListArray:
+    """Flow and cost of the segments that are told, from the listed cells and the segments ``keys`` where not one unit flows."""
+    nodes, n = windows * stops, len(total_cost)
+    at_i = listed % stops
+    # a segment counts both of its ends
+    ends = np.concatenate([listed[at_i < stops - 1], listed[at_i > 0] - 1])
+    # where one unit may be a large share of the cost, any segment may be told
+    cheap = np.flatnonzero(total_cost < EMPTY_PRICE * LARGE_SHARE)
+    segments = np.arange(nodes).reshape(windows, stops)[:, :-1].reshape(-1)
+    asked, origin = np.unique(np.concatenate([ends, keys, (cheap[:, None] * nodes + segments).reshape(-1)]), return_index=True)
+    units = _found(asked, keys, flows, 1)
+    cost = _found(asked, listed, price, EMPTY_PRICE) * units
+    of_g = asked // nodes
+    told = (units > 0) & ((origin < len(ends)) | (cost * LARGE_SHARE > total_cost[of_g]))
+    of_g, place = of_g[told], asked[told] % nodes
+    parts = (place // stops).astype(np.int32), (place % stops).astype(np.int32), units[told], cost[told]
+    bounds = np.concatenate([[0], np.bincount(of_g, minlength=n).cumsum()]).astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(p) for p in parts], fields=[*USED]))
+
+
+def _dense(arcs: np.ndarray, units: np.ndarray, n: int, windows: int, stops: int) -> dict[str, np.ndarray]:
+    """Flows by kind of arc (window, stop, graph), from those that are not one unit along every window."""
+    nodes, found = windows * stops, {}
+    kinds, place, graph = arcs // nodes % len(KINDS), arcs % nodes, arcs // (nodes * len(KINDS))
+    for code, kind in enumerate(KINDS):
+        values = np.full((windows, stops, n), int(kind != "carry"))
+        some = kinds == code
+        values.reshape(nodes, n)[place[some], graph[some]] = units[some]
+        found[kind] = values
+    return {"source": found["source"][:, 0], "sink": found["sink"][:, -1], "segment": found["segment"][:, :-1],
+            "carry": found["carry"][:-1]}
 
 
 def _rows(cells: list[list[dict]], *how) -> list[tuple]:
@@ -295,40 +510,151 @@ def _rows(cells: list[list[dict]], *how) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in _columns(pa.array(cells, pa.list_(CELL)), *how))))
 
 
+def _answer(cells: pa.ListArray, stops: int, how: tuple) -> list[pa.Array]:
+    """Results of a batch of graphs; one that fails has its error."""
+    try:
+        return _columns(cells, *how[:1], stops, *how[1:])
+    except Exception:  # one bad graph must not fail the others
+        return [pa.concat_arrays(parts) for parts in zip(*(_alone(cells.slice(r, 1), stops, how) for r in range(len(cells))))]
+
+
+def _alone(cells: pa.ListArray, stops: int, how: tuple) -> list[pa.Array]:
+    try:
+        return _columns(cells, *how[:1], stops, *how[1:])
+    except Exception as failure:
+        return [*[pa.nulls(1, kind) for kind in RESULT_TYPES[:-1]], pa.array([f"{type(failure).__name__}: {failure}"])]
+
+
+def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=[str(n) for n in range(len(columns))])
+
+
 def _solver(windows: int, skip_empty: bool, carry: int, carry_cost: int, proof: bool):
     how = windows, skip_empty, carry, carry_cost, proof
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for stops, rows in _by_shape(batch.column(batch.num_columns - 2), windows):
-                yield answer(batch.take(pa.array(rows)), stops)
-
-    def answer(batch: pa.RecordBatch, stops: int) -> pa.RecordBatch:
-        *keys, _, cells = batch.columns
-        try:
-            results = _columns(cells, windows, stops, *how[1:])
-        except Exception:  # one bad graph must not fail the others
-            results = [pa.concat_arrays(parts) for parts in zip(*(alone(cells.slice(r, 1), stops) for r in range(len(cells))))]
-        columns = [*keys, pa.array([stops] * len(cells), pa.int32()), *results]
-        return pa.RecordBatch.from_arrays(columns, names=[str(n) for n in range(len(columns))])
-
-    def alone(cells: pa.ListArray, stops: int) -> list[pa.Array]:
-        try:
-            return _columns(cells, windows, stops, *how[1:])
-        except Exception as failure:
-            return [*[pa.nulls(1, kind) for kind in RESULT_TYPES[:-1]], pa.array([f"{type(failure).__name__}: {failure}"])]
+        for batch in _joined(batches):
+            for stops, part in _by_shape(batch, batch.num_columns - 2, windows, CELLS if proof else SPARSE_CELLS):
+                *keys, counts, cells = part.columns
+                yield _batch([*keys, counts, *_answer(cells, stops, how)])
 
     return run
 
 
-def _by_shape(stops: pa.Array, windows: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Numbers of stops, and rows that have them, as many as are handled together."""
-    counts = stops.to_numpy(zero_copy_only=False)
-    for s in np.unique(counts).tolist():
-        rows = np.flatnonzero(counts == s)
-        size = max(1, CELLS // (windows * s))
-        for first in range(0, len(rows), size):
-            yield s, rows[first:first + size]
+def _row_solver(keys: int, windows: int, skip_empty: bool, carry: int, carry_cost: int, sums: list[str]):
+    how = windows, skip_empty, carry, carry_cost, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole_graphs(_joined(batches), keys):
+            for stops, part in _by_shape(_graphs(rows, starts, keys, sums), keys, windows, SPARSE_CELLS):
+                columns = _answer(part.column(keys + 1), stops, how)
+                total_flow, total_cost, used, error = *columns[:3], columns[-1]
+                totals = [_segments(part.column(keys + 2), used, windows, stops, sums)] if sums else []
+                yield _batch([*part.columns[:keys + 1], total_flow, total_cost, used, *totals, error])
+
+    return run
+
+
+def _whole_graphs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows sorted by their first columns, cut where these change, and where each graph starts."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        if not len(rows):
+            continue
+        other = np.zeros(len(rows) - 1, bool)
+        for key in rows.columns[:keys]:
+            one, next_one = key.slice(0, len(key) - 1), key.slice(1)
+            other |= pc.fill_null(pc.not_equal(one, next_one), False).to_numpy(zero_copy_only=False)
+            if key.null_count:
+                other |= one.is_null().to_numpy(zero_copy_only=False) != next_one.is_null().to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.flatnonzero(other) + 1])
+        # the last graph may go on
+        held = rows.slice(starts[-1])
+        if len(starts) > 1:
+            yield rows.slice(0, starts[-1]), starts[:-1]
+    if held is not None and len(held):
+        yield held, np.zeros(1, np.int64)
+
+
+def _graphs(rows: pa.RecordBatch, starts: np.ndarray, keys: int, sums: list[str]) -> pa.RecordBatch:
+    """One row per graph: keys, number of stops, cells, and places with the segments they count in."""
+    fixed = [c.take(pa.array(starts)) for c in rows.columns[:keys + 1]]
+    window, stop, boardings, tickets, *totals = rows.columns[keys + 1:]
+    inside = pc.fill_null(pc.greater_equal(window, 0), False)
+
+    def lists(kept: pa.Array, kinds: pa.StructType, *columns: pa.Array) -> pa.ListArray:
+        chosen = kept.to_numpy(zero_copy_only=False)
+        bounds = np.concatenate([[0], chosen.cumsum()])[np.append(starts, len(chosen))]
+        values = [c.filter(kept).cast(f.type) for c, f in zip(columns, kinds)]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(values, fields=[*kinds]))
+
+    columns = [*fixed, lists(pc.and_(inside, stop.is_valid()), CELL, window, stop, boardings, tickets)]
+    if sums:
+        kinds = pa.struct([("window_index", pa.int32()), *((name, pa.int64()) for name in sums), ("segments", pa.list_(pa.int32()))])
+        columns.append(lists(pc.and_(inside, totals[-1].is_valid()), kinds, window, *totals))
+    return _batch(columns)
+
+
+def _segments(places: pa.ListArray, used: pa.ListArray, windows: int, stops: int, sums: list[str]) -> pa.ListArray:
+    """Totals and flow of the segments that have either.  Nulls are left out of a total; one of nulls only is null
+    where no flow is told."""
+    nodes, n = windows * stops, len(places)
+    rows = places.flatten()
+    window, *totals, segments = rows.flatten()
+    of_row = np.repeat(np.arange(len(rows)), segments.value_lengths().to_numpy())
+    of_graph = np.repeat(np.arange(n), places.value_lengths().to_numpy())
+    at = ((of_graph * windows + window.to_numpy())[of_row] * stops) + segments.flatten().to_numpy()
+    told = used.flatten()
+    at_t, at_i, units, cost = (told.field(k).to_numpy() for k in range(4))
+    told_g = np.repeat(np.arange(n), pc.fill_null(used.value_lengths(), 0).to_numpy())
+    told_at = (told_g * windows + at_t) * stops + at_i
+    keys, back = np.unique(np.concatenate([at, told_at]), return_inverse=True)
+    back, place = back[:len(at)], back[len(at):]
+    with_flow = np.zeros(len(keys), bool)
+    with_flow[place] = True
+    found = [pa.array((keys % nodes // stops).astype(np.int32)), pa.array((keys % stops).astype(np.int32))]
+    for values in totals:
+        total, known = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        np.add.at(total, back, values.fill_null(0).to_numpy()[of_row])
+        if values.null_count:
+            known = with_flow.copy()
+            known[back[values.is_valid().to_numpy(zero_copy_only=False)[of_row]]] = True
+        found.append(pa.array(total, mask=~known))
+    for values in (units, cost):
+        flow = np.zeros(len(keys), np.int64)
+        flow[place] = values
+        found.append(pa.array(flow))
+    bounds = np.searchsorted(keys, np.arange(n + 1) * nodes).astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(found, fields=[*_segment_type(sums)]))
+
+
+def _segment_type(sums: list[str]) -> pa.StructType:
+    return pa.struct([("window_index", pa.int32()), ("segment_index", pa.int32()),
+                      *((name, pa.int64()) for name in (*sums, "flow_units", "flow_cost"))])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``BATCH_BYTES``, since few of many graphs need the solver's steps."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.nbytes for b in waiting) >= BATCH_BYTES:
+            yield pa.concat_batches(waiting)
+            waiting = []
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def _by_shape(batch: pa.RecordBatch, at: int, windows: int, cells: int = CELLS) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Graphs with equally many stops, which column ``at`` has, as many as are handled together."""
+    counts = batch.column(at).to_numpy(zero_copy_only=False)
+    shapes = np.unique(counts).tolist()
+    for s in shapes:
+        same = batch if len(shapes) == 1 else batch.take(pa.array(np.flatnonzero(counts == s)))
+        size = max(1, cells // (windows * s))
+        for first in range(0, len(same), size):
+            yield s, same.slice(first, size)
 
 
 def solve_grids(graphs: DataFrame, keys: list[str], windows: int, skip_empty: bool = False, carry: int = 5,
@@ -346,6 +672,26 @@ def solve_grids(graphs: DataFrame, keys: list[str], windows: int, skip_empty: bo
     return rows.mapInArrow(_solver(windows, skip_empty, carry, carry_cost, proof), f"{names}, num_stops int, {RESULT}")
 
 
+def solve_rows(rows: DataFrame, keys: list[str], windows: int, skip_empty: bool = False, carry: int = 5,
+               carry_cost: int = 1, sums: list[str] | None = None) -> DataFrame:
+    """One row per graph (keys, num_stops): totals, used segments and error, from rows of the hours where anything happened.
+
+    Rows have keys, num_stops, window_index, stop_index, boardings, tickets, and with ``sums`` these columns and
+    ``segments``, the segments they count in, whose totals and flow come out as ``segments``.  A row outside all
+    windows or stops is no cell.  Rows travel one by one and sorted, so that a graph's are next to each other;
+    putting them into one row per graph before would cost more than solving it.
+    """
+    sums = sums or []
+    taken = [*keys, F.col("num_stops").cast("int").alias("num_stops"), "window_index", F.col("stop_index").cast("int").alias("stop_index"),
+             "boardings", "tickets", *([*sums, "segments"] if sums else [])]
+    # by a hash first, as long integers are compared faster
+    ordered = spread(rows.select(*taken), keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
+    names = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    totals = f"segments array<struct<window_index:int,segment_index:int,{''.join(f'{c}:bigint,' for c in sums)}flow_units:bigint,flow_cost:bigint>>, "
+    run = _row_solver(len(keys), windows, skip_empty, carry, carry_cost, sums)
+    return ordered.mapInArrow(run, f"{names}, num_stops int, {RESULT[:RESULT.index('loads')]}{totals if sums else ''}error string")
+
+
 PROOF = ["total_flow", "total_cost", "loads", "prices", "source_flow", "sink_flow", "segment_flow", "carry_flow",
          "potentials", "source_potential", "sink_potential", "reached"]
 CHECKS = ["over_capacity", "unbalanced", "total_gap", "cost_gap", "cut_gap", "cheaper_ways"]
@@ -400,11 +746,10 @@ def certificate(solved: DataFrame, keys: list[str], windows: int, carry: int = 5
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for stops, rows in _by_shape(batch.column(len(keys)), windows):
-                part = batch.take(pa.array(rows))
+            for stops, part in _by_shape(batch, len(keys), windows):
                 found = _faults(dict(zip(PROOF, part.columns[len(keys) + 1:])), windows, stops, carry, carry_cost)
                 columns = [*part.columns[:len(keys)], *(pa.array(c, pa.int64()) for c in found)]
-                yield pa.RecordBatch.from_arrays(columns, names=[str(c) for c in range(len(columns))])
+                yield _batch(columns)
 
     good = solved.filter(F.col("error").isNull()).select(*keys, "num_stops", *PROOF)
     names = ", ".join(f"`{k}` {good.schema[k].dataType.simpleString()}" for k in keys)

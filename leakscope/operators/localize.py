@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leakscope.functions.numeric import cents, clamp01, from_cents, half_up, ladder
 from leakscope.functions.text import window_label
 from leakscope.operators.flow import solve_graphs, spread
-from leakscope.operators.grid_flow import solve_grids
+from leakscope.operators.grid_flow import solve_grids, solve_rows
 from leakscope.operators.network import route_segments
 from leakscope.session import materialize
 
@@ -78,14 +78,19 @@ def stop_grid(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS)
                     *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in _SUMS]))
 
 
+def _segment_places(stop_order: DataFrame) -> DataFrame:
+    """Every position of a segment, both ends included."""
+    return route_segments(stop_order).select(
+        "route_id", "segment_index",
+        F.explode(F.sequence("segment_start_seq", "segment_end_seq")).alias("stop_sequence"))
+
+
 def segment_stats(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS) -> DataFrame:
     """Sums per segment and window.  A segment counts both of its ends.
 
     Spread once by route and day, which all groupings below and the ranks of a day keep.
     """
-    places = route_segments(stop_order).select(
-        "route_id", "segment_index",
-        F.explode(F.sequence("segment_start_seq", "segment_end_seq")).alias("stop_sequence"))
+    places = _segment_places(stop_order)
     per_place = (_in_windows(hourly, windows).filter("window_index >= 0").repartition(*KEYS)
                  .groupBy(*KEYS, "window_index", "stop_sequence")
                  .agg(*[F.sum(c).alias(c) for c in _SUMS]))
@@ -176,20 +181,38 @@ def flows(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS,
     return solve_graphs(network_edges(grid, len(windows), skip_empty), KEYS, SOURCE, SINK)
 
 
+def _packed_routes(stop_order: DataFrame) -> DataFrame:
+    """One row per route with at least two stops: the index of each stop, and the segments that count each position."""
+    stop = F.when(F.col("stop_id").isNotNull(), F.struct("stop_id", "stop_index"))
+    stops = (stop_order.groupBy("route_id").agg(F.count("*").alias("num_stops"), F.map_from_entries(F.collect_list(stop)).alias("_stops"))
+             .filter("num_stops >= 2"))
+    places = (_segment_places(stop_order).groupBy("route_id", F.col("stop_sequence").cast("bigint").alias("stop_sequence"))
+              .agg(F.sort_array(F.collect_list("segment_index")).alias("segments"))
+              .groupBy("route_id").agg(F.map_from_entries(F.collect_list(F.struct("stop_sequence", "segments"))).alias("_segments")))
+    return stops.join(places, "route_id", "left")
+
+
+def graph_rows(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS) -> DataFrame:
+    """Hourly sums with their place in the graph of their route and day, and the segments they count in.
+
+    A route's stops are one row, so a single join finds both."""
+    return (_in_windows(hourly, windows).join(_packed_routes(stop_order), "route_id")
+            .select(*KEYS, "num_stops", "window_index", F.try_element_at("_stops", "stop_id").alias("stop_index"), *_SUMS,
+                    F.try_element_at("_segments", F.col("stop_sequence").cast("bigint")).alias("segments")))
+
+
 def grid_flows(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS,
                skip_empty: bool = False, proof: bool = False) -> DataFrame:
     """The same graphs, solved many at a time from the cells where something happened.
 
-    Only those travel, packed once per route and day; the grids exist inside the tasks.
+    Only those travel; the grids exist inside the tasks.
     """
-    counted = stop_order.select("route_id", "stop_id", "stop_index", F.count("*").over(
-        W.partitionBy("route_id")).alias("num_stops")).filter("num_stops >= 2")
-    sizes = counted.select("route_id", "num_stops").distinct()
+    rows = graph_rows(hourly, stop_order, windows)
+    if not proof:
+        return solve_rows(rows, KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST)
     cell = F.when((F.col("window_index") >= 0) & F.col("stop_index").isNotNull(), F.struct(
         "window_index", "stop_index", "boardings", "tickets"))
-    graphs = (spread(_in_windows(hourly, windows), KEYS)
-              .join(sizes, "route_id").join(counted.drop("num_stops"), ["route_id", "stop_id"], "left")
-              .groupBy(*KEYS, "num_stops").agg(F.collect_list(cell).alias("cells")))
+    graphs = spread(rows, KEYS).groupBy(*KEYS, "num_stops").agg(F.collect_list(cell).alias("cells"))
     return solve_grids(graphs, KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST, proof)
 
 

@@ -740,14 +740,14 @@ def network_edges(a: Analytics) -> DataFrame:
 
 @query
 def flow_totals(a: Analytics) -> DataFrame:
-    solved = localize.grid_flows(a.hourly, a.stop_order)
+    solved = localize.grid_flows(localize.hourly_sums(a.events), a.stop_order)
     return solved.select("route_id", "sim_date", "total_flow", "total_cost")
 
 
 @query
 def flow_checks(a: Analytics) -> DataFrame:
     """Every graph's certificate of being a cheapest maximum flow."""
-    solved = localize.grid_flows(a.hourly, a.stop_order, proof=True)
+    solved = localize.grid_flows(localize.hourly_sums(a.events), a.stop_order, proof=True)
     return grid_flow.certificate(solved, localize.KEYS, len(localize.HOURLY_WINDOWS), localize.CARRY_CAPACITY,
                                  localize.CARRY_COST)
 

@@ -130,3 +130,73 @@ def test_certificates_are_counted_many_graphs_at_a_time(spark, solved):
     assert "lambda" not in checked._jdf.queryExecution().toString()
     stops = {r["g"]: r["num_stops"] for r in solved.collect()}
     assert {r["g"]: r["over_capacity"] for r in checked.collect()} == {g: 4 * s for g, s in stops.items() if g != 101}
+
+
+def sparse_cells(rng, windows, stops, most):
+    """A day with few cells, more often at the ends of the route."""
+    return [{"window_index": rng.randrange(windows), "stop_index": rng.choice((0, 0, stops - 1, min(1, stops - 1), max(0, stops - 2), rng.randrange(stops))),
+             "boardings": rng.choice((None, 0, 1, 2, 3, 9, 40)), "tickets": rng.choice((None, 0, 1, 2, 9, 30))} for _ in range(rng.randrange(most))]
+
+
+@pytest.mark.parametrize("carry", [0, 1, 5])
+def test_days_with_few_cells_are_solved_as_well(carry):
+    rng = random.Random(7)
+    for windows, stops in ((1, 2), (5, 2), (9, 3), (18, 4), (12, 7)):
+        cells = [sparse_cells(rng, windows, stops, 2 * stops + 2) for _ in range(120)]
+        got = grid_flow._rows(cells, windows, stops, False, carry, 1)
+        for some, row in zip(cells, got):
+            # the arcs to the next window lead one row of nodes on
+            edges = [(u, v, carry if u > 1 and v == u + stops else cap, price) for u, v, cap, price in graph_edges(some, windows, stops, False)]
+            assert row[:2] == flow.min_cost_flow(*zip(*edges), 0, 1)[:2]
+
+
+def test_days_with_few_cells_need_no_paths(monkeypatch):
+    """Stops where every cell takes one unit part the grid; only stops beyond the first and last of them are searched."""
+    rng = random.Random(8)
+    cells = [[{"window_index": rng.randrange(18), "stop_index": i, "boardings": 30, "tickets": 3} for i in set(stops)]
+             for stops in [(0,), (6,), (1, 2, 3, 4, 5), (0, 2, 4), (2, 6)] * 20]
+    assert rounds(monkeypatch, cells, 18, 7)[1] == 0
+    assert rounds(monkeypatch, [[c | {"stop_index": i} for i in range(7) for c in cells[0]]], 18, 7)[1] > 0
+
+
+def test_first_stops_by_state_as_by_paths():
+    rng = grid_flow.np.random.default_rng(3)
+    for windows, carry in ((1, 5), (6, 2), (18, 5)):
+        load, price = rng.choice([1, 1, 1, 2, 4, 30], (windows, 50)), rng.choice([0, 40, 97, 100], (windows, 50))
+        out, waiting = grid_flow._first_stop(load, price, carry, 1)
+        assert (out <= load).all() and (out >= 0).all() and (waiting <= carry).all() and (waiting >= 0).all() and not waiting[-1].any()
+        assert (out.cumsum(axis=0) - grid_flow.np.arange(1, windows + 1)[:, None] == waiting).all()
+        loads, prices = (grid_flow.np.stack([values, grid_flow.np.full_like(values, empty)], axis=1) for values, empty in ((load, 1), (price, 100)))
+        grids = grid_flow.Grids(loads, prices, grid_flow.np.ones_like(loads, dtype=bool), carry, 1)
+        grid_flow.solve(grids)
+        found = grids.flows()
+        assert ((price * found["segment"][:, 0]).sum(axis=0) + found["carry"].sum(axis=(0, 1)) == (price * out).sum(axis=0) + waiting.sum(axis=0)).all()
+
+
+ROWS = "g long, d string, num_stops int, window_index int, stop_index int, boardings bigint, tickets bigint, money bigint, segments array<int>"
+
+
+def test_rows_are_put_together_wherever_batches_end(spark):
+    rng = random.Random(12)
+    graphs = [(g, rng.choice((None, "a", "b")), 4) for g in range(40)]
+    rows = [(*graphs[g], rng.choice((-1, 0, 1, 2)), rng.choice((None, 0, 1, 2, 3)), rng.choice((None, 4, 9)), 2, rng.choice((None, 7)),
+             rng.choice((None, [0], [0, 1], [2]))) for g in range(40) for _ in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(rows, ROWS)
+    cell = F.expr("CASE WHEN window_index >= 0 AND stop_index IS NOT NULL THEN struct(window_index, stop_index, boardings, tickets) END")
+    packed = df.groupBy("g", "d", "num_stops").agg(F.collect_list(cell).alias("cells"))
+    want = {r["g"]: r for r in grid_flow.solve_grids(packed, ["g", "d"], 3).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        got = grid_flow.solve_rows(df, ["g", "d"], 3, sums=["money"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(graphs) and all(r["error"] is None for r in got)
+    for r in got:
+        assert (r["d"], r["total_flow"], r["total_cost"], r["used"]) == tuple(want[r["g"]][c] for c in ("d", "total_flow", "total_cost", "used"))
+        sums, flows = {}, {(u["window_index"], u["segment_index"]): (u["flow_units"], u["flow_cost"]) for u in r["used"]}
+        for _, _, _, t, _, _, _, money, segments in (x for x in rows if x[0] == r["g"] and x[3] >= 0):
+            for s in segments or ():
+                sums[t, s] = sums.get((t, s)) if money is None else (sums.get((t, s)) or 0) + money
+        assert {(x["window_index"], x["segment_index"]): (x["money"], (x["flow_units"], x["flow_cost"])) for x in r["segments"]} == {
+            k: ((sums.get(k) or 0) if k in flows else sums[k], flows.get(k, (0, 0))) for k in {*sums, *flows}}
