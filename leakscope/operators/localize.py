@@ -15,7 +15,6 @@ from leakscope.functions.text import window_label
 from leakscope.operators.flow import solve_graphs, spread
 from leakscope.operators.grid_flow import solve_grids, solve_rows
 from leakscope.operators.network import route_segments
-from leakscope.session import materialize
 
 # Fixed values.
 HOURLY_WINDOWS = [(h, h + 1) for h in range(5, 23)]
@@ -220,15 +219,13 @@ def localize(events: DataFrame, stop_order: DataFrame, date_col: str = "sim_date
              windows=HOURLY_WINDOWS, skip_empty: bool = False) -> DataFrame:
     """Ranked segments of every route and day at hand; one route's day is a filter on ``events``.
 
-    The hourly sums feed both the graphs and the segment totals, and the solved
-    graphs give both totals and flows; each is written out, so the events are
-    read once and no graph is solved twice.  A route whose graph fails is left
+    The hourly sums travel once to where their graph is solved, and its flows and
+    segment totals come back together.  A route whose graph fails is left
     out; ``failed_routes`` names it.
     """
-    hourly = materialize(hourly_sums(events, date_col), "hourly")
-    solved = materialize(grid_flows(hourly, stop_order, windows, skip_empty).select(
-        *KEYS, "total_cost", "used", "error"), "solved")
-    return localize_solved(hourly, stop_order, solved, windows)
+    rows = graph_rows(hourly_sums(events, date_col), stop_order, windows)
+    solved = solve_rows(rows, KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST, ["boardings", "expected", "reported"])
+    return localize_solved(solved, stop_order, windows)
 
 
 def active_segments(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS) -> DataFrame:
@@ -244,28 +241,16 @@ def _named(stats: DataFrame, stop_order: DataFrame, windows) -> DataFrame:
             .withColumns({"window_start": bounds["window_start"], "window_end": bounds["window_end"]}))
 
 
-def localize_solved(hourly: DataFrame, stop_order: DataFrame, solved: DataFrame, windows) -> DataFrame:
-    """Scores from segment totals and solved graphs.
+def localize_solved(solved: DataFrame, stop_order: DataFrame, windows) -> DataFrame:
+    """Scores from solved graphs with the totals of their segments.
 
     Cells without events are only ranked for their share of the flow's cost, which
     takes more than ``MIN_SCORE``; the others would be dropped again, so they never arise.
     """
-    good = solved.filter(F.col("error").isNull())
-    used = (good.select(*KEYS, F.col("total_cost").alias("_total"), F.inline("used")))
+    cells = (solved.filter(F.col("error").isNull()).dropna(subset=KEYS)
+             .select(*KEYS, F.col("total_cost").alias("_total"), F.inline("segments")))
     share = F.col("flow_cost") / (F.col("_total") + 1)
-    none = {c: F.lit(0).cast("bigint") for c in _SUMS}
-    stats = segment_stats(hourly, stop_order, windows)
-    cells = [*KEYS, "window_index", "segment_index"]
-    # one grouping in place of an outer join: the flow and the totals of a cell
-    both = (stats.select(*cells, *_SUMS, F.lit(None).cast("bigint").alias("flow_units"), F.lit(None).cast("bigint").alias("flow_cost"),
-                         F.lit(None).cast("bigint").alias("_total"))
-            .unionByName(used.select(*cells, *[v.alias(c) for c, v in none.items()], "flow_units", "flow_cost", "_total"))
-            .groupBy(*cells).agg(*[F.sum(c).alias(c) for c in _SUMS],
-                                 *[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("flow_units", "flow_cost")],
-                                 F.max("_total").alias("_total")))
-    totals = good.select(*KEYS, F.col("total_cost").alias("_cost"))
-    ranked = (both.filter((F.col("boardings") + F.col("expected") + F.col("reported") > 0) | (share * FLOW_WEIGHT > MIN_SCORE))
-              .join(totals, KEYS).withColumn("_total", F.col("_cost")))
+    ranked = cells.filter((F.col("boardings") + F.col("expected") + F.col("reported") > 0) | (share * FLOW_WEIGHT > MIN_SCORE))
     return score_segments(_named(ranked, stop_order, windows), share)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakscope.operators import flow, localize, network
+from leakscope.plans import queries
 
 GRAPHS = {
     "one arc": ([(0, 1, 7, 3)], 0, 1, 7, 21),
@@ -161,3 +162,48 @@ def test_segments_count_both_ends(small):
     by_place = {r.stop_sequence: r.b for r in small.events.groupBy("stop_sequence").agg(
         F.sum("boarding_count").alias("b")).collect()}
     assert total == sum(by_place[s] + by_place[s + 1] for s in range(1, 7))
+
+
+# Queries whose graphs, totals and flows come from one pass over the events, without tables stored in between.
+IN_ONE_PASS = ["localization"]
+
+
+@pytest.mark.parametrize("name", IN_ONE_PASS)
+def test_no_table_is_stored_on_the_way(spark, small, name):
+    found = queries.registered()[name](spark, small.dir)
+    assert found.inputFiles() and all(small.dir in f for f in found.inputFiles())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_localized_as_from_totals_and_flows(spark):
+    """Odd events: no money, no position, a stop of another route, an hour outside the windows, a route without day."""
+    stops = spark.createDataFrame([(r, f"{r}{i}", i * 2, 0.0) for r in "RQ" for i in range(1, 5)] + [("P", "P1", 1, 0.0)],
+                                  "route_id string, stop_id string, stop_sequence int, distance_from_start_km double")
+    events = [("R", "a", 9, "R1", 2, 40, 4, 100.0, 10.0), ("R", "a", 9, "R1", 2, None, 3, None, 5.0), ("R", "a", 9, "R2", 3, 20, None, 50.0, None),
+              ("R", "a", 10, "Q1", 4, 7, 1, 30.0, 0.0), ("R", "a", 2, "R3", 6, 30, 1, 90.0, 0.0), ("R", "a", 11, "R4", None, 30, 1, 90.0, 0.0),
+              ("R", "b", None, "R1", 2, 30, 1, 90.0, 0.0), ("R", None, 9, "R1", 2, 30, 1, 90.0, 0.0), (None, "a", 9, "R1", 2, 30, 1, 90.0, 0.0),
+              ("Q", "a", 9, None, 6, 30, 1, 90.0, 0.0), ("Q", "b", 12, "Q4", 8, 6, 1, None, None), ("P", "a", 9, "P1", 1, 30, 1, 90.0, 0.0)]
+    rows = spark.createDataFrame(events * 2, "route_id string, sim_date string, sim_hour int, stop_id string, stop_sequence int, "
+                                 "boarding_count int, ticket_count int, expected_revenue double, reported_revenue double")
+    order, hourly = network.route_stop_order(stops), localize.hourly_sums(rows)
+    solved = {(r.route_id, r.sim_date): r for r in localize.grid_flows(hourly, order).collect()}
+    assert set(solved) == {("R", "a"), ("R", "b"), ("R", None), ("Q", "a"), ("Q", "b")} and all(r.error is None for r in solved.values())
+    cells = {}
+    for key, r in solved.items():
+        for u in r.used:
+            cells[(*key, u.window_index, u.segment_index)] = [0, 0, 0, u.flow_units, u.flow_cost]
+    for r in localize.segment_stats(hourly, order).collect():
+        key, sums = (r.route_id, r.sim_date, r.window_index, r.segment_index), [r.boardings, r.expected, r.reported]
+        cells[key] = [*((v or 0 for v in sums) if key in cells else sums), *cells.get(key, [0] * 5)[3:]]
+    want = {}
+    for (route, day, t, i), (boardings, expected, reported, units, cost) in cells.items():
+        share = cost / (solved[route, day].total_cost + 1)
+        if day is None or not (None not in (boardings, expected, reported) and boardings + expected + reported > 0 or share * 0.4 > 0.05):
+            continue
+        ratio = (expected - reported) / expected if expected > 0 else 0.0
+        score = min(1.0, max(0.0, ratio * 0.6 + share * 0.4))
+        if score > 0.05 or (expected - reported) / 100 > 10:
+            want[route, day, 5 + t, 2 * (i + 1)] = (int(score * 10000 + 0.5) / 10000, expected / 100, reported / 100, units, cost)
+    got = {(r.route_id, r.sim_date, r.time_window_start, r.segment_start_seq): (
+        r.localization_score, r.expected_flow, r.reported_flow, r.flow_units, r.flow_cost) for r in localize.localize(rows, order).collect()}
+    assert want and got == want
