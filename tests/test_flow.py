@@ -165,7 +165,7 @@ def test_segments_count_both_ends(small):
 
 
 # Queries whose graphs, totals and flows come from one pass over the events, without tables stored in between.
-IN_ONE_PASS = ["localization", "localization_rank", "localization_hits"]
+IN_ONE_PASS = ["localization", "localization_rank", "localization_hits", "localization_accuracy"]
 
 
 @pytest.mark.parametrize("name", IN_ONE_PASS)
