@@ -17,7 +17,7 @@ behind the last of them (``_parts``); where most cells are empty, that is little
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +37,7 @@ CELLS = 1 << 18
 
 # The same where only cells that are not empty take memory, and bytes of input that are put together.
 SPARSE_CELLS, BATCH_BYTES = 1 << 23, 8 << 20
+ROWS_OUT = 10_000
 
 LARGE_SHARE = 20
 
@@ -205,36 +206,40 @@ class Grids:
         cost[back] = base[back // n, self.graphs[g]]
         return graphs[self.sink_room[t, graphs] == 0]
 
-    def put(self, flow: dict[str, np.ndarray]) -> None:
-        """Flows by kind of arc, as ``flows`` gives them, in a grid that has none yet."""
-        self.room[_SOURCE, :, 0] -= flow["source"].astype(self.room.dtype)
-        self.sink_room -= flow["sink"].astype(self.room.dtype)
-        for there, back, kind, at in ((_RIGHT, _LEFT, "segment", np.s_[:, 1:]), (_DOWN, _UP, "carry", np.s_[1:])):
-            self.room[there][at] -= flow[kind].astype(self.room.dtype)
-            self.room[back][np.s_[:, :-1] if kind == "segment" else np.s_[:-1]] = flow[kind]
-        self.cost = np.where(self.room > 0, self.base, self.base.dtype.type(np.inf))
 
-    def potentials(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the nodes, the source and the sink: no arc with room leads to a node whose
-        potential is above that of its start and the arc's cost."""
-        kind, n = self.base.dtype, self.shape[-1]
-        pi, source, sink = np.zeros(self.shape, kind), np.zeros(n, kind), np.zeros(n, kind)
-        flow, none = self.flows(), kind.type(np.inf)
-        out_of_source, into_sink = self.room[_SOURCE, :, 0] > 0, self.sink_room > 0
-        relax = _Relaxing(pi, self.cost)
-        changed = True
-        while changed:
-            before = pi.copy(), source.copy(), sink.copy()
-            np.minimum(pi[:, 0], np.where(out_of_source, source, none), out=pi[:, 0])
-            relax(_DOWN)
-            relax(_RIGHT)
-            sink = np.minimum(sink, np.where(into_sink, pi[:, -1], none).min(axis=0))
-            np.minimum(pi[:, -1], np.where(flow["sink"] > 0, sink, none), out=pi[:, -1])
-            relax(_LEFT)
-            relax(_UP)
-            source = np.minimum(source, np.where(flow["source"] > 0, pi[:, 0], none).min(axis=0))
-            changed = any((a != b).any() for a, b in zip(before, (pi, source, sink)))
-        return tuple(p.astype(np.int64) for p in (pi, source, sink))
+def _potentials(load: np.ndarray, price: np.ndarray, open_cells: np.ndarray, flow: dict[str, np.ndarray], carry: int,
+                carry_cost: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the nodes, the source and the sink: no arc with room leads to a node whose
+    potential is above that of its start and the arc's cost."""
+    windows, stops, n = load.shape
+    # no way is longer than this, so an arc that costs more shortens none
+    dear = max(EMPTY_PRICE, abs(carry_cost)) * (2 * windows * stops + 1)
+    kind = next(k for k in (np.int16, np.int32, np.int64) if k is np.int64 or dear <= np.iinfo(k).max)
+    far, caps = kind(dear), load if open_cells.all() else load * open_cells
+    cost = np.empty((5, windows, stops, n), kind)
+    paid = price[:, :-1].astype(kind)
+    cost[_RIGHT, :, 1:] = np.where(flow["segment"] < caps[:, :-1], paid, far)
+    cost[_LEFT, :, :-1] = np.where(flow["segment"] > 0, -paid, far)
+    cost[_DOWN, 1:] = np.where(flow["carry"] < carry * open_cells[:-1], kind(carry_cost), far)
+    cost[_UP, :-1] = np.where(flow["carry"] > 0, kind(-carry_cost), far)
+    out_of_source, into_source = flow["source"] < caps[:, 0], flow["source"] > 0
+    into_sink, out_of_sink = flow["sink"] < caps[:, -1], flow["sink"] > 0
+    # no potential rises above 0
+    pi, source, sink = np.zeros(load.shape, kind), np.zeros(n, kind), np.zeros(n, kind)
+    relax = _Relaxing(pi, cost)
+    changed = True
+    while changed:
+        ends = source.copy(), sink.copy()
+        before = pi[:, 0].copy(), pi[:, -1].copy()
+        np.minimum(pi[:, 0], np.where(out_of_source, source, kind(0)), out=pi[:, 0])
+        down, right = relax(_DOWN), relax(_RIGHT)
+        sink = np.minimum(sink, np.where(into_sink, pi[:, -1], kind(0)).min(axis=0))
+        np.minimum(pi[:, -1], np.where(out_of_sink, sink, kind(0)), out=pi[:, -1])
+        left, up = relax(_LEFT), relax(_UP)
+        source = np.minimum(source, np.where(into_source, pi[:, 0], kind(0)).min(axis=0))
+        changed = down or right or left or up or any((a != b).any() for a, b in zip(
+            (*ends, *before), (source, sink, pi[:, 0], pi[:, -1])))
+    return pi, source, sink
 
 
 def solve(grids: Grids) -> np.ndarray:
@@ -268,6 +273,12 @@ RESULT_TYPES = [pa.int64(), pa.int64(), pa.list_(USED), *[pa.list_(pa.int64())]
                 pa.list_(pa.bool_()), pa.string()]
 
 
+# As the bytes of long integers: cells that are not empty, with capacity and price, and arcs (kind and cell) with their flow where
+# it is not one unit along a window.  Then a whole number per node, and a bit.
+SHORT_PROOF = "cells binary, arcs binary, potentials binary, side binary, source_potential bigint, sink_potential bigint, "
+SHORT_PROOF_TYPES = [*[pa.binary()] * 4, pa.int64(), pa.int64()]
+
+
 def _lists(values: np.ndarray) -> pa.ListArray:
     """The arrays of a batch (window, stop, graph) or (window, graph) as one list per graph."""
     per_graph = np.ascontiguousarray(values.reshape(-1, values.shape[-1]).T)
@@ -409,9 +420,23 @@ def _changes(flow: dict[str, np.ndarray], graphs: np.ndarray, start: int, window
     return np.concatenate(keys), np.concatenate(units)
 
 
-def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int,
-             proof: bool = True) -> list[pa.Array]:
-    """Results of graphs with equally many stops, from the cells where something happened."""
+class _Solved(NamedTuple):
+    """A batch of solved grids: its cells, totals, the segments told, and what a certificate needs."""
+
+    cells: _Cells
+    total_flow: np.ndarray
+    total_cost: np.ndarray
+    used: pa.ListArray
+    # arcs with another flow than one unit along every window, numbered by graph, kind and cell
+    arcs: np.ndarray
+    units: np.ndarray
+    # nodes on the source's side of a least cut: all stops up to one, or else those the source reaches
+    up_to: np.ndarray
+    reached: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _solved(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int, proof: bool) -> _Solved:
+    """Graphs with equally many stops, from the cells where something happened."""
     n, places = len(cells), cells.flatten()
     fields = dict(zip((f.name for f in places.type), places.flatten()))
     at_t, at_i = fields["window_index"], fields["stop_index"]
@@ -448,19 +473,74 @@ def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, ca
     keys, flows = arcs[of_segment] // (nodes * len(KINDS)) * nodes + arcs[of_segment] % nodes, units[of_segment]
     np.add.at(total_cost, keys // nodes, _found(keys, listed, price, EMPTY_PRICE) * (flows - 1))
     used = _used(listed, keys, flows, price, total_cost, windows, stops)
-    short = [pa.array(total_flow), pa.array(total_cost), used]
+    return _Solved(known, total_flow, total_cost, used, arcs, units, _single_stops(known, n, stops)[0], reached)
+
+
+def _proofs(solved: _Solved, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int) -> Iterator[tuple]:
+    """Numbers of the first graph and behind the last one, and of those in between: capacities, prices, flows, potentials
+    of nodes, source and sink, and the source's side of a least cut, as arrays whose last axis is the graph."""
+    n, nodes = len(solved.total_flow), windows * stops
+    size = max(1, CELLS // nodes)
+    whole = np.full(n, -1)
+    for k, (graphs, _) in enumerate(solved.reached):
+        whole[graphs] = k
+    for low in range(0, n, size):
+        high = min(n, low + size)
+        load, price, opened = solved.cells.of(np.arange(low, high)).grids(windows, 0, stops, high - low, not skip_empty)
+        first, behind = np.searchsorted(solved.arcs, np.array([low, high]) * nodes * len(KINDS))
+        flow = _dense(solved.arcs[first:behind] - low * nodes * len(KINDS), solved.units[first:behind], high - low, windows, stops)
+        side = np.broadcast_to(np.arange(stops)[:, None] <= solved.up_to[low:high], load.shape).copy()
+        for k in np.unique(whole[low:high][whole[low:high] >= 0]).tolist():
+            graphs, seen = solved.reached[k]
+            here = (graphs >= low) & (graphs < high)
+            side[:, :, graphs[here] - low] = seen[:, :, here]
+        yield low, high, load, price, flow, _potentials(load, price, opened, flow, carry, carry_cost), side
+
+
+def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int,
+             proof: bool = True) -> list[pa.Array]:
+    """Results of graphs with equally many stops, with every value of a proof in lists."""
+    how = windows, stops, skip_empty, carry, carry_cost
+    n, solved = len(cells), _solved(cells, *how, proof)
+    short = [pa.array(solved.total_flow), pa.array(solved.total_cost), solved.used]
     if not proof:
         return [*short, *[pa.nulls(n, kind) for kind in RESULT_TYPES[3:]]]
-    described = known.grids(windows, 0, stops, n, not skip_empty)
-    flow = _dense(arcs, units, n, windows, stops)
-    solved = Grids(*described, carry, carry_cost)
-    solved.put(flow)
-    pi, source, sink = solved.potentials()
-    side = np.broadcast_to(np.arange(stops)[:, None] <= _single_stops(known, n, stops)[0], (windows, stops, n)).copy()
-    for graphs, seen in reached:
-        side[:, :, graphs] = seen
-    return [*short, *map(_lists, (*described[:2], *(flow[k] for k in ("source", "sink", "segment", "carry")), pi)),
-            pa.array(source), pa.array(sink), _lists(side), pa.nulls(n, pa.string())]
+    parts = [[*map(_lists, (load, price, *(flow[k] for k in ("source", "sink", "segment", "carry")), pi.astype(np.int64))),
+              *(pa.array(p.astype(np.int64)) for p in (source, sink)), _lists(side)]
+             for _, _, load, price, flow, (pi, source, sink), side in _proofs(solved, *how)]
+    if not parts:
+        return [*short, *[pa.nulls(0, kind) for kind in RESULT_TYPES[3:]]]
+    return [*short, *map(pa.concat_arrays, zip(*parts)), pa.nulls(n, pa.string())]
+
+
+def _short_columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, carry: int, carry_cost: int,
+                   proof: bool) -> list[pa.Array]:
+    """Results of graphs with equally many stops; a proof leaves out empty cells and flows of one unit along a window,
+    and has potentials and sides as bytes."""
+    how = windows, stops, skip_empty, carry, carry_cost
+    n, nodes, solved = len(cells), windows * stops, _solved(cells, *how, proof)
+    columns = [pa.array(solved.total_flow), pa.array(solved.total_cost), solved.used]
+    if proof:
+        known = solved.cells
+        for of_graph, *values in ((known.at_g, known.at_t * stops + known.at_i, known.load, known.price),
+                                  (solved.arcs // (nodes * len(KINDS)), solved.arcs % (nodes * len(KINDS)), solved.units)):
+            columns.append(_packed(np.stack(values, axis=1), np.searchsorted(of_graph, np.arange(n + 1))))
+        parts = [(_bytes(pi), _bytes(np.packbits(side.reshape(nodes, -1), axis=0)), pa.array(source.astype(np.int64)), pa.array(sink.astype(np.int64)))
+                 for *_, (pi, source, sink), side in _proofs(solved, *how)]
+        columns += map(pa.concat_arrays, zip(*parts))
+    return [*columns, pa.nulls(n, pa.string())]
+
+
+def _bytes(values: np.ndarray) -> pa.BinaryArray:
+    """The arrays of a batch, whose last axis is the graph, as the bytes of each graph."""
+    per_graph = np.ascontiguousarray(values.reshape(-1, values.shape[-1]).T)
+    return _packed(per_graph, np.arange(len(per_graph) + 1))
+
+
+def _packed(rows: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """The bytes of the rows between each two bounds."""
+    offsets = (bounds * rows.shape[1] * rows.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _found(keys: np.ndarray, known: np.ndarray, values: np.ndarray, otherwise: int) -> np.ndarray:
@@ -492,17 +572,17 @@ def _used(listed: np.ndarray, keys: np.ndarray, flows: np.ndarray, price: np.nda
     return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(p) for p in parts], fields=[*USED]))
 
 
-def _dense(arcs: np.ndarray, units: np.ndarray, n: int, windows: int, stops: int) -> dict[str, np.ndarray]:
+def _dense(arcs: np.ndarray, units: np.ndarray, n: int, windows: int, stops: int, kind: type = np.int64) -> dict[str, np.ndarray]:
     """Flows by kind of arc (window, stop, graph), from those that are not one unit along every window."""
     nodes, found = windows * stops, {}
     kinds, place, graph = arcs // nodes % len(KINDS), arcs % nodes, arcs // (nodes * len(KINDS))
-    for code, kind in enumerate(KINDS):
-        values = np.full((windows, stops, n), int(kind != "carry"))
-        some = kinds == code
-        values.reshape(nodes, n)[place[some], graph[some]] = units[some]
-        found[kind] = values
-    return {"source": found["source"][:, 0], "sink": found["sink"][:, -1], "segment": found["segment"][:, :-1],
-            "carry": found["carry"][:-1]}
+    for code, (name, usual, (rows, stop)) in enumerate(zip(KINDS, (1, 0, 1, 1), (
+            (windows, stops - 1), (windows - 1, stops), (windows, 1), (windows, 1)))):
+        values, some = np.full((rows, stop, n), usual, kind), kinds == code
+        t, i = place[some] // stops, place[some] % stops
+        values[t, i if stop > 1 or code < 2 else 0, graph[some]] = units[some]
+        found[name] = values if code < 2 else values[:, 0]
+    return found
 
 
 def _rows(cells: list[list[dict]], *how) -> list[tuple]:
@@ -510,19 +590,18 @@ def _rows(cells: list[list[dict]], *how) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in _columns(pa.array(cells, pa.list_(CELL)), *how))))
 
 
-def _answer(cells: pa.ListArray, stops: int, how: tuple) -> list[pa.Array]:
+def _answer(columns: Callable, kinds: list[pa.DataType], cells: pa.ListArray, stops: int, how: tuple) -> list[pa.Array]:
     """Results of a batch of graphs; one that fails has its error."""
-    try:
-        return _columns(cells, *how[:1], stops, *how[1:])
-    except Exception:  # one bad graph must not fail the others
-        return [pa.concat_arrays(parts) for parts in zip(*(_alone(cells.slice(r, 1), stops, how) for r in range(len(cells))))]
-
+    def alone(cell: pa.ListArray) -> list[pa.Array]:
+        try:
+            return columns(cell, *how[:1], stops, *how[1:])
+        except Exception as failure:
+            return [*[pa.nulls(1, kind) for kind in kinds[:-1]], pa.array([f"{type(failure).__name__}: {failure}"])]
 
-def _alone(cells: pa.ListArray, stops: int, how: tuple) -> list[pa.Array]:
     try:
-        return _columns(cells, *how[:1], stops, *how[1:])
-    except Exception as failure:
-        return [*[pa.nulls(1, kind) for kind in RESULT_TYPES[:-1]], pa.array([f"{type(failure).__name__}: {failure}"])]
+        return columns(cells, *how[:1], stops, *how[1:])
+    except Exception:  # one bad graph must not fail the others
+        return [pa.concat_arrays(parts) for parts in zip(*(alone(cells.slice(r, 1)) for r in range(len(cells))))]
 
 
 def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
@@ -536,21 +615,23 @@ def _solver(windows: int, skip_empty: bool, carry: int, carry_cost: int, proof:
         for batch in _joined(batches):
             for stops, part in _by_shape(batch, batch.num_columns - 2, windows, CELLS if proof else SPARSE_CELLS):
                 *keys, counts, cells = part.columns
-                yield _batch([*keys, counts, *_answer(cells, stops, how)])
+                yield _batch([*keys, counts, *_answer(_columns, RESULT_TYPES, cells, stops, how)])
 
     return run
 
 
-def _row_solver(keys: int, windows: int, skip_empty: bool, carry: int, carry_cost: int, sums: list[str]):
-    how = windows, skip_empty, carry, carry_cost, False
+def _row_solver(keys: int, windows: int, skip_empty: bool, carry: int, carry_cost: int, sums: list[str], proof: bool):
+    how = windows, skip_empty, carry, carry_cost, proof
+    kinds = [pa.int64(), pa.int64(), pa.list_(USED), *(SHORT_PROOF_TYPES if proof else []), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _whole_graphs(_joined(batches), keys):
             for stops, part in _by_shape(_graphs(rows, starts, keys, sums), keys, windows, SPARSE_CELLS):
-                columns = _answer(part.column(keys + 1), stops, how)
-                total_flow, total_cost, used, error = *columns[:3], columns[-1]
-                totals = [_segments(part.column(keys + 2), used, windows, stops, sums)] if sums else []
-                yield _batch([*part.columns[:keys + 1], total_flow, total_cost, used, *totals, error])
+                *found, error = _answer(_short_columns, kinds, part.column(keys + 1), stops, how)
+                totals = [_segments(part.column(keys + 2), found[2], windows, stops, sums)] if sums else []
+                solved = _batch([*part.columns[:keys + 1], *found, *totals, error])
+                for first in range(0, len(solved), ROWS_OUT):
+                    yield solved.slice(first, ROWS_OUT)
 
     return run
 
@@ -673,8 +754,9 @@ def solve_grids(graphs: DataFrame, keys: list[str], windows: int, skip_empty: bo
 
 
 def solve_rows(rows: DataFrame, keys: list[str], windows: int, skip_empty: bool = False, carry: int = 5,
-               carry_cost: int = 1, sums: list[str] | None = None) -> DataFrame:
+               carry_cost: int = 1, sums: list[str] | None = None, proof: bool = False) -> DataFrame:
     """One row per graph (keys, num_stops): totals, used segments and error, from rows of the hours where anything happened.
+    With ``proof`` also what a certificate needs, without what is the same in every grid (``SHORT_PROOF``).
 
     Rows have keys, num_stops, window_index, stop_index, boardings, tickets, and with ``sums`` these columns and
     ``segments``, the segments they count in, whose totals and flow come out as ``segments``.  A row outside all
@@ -688,52 +770,94 @@ def solve_rows(rows: DataFrame, keys: list[str], windows: int, skip_empty: bool
     ordered = spread(rows.select(*taken), keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
     names = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     totals = f"segments array<struct<window_index:int,segment_index:int,{''.join(f'{c}:bigint,' for c in sums)}flow_units:bigint,flow_cost:bigint>>, "
-    run = _row_solver(len(keys), windows, skip_empty, carry, carry_cost, sums)
-    return ordered.mapInArrow(run, f"{names}, num_stops int, {RESULT[:RESULT.index('loads')]}{totals if sums else ''}error string")
+    run = _row_solver(len(keys), windows, skip_empty, carry, carry_cost, sums, proof)
+    return ordered.mapInArrow(run, f"{names}, num_stops int, {RESULT[:RESULT.index('loads')]}{SHORT_PROOF if proof else ''}"
+                                   f"{totals if sums else ''}error string")
 
 
 PROOF = ["total_flow", "total_cost", "loads", "prices", "source_flow", "sink_flow", "segment_flow", "carry_flow",
          "potentials", "source_potential", "sink_potential", "reached"]
+SHORT = ["total_flow", "total_cost", "cells", "arcs", "potentials", "side", "source_potential", "sink_potential"]
 CHECKS = ["over_capacity", "unbalanced", "total_gap", "cost_gap", "cut_gap", "cheaper_ways"]
 
 
-def _faults(proof: dict[str, pa.Array], windows: int, stops: int, carry: int, carry_cost: int) -> list[np.ndarray]:
-    """The checks of graphs with equally many stops."""
+def _long_proof(proof: dict[str, pa.Array], windows: int, stops: int) -> tuple:
+    """Capacities, prices, flows, potentials and sides as arrays whose last axis is the graph, from lists of all values."""
     n = len(proof["total_flow"])
 
     def grid(name: str, *shape: int) -> np.ndarray:
         values = proof[name].flatten().to_numpy(zero_copy_only=False)
-        return values.reshape(n, *shape) if shape else values
+        return np.ascontiguousarray(np.moveaxis(values.reshape(n, *shape), 0, -1))
 
+    flow = {"source": grid("source_flow", windows), "sink": grid("sink_flow", windows),
+            "segment": grid("segment_flow", windows, stops - 1), "carry": grid("carry_flow", windows - 1, stops)}
     load, price, pi, reached = (grid(k, windows, stops) for k in ("loads", "prices", "potentials", "reached"))
-    source_flow, sink_flow = grid("source_flow", windows), grid("sink_flow", windows)
-    segment, carried = grid("segment_flow", windows, stops - 1), grid("carry_flow", windows - 1, stops)
+    return load, price, flow, pi, reached
+
+
+def _short_proof(proof: dict[str, pa.Array], windows: int, stops: int) -> tuple:
+    """The same from a proof that leaves out empty cells and flows of one unit along a window."""
+    n, nodes = len(proof["total_flow"]), windows * stops
+    places, loads, prices = np.frombuffer(b"".join(proof["cells"].to_pylist()), np.int64).reshape(-1, 3).T
+    arcs, flows = np.frombuffer(b"".join(proof["arcs"].to_pylist()), np.int64).reshape(-1, 2).T
+    of_cell, of_arc = (np.repeat(np.arange(n), pc.binary_length(proof[k]).to_numpy() // size) for k, size in (("cells", 24), ("arcs", 16)))
+    potentials = proof["potentials"].to_pylist()
+    if len({len(p) for p in potentials}) > 1:
+        pi = np.stack([_whole_numbers(p, nodes).astype(np.int64) for p in potentials])
+    else:
+        pi = _whole_numbers(b"".join(potentials), n * nodes).reshape(n, nodes)
+    bits = np.frombuffer(b"".join(proof["side"].to_pylist()), np.uint8).reshape(n, -1)
+    reached = np.unpackbits(np.ascontiguousarray(bits.T), axis=0, count=nodes).view(bool)
+    # the narrowest whole numbers that hold a cost, or a sum of flows or potentials
+    most = max(1, *(int(abs(v).max(initial=0)) for v in (loads, flows)))
+    highest = max(EMPTY_PRICE, int(abs(prices).max(initial=0)))
+    top = max(most * highest, 8 * most, 4 * (int(abs(pi.astype(np.int64)).max(initial=0)) + highest))
+    kind = next(k for k in (np.int16, np.int32, np.int64) if k is np.int64 or top <= np.iinfo(k).max)
+    load, price = np.ones((nodes, n), kind), np.full((nodes, n), EMPTY_PRICE, kind)
+    load[places, of_cell], price[places, of_cell] = loads, prices
+    flow = _dense(of_arc * nodes * len(KINDS) + arcs, flows, n, windows, stops, kind)
+    grid = windows, stops, n
+    return load.reshape(grid), price.reshape(grid), flow, np.ascontiguousarray(pi.T).astype(kind).reshape(grid), reached.reshape(grid)
+
+
+def _whole_numbers(values: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(values, f"i{len(values) // count}")
+
+
+def _faults(proof: dict[str, pa.Array], windows: int, stops: int, carry: int, carry_cost: int) -> list[np.ndarray]:
+    """The checks of graphs with equally many stops."""
+    load, price, flow, pi, reached = (_short_proof if "arcs" in proof else _long_proof)(proof, windows, stops)
+    n = load.shape[-1]
     total_flow, total_cost, source_pi, sink_pi = (
         proof[k].to_numpy() for k in ("total_flow", "total_cost", "source_potential", "sink_potential"))
     yes, no = np.True_, np.False_
     # flow, capacity, cost, potentials and sides of the cut of both ends
-    arcs = [(source_flow, load[:, :, 0], 0, source_pi[:, None], pi[:, :, 0], yes, reached[:, :, 0]),
-            (sink_flow, load[:, :, -1], 0, pi[:, :, -1], sink_pi[:, None], reached[:, :, -1], no),
-            (segment, load[:, :, :-1], price[:, :, :-1], pi[:, :, :-1], pi[:, :, 1:], reached[:, :, :-1], reached[:, :, 1:]),
-            (carried, carry, carry_cost, pi[:, :-1], pi[:, 1:], reached[:, :-1], reached[:, 1:])]
+    arcs = [(flow["source"], load[:, 0], 0, source_pi, pi[:, 0], yes, reached[:, 0]),
+            (flow["sink"], load[:, -1], 0, pi[:, -1], sink_pi, reached[:, -1], no),
+            (flow["segment"], load[:, :-1], price[:, :-1], pi[:, :-1], pi[:, 1:], reached[:, :-1], reached[:, 1:]),
+            (flow["carry"], carry, carry_cost, pi[:-1], pi[1:], reached[:-1], reached[1:])]
     over, cheaper, cut, cost = (np.zeros(n, np.int64) for _ in range(4))
-    for flow, cap, price_of, start, end, inside, beyond in arcs:
-        def total(values: np.ndarray) -> np.ndarray:
-            return values.reshape(n, -1).sum(axis=1)
 
+    def total(values: np.ndarray) -> np.ndarray | int:
+        if values.dtype == bool and not values.any():
+            return 0
+        return values.reshape(-1, n).sum(axis=0, dtype=np.int64)
+
+    for units, cap, price_of, start, end, inside, beyond in arcs:
         gain = price_of + start - end
-        over += total((flow < 0) | (flow > cap))
-        cheaper += total((flow < cap) & (gain < 0)) + total((flow > 0) & (gain > 0))
+        over += total((units < 0) | (units > cap))
+        cheaper += total((units < cap) & (gain < 0)) + total((units > 0) & (gain > 0))
         cut += total(np.where(inside & ~beyond, cap, 0))
-        cost += total(flow * price_of)
-    net = np.zeros((n, windows, stops), np.int64)
-    net[:, :, 0] += source_flow
-    net[:, :, -1] -= sink_flow
-    net[:, :, 1:] += segment
-    net[:, :, :-1] -= segment
-    net[:, 1:] += carried
-    net[:, :-1] -= carried
-    return [over, np.count_nonzero(net, axis=(1, 2)), total_flow - source_flow.sum(axis=1), total_cost - cost, cut - total_flow, cheaper]
+        cost += total(units * price_of)
+    net = np.zeros_like(load)
+    net[:, 0] += flow["source"]
+    net[:, -1] -= flow["sink"]
+    net[:, 1:] += flow["segment"]
+    net[:, :-1] -= flow["segment"]
+    net[1:] += flow["carry"]
+    net[:-1] -= flow["carry"]
+    sent = flow["source"].sum(axis=0, dtype=np.int64)
+    return [over, np.zeros(n, np.int64) + total(net != 0), total_flow - sent, total_cost - cost, cut - total_flow, cheaper]
 
 
 def certificate(solved: DataFrame, keys: list[str], windows: int, carry: int = 5, carry_cost: int = 1) -> DataFrame:
@@ -742,15 +866,17 @@ def certificate(solved: DataFrame, keys: list[str], windows: int, carry: int = 5
     Arcs beyond their capacity, inner nodes that gain or lose flow, totals other than
     the flows', a cut of another size than the flow (no flow exceeds a cut, so equal
     sizes mean that both are best), and arcs with room along which the potentials say
-    that flow could be led more cheaply.  For graphs where every cell has its arcs.
+    that flow could be led more cheaply.  For graphs where every cell has its arcs; all of
+    a graph's arcs are checked, whether its proof lists them or not.
     """
+    proof = SHORT if "arcs" in solved.columns else PROOF
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stops, part in _by_shape(batch, len(keys), windows):
-                found = _faults(dict(zip(PROOF, part.columns[len(keys) + 1:])), windows, stops, carry, carry_cost)
-                columns = [*part.columns[:len(keys)], *(pa.array(c, pa.int64()) for c in found)]
-                yield _batch(columns)
+                found = _faults(dict(zip(proof, part.columns[len(keys) + 1:])), windows, stops, carry, carry_cost)
+                yield _batch([*part.columns[:len(keys)], *(pa.array(c, pa.int64()) for c in found)])
 
-    good = solved.filter(F.col("error").isNull()).select(*keys, "num_stops", *PROOF)
+    good = solved.filter(F.col("error").isNull()).select(*keys, "num_stops", *proof)
     names = ", ".join(f"`{k}` {good.schema[k].dataType.simpleString()}" for k in keys)
     return good.mapInArrow(run, ", ".join([names, *(f"{c} bigint" for c in CHECKS)]))

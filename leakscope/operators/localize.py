@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from leakscope.functions.numeric import cents, clamp01, from_cents, half_up, ladder
 from leakscope.functions.text import window_label
 from leakscope.operators.flow import solve_graphs, spread
-from leakscope.operators.grid_flow import solve_grids, solve_rows
+from leakscope.operators.grid_flow import solve_rows
 from leakscope.operators.network import route_segments
 
 # Fixed values.
@@ -206,13 +206,7 @@ def grid_flows(hourly: DataFrame, stop_order: DataFrame, windows=HOURLY_WINDOWS,
 
     Only those travel; the grids exist inside the tasks.
     """
-    rows = graph_rows(hourly, stop_order, windows)
-    if not proof:
-        return solve_rows(rows, KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST)
-    cell = F.when((F.col("window_index") >= 0) & F.col("stop_index").isNotNull(), F.struct(
-        "window_index", "stop_index", "boardings", "tickets"))
-    graphs = spread(rows, KEYS).groupBy(*KEYS, "num_stops").agg(F.collect_list(cell).alias("cells"))
-    return solve_grids(graphs, KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST, proof)
+    return solve_rows(graph_rows(hourly, stop_order, windows), KEYS, len(windows), skip_empty, CARRY_CAPACITY, CARRY_COST, proof=proof)
 
 
 def localize(events: DataFrame, stop_order: DataFrame, date_col: str = "sim_date",

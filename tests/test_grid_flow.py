@@ -200,3 +200,69 @@ def test_rows_are_put_together_wherever_batches_end(spark):
                 sums[t, s] = sums.get((t, s)) if money is None else (sums.get((t, s)) or 0) + money
         assert {(x["window_index"], x["segment_index"]): (x["money"], (x["flow_units"], x["flow_cost"])) for x in r["segments"]} == {
             k: ((sums.get(k) or 0) if k in flows else sums[k], flows.get(k, (0, 0))) for k in {*sums, *flows}}
+
+
+@pytest.fixture(scope="module")
+def proven(spark):
+    """Graphs from rows, with their proofs: few cells, all cells wide, and none."""
+    rng = random.Random(15)
+    rows = [(g, None, s, c["window_index"], c["stop_index"], c["boardings"], c["tickets"], None, None) for g, s in enumerate([2, 3, 7, 7] * 8)
+            for c in (sparse_cells(rng, 5, s, 6) if g % 4 < 3 else [{"window_index": t, "stop_index": i, "boardings": 9, "tickets": t} for t in (1, 3) for i in range(7)])]
+    rows += [(g, None, 7, -1, None, 4, 4, None, None) for g in (100, 101)]
+    found = grid_flow.solve_rows(spark.createDataFrame(rows, ROWS), KEYS, 5, proof=True)
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def test_short_proofs_hold(proven):
+    rows = proven.collect()
+    checked = grid_flow.certificate(proven, KEYS, 5).collect()
+    assert len(checked) == len(rows) >= 30 and all(r[c] == 0 for r in checked for c in CHECKS)
+    # a proof grows with what happened, but for potentials and sides
+    empty = next(r for r in rows if r["g"] == 100)
+    assert (len(empty["cells"]), len(empty["arcs"])) == (0, 0) and len(empty["potentials"]) + len(empty["side"]) <= 5 * 7 * 2 + 5
+
+
+def longs(values):
+    return grid_flow.np.frombuffer(values, "i8").copy()
+
+
+def more_flow(row, kind, by):
+    """The proof with ``by`` units more on the first arc of a kind."""
+    arcs = dict(longs(row["arcs"]).reshape(-1, 2).tolist())
+    at = grid_flow.KINDS.index(kind) * 5 * row["num_stops"]
+    arcs[at] = arcs.get(at, 0 if kind == "carry" else 1) + by
+    return {"arcs": bytes(grid_flow.np.array(sorted(arcs.items()), "i8").tobytes())}
+
+
+def raised(row):
+    pi = grid_flow.np.frombuffer(row["potentials"], "i2").copy()
+    pi[1] += 1000
+    return {"potentials": pi.tobytes()}
+
+
+def cheaper(row):
+    return {"cells": grid_flow.np.array([[0, 1, 40]], "i8").tobytes()}
+
+
+SHORT_SPOILED = {
+    "over_capacity": lambda r: more_flow(r, "segment", 100_000), "unbalanced": lambda r: more_flow(r, "carry", 1),
+    "total_gap": lambda r: more_flow(r, "source", -1), "cost_gap": cheaper, "cut_gap": lambda r: {"side": b"\x40" + bytes(len(r["side"]) - 1)},
+    "cheaper_ways": raised}
+
+
+@pytest.mark.parametrize("check", CHECKS)
+def test_short_proofs_are_rejected(spark, proven, check):
+    """Also for a graph where nothing is listed: what a proof leaves out is checked as well."""
+    row = proven.filter("g = 100").first()
+    spoiled = spark.createDataFrame([tuple((row.asDict() | SHORT_SPOILED[check](row)).values())], proven.schema)
+    assert grid_flow.certificate(spoiled, KEYS, 5).first()[check] != 0
+
+
+def test_proofs_of_any_width_are_checked_together(spark, proven):
+    row = proven.filter("g = 100").first()
+    wide = grid_flow.np.frombuffer(row["potentials"], "i2").astype("i8").tobytes()
+    big = [(7, None, 7, 2, 3, 1 << 40, 1 << 39, None, None), (7, None, 7, 2, 0, 1 << 33, 0, None, None)]
+    rows = [tuple(row), tuple((row.asDict() | {"potentials": wide}).values()), *map(tuple, grid_flow.solve_rows(
+        spark.createDataFrame(big, ROWS), KEYS, 5, proof=True).collect())]
+    checked = grid_flow.certificate(spark.createDataFrame(rows, proven.schema).coalesce(1), KEYS, 5).collect()
+    assert len(checked) == 3 and all(r[c] == 0 for r in checked for c in CHECKS)
