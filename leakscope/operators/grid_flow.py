@@ -349,11 +349,11 @@ class _Cells(NamedTuple):
         at = np.repeat(behind - sizes.cumsum(), sizes) + np.arange(sizes.sum())
         return _Cells(np.repeat(np.arange(len(graphs)), sizes), *(values[at] for values in self[1:]))
 
-    def grids(self, windows: int, low: int, high: int, n: int, opened: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def grids(self, windows: int, low: int, high: int, n: int, opened: bool, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Capacity, price and whether a cell is open, as arrays (window, stop, graph) of the stops from ``low`` to before ``high``."""
         inside = (self.at_i >= low) & (self.at_i < high)
         at, shape = (self.at_t[inside], self.at_i[inside] - low, self.at_g[inside]), (windows, high - low, n)
-        load, price, is_open = np.ones(shape, np.int64), np.full(shape, EMPTY_PRICE, np.int64), np.full(shape, opened)
+        load, price, is_open = np.ones(shape, kind), np.full(shape, EMPTY_PRICE, kind), np.full(shape, opened)
         load[at], price[at] = self.load[inside], self.price[inside]
         is_open[at] |= self.boarded[inside]
         return load, price, is_open
@@ -481,14 +481,17 @@ def _proofs(solved: _Solved, windows: int, stops: int, skip_empty: bool, carry:
     of nodes, source and sink, and the source's side of a least cut, as arrays whose last axis is the graph."""
     n, nodes = len(solved.total_flow), windows * stops
     size = max(1, CELLS // nodes)
+    # no flow exceeds the largest capacity
+    most = max(carry, EMPTY_PRICE, int(solved.cells.load.max(initial=1)))
+    kind = next(k for k in (np.int16, np.int32, np.int64) if k is np.int64 or most <= np.iinfo(k).max)
     whole = np.full(n, -1)
     for k, (graphs, _) in enumerate(solved.reached):
         whole[graphs] = k
     for low in range(0, n, size):
         high = min(n, low + size)
-        load, price, opened = solved.cells.of(np.arange(low, high)).grids(windows, 0, stops, high - low, not skip_empty)
+        load, price, opened = solved.cells.of(np.arange(low, high)).grids(windows, 0, stops, high - low, not skip_empty, kind)
         first, behind = np.searchsorted(solved.arcs, np.array([low, high]) * nodes * len(KINDS))
-        flow = _dense(solved.arcs[first:behind] - low * nodes * len(KINDS), solved.units[first:behind], high - low, windows, stops)
+        flow = _dense(solved.arcs[first:behind] - low * nodes * len(KINDS), solved.units[first:behind], high - low, windows, stops, kind)
         side = np.broadcast_to(np.arange(stops)[:, None] <= solved.up_to[low:high], load.shape).copy()
         for k in np.unique(whole[low:high][whole[low:high] >= 0]).tolist():
             graphs, seen = solved.reached[k]
@@ -505,7 +508,7 @@ def _columns(cells: pa.ListArray, windows: int, stops: int, skip_empty: bool, ca
     short = [pa.array(solved.total_flow), pa.array(solved.total_cost), solved.used]
     if not proof:
         return [*short, *[pa.nulls(n, kind) for kind in RESULT_TYPES[3:]]]
-    parts = [[*map(_lists, (load, price, *(flow[k] for k in ("source", "sink", "segment", "carry")), pi.astype(np.int64))),
+    parts = [[*(_lists(v.astype(np.int64)) for v in (load, price, *(flow[k] for k in ("source", "sink", "segment", "carry")), pi)),
               *(pa.array(p.astype(np.int64)) for p in (source, sink)), _lists(side)]
              for _, _, load, price, flow, (pi, source, sink), side in _proofs(solved, *how)]
     if not parts:
@@ -798,20 +801,20 @@ def _long_proof(proof: dict[str, pa.Array], windows: int, stops: int) -> tuple:
 def _short_proof(proof: dict[str, pa.Array], windows: int, stops: int) -> tuple:
     """The same from a proof that leaves out empty cells and flows of one unit along a window."""
     n, nodes = len(proof["total_flow"]), windows * stops
-    places, loads, prices = np.frombuffer(b"".join(proof["cells"].to_pylist()), np.int64).reshape(-1, 3).T
-    arcs, flows = np.frombuffer(b"".join(proof["arcs"].to_pylist()), np.int64).reshape(-1, 2).T
-    of_cell, of_arc = (np.repeat(np.arange(n), pc.binary_length(proof[k]).to_numpy() // size) for k, size in (("cells", 24), ("arcs", 16)))
-    potentials = proof["potentials"].to_pylist()
-    if len({len(p) for p in potentials}) > 1:
-        pi = np.stack([_whole_numbers(p, nodes).astype(np.int64) for p in potentials])
+    (cells, cell_bytes), (changed, changed_bytes), (pi, pi_bytes), (bits, _) = (_contents(proof[k]) for k in ("cells", "arcs", "potentials", "side"))
+    places, loads, prices = cells.view(np.int64).reshape(-1, 3).T
+    arcs, flows = changed.view(np.int64).reshape(-1, 2).T
+    of_cell, of_arc = np.repeat(np.arange(n), cell_bytes // 24), np.repeat(np.arange(n), changed_bytes // 16)
+    widths = pi_bytes // nodes
+    if (widths == widths[0]).all():
+        pi = pi.view(f"i{widths[0]}").reshape(n, nodes)
     else:
-        pi = _whole_numbers(b"".join(potentials), n * nodes).reshape(n, nodes)
-    bits = np.frombuffer(b"".join(proof["side"].to_pylist()), np.uint8).reshape(n, -1)
-    reached = np.unpackbits(np.ascontiguousarray(bits.T), axis=0, count=nodes).view(bool)
+        pi = np.stack([one.view(f"i{width}").astype(np.int64) for one, width in zip(np.split(pi, pi_bytes.cumsum()[:-1]), widths)])
+    reached = np.unpackbits(np.ascontiguousarray(bits.reshape(n, -1).T), axis=0, count=nodes).view(bool)
     # the narrowest whole numbers that hold a cost, or a sum of flows or potentials
     most = max(1, *(int(abs(v).max(initial=0)) for v in (loads, flows)))
     highest = max(EMPTY_PRICE, int(abs(prices).max(initial=0)))
-    top = max(most * highest, 8 * most, 4 * (int(abs(pi.astype(np.int64)).max(initial=0)) + highest))
+    top = max(most * highest, 8 * most, 4 * (max(-int(pi.min()), int(pi.max()), 0) + highest))
     kind = next(k for k in (np.int16, np.int32, np.int64) if k is np.int64 or top <= np.iinfo(k).max)
     load, price = np.ones((nodes, n), kind), np.full((nodes, n), EMPTY_PRICE, kind)
     load[places, of_cell], price[places, of_cell] = loads, prices
@@ -820,8 +823,12 @@ def _short_proof(proof: dict[str, pa.Array], windows: int, stops: int) -> tuple:
     return load.reshape(grid), price.reshape(grid), flow, np.ascontiguousarray(pi.T).astype(kind).reshape(grid), reached.reshape(grid)
 
 
-def _whole_numbers(values: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(values, f"i{len(values) // count}")
+def _contents(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values together, and how many each has."""
+    values = values.cast(pa.binary())
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(b"" if data is None else data, np.uint8)[bounds[0]:bounds[-1]], np.diff(bounds)
 
 
 def _faults(proof: dict[str, pa.Array], windows: int, stops: int, carry: int, carry_cost: int) -> list[np.ndarray]:
